@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,7 +263,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         v = load_vocabulary(path)
         for whole in batches:
             begin = 0
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).tolist()
+            sizes = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).tolist()
             while begin < len(sizes):
                 end, held = begin, 0
                 while end < len(sizes) and (end == begin or held + sizes[end] <= 1_000_000):

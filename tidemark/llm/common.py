@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
     if batch.num_rows <= 1 or text.nbytes <= most:
         yield batch
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:
@@ -68,11 +69,11 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
     yield batch.slice(begin)
 
 
-def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], most: int = SLICE_BYTES) -> DataFrame:
     """df with new columns that a function of Arrow batches computes.
 
     make() runs once in each task and returns that function; it gets slices
-    bounded by the bytes of `column` and returns one Arrow array for each field.
+    bounded by `most` bytes of `column` and returns one Arrow array for each field.
     An input column with the name of a new one is replaced.
     """
     names = [f.name for f in fields]
@@ -82,7 +83,7 @@ def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for part in slices(whole, column):
+            for part in slices(whole, column, most):
                 if part.num_rows:
                     made = work(part)
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=kept + names)

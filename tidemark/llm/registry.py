@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii
+from . import bpe, chat, minhash, order_minhash, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": pii.op5_pii,
+    "op6_order_minhash": order_minhash.op6_order_minhash,
+    "op7_minhash": minhash.op7_minhash,
     "op8_bpe": bpe.op8_bpe,
+    "op9_chat": chat.op9_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
