@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, minhash, mixing, order_minhash, pii, quality
+from . import bpe, chat, language, minhash, mixing, order_minhash, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": minhash.op7_minhash,
     "op8_bpe": bpe.op8_bpe,
     "op9_chat": chat.op9_chat,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
