@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, minhash, mixing, order_minhash, pii, quality, repeats
+from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_media": media.op4_media,
     "op5_pii": pii.op5_pii,
     "op6_order_minhash": order_minhash.op6_order_minhash,
     "op7_minhash": minhash.op7_minhash,
