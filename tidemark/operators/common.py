@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -13,12 +15,14 @@ def small(df: DataFrame, most: int = DEFAULT.broadcast_rows) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that the cluster shares (spark.checkpoint.dir), and read back."""
-    import uuid
-
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; beside the warehouse only where that is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    path = f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
