@@ -1,8 +1,8 @@
 """Order MinHash fingerprints, sensitive to edit distance (operator 6).
 
-A text's tokens are runs of letters and digits (cut at 16) or single other
-characters.  Its k-mers of tokens are numbered by occurrence, so a repeated
-k-mer counts each time.  The hash of (k-mer, occurrence) deals these into
+A text's tokens are runs of Latin letters, digits and marks (cut at 16) or single
+other characters.  Its k-mers of two tokens are numbered by occurrence, so a
+repeated k-mer counts each time.  The hash of (k-mer, occurrence) deals these into
 BUCKETS; of each bucket the LENGTH smallest are selected, kept in text order and
 hashed as a tuple, and the tuples' hashes are the signature.  Moving text about
 changes the order within tuples, so unlike a set sketch it notices that.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import let, sha256_text, table
 
-#: Tokens of a text: whole short runs, else one character.
-TOKEN = r"[\p{L}\p{N}]{1,16}|[^\s\p{L}\p{N}]"
+#: Tokens of a text: runs of Latin letters, digits and marks, cut at 16, else one character.
+TOKEN = r"[!-~À-ɏ]{1,16}|[^\s!-~À-ɏ]"
 BUCKET_BITS = 5
 BUCKETS = 1 << BUCKET_BITS
 LENGTH = 2
@@ -29,65 +29,75 @@ _PLACE = (1 << _PLACE_BITS) - 1
 
 
 def _kmers(tokens: Column) -> Column:
-    """Each hash of two adjacent tokens, its low bits replaced by its place (a lone token is its own k-mer)."""
-    pairs = F.when(F.size(tokens) < 2, tokens).otherwise(F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.transform(pairs, lambda t, i: F.xxhash64(t).bitwiseAND(~_PLACE).bitwiseOR(i.cast("long")))
+    """Each hash of two adjacent tokens, its low bits replaced by its place (the last token is its own k-mer)."""
+    return F.transform(tokens, lambda t, i: F.xxhash64(t, F.get(tokens, i + 1)).bitwiseAND(~_PLACE).bitwiseOR(i.cast("long")))
 
 
-def _numbered(s: Column) -> Column:
-    """From sorted k-mers: the hash of (k-mer, occurrence) with the place in its low bits."""
-    top = lambda x: F.shiftright(x, _PLACE_BITS)
-    heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (top(F.get(s, i)) != top(F.get(s, i - 1))))
+def _top(x: Column) -> Column:
+    return F.shiftright(x, _PLACE_BITS)
+
+
+def _bucket(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - BUCKET_BITS)
+
+
+def _repeats(s: Column, i: Column, x: Column) -> Column:
+    """Whether x, at place i of sorted k-mers, has the k-mer of the one before."""
+    return (i > 0) & (_top(x.bitwiseXOR(F.get(s, i - 1))) == 0)
+
+
+def _numbered(again: Column) -> Column:
+    """From the sorted k-mers that aren't a first occurrence: the hash of (k-mer, occurrence), the place in its low bits."""
+    heads = F.filter(F.sequence(F.lit(0), F.size(again) - 1), lambda i: ~_repeats(again, i, F.get(again, i)))
 
     def runs(h: Column) -> Column:
-        ends = F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(s)))
-        spans = F.zip_with(h, ends, lambda a, b: F.struct(a.alias("a"), b.alias("n")))
-        return F.flatten(
-            F.transform(
-                spans,
-                lambda r: F.transform(
-                    F.slice(s, r["a"] + 1, r["n"] - r["a"]),
-                    lambda x, o: F.xxhash64(top(x), o).bitwiseAND(~_PLACE).bitwiseOR(x.bitwiseAND(F.lit(_PLACE).cast("long"))),
-                ),
-            )
-        )
+        ends = F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(again)))
+        hashed = lambda x, o: F.xxhash64(_top(x), o).bitwiseAND(~_PLACE).bitwiseOR(x.bitwiseAND(F.lit(_PLACE).cast("long")))
+        return F.flatten(F.transform(F.arrays_zip(h.alias("a"), ends.alias("b")), lambda r: F.transform(F.slice(again, r["a"] + 1, r["b"] - r["a"]), hashed)))
+
+    return F.when(F.size(again) > 0, let(heads, runs)).otherwise(again)
+
 
-    return let(heads, runs)
+def _least(s: Column) -> Column:
+    """The LENGTH smallest of each bucket, from sorted hashes."""
+    return F.filter(s, lambda x, i: (i < LENGTH) | (_bucket(F.get(s, i - LENGTH)) != _bucket(x)))
 
 
 def _signature(s: Column) -> Column:
-    """From the sorted (k-mer, occurrence) hashes: one hash for each bucket, null where it is empty."""
-    bucket = lambda x: F.shiftrightunsigned(F.shiftright(x, 64 - BUCKET_BITS), 0).bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
-    least = F.filter(s, lambda x, i: (i < LENGTH) | (bucket(F.get(s, i - LENGTH)) != bucket(x)))
+    """From sorted k-mers with places: for each bucket that isn't empty its number and the hash of its tuple, in one long.
+
+    The hash of a first occurrence is its k-mer's own, so these are in order already.
+    """
+    first = F.filter(s, lambda x, i: ~_repeats(s, i, x))
+    again = F.filter(s, lambda x, i: _repeats(s, i, x))
+    some = let(first, _least)
+    others = let(again, lambda a: let(F.sort_array(_numbered(a)), _least))
 
-    def tuples(chosen: Column) -> Column:
-        own = lambda j: F.filter(chosen, lambda x: bucket(x) == j)
-        # in text order: the place goes to the front for the sort
-        turned = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(x.bitwiseAND(F.lit(_PLACE).cast("long")).alias("p"), F.shiftright(x, _PLACE_BITS).alias("h"))))
-        hashed = lambda a: F.when(F.size(a) > 0, F.xxhash64(F.transform(a, lambda x: x["h"])))
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long")), lambda j: let(turned(own(j)), hashed))
+    def tuples(c: Column) -> Column:
+        place = lambda x: x.bitwiseAND(F.lit(_PLACE).cast("long"))
+        begins = lambda x, i: (i == 0) | (_bucket(F.get(c, i - 1)) != _bucket(x))
+        pair = lambda x, y: F.when(y.isNull() | (_bucket(y) != _bucket(x)), F.xxhash64(_top(x))).when(place(x) <= place(y), F.xxhash64(_top(x), _top(y))).otherwise(F.xxhash64(_top(y), _top(x)))
+        made = lambda x, i: F.when(begins(x, i), F.shiftleft(_bucket(x), 64 - BUCKET_BITS).bitwiseOR(F.shiftrightunsigned(pair(x, F.get(c, i + 1)), BUCKET_BITS)))
+        return F.array_compact(F.transform(c, made))
 
-    return let(least, tuples)
+    return let(F.sort_array(F.concat(some, others)), lambda both: let(_least(both), tuples))
 
 
 def signature(text: Column) -> Column:
-    """array<bigint> of BUCKETS entries; all null for a null text or one without tokens."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    empty = F.transform(F.sequence(F.lit(1), F.lit(BUCKETS)), lambda _: F.lit(None).cast("long"))
-    made = let(tokens, lambda t: let(F.sort_array(_kmers(t)), lambda s: let(F.sort_array(_numbered(s)), _signature)))
-    return F.when(text.rlike(r"\S"), made).otherwise(empty)
+    """array<bigint> with an entry for each bucket that isn't empty; empty for a null text or one without tokens."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return let(tokens, lambda t: let(F.sort_array(_kmers(t)), _signature))
 
 
 def printed(sig: Column) -> Column:
-    """A signature as text: sixteen hexadecimal digits an entry, a dash where it is empty."""
-    return F.array_join(F.transform(sig, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), "")
+    """A signature as text: sixteen hexadecimal digits an entry."""
+    return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal entries among those that either has; 1 for two empty signatures."""
-    both = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 0).when(x.eqNullSafe(y), 1).otherwise(2))
-    count = lambda k: lambda v: F.size(F.filter(v, lambda x: x == k))
-    return let(both, lambda v: F.when(F.size(F.filter(v, lambda x: x > 0)) == 0, 1.0).otherwise(count(1)(v) / F.size(F.filter(v, lambda x: x > 0))))
+    """Share of equal entries among the buckets that either fills; 1 for two empty signatures."""
+    filled = F.size(F.array_union(F.transform(a, _bucket), F.transform(b, _bucket)))
+    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "signature") -> DataFrame:

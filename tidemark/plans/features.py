@@ -48,7 +48,7 @@ def _pairs(kind: str, issue: bool, inverse: bool) -> Entries:
 
 @dataclass(frozen=True)
 class Feature:
-    """entries: what counts; scope: intra, ecosystem, dependency, inverse or non_dependency; value: count or rate."""
+    """entries: what counts; scope: intra, anywhere, ecosystem, dependency, inverse or non_dependency; value: count or rate."""
 
     name: str
     entries: Entries
@@ -71,6 +71,8 @@ def compute(f: Feature, spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = lambda q, more: earlier_sums(q, entries, keys + more, values, f.window, f.inclusive)
     if f.scope == "intra":
         got = sums(queries, ["project"])
+    elif f.scope == "anywhere":
+        got = sums(queries, [])
     elif f.scope == "ecosystem":
         got = _less(sums(queries, []), sums(queries, ["project"]), values)
     else:
@@ -96,6 +98,7 @@ def sql_of(f: Feature) -> str:
     """The same as a self join over the stream."""
     scope = {
         "intra": "e.project = q.project",
+        "anywhere": "TRUE",
         "ecosystem": "e.project <> q.project",
         "dependency": "EXISTS (SELECT 1 FROM dep WHERE focal = q.project AND other = e.project)",
         "inverse": "EXISTS (SELECT 1 FROM dep WHERE focal = e.project AND other = q.project)",
@@ -153,7 +156,7 @@ def registry() -> list[Feature]:
             Feature(f"{s}_issue_comment_count", *com[True, False], scope),
             Feature(f"{s}_issue_participation_count", *com[True, True], scope),
         ]
-    for scope, s in (("intra", "intra"), ("ecosystem", "eco")):
+    for scope, s in (("intra", "intra"), ("ecosystem", "eco"), ("anywhere", "any")):
         for kind, is_issue, inverse in (("integrated", False, False), ("integrated", False, True), ("commented", False, False), ("commented", False, True), ("discussion", False, False), ("commented", True, False), ("commented", True, True), ("discussion", True, False)):
             name = f"{s}_pair_{'issue_' if is_issue else ''}{kind}{'_inverse' if inverse else ''}"
             out.append(Feature(name, _pairs(kind, is_issue, inverse), _pair_sql(kind, is_issue, inverse), scope, pair=True))
