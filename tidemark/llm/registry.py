@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.op1_language,
@@ -20,5 +23,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": chat.op9_chat,
     "op10_repeats": repeats.op10_repeats,
 }
-
-ORACLE_SQL: dict[str, str] = {}
