@@ -234,6 +234,42 @@ def test_media_turns_and_edges(spark):
     assert media.find_copies(df.limit(0)).count() == 0
 
 
+def brute_links(pictures):
+    """The links of all pairs of images, by votes over every pair of corners that agree in a table."""
+    described, links = media.describe(pictures), set()
+    for b in range(len(pictures)):
+        for a in range(b):
+            votes = collections.defaultdict(set)
+            for p in described[a]:
+                for q in described[b]:
+                    if any(x == y for x, y in zip(p["keys"], q["keys"], strict=True)):
+                        turn, size = (q["turn"] - p["turn"]) % media.TURNS, 2.0 ** (q["scale"] - p["scale"])
+                        c, s = np.cos(turn * 2 * np.pi / media.TURNS), np.sin(turn * 2 * np.pi / media.TURNS)
+                        dx, dy = q["x"] - size * (c * p["x"] - s * p["y"]), q["y"] - size * (s * p["x"] + c * p["y"])
+                        votes[turn, size, np.floor(dx / media.CELL + 0.5), np.floor(dy / media.CELL + 0.5)].add((p["y"], p["x"]))
+            if any(len(v) >= media.VOTES for v in votes.values()):
+                links.add((a, b))
+    return links
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_media_links_of_all_pairs(spark, block):
+    plain = [media.decode_pgm(r.image).copy() for r in media.drawn(spark.range(28), "id").orderBy("id").collect()]
+    # Edited copies of one picture, its brightness only and its cut, among others that all bear one mark.
+    plain += [(plain[0] * f + 10).astype(np.uint8) for f in (0.5, 0.6, 0.7, 0.9)]
+    plain += [plain[0][: 64 - k, k:].copy() for k in (1, 3, 5)]
+    mark = plain[3][20:44, 20:44]
+    for p in plain[7:28]:
+        p[20:44, 20:44] = mark
+    want = collections.Counter(i for link in brute_links(plain) for i in link)
+    rows = [(i, bytearray(media.encode_pgm(p))) for i, p in enumerate(plain)]
+    got = media.find_copies(spark.createDataFrame(rows, "image_id long, image binary"), block=block)
+    assert {r.image_id: r.n_links for r in got.collect()} == {i: want[i] for i in range(len(plain))}
+    assert want[0] >= 8
+    named = media.find_copies(spark.createDataFrame([(f"{i:03}", b) for i, b in rows], "image_id string, image binary"), block=block)
+    assert {int(r.image_id): r.n_links for r in named.collect()} == {i: want[i] for i in range(len(plain))}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
