@@ -185,6 +185,34 @@ def test_mixing_edges(spark):
     assert mixing.fill_targets(none, [3, 1, 2], 1.5, 2).count() == 0
 
 
+def test_mixing_of_many_patterns(spark):
+    own = F.concat(F.lit("u"), F.col("doc_id").cast("string"))
+    docs = spark.range(50_100).withColumnRenamed("id", "doc_id").select("doc_id", F.array(F.lit("a"), F.lit("b"), own).alias("sources"), F.lit(10).alias("size"))
+    targets = spark.createDataFrame([("a", 100_000.0), ("b", 200_000.0), ("u7", 1000.0)], "source string, target double")
+    got = mixing.mix(docs, targets).agg(F.sum("taken"), F.max("taken"), F.count("*")).first()
+    assert tuple(got) == (300_020, 20, 50_100)  # each source gets its words; u7 has a single document
+
+
+def test_flow_fills_as_much_as_can_be():
+    rng = random.Random(5)
+    for _ in range(200):
+        sources = "ABCDE"[: rng.randint(1, 5)]
+        offers = {f"p{i}": (rng.randint(0, 9), sorted(rng.sample(sources, rng.randint(1, len(sources))))) for i in range(rng.randint(1, 7))}
+        quotas = {s: rng.randint(0, 25) for s in sources}
+        for copies in (1, 2):
+            flow = mixing.route(offers, quotas, copies)
+            for p, f in flow.items():
+                assert set(f) <= set(offers[p][1]) and min(f.values(), default=0) > -1e-6
+                assert sum(f.values()) <= copies * offers[p][0] + 1e-6
+            assert all(sum(f.get(s, 0) for f in flow.values()) <= quotas[s] + 1e-6 for s in sources)
+            # By the least cut: sources outside it, and the patterns that reach only them.
+            cuts = [sum(quotas[s] for i, s in enumerate(sources) if not m >> i & 1) + sum(copies * n for n, of in offers.values() if any(m >> sources.index(s) & 1 for s in of)) for m in range(1 << len(sources))]
+            assert abs(sum(sum(f.values()) for f in flow.values()) - min(cuts)) < 1e-6
+            if copies == 2:  # nothing is repeated while fresh words are left
+                fresh = mixing.route(offers, quotas, 1)
+                assert sum(min(sum(f.values()), offers[p][0]) for p, f in flow.items()) >= sum(sum(f.values()) for f in fresh.values()) - 1e-6
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

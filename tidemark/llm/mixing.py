@@ -3,9 +3,8 @@
 Documents that belong to the same set of sources form a pattern.  Each pattern
 offers its size once at no cost, a second time at cost 1, and so on up to
 MOST_COPIES, so repeating is convex in cost; a flow of least cost routes this
-capacity to the sources' quotas.  Patterns with a single source that no other
-pattern shares are settled by an expression; those that overlap are few (sets
-of sources, not documents) and are solved as a small network.
+capacity to the sources' quotas.  Patterns and sources that hang together are one
+component and are solved in one task, so a task holds sets of sources, not documents.
 
 Within a pattern each document is taken as often as all can be; the rest goes to
 documents in the order of a seeded hash, the last one in part.  The place in that
@@ -15,19 +14,17 @@ with a third of all documents is never ordered in one task.
 
 from __future__ import annotations
 
-from collections import deque
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, checked_broadcast, stored, table
+from .components import components
 
 MOST_COPIES = 2
 SEED = 17
 #: Hash ranges of the order within a pattern.
 RANGES = 4096
-#: Overlapping patterns that the network may have; beyond, a document counts for the first of its sources only.
-PATTERNS = 50_000
 BROADCAST_ROWS = 100_000
 
 
@@ -75,68 +72,102 @@ def route(offers: dict[str, tuple[float, list[str]]], quotas: dict[str, float],
 
     offers: each pattern's size and sources.  Copy number r of a pattern costs
     r - 1, and no path returns to the origin, so opening the copies one after the
-    other and augmenting along shortest paths each time yields the least cost.
+    other and filling the shortest paths of all patterns at once, until none is
+    left, yields the least cost.
     """
     flow: dict[str, dict[str, float]] = {p: {} for p in offers}
-    given: dict[str, list[str]] = {}
-    for p, (_, sources) in offers.items():
-        for s in sources:
-            given.setdefault(s, []).append(p)
     need = dict(quotas)
     for _ in range(most_copies):
         spare = {p: float(size) for p, (size, _) in offers.items() if size > 0}
-        while True:
-            came: dict[tuple[str, str], tuple[str, str] | None] = {("p", p): None for p, x in spare.items() if x > 1e-9}
-            queue, goal = deque(came), None
-            while queue and goal is None:
-                side, name = here = queue.popleft()
-                if side == "p":
-                    nexts = [("s", s) for s in offers[name][1]]
-                else:
-                    if need.get(name, 0.0) > 1e-9:
-                        goal = here
-                        break
-                    nexts = [("p", p) for p in given[name] if flow[p].get(name, 0.0) > 1e-9]
-                for x in nexts:
-                    if x not in came:
-                        came[x] = here
-                        queue.append(x)
-            if goal is None:
-                break
-            path = [goal]
-            while came[path[-1]] is not None:
-                path.append(came[path[-1]])
-            path.reverse()
-            moved = min([spare[path[0][1]], need[goal[1]], *[flow[b[1]][a[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"]])
-            for a, b in zip(path, path[1:], strict=False):
-                if a[0] == "p":
-                    flow[a[1]][b[1]] = flow[a[1]].get(b[1], 0.0) + moved
-                else:
-                    flow[b[1]][a[1]] -= moved
-            spare[path[0][1]] -= moved
-            need[goal[1]] -= moved
+        while _fill_shortest(offers, flow, spare, need):
+            pass
     return flow
 
 
+def _fill_shortest(offers: dict[str, tuple[float, list[str]]], flow: dict[str, dict[str, float]], spare: dict[str, float], need: dict[str, float]) -> bool:
+    """Fill all shortest paths from patterns with spare words to sources in need; False if there are none."""
+    given: dict[str, list[str]] = {}
+    for p, f in flow.items():
+        for s, x in f.items():
+            if x > 1e-9:
+                given.setdefault(s, []).append(p)
+    starts = [p for p, x in spare.items() if x > 1e-9]
+    level = {("p", p): 0 for p in starts}
+    here, depth, met = list(level), 0, False
+    while here and not met:
+        depth += 1
+        nexts = []
+        for side, name in here:
+            for x in [("s", s) for s in offers[name][1]] if side == "p" else [("p", p) for p in given.get(name, ())]:
+                if x not in level:
+                    level[x] = depth
+                    nexts.append(x)
+                    met = met or (x[0] == "s" and need.get(x[1], 0.0) > 1e-9)
+        here = nexts
+    if not met:
+        return False
+    # Each edge is left for good once nothing more goes through it.
+    ahead: dict[tuple[str, str], list[str]] = {}
+    for start in starts:
+        path = [("p", start)]
+        while path:
+            side, name = top = path[-1]
+            if side == "s" and level[top] == depth and need.get(name, 0.0) > 1e-9:
+                moved = min([spare[start], need[name], *[flow[b[1]][a[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"]])
+                for a, b in zip(path, path[1:], strict=False):
+                    if a[0] == "p":
+                        flow[a[1]][b[1]] = flow[a[1]].get(b[1], 0.0) + moved
+                    else:
+                        flow[b[1]][a[1]] -= moved
+                spare[start] -= moved
+                need[name] -= moved
+                if spare[start] <= 1e-9:
+                    break
+                path = path[:1]
+                continue
+            if top not in ahead:
+                other = ("s", offers[name][1]) if side == "p" else ("p", given.get(name, ()))
+                ahead[top] = [x for x in reversed(other[1]) if level.get((other[0], x)) == level[top] + 1] if level[top] < depth else []
+            while ahead[top] and side == "s" and flow[ahead[top][-1]].get(name, 0.0) <= 1e-9:
+                ahead[top].pop()
+            if ahead[top]:
+                path.append(("s" if side == "p" else "p", ahead[top][-1]))
+            else:
+                path.pop()
+                if path:
+                    ahead[path[-1]].pop()
+    return True
+
+
 def _takes(members: DataFrame, targets: DataFrame, most_copies: int) -> DataFrame:
     """(pattern, size, take): how many words of each pattern the mix takes."""
     offers = members.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources"))
     named = targets.select(_named(F.col("source")).alias("name"), "target")
     each = offers.withColumn("name", F.explode(F.array_distinct(F.transform("sources", _named))))
     shared = each.groupBy("name").agg(F.count("*").alias("_patterns"))
-    quota = stored(each.join(shared, "name").join(named, "name", "left"), "offers")
-    alone = quota.groupBy("pattern").agg(F.count("*").alias("_k"), F.max("_patterns").alias("_p"), F.max("size").alias("size"), F.max("target").alias("target"))
-    own = alone.where("_k = 1 and _p = 1")
-    single = own.select("pattern", "size", F.least(F.coalesce("target", F.lit(0.0)), F.col("size") * float(most_copies)).alias("take"))
-    rows = quota.join(own.select("pattern"), "pattern", "left_anti").select("pattern", "size", "name", "target").limit(20 * PATTERNS + 1).collect()
-    if not rows:
-        return single
-    net: dict[str, tuple[float, list[str]]] = {}
-    for r in rows:
-        net.setdefault(r["pattern"], (float(r["size"] or 0), []))[1].append(r["name"])
-    flow = route({p: (n, sorted(s)) for p, (n, s) in sorted(net.items())}, {r["name"]: r["target"] or 0.0 for r in rows}, most_copies)
-    solved = members.sparkSession.createDataFrame([(p, int(net[p][0]), float(sum(f.values()))) for p, f in flow.items()], "pattern string, size long, take double")
-    return single.unionByName(solved)
+    quota = stored(each.drop("sources").join(shared, "name").join(named, "name", "left"), "offers")
+    # A pattern whose sources are in no other pattern is a component of its own.
+    alone = quota.groupBy("pattern").agg(F.max("_patterns").alias("_p")).where("_p = 1").select("pattern")
+    linked = quota.join(alone, "pattern", "left_anti")
+    node = F.concat(F.lit("p "), "pattern")
+    edges = linked.select(node.alias("a"), F.concat(F.lit("s "), "name").alias("b"))
+    if linked.limit(1).count():
+        linked = linked.join(components(edges).withColumnRenamed("node", "_node"), node == F.col("_node")).drop("_node")
+    else:
+        linked = linked.withColumn("component", node)
+    whole = quota.join(alone, "pattern", "left_semi").withColumn("component", node).unionByName(linked)
+    lots = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def solve(part: pa.Table) -> pa.Table:
+        net: dict[str, tuple[float, list[str]]] = {}
+        for p, n, name in zip(*(part.column(c).to_pylist() for c in ("pattern", "size", "name")), strict=True):
+            net.setdefault(p, (float(n or 0), []))[1].append(name)
+        quotas = {name: t or 0.0 for name, t in zip(part.column("name").to_pylist(), part.column("target").to_pylist(), strict=True)}
+        flow = route({p: (n, sorted(s)) for p, (n, s) in sorted(net.items())}, quotas, most_copies)
+        return pa.table({"pattern": pa.array(list(flow), pa.string()), "size": pa.array([int(net[p][0]) for p in flow], pa.int64()), "take": pa.array([float(sum(f.values())) for f in flow.values()], pa.float64())})
+
+    dealt = whole.select("pattern", "size", "name", F.col("target").cast("double").alias("target"), F.pmod(F.xxhash64("component"), F.lit(lots)).alias("lot"))
+    return dealt.groupBy("lot").applyInArrow(solve, "pattern string, size long, take double")
 
 
 def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", sources: str = "sources", size: str = "size", most_copies: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
@@ -147,9 +178,6 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", sources: str =
     0 or without sources gives nothing.  The same rows always give the same mix.
     """
     base = docs.select(F.col(key).alias("_key"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.col(sources).alias("sources"), F.col(sources).alias("_own")).withColumn("pattern", pattern_of(F.col("sources")))
-    multi = base.where(F.size("sources") > 1).select("pattern").distinct().limit(PATTERNS + 1).count()
-    if multi > PATTERNS:
-        base = base.withColumn("sources", F.slice(F.array_sort("sources"), 1, 1)).withColumn("pattern", pattern_of(F.col("sources")))
     members = stored(base.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_key").cast("string"))).withColumn("_range", F.shiftright("_hash", 52) + RANGES // 2), "members")
     takes = stored(_takes(members, targets, most_copies).withColumn("_copies", F.when(F.col("size") > 0, F.floor(F.col("take") / F.col("size"))).otherwise(0).cast("long")).withColumn("_rest", F.floor(F.col("take")).cast("long") - F.col("_copies") * F.col("size")).drop("size"), "takes")
     sums = members.groupBy("pattern", "_range").agg(F.sum("size").alias("_sum"))
