@@ -14,7 +14,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    # Stored, so that the join is one of two plain shuffles, which can split the many edges of one node.
+    least = stored(around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
     linked = around.join(least, "a")
     if large:
         made = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

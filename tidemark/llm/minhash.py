@@ -10,8 +10,14 @@ members are verified against it, so the work grows with the bucket and not with
 its square.  Links found this way are joined to components.  What remains are
 pairs with a common leader in different components: the distances to the leader
 (the Jaccard distance is a metric), the sizes, and one-bit sketches rule out
-most, and all others are verified inside the join, which yields links only.  So
-no link of a bucket is lost.
+most, and all others are verified inside the join, which yields links only.  There
+the members outside of a group's largest component meet all members, which are
+dealt into blocks, so no task holds a whole group.  So no link of a bucket is lost.
+
+Classes are told apart by the size of the set and two 64-bit sums over it, each
+from word hashes of its own; links are confirmed on whole sets of 64-bit shingles.
+Nulls, empty and blank texts have no shingle; repeated keys are one document (the
+same text) or are joined by their key like links; other columns aren't touched.
 
 With the default 40 bands of 6 coordinates a pair of similarity 0.8 shares no
 band with a chance of 5e-6, of 0.85 with 6e-9; the sketch misses one with 3e-7.
@@ -34,6 +40,8 @@ from .shingles import mix64, shingles
 BANDS, ROWS = 40, 6
 #: Share of equal bits in sketches below which a pair of similarity 0.8 (0.9 of the bits) isn't looked at.
 LEAST_BITS = 0.8
+#: Members of a leader's group that one block holds, about.
+GROUP_BLOCK = 512
 #: Ids of candidates are broadcast up to this number, beyond it they are joined by shuffle.
 BROADCAST_IDS = 200_000
 _SEED_A, _SEED_B = np.uint32(0x7FEB352D), np.uint32(0x2C1B3C6D)
@@ -87,7 +95,8 @@ def signatures(docs: DataFrame, text: str, width: int, bands: int = BANDS, rows:
             if len(full):
                 starts = np.concatenate([[0], np.cumsum(counts[full])])[:-1]
                 digest[0, full] = np.add.reduceat(hashes, starts)
-                digest[1, full] = np.add.reduceat(mix64(hashes ^ np.uint64(0xA5A5A5A5DEADBEEF)), starts)
+                again, counts2 = shingles(column, width, seed=1)
+                digest[1, full] = np.add.reduceat(again, np.concatenate([[0], np.cumsum(counts2[full])])[:-1])
                 sig = circulant(hashes, counts, size)
                 key = np.zeros((len(full), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
@@ -144,14 +153,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Documents link if 100 * intersection >= percent * union of their sets of
     distinct `width`-word shingles; component_id is the least key reachable.  A
     document of fewer words has its sequence as its one shingle; null, empty and
-    blank texts have no shingle and stay alone.  percent is 80 or more.
+    blank texts have no shingle and stay alone.  percent is 80 or more, as the bands
+    would lose links below.
     """
+    if percent < 80:
+        raise ValueError("the bands find links of 80 percent and more")
     small = docs.select(key, text)
     signed = stored(signatures(small, text, width, bands, rows).drop(text), "signatures")
     chosen = F.struct(F.col(key).alias("id"), "bands", "bits")
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(chosen).alias("r"))
     reps = classes.select(F.col("r.id").alias("id"), F.col("n_shingles").alias("n"), "r.bits", F.explode("r.bands").alias("bucket"))
-    shared = reps.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # Small tables are stored before they are joined: a join of two plain shuffles can split a hot key.
+    shared = stored(reps.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     met = stored(reps.join(shared, "bucket"), "members")
     edges = _links(met, small, key, text, width, percent, bands * rows)
     of_node = components(edges)
@@ -168,7 +181,7 @@ def _links(met: DataFrame, docs: DataFrame, key: str, text: str, width: int, per
     ids = checked_broadcast(degree.select(F.col("id").alias(key)), BROADCAST_IDS)
     sets = stored(_sets(docs.join(ids, key, "left_semi"), key, text, width), "sets")
     ranked = met.join(degree, "id")
-    leads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("l")).select("bucket", (-F.col("l.minus")).alias("leader"))
+    leads = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("l")).select("bucket", (-F.col("l.minus")).alias("leader")), "leads")
     led = stored(met.join(leads, "bucket"), "led")
     first = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     told = stored(_verified(first, sets), "verified")
@@ -181,16 +194,24 @@ def _links(met: DataFrame, docs: DataFrame, key: str, text: str, width: int, per
         .join(part.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
     )
-    open_ = member.groupBy("leader").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("leader")
-    sketch = met.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    rest = stored(member.join(open_, "leader", "left_semi").join(sketch, "id").join(sets, "id"), "rest")
+    member = stored(member, "led_members")
+    parts = member.groupBy("leader", "component").agg(F.count("*").alias("_m"))
+    open_ = parts.groupBy("leader").agg(F.max_by("component", F.struct("_m", "component")).alias("_big"), F.sum("_m").alias("_all"), F.count("*").alias("_parts"))
+    open_ = stored(open_.where("_parts > 1").select("leader", "_big", F.ceil(F.col("_all") / GROUP_BLOCK).cast("int").alias("_blocks")), "open")
+    sketch = stored(met.groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "sketches")
+    rest = stored(member.join(open_, "leader").join(sketch, "id").join(sets, "id"), "rest")
+    # All members lie in a block of their group; those outside of its largest component go to every block.
+    every = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    few = rest.where("component <> _big").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     reach = 1 - percent / 100 + 1e-9
-    x, y = (rest.select(*[F.col(c).alias(f"{side}_{c}") for c in rest.columns]) for side in "xy")
+    x = few.select(*[F.col(c).alias(f"x_{c}") for c in few.columns])
+    y = every.select(*[F.col(c).alias(f"y_{c}") for c in every.columns])
     shared = F.size(F.array_intersect("x_items", "y_items")).cast("long")
     hold = (
         (F.col("x_leader") == F.col("y_leader"))
-        & (F.col("x_id") < F.col("y_id"))
+        & (F.col("x_block") == F.col("y_block"))
         & (F.col("x_component") != F.col("y_component"))
+        & ((F.col("x_id") < F.col("y_id")) | (F.col("y_component") == F.col("y__big")))
         & (F.abs(F.col("x_apart") - F.col("y_apart")) <= reach)
         & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
         & _like("x_bits", "y_bits", size)

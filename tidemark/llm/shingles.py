@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,8 +47,18 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, with A-Z lowered, and the row that it is in."""
+#: Words of up to this many bytes are hashed together, 8 bytes at a time; longer ones each by a cryptographic hash.
+_LONG = 64
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray, at: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, with A-Z lowered, and the row that it is in.
+
+    Every 8 bytes of a word go through mix64 before the next ones are added, so no
+    two words of one length and at most 8 bytes share a hash, and longer ones do by
+    chance only.  Another seed gives another, independent hash.
+    """
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -56,19 +68,32 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.concatenate([[True], space[:-1]]) | edge[:-1]
     after = np.concatenate([space[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[_LOWER[raw]] * _powers(_BASE, n), dtype=np.uint64)])
-    hashes = (sums[ends] - sums[starts]) * _powers(_BACK, n)[starts]
-    return mix64(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(at, starts, "right") - 1
+    lower = np.concatenate([_LOWER[raw], np.zeros(8, np.uint8)])
+    eight = np.ndarray((n,), "<u8", lower, strides=(1,))
+    size = ends - starts
+    salt = np.uint64((seed * 0x9E3779B97F4A7C15 + 0x1B873593) % (1 << 64))
+    hashes = mix64(size.astype(np.uint64) + salt)
+    live = np.flatnonzero(size <= _LONG)
+    for step in range(0, _LONG, 8):
+        live = live[size[live] > step]
+        if not len(live):
+            break
+        piece = eight[starts[live] + step] & _KEEP[np.minimum(size[live] - step, 8)]
+        hashes[live] = mix64(hashes[live] ^ piece)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(lower[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes, np.searchsorted(at, starts, "right") - 1
 
 
-def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column: pa.Array, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of `width` words of each row, sorted in each row, end to end; and each row's count.
 
     A row of fewer words has its whole sequence as one shingle, a row without
     words none.
     """
     raw, at = text_bytes(column)
-    words, row = word_hashes(raw, at)
+    words, row = word_hashes(raw, at, seed)
     rows = len(at) - 1
     count = np.bincount(row, minlength=rows)
     n = len(words)
