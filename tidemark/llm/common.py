@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (a test on one machine) a folder beside
-    the warehouse is used instead.
+    Only where the session names none and runs on one machine a folder beside the
+    warehouse is used instead; on a cluster that folder might not be shared.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return named.rstrip("/")
 
@@ -49,6 +50,57 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until no column of names has it, whatever the case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], first: Column, block: int = 128) -> Column:
+    """For each entry of an array what step() makes of it and of all before it, beginning with `first`.
+
+    Entries are run through in blocks, so the cost grows with the length and not
+    with its square, as it would if each entry were appended to all before.
+    step() must not care how its arguments are grouped (a sum, a maximum).
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * block + 1, block))
+
+    def appended(entries: Column, start: Column, whole: Column) -> Column:
+        # (at, out): the last state, and the states after each entry (whole) or before it
+        begin = F.struct(start.alias("at"), F.slice(F.array(start), 1, 0).alias("out"))
+        after = lambda a, x: step(a["at"], x)
+        return F.aggregate(entries, begin, lambda a, x: F.struct(after(a, x).alias("at"), F.concat(a["out"], F.array(after(a, x) if whole else a["at"])).alias("out")))["out"]
+
+    def joined(p: Column) -> Column:
+        totals = F.transform(p, lambda piece: F.aggregate(piece, first, step))
+        return F.flatten(F.transform(F.arrays_zip(p.alias("p"), appended(totals, first, False).alias("at")), lambda z: appended(z["p"], z["at"], True)))
+
+    return F.when(F.size(values) <= block, appended(values, first, True)).otherwise(let(pieces, joined))
+
+
+#: Code points of the pieces into which cut() divides a text.
+PIECE = 256
+
+
+def cut(text: Column) -> Column:
+    """The text in an array of pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text that cut() divided, without a walk from its beginning."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    inner = F.substring(piece(i), start - i * PIECE + 1, end - start)
+    far = F.concat(F.substring(piece(i), start - i * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(piece(j), F.lit(1), end - j * PIECE))
+    return F.when(end <= start, "").when(i == j, inner).otherwise(far)
+
+
 def sha256_text(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
@@ -95,6 +147,3 @@ def checked_broadcast(small: DataFrame, most_rows: int) -> DataFrame:
     """small with a broadcast hint if it has at most most_rows rows, else as it is (a shuffled join)."""
     return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
 
-
-def env_path(name: str, fallback: str) -> str:
-    return os.environ.get(name, fallback)
