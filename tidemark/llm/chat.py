@@ -2,16 +2,20 @@
 
 A layout is known by the hash of the nested field paths that hold its turns,
 such as ``messages[].role``.  For typed columns the paths come from the schema,
-for JSON text from each record.  The hash picks a declared mapping, which turns
-the record into canonical turns array<struct<role,text>>.  Paths that no mapping
-knows (ids, metadata) don't count.  All of it is DataFrame code.
+for JSON text from each record: a path of a list is there if any element has it,
+and an empty list has all of its paths (its record has no turns).  The hash picks
+a declared mapping, which turns the record into canonical turns
+array<struct<role,text>>; a table with a row for each turn is one of the layouts.
+Paths that no mapping knows (ids, metadata) don't count.  All of it is DataFrame
+code.
 
 The template writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  In
 roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no mark can
 occur inside; a role's line feed becomes ``\\n``.  parse() undoes it.
 
 Null roles and texts count as empty.  Turns with one number keep the order of
-role, then text.  A record whose hash no mapping has gets null turns.
+role, then text; those without a number come first, and rows without a conv_id are
+one conversation.  A record whose hash no mapping has gets null turns.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_text, table
+from .common import fresh, let, sha256_text, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Turns of one conversation that the first of two grouping steps puts together.
@@ -61,6 +65,12 @@ def _single(user: str, answer: str, more: str | None = None, system: str | None
     return build
 
 
+def _row(get: Callable[[str, str], Column]) -> Column:
+    return F.array(F.struct(F.coalesce(get("role", "string"), F.lit("")).alias("role"), F.coalesce(get("text", "string"), F.lit("")).alias("text")))
+
+
+#: One row for each turn: the paths of such a table.
+ROW_PATHS = ("conv_id", "role", "text", "turn")
 #: Declared mappings: the field paths of a layout, and how its turns are built.
 MAPPINGS: list[tuple[str, tuple[str, ...], Callable]] = [
     ("messages", ("messages[].content", "messages[].role"), _list("messages[].role", "messages[].content")),
@@ -72,10 +82,9 @@ MAPPINGS: list[tuple[str, tuple[str, ...], Callable]] = [
     ("prompt and response", ("prompt", "response"), _single("prompt", "response")),
     ("question", ("answer", "question"), _single("question", "answer")),
     ("question with system", ("answer", "question", "system"), _single("question", "answer", system="system")),
+    ("rows", ROW_PATHS, _row),
 ]
-#: One row for each turn: the paths of such a table.
-ROW_PATHS = ("conv_id", "role", "text", "turn")
-_KNOWN = sorted({p for _, paths, _ in MAPPINGS for p in paths} | set(ROW_PATHS))
+_KNOWN = sorted({p for _, paths, _ in MAPPINGS for p in paths})
 
 
 def paths_of(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -91,49 +100,56 @@ def _fingerprint(paths) -> Column:
     return F.xxhash64(F.lit(",".join(sorted(paths))))
 
 
-def schema_mapping(schema: T.StructType) -> str | None:
-    """The name of the mapping that a typed table's field paths pick; 'rows' for a row per turn."""
-    own = tuple(sorted(set(paths_of(schema)) & set(_KNOWN)))
-    if set(ROW_PATHS) <= set(own):
-        return "rows"
-    return next((name for name, paths, _ in MAPPINGS if tuple(sorted(paths)) == own), None)
+def picked(print_: Column, get: Callable[[str, str], Column], mappings: list) -> Column:
+    """struct(layout, turns) of the mapping whose fingerprint equals print_; both null if none does."""
+    name, made = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
+    for label, paths, build in mappings:
+        hit = print_ == _fingerprint(paths)
+        name, made = F.when(hit, F.lit(label)).otherwise(name), F.when(hit, build(get)).otherwise(made)
+    return F.struct(name.alias("layout"), made.alias("turns"))
 
 
 def turns_of_json(records: DataFrame, column: str, layout: str = "layout", turns: str = "turns") -> DataFrame:
     """records with the layout's name and the turns of the JSON text in a column.
 
-    Text that is no JSON has neither.
+    Text that is no JSON has neither.  Columns named like the two are replaced.
     """
-    held = F.try_parse_json(F.col(column))
-    names = records.columns
+    lists = sorted({p.split("[]")[0] for p in _KNOWN if "[]" in p})
 
-    def here(path: str) -> Column:
-        where = "$." + path.replace("[]", "[0]")
-        return F.when(F.try_variant_get("_v", where, "variant").isNotNull(), F.lit(path))
+    def told(v: Column) -> Column:
+        get = lambda path, kind: F.try_variant_get(v, f"$.{path}", kind)
 
-    def get(path: str, kind: str) -> Column:
-        return F.try_variant_get("_v", f"$.{path}", kind)
+        def by_lists(held: Column) -> Column:
+            def here(path: str) -> Column:
+                if "[]" not in path:
+                    return F.when(get(path, "variant").isNotNull(), F.lit(path))
+                array, field = path.split("[].")
+                own = held[array]
+                some = F.exists(own, lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull())
+                return F.when(F.coalesce((F.size(own) == 0) | some, F.lit(False)), F.lit(path))
 
-    print_ = F.xxhash64(F.array_join(F.array_compact(F.array(*[here(p) for p in _KNOWN if p not in ROW_PATHS])), ","))
-    out = records.withColumn("_v", held).withColumn("_print", print_)
-    name, made = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
-    for label, paths, build in MAPPINGS:
-        hit = F.col("_print") == _fingerprint(paths)
-        name, made = F.when(hit, F.lit(label)).otherwise(name), F.when(hit, build(get)).otherwise(made)
-    return out.select(*[c for c in names if c not in (layout, turns)], name.alias(layout), made.alias(turns))
+            known = [here(p) for p in _KNOWN if p not in ROW_PATHS]
+            print_ = F.xxhash64(F.array_join(F.array_compact(F.array(*known)), ","))
+            return let(print_, lambda x: picked(x, get, [m for m in MAPPINGS if m[0] != "rows"]))
+
+        return let(F.struct(*[get(a, "array<variant>").alias(a) for a in lists]), by_lists)
+
+    kept = [c for c in records.columns if c not in (layout, turns)]
+    (own,) = fresh([*records.columns, layout, turns], "_told")
+    out = records.withColumn(own, let(F.try_parse_json(F.col(column)), told))
+    return out.select(*kept, F.col(own)["layout"].alias(layout), F.col(own)["turns"].alias(turns))
 
 
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table with a row for each turn.
+    """(conv_id, turns) of rows (conv_id, turn, turns), which have the turns of each row of a table.
 
     Grouping takes two steps, blocks of turns and then conversations, so a
     conversation with very many turns isn't gathered row by row in one task.
     """
-    said = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     block = F.floor(F.col("turn") / BLOCK)
-    parts = rows.groupBy("conv_id", block.alias("_block")).agg(F.sort_array(F.collect_list(said)).alias("_said"))
-    whole = parts.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_said"))), lambda p: p["_said"])).alias("_said"))
-    return whole.select("conv_id", F.transform("_said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    parts = rows.groupBy("conv_id", block.alias("_block")).agg(F.sort_array(F.collect_list(F.struct("turn", "turns"))).alias("_said"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("_block", "_said"))).alias("_parts"))
+    return whole.select("conv_id", F.flatten(F.transform("_parts", lambda p: F.flatten(F.transform(p["_said"], lambda t: t["turns"])))).alias("turns"))
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -142,13 +158,15 @@ def canonical(df: DataFrame) -> DataFrame:
     A table with a row per turn gives (conv_id, turns); any other keeps its
     columns and gets turns beside them (one of that name is replaced).
     """
-    name = schema_mapping(df.schema)
-    if name == "rows":
-        return turns_of_rows(df)
-    if name is None:
+    own = set(paths_of(df.schema)) & set(_KNOWN)
+    own = set(ROW_PATHS) if set(ROW_PATHS) <= own else own  # beside a row's own fields others are metadata
+    able = [m for m in MAPPINGS if set(m[1]) <= own]  # the others' fields can't be read
+    if not any(set(m[1]) == own for m in able):
         raise ValueError(f"no mapping for the field paths {sorted(paths_of(df.schema))}")
-    build = next(b for n, _, b in MAPPINGS if n == name)
-    return df.withColumn("turns", build(lambda path, kind: F.col(path).cast(kind) if kind == "string" else F.col(path)))
+    told = picked(_fingerprint(own), lambda path, kind: F.col(path).cast(kind) if kind == "string" else F.col(path), able)
+    if own == set(ROW_PATHS):
+        return turns_of_rows(df.select("conv_id", "turn", told["turns"].alias("turns")))
+    return df.withColumn("turns", told["turns"])
 
 
 def escape(text: Column) -> Column:
