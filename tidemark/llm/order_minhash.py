@@ -17,20 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let, sha256_text, table
+from .common import fresh, let, sha256_text, table
 
 #: Tokens of a text: runs of Latin letters, digits and marks, cut at 16, else one character.
 TOKEN = r"[!-~À-ɏ]{1,16}|[^\s!-~À-ɏ]"
 BUCKET_BITS = 5
 BUCKETS = 1 << BUCKET_BITS
 LENGTH = 2
-_PLACE_BITS = 26  # more tokens than a string of 2 GB can hold go past it; the text order is kept below that
+_PLACE_BITS = 26  # past 2 ** 26 tokens places begin anew, so only there the text order within a tuple may be another
 _PLACE = (1 << _PLACE_BITS) - 1
 
 
 def _kmers(tokens: Column) -> Column:
     """Each hash of two adjacent tokens, its low bits replaced by its place (the last token is its own k-mer)."""
-    return F.transform(tokens, lambda t, i: F.xxhash64(t, F.get(tokens, i + 1)).bitwiseAND(~_PLACE).bitwiseOR(i.cast("long")))
+    return F.transform(tokens, lambda t, i: F.xxhash64(t, F.get(tokens, i + 1)).bitwiseAND(~_PLACE).bitwiseOR(i.bitwiseAND(F.lit(_PLACE)).cast("long")))
 
 
 def _top(x: Column) -> Column:
@@ -103,42 +103,61 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "signature") -> DataFrame:
     """docs with the Order MinHash signature of each whole text.
 
-    A column of docs named like out is replaced, all others are kept.
+    A null text is empty.  A column of docs named like out is replaced, all others
+    are kept.
     """
     return docs.withColumn(out, signature(F.col(text)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], parts: int | None = None) -> DataFrame:
+#: Ranges of keys for each shuffle partition, so that the ranges that meet in a partition even out.
+FINE = 16
+
+
+def _above(cuts: list, key: Column) -> Column:
+    """How many of the ascending cuts are greater than key, looked up in two steps."""
+    wide = max(1, int(len(cuts) ** 0.5))
+    blocks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    lists = F.array(*[F.array(*[F.lit(c) for c in b]) for b in blocks])
+    block = F.size(F.filter(F.array(*[F.lit(b[0]) for b in blocks]), lambda c: c <= key)) - 1
+    upto = let(block, lambda j: F.when(j < 0, 0).otherwise(j * wide + F.size(F.filter(F.get(lists, j), lambda c: c <= key))))
+    return F.lit(len(cuts)) - upto
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str], also: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """docs with next_<column>: the columns of the next row by descending key, after the last those of the first.
 
-    Rows are dealt into ranges of the key by its approximate percentiles, each
-    range looks up its own neighbours, and the ranges' first rows, of which there
-    are as many as ranges, link one range to the next.  Keys are unique.
+    also names further columns, as expressions of docs, that are added to each row
+    once and can be among the carried ones.  Rows are dealt into ranges of the key
+    by its approximate percentiles.  Each range gets a copy of the first row of the
+    next one and looks up its own neighbours, so only keys of ranges are broadcast.
+    Null keys come last; rows of one key follow each other by a hash of what they
+    carry.  Columns of docs named like the new ones are replaced.
     """
-    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    parts = parts or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) * FINE
+    also, made = also or {}, [f"next_{c}" for c in columns]
+    docs = docs.drop(*[c for c in [*also, *made] if c != key])
+    kept = [*docs.columns, *also]
+    range_, copy, tie, next_, first, goes = fresh([*kept, *made], "range", "copy", "tie", "next", "first", "goes")
+    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
-    steps = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    # ranges count upwards while the key goes down; null keys come last
-    rank = F.coalesce(F.size(F.filter(steps, lambda c: c > F.col(key))), F.lit(len(cuts) + 1)) if cuts else F.lit(0)
-    rank = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(rank)
-    dealt = docs.withColumn("_range", rank)
-    order = Window.partitionBy("_range").orderBy(F.col(key).desc_nulls_last())
-    carried = F.struct(*columns)
-    inner = dealt.withColumn("_next", F.lead(carried).over(order))
-    firsts = dealt.groupBy("_range").agg(F.max_by(carried, F.struct(key)).alias("_first"))
-    ring = Window.orderBy("_range")
-    whole = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    links = firsts.select("_range", F.coalesce(F.lead("_first").over(ring), F.first("_first").over(whole)).alias("_link"))
-    joined = inner.join(F.broadcast(links), "_range", "left")
-    got = F.coalesce("_next", "_link")
-    return joined.select(*docs.columns, *[got[c].alias(f"next_{c}") for c in columns])
+    # ranges count upwards while the key goes down
+    rank = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(_above(cuts, F.col(key)) if cuts else F.lit(0))
+    dealt = docs.withColumn(range_, rank)
+    ring = Window.orderBy(range_)
+    firsts = dealt.groupBy(range_).agg(F.max(key).alias(first))
+    whole = Window.partitionBy(F.lit(1)).orderBy(range_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    links = firsts.select(F.col(first), F.coalesce(F.lag(range_).over(ring), F.last(range_).over(whole)).alias(goes))
+    copies = docs.join(F.broadcast(links), F.col(key).eqNullSafe(F.col(first))).drop(first).withColumnRenamed(goes, range_)
+    every = dealt.withColumn(copy, F.lit(False)).unionByName(copies.withColumn(copy, F.lit(True))).withColumns(also)
+    order = Window.partitionBy(range_).orderBy(copy, F.col(key).desc_nulls_last(), tie)
+    got = every.withColumn(tie, F.xxhash64(*columns)).withColumn(next_, F.lead(F.struct(*columns)).over(order))
+    return got.where(~F.col(copy)).select(*kept, *[F.col(next_)[c].alias(m) for c, m in zip(columns, made, strict=True)])
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how like they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(fingerprint(docs), "doc_id", ["text", "signature"])
+    near = with_next(docs, "doc_id", ["text", "signature"], also={"signature": signature(F.col("text"))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
