@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, table
+from .common import append_columns, slices, stored, table
 
 #: n-grams of a profile, and of a text's own list.
 PROFILE = 300
@@ -200,5 +200,5 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
     marked = docs.withColumn("held_out", held_out)
-    profiles = train(marked.where("not held_out")).persist()
+    profiles = stored(train(marked.where("not held_out")), "profiles")
     return predict(marked.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checked_broadcast, stored, table
+from .common import append_columns, checked_broadcast, fresh, stored, table
 from .shingles import text_bytes, word_hashes
 
 #: Kinds of bytes whose shares are measured.
@@ -130,10 +130,13 @@ def _strength(groups: DataFrame, mean: Column, floor: float = 2.0, ceiling: floa
 
 
 class Model:
-    """What fit() learned: likelihood ratios, and the rates of sites as a table (host, path, path_rate)."""
+    """What fit() learned: likelihood ratios, and the rates of sites as a table (host, path, host_rate, path_rate).
 
-    def __init__(self, ratios: list[list[float]], rate: float, sites: DataFrame | None):
-        self.ratios, self.rate, self.sites = ratios, rate, sites
+    rows holds (key, host, path, bins) of the documents that it learned from.
+    """
+
+    def __init__(self, ratios: list[list[float]], rate: float, sites: DataFrame | None, rows: DataFrame):
+        self.ratios, self.rate, self.sites, self.rows = ratios, rate, sites, rows
 
     def llr(self, packed: Column) -> Column:
         parts = [F.get(F.array(*[F.lit(float(x)) for x in row]), _cell(packed, i)) for i, row in enumerate(self.ratios)]
@@ -148,14 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Documents without a label count in their site with their own evidence.
     Without labels of both kinds every document gets the rate 0.5 or the one kind's.
     """
-    host = F.coalesce(F.col("source"), F.lit("")) if host is None else host
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
+    host, path = _default(host, path)
     rows = stored(measured(docs.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"), text), text).drop(text), "measures")
     known = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
     joined = stored(rows.join(known, "_key", "left"), "labelled")
     ratios, rate = _evidence(joined.where("y is not null"))
     rate = min(max(rate, 1e-3), 1 - 1e-3) if joined.where("y is not null").limit(1).count() else 0.5
-    model = Model(ratios, rate, None)
+    model = Model(ratios, rate, None, rows)
     soft = F.coalesce("y", 1 / (1 + F.exp(-(model.llr(F.col("_bins")) + float(np.log(rate / (1 - rate)))))))
     paths = stored(joined.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(soft).alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -167,27 +169,44 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def _default(host: Column | None, path: Column | None) -> tuple[Column, Column]:
+    host = F.coalesce(F.col("source"), F.lit("")) if host is None else host
+    return host, F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
+
+
+#: The columns that scoring adds.
+RATED = ("evidence", "host_rate", "path_rate", "quality_score")
+
+
+def _posterior(rows: DataFrame, model: Model, bins: str, host: str, path: str) -> DataFrame:
+    """rows with evidence, host_rate, path_rate and quality_score, from their bins and sites."""
+    host_, path_ = fresh([*rows.columns, *RATED], "site_host", "site_path")
+    sites = checked_broadcast(model.sites.select(F.col("host").alias(host_), F.col("path").alias(path_), "host_rate", "path_rate"), BROADCAST_SITES)
+    placed = rows.withColumn("evidence", model.llr(F.col(bins))).join(sites, (F.col(host) == F.col(host_)) & (F.col(path) == F.col(path_)), "left").drop(host_, path_)
+    rated = placed.withColumn("host_rate", F.coalesce("host_rate", F.lit(model.rate))).withColumn("path_rate", F.coalesce("path_rate", F.lit(model.rate)))
+    return rated.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("evidence") + _odds(F.col("path_rate"))))))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
     """docs with evidence (log likelihood ratio), host_rate, path_rate and quality_score, the posterior.
 
-    Sites that the model doesn't know have the global rate.  Columns of docs with
-    these names are replaced.
+    Sites that the model doesn't know have the global rate; null and empty texts
+    have the bins of no words.  Columns of docs with these names are replaced.
     """
-    host = F.coalesce(F.col("source"), F.lit("")) if host is None else host
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))) if path is None else path
-    names = ("evidence", "host_rate", "path_rate", "quality_score")
-    kept = [c for c in docs.columns if c not in names]
-    rows = measured(docs.select(*kept), text).withColumn("evidence", model.llr(F.col("_bins"))).withColumn("_host", host).withColumn("_path", path)
-    sites = checked_broadcast(model.sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "path_rate"), BROADCAST_SITES)
-    placed = rows.join(sites, ["_host", "_path"], "left")
-    rated = placed.withColumn("host_rate", F.coalesce("host_rate", F.lit(model.rate))).withColumn("path_rate", F.coalesce("path_rate", F.lit(model.rate)))
-    posterior = 1 / (1 + F.exp(-(F.col("evidence") + _odds(F.col("path_rate")))))
-    return rated.withColumn("quality_score", posterior).select(*kept, *names)
+    host, path = _default(host, path)
+    kept = [c for c in docs.columns if c not in RATED]
+    bins_, host_, path_ = fresh([*docs.columns, *RATED], "bins", "host", "path")
+    rows = measured(docs.select(*kept, host.alias(host_), path.alias(path_)), text, bins_)
+    return _posterior(rows, model, bins_, host_, path_).select(*kept, *RATED)
+
+
+def fitted(model: Model, key: str = "doc_id") -> DataFrame:
+    """(key, evidence, host_rate, path_rate, quality_score) of the documents that the model learned from, without another look at their texts."""
+    return _posterior(model.rows, model, "_bins", "host", "path").select(F.col("_key").alias(key), *RATED)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality posterior of every document, and whether it stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    rated = score(docs, model)
-    return rated.select("doc_id", "evidence", "host_rate", "path_rate", "quality_score", (F.col("quality_score") >= LEAST).alias("kept"))
+    rated = fitted(fit(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", *RATED, (F.col("quality_score") >= LEAST).alias("kept"))
