@@ -65,6 +65,36 @@ def test_near_duplicates_by_brute_force(spark, width):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unequal_words_stay_apart(spark):
+    """Words on which polynomial hashes modulo 2^64 agree whatever the base."""
+    rows = []
+    for i, power in enumerate((10, 11, 12)):
+        word = "a"
+        for _ in range(power):
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [(2 * i, word), (2 * i + 1, word.translate(str.maketrans("ab", "ba")))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows}
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70)
+
+
+def test_links_of_a_crowded_group(spark, monkeypatch):
+    """Members of one leader's group that link to each other but not to the leader, over many blocks."""
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(12):
+        kind = edited(rng, base, 11).split()
+        texts += [edited(rng, kind, rng.randrange(4)) for _ in range(8)]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(9000, texts[0]), (9000, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    want = classes({i * 3: shingle_set(t, 2) for i, t in enumerate(texts)})
+    assert len(set(want.values())) > 2
+    assert {r.doc_id: r.component_id for r in got if r.doc_id < 9000} == want
+
+
 def test_near_duplicate_query(spark):
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
     got = {r.doc_id: r.component_id for r in minhash.op7_minhash(spark, SMALL).collect()}
@@ -132,10 +162,63 @@ def test_repeats_by_brute_force(spark, monkeypatch, crowd):
     assert repeats.remove(df.limit(0)).count() == 0
 
 
+def passages(texts, length):
+    """(runs, words) that stretches of words cover which another text holds too."""
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)) for k, t in texts.items()}
+    held = collections.defaultdict(set)
+    for k, w in words.items():
+        for i in range(len(w) - length + 1):
+            held[tuple(w[i : i + length])].add(k)
+    out = {}
+    for k, w in words.items():
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if len(held[tuple(w[i : i + length])]) > 1:
+                gone[i : i + length] = True
+        out[k] = (int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), int(gone.sum()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [16_384, 1])
+def test_passages_of_words_by_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(12)}" for _ in range(n)]
+    shared = [text(40) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        parts = text(rng.randrange(20))
+        for _ in range(rng.randrange(3)):
+            s = rng.choice(shared)
+            a = rng.randrange(30)
+            parts += s[a : a + rng.randrange(8, 30)] + text(rng.randrange(8))
+        texts.append(" ".join(parts))
+    # the last one repeats itself only, which isn't across texts
+    texts += [None, "", texts[3].upper(), texts[3], "one two three four five six seven eight nine ten " * 4]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("owner", F.lit("clash"))
+    hits = repeats.find(df, length=10, gram=3, words=True, across=True)
+    found = {r.doc_id: (r.p.runs, r.p.total) for r in hits.select("doc_id", repeats._covered(F.col("hits")).alias("p")).collect()}
+    assert {i: found.get(i, (0, 0)) for i in range(len(texts))} == passages(dict(enumerate(texts)), 10)
+    assert found.get(len(texts) - 1) is None
+    assert repeats.find(df.limit(0), words=True, across=True).count() == 0
+
+
+def test_repeats_of_one_key(spark):
+    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(300))
+    rows = [(1, long), (1, long), (None, "x" + long), (None, "short"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, sum(s.b - s.a for s in r.removed)) for r in repeats.remove(df, length=60, gram=16).collect())
+    assert got == [(0, 5, 0), (0, 301, 300), (1, 300, 300), (1, 300, 300), (2, 0, 0)]
+    with pytest.raises(ValueError):
+        repeats.remove(df, length=2000)
+
+
 def test_repeats_query(spark):
     docs = pd.read_parquet(f"{SMALL}/documents.parquet")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op10_repeats(spark, SMALL).collect()}
+    rows = repeats.op10_repeats(spark, SMALL).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert got == removed({i: (t or "").encode() for i, t in zip(docs.doc_id, docs.text, strict=True)}, 400)
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows} == passages(dict(zip(docs.doc_id, docs.text, strict=True)), 51)
 
 
 def test_flow_is_of_least_cost():
@@ -225,6 +308,65 @@ def test_quality_held_out(spark):
     assert (good.quality_score >= quality.LEAST).mean() > 0.97
 
 
+def plain_bins(text):
+    """The bins of a text, one measure after the other."""
+    raw = (text or "").encode()
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    if not words:
+        return [0] * len(quality.MEASURES)
+    last = quality.BINS - 1
+    out = [min(last, int(np.ceil(np.sqrt(sum(b in set(kind) for b in raw) / len(raw)) * last))) for kind in quality.KINDS.values()]
+    top = max(collections.Counter(words).values())
+    return [*out, min(last, len(raw) // len(words)), min(last, len(set(words)) * quality.BINS // len(words)), min(last, int(np.ceil(np.sqrt(top / len(words)) * last))), min(last, int(np.log2(len(words) + 1)))]
+
+
+def test_quality_posterior_by_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        host = rng.choice("aab")
+        good = rng.random() < (0.8 if host == "a" else 0.4)
+        words = [rng.choice(["plain", "words", "in", "a", "row,"]) if good or rng.random() < 0.3 else rng.choice(["WIN!!!", "$$$", "99", "now!"]) for _ in range(rng.randrange(0, 90))]
+        rows.append((i, " ".join(words), host, rng.choice(["x", "y"]), int(good) if i % 3 else None))
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, lang string")
+    model = quality.fit(docs, spark.createDataFrame([(r[0], r[4]) for r in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    told = {r.doc_id: r for r in quality.fitted(model).collect()}
+    bins = {r[0]: plain_bins(r[1]) for r in rows}
+    cell = lambda b, m: b[m] + quality.BINS * sum(b[-1] >= x for x in quality.LENGTHS)
+    counts = np.zeros((2, len(quality.MEASURES), quality.CELLS))
+    for i, _, _, _, y in rows:
+        for m in range(len(quality.MEASURES)):
+            if y is not None:
+                counts[y, m, cell(bins[i], m)] += 1
+    ratio = np.zeros(counts.shape[1:])
+    for m in range(len(quality.MEASURES)):
+        for c in range(0, quality.CELLS, quality.BINS):
+            bad, good = (counts[y, m, c : c + quality.BINS] + 0.5 for y in (0, 1))
+            ratio[m, c : c + quality.BINS] = quality.DAMP * (np.log(good / good.sum()) - np.log(bad / bad.sum()))
+    rate = counts[1, 0].sum() / counts[:, 0].sum()
+    evidence = {i: sum(ratio[m, cell(b, m)] for m in range(len(b))) for i, b in bins.items()}
+    soft = {i: y if y is not None else 1 / (1 + np.exp(-(evidence[i] + np.log(rate / (1 - rate))))) for i, _, _, _, y in rows}
+
+    def strength(groups, means):
+        n, good = np.array([len(g) for g in groups]), np.array([sum(soft[i] for i in g) for g in groups])
+        p, mean = good / n, np.array(means)
+        spread, inner = (n * ((p - mean) ** 2 - mean * (1 - mean) / n)).sum() / n.sum(), (n * mean * (1 - mean)).sum() / n.sum()
+        return min(max(inner / spread - 1, 2.0), 1e5) if spread > 0 else 1e5
+
+    hosts = {h: [r[0] for r in rows if r[2] == h] for h in "ab"}
+    k = strength(list(hosts.values()), [rate] * 2)
+    host_rate = {h: (sum(soft[i] for i in g) + k * rate) / (len(g) + k) for h, g in hosts.items()}
+    paths = {(h, p): [r[0] for r in rows if r[2:4] == (h, p)] for h in "ab" for p in "xy"}
+    k = strength(list(paths.values()), [host_rate[h] for h, _ in paths])
+    for (h, p), g in paths.items():
+        path_rate = (sum(soft[i] for i in g) + k * host_rate[h]) / (len(g) + k)
+        for i in g:
+            want = 1 / (1 + np.exp(-(evidence[i] + np.log(path_rate / (1 - path_rate)))))
+            assert abs(got[i].quality_score - want) < 1e-9
+            assert abs(told[i].quality_score - want) < 1e-9
+
+
 def test_quality_shrinks_small_sites(spark):
     rows = [(i, "fine words in a row here", "big", "en") for i in range(200)] + [(900, "fine words in a row here", "tiny", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")

@@ -51,6 +51,35 @@ def test_language_edges(spark):
     assert set(rows.columns) <= set(language.predict(rows, profiles).columns)
 
 
+def grams(text, most):
+    """The most frequent n-grams of a text or texts, ties by code points."""
+    words = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text).split()
+    count: dict = {}
+    for w in words:
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                if (g := padded[i : i + n]) != " ":
+                    count[g] = count.get(g, 0) + 1
+    order = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return sorted(count, key=lambda g: (-count[g], order(g)))[:most]
+
+
+def test_language_distances_by_brute_force(spark, docs):
+    rows = docs[["doc_id", "text", "lang"]]
+    df = spark.createDataFrame(rows)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predict(df, language.train(df, profile=60), profile=60).collect()}
+    profiles = {k: grams(" ".join(t for t in g.text if t), 60) for k, g in rows.groupby("lang")}
+    for i, t in zip(rows.doc_id, rows.text, strict=True):
+        own = grams(t or "", 60)
+        if not own:
+            assert got[i] == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p.index(g) - n) if g in p else 60 for n, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i] == (best, round(1 - far[best] / (60 * len(own)), 9)), i
+
+
 def test_language_in_blocks_of_profiles(spark, docs, monkeypatch):
     rows = spark.createDataFrame(docs[["doc_id", "text", "lang"]])
     profiles = language.train(rows).persist()
@@ -123,6 +152,58 @@ def test_order_minhash_notices_order_and_repeats(spark):
     assert repeated < 1
 
 
+def plain_signature(spark, text):
+    """The signature by its definition, with Spark's hash of each k-mer and of each tuple."""
+    tokens = re.findall(order_minhash.TOKEN, text)
+    if not tokens:
+        return []
+    hashed = lambda rows, schema, *cols: [r.h for r in spark.createDataFrame(rows, schema).select(F.xxhash64(*cols).alias("h")).collect()]
+    bits, mask = order_minhash._PLACE_BITS, (1 << 64) - 1
+    kmers = [h >> bits for h in hashed([(t, u) for t, u in zip(tokens, [*tokens[1:], None], strict=True)], "t string, u string", "t", "u")]
+    seen: dict = {}
+    chosen = []
+    for place, k in enumerate(kmers):
+        n = seen[k] = seen.get(k, -1) + 1
+        if n:  # occurrences count from one with the first repeat, whose number is 0
+            (h,) = hashed([(k, n - 1)], "k long, n int", "k", "n")
+            chosen.append((h >> bits, place))
+        else:
+            chosen.append((k, place))
+    out = []
+    for b in range(order_minhash.BUCKETS):
+        own = sorted(c for c in chosen if (c[0] & (mask >> bits)) >> (64 - bits - order_minhash.BUCKET_BITS) == b)
+        own.sort(key=lambda c: (c[0], c[1]))
+        pair = [h for h, _ in sorted(own[: order_minhash.LENGTH], key=lambda c: c[1])]
+        if pair:
+            names = [f"h{i}" for i in range(len(pair))]
+            (h,) = hashed([tuple(pair)], ", ".join(f"{n} long" for n in names), *names)
+            out.append((b << (64 - order_minhash.BUCKET_BITS)) | ((h & mask) >> order_minhash.BUCKET_BITS))
+    return out
+
+
+def test_signature_by_its_definition(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ab", "ba", "c", "d e", "é", "中文"]) for _ in range(rng.randrange(1, 25))) for _ in range(12)] + ["", "one"]
+    got = [[x & ((1 << 64) - 1) for x in r.s] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", order_minhash.signature(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert [sorted(x) for x in got] == [sorted(plain_signature(spark, t)) for t in texts]
+
+
+def test_next_rows(spark):
+    rng = random.Random(3)
+    rows = [(k, f"t{i}", "r", "c", "n") for i, k in enumerate(rng.sample(range(10_000), 400))] + [(None, "last", "r", "c", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, range string, copy string, next_text string")
+    made = order_minhash.with_next(df, "doc_id", ["text"])
+    assert made.columns == ["doc_id", "text", "range", "copy", "next_text"]
+    got = made.collect()
+    ordered = [t for _, t, *_ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True)]
+    assert {r.text: r.next_text for r in got} == dict(zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+    assert {(r.range, r.copy) for r in got} == {("r", "c")}
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (1, "c")], "doc_id long, text string")
+    got = order_minhash.with_next(twice, "doc_id", ["text"]).collect()
+    assert sorted(r.text for r in got) == ["a", "a", "b", "c"]
+    assert sorted(r.next_text for r in got) == ["a", "a", "b", "c"]
+
+
 def test_order_minhash_edges(spark):
     got = {r.doc_id: r for r in order_minhash.fingerprint(odd_rows(spark)).collect()}
     assert got[0].signature == got[1].signature == got[2].signature == []
@@ -156,13 +237,22 @@ def test_chat_layouts(spark):
         ({"prompt": "p", "completion": "c"}, "prompt and completion", [("user", "p"), ("assistant", "c")]),
         ({"question": "q", "answer": "a", "system": "s"}, "question with system", [("system", "s"), ("user", "q"), ("assistant", "a")]),
         ({"other": 1}, None, None),
+        # any element may have the fields, and an empty list has no turns
+        ({"messages": [{"tool_call": 1}, {"role": "user", "content": "hi"}]}, "messages", [("", ""), ("user", "hi")]),
+        ({"messages": []}, "messages", []),
+        ({"messages": "text"}, None, None),
     ]
-    df = spark.createDataFrame([(i, json.dumps(r[0])) for i, r in enumerate(records)] + [(98, "{bad"), (99, None)], "i int, record string")
-    got = {r.i: r for r in chat.turns_of_json(df, "record").collect()}
+    df = spark.createDataFrame([(i, json.dumps(r[0]), "c", "d", "e") for i, r in enumerate(records)] + [(98, "{bad", "c", "d", "e"), (99, None, "c", "d", "e")], "i int, record string, _v string, _print string, _told string")
+    made = chat.turns_of_json(df, "record")
+    assert made.columns == [*df.columns, "layout", "turns"]
+    got = {r.i: r for r in made.collect()}
+    assert {(r._v, r._print, r._told) for r in got.values()} == {("c", "d", "e")}
     for i, (_, layout, turns) in enumerate(records):
         assert got[i].layout == layout
         assert (got[i].turns and [tuple(t) for t in got[i].turns]) == turns
     assert got[98].turns is got[99].turns is None
+    odd = spark.createDataFrame([(None, 0, "user", "a"), (1, None, "user", "b"), (1, 2, "user", "z"), (1, 2, "user", "y"), (1, 2, None, None), (None, 1, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical(odd).collect()} == {None: [("user", "a"), ("user", "c")], 1: [("user", "b"), ("", ""), ("user", "y"), ("user", "z")]}
     typed = spark.createDataFrame([("p", "r", 1)], "prompt string, response string, turns int")
     assert [tuple(t) for t in chat.canonical(typed).first().turns] == [("user", "p"), ("assistant", "r")]
     with pytest.raises(ValueError, match="no mapping"):
