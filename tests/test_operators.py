@@ -68,8 +68,8 @@ def test_closure_and_components(spark):
 def test_second_order_degree(spark):
     edges = spark.createDataFrame([(9, 1, "c", t, t, 0) for t in (5, 8)] + [(7, 9, "c", t, t, 0) for t in (3, 6)], "src long, tgt long, label string, ts long, seq long, project long")
     queries = spark.createDataFrame([(50, 10, 10, 1, 0)], "id long, ts long, seq long, u long, project long")
-    assert graph.second_order_degree(queries, edges, 20, "intra", "in").first().degree == 4
-    assert graph.second_order_degree(queries, edges, 20, "ecosystem", "in").count() == 0
+    assert graph.second_order_degree(queries, edges.withColumn("m", F.lit(1)), 20, "intra", "in", ("c",)).first().degree == 4
+    assert graph.second_order_degree(queries, edges.withColumn("m", F.lit(1)), 20, "ecosystem", "in", ("c",)).count() == 0
 
 
 def test_statistics_agree_with_numpy(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -17,7 +18,11 @@ def small(df: DataFrame, most: int = DEFAULT.broadcast_rows) -> DataFrame:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; beside the warehouse only where that is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
@@ -26,3 +31,48 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cumulative(counts: DataFrame, order: list[str], n: str, by: list[str] | None = None, out: str = "before") -> DataFrame:
+    """counts with the sum of n over the rows before each, in an order within groups.
+
+    Rows are dealt into ranges of (by, order); the sums of whole ranges before a
+    range, of which there are as many as partitions, are added to those within it,
+    so no task orders all values.
+    """
+    by = by or []
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared_table(counts.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "_part").agg(F.sum(n).alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.select(F.struct(*[F.col(b) for b in [*by, "_part"]]).alias("_range_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_range"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))).withColumn("_key", F.struct(*[F.col(b) for b in [*by, "_part"]]))
+    joined = placed.join(small(ranges), F.col("_key").eqNullSafe(F.col("_range_of")))
+    return joined.select(*counts.columns, (F.col("_in") + F.col("_range")).alias(out))
+
+
+def quantiles(rows: DataFrame, column: str, cuts: list[float]) -> list[float] | None:
+    """Exact quantiles of a column, interpolated between neighbours; None without values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    placed = shared_table(cumulative(counts, ["v"], "n"), "values")
+    total = placed.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    places = {c: (total - 1) * c for c in cuts}
+    wanted = sorted({x for p in places.values() for x in (math.floor(p), math.ceil(p))})
+    hit = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("n")))
+    at = {w: float(r["v"]) for r in placed.select("v", hit.alias("at")).where(F.size("at") > 0).collect() for w in r["at"]}
+    low, high = lambda p: at[math.floor(p)], lambda p: at[math.ceil(p)]
+    return [low(p) + (high(p) - low(p)) * (p - math.floor(p)) for p in places.values()]
+
+
+def grouped_medians(rows: DataFrame, by: str, column: str, out: str) -> DataFrame:
+    """(by, out): the exact median of each group, by counts of values."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    placed = shared_table(cumulative(counts, ["v"], "n", [by]), "values")
+    total = placed.groupBy(F.col(by).alias("_by")).agg(F.sum("n").alias("_all"))
+    middle = placed.join(total, F.col(by) == F.col("_by"))
+    holds = lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n"))
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    return middle.groupBy(by).agg(((F.max(F.when(holds(lo), F.col("v"))) + F.max(F.when(holds(hi), F.col("v")))) / 2).alias(out))

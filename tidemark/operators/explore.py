@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cumulative, grouped_medians, quantiles, small
+
 
 def threshold_table(counts: DataFrame, count: str, thresholds: list[int]) -> DataFrame:
     """(threshold, groups, total): groups with at least so many rows, and their rows."""
@@ -23,8 +25,10 @@ def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
-    q = lambda p: F.percentile(column, F.lit(p))
-    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("most"))
+    """(n, mean, std, least, q1, median, q3, most) of a column, with exact quartiles."""
+    q = quantiles(rows, column, [0.25, 0.5, 0.75]) or [None] * 3
+    told = [F.lit(v).cast("double").alias(name) for v, name in zip(q, ("q1", "median", "q3"), strict=True)]
+    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("least"), F.max(column).alias("most")).select("n", "mean", "std", "least", *told, "most")
 
 
 def zero_inflation(rows: DataFrame, columns: list[str], rare: float = 80.0) -> DataFrame:
@@ -38,18 +42,21 @@ def zero_inflation(rows: DataFrame, columns: list[str], rare: float = 80.0) -> D
 def log_odds(rows: DataFrame, column: str, outcome: str, cuts: list[float]) -> DataFrame:
     """(bin, middle, log_odds) over quantile bins of the non-zero rows, closed on both sides; bins of one outcome are left out."""
     some = rows.where(F.col(column) != 0)
-    edges = some.agg(F.percentile(column, F.array(*[F.lit(c) for c in cuts]))).first()[0]
+    edges = quantiles(some, column, cuts)
     if not edges:
         return rows.sparkSession.createDataFrame([], "bin int, middle double, log_odds double")
     bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
     each = some.select(column, outcome, F.explode(F.filter(bins, lambda b: (F.col(column) >= b["lo"]) & (F.col(column) <= b["hi"]))).alias("b"))
     p = F.avg(F.col(outcome).cast("double"))
-    return each.groupBy("b.bin").agg(F.percentile(column, F.lit(0.5)).alias("middle"), p.alias("_p")).where("_p > 0 and _p < 1").select("bin", "middle", F.log(F.col("_p") / (1 - F.col("_p"))).alias("log_odds"))
+    binned = each.select(F.col("b.bin").alias("bin"), column, outcome)
+    middle = grouped_medians(binned, "bin", column, "middle")
+    shares = binned.groupBy("bin").agg(p.alias("_p")).where("_p > 0 and _p < 1")
+    return shares.join(small(middle), "bin").select("bin", "middle", F.log(F.col("_p") / (1 - F.col("_p"))).alias("log_odds"))
 
 
 def percentile_boxes(rows: DataFrame, column: str, cuts: list[float]) -> DataFrame:
     """(box, n) of half-open boxes (lo, hi] between percentiles; the least row is in none."""
-    edges = rows.agg(F.percentile(column, F.array(*[F.lit(c) for c in cuts]))).first()[0]
+    edges = quantiles(rows, column, cuts) or []
     box = F.lit(None).cast("int")
     for i, (a, b) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
         box = F.when((F.col(column) > a) & (F.col(column) <= b), i).otherwise(box)
@@ -97,7 +104,7 @@ def sample_cap(counts: DataFrame, n: str, share: float) -> DataFrame:
     """
     per = counts.groupBy(n).agg(F.count("*").alias("_g"))
     total = per.agg(F.sum("_g").alias("_all"))
-    upto = per.withColumn("_before", F.sum("_g").over(Window.orderBy(n)) - F.col("_g"))
+    upto = cumulative(per, [n], "_g", out="_before")
     return upto.crossJoin(F.broadcast(total)).where(F.col("_before") < F.floor(F.col("_all") * share)).agg(F.max(n).alias("cap"))
 
 

@@ -39,36 +39,63 @@ def cascade_levels(edges: DataFrame, levels: int) -> DataFrame:
     return spark.createDataFrame(out, "level long, projects long")
 
 
-def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope: str, direction: str) -> DataFrame:
+def _before(entries: DataFrame, times: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """times (keys, t) with the sums of `values` over the entries of the same keys with a smaller ts."""
+    zero = [F.lit(0).cast("long").alias(v) for v in values]
+    both = entries.select(*keys, F.col("ts").alias("t"), *values, F.lit(False).alias("_ask")).unionByName(times.select(*keys, "t", *zero, F.lit(True).alias("_ask")))
+    past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    return both.select(*keys, "t", "_ask", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(v) for v in values]).where("_ask").drop("_ask")
+
+
+def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope: str, direction: str, labels: tuple[str, ...]) -> DataFrame:
     """(id, c, e, degree): second-order degree of each query's person by pairs of edge labels.
 
-    queries: id, ts, seq, u, project.  edges: src, tgt, label, ts, seq, project.
-    For a neighbour n with m edges n -> u of label c, in stream order, the i-th of
-    them (from 0) counts (m - i) times the edges of label e that enter n (direction
+    queries: id, ts, seq, u, project.  edges: src, tgt, label, ts, seq, project and
+    m, how many equal edges a row stands for; edges of one seq have one ts.
+    For a neighbour n with k edges n -> u of label c, in stream order, the i-th of
+    them (from 0) counts (k - i) times the edges of label e that enter n (direction
     in) or leave it (out), don't touch u, and are older than it.  Both edges lie in
     the query's window and before it.  scope: edges n -> u within the query's project
     (intra) or outside (ecosystem).
 
-    Edges are cut into stretches of a window, so neighbours with long histories
-    spread over partitions, and equal edges are counted before they are joined.
+    The older edges are counted, not listed: running sums over a neighbour's edges,
+    less those between the neighbour and u, are looked up at both ends of each span.
+    Edges are cut into stretches of a window, so a neighbour's history spreads over
+    partitions.
     """
     stretch = F.floor(F.col("ts") / window)
-    counted = edges.where("src <> tgt").groupBy("src", "tgt", "label", "project", "ts", "seq").agg(F.count("*").alias("m"))
-    reach = counted.withColumn("stretch", F.explode(F.array(stretch, stretch + 1)))
+    counted = shared_table(edges.where("src <> tgt").groupBy("src", "tgt", "label", "project", "ts", "seq").agg(F.sum("m").alias("m")).withColumn("stretch", F.explode(F.array(stretch, stretch + 1))), "edges")
     asked = queries.where("u is not null").withColumn("stretch", stretch)
-    into = reach.select(F.col("tgt").alias("u"), F.col("src").alias("n"), F.col("label").alias("c"), F.col("project").alias("c_project"), F.col("ts").alias("c_ts"), F.col("seq").alias("c_seq"), "m", "stretch")
+    into = counted.select(F.col("tgt").alias("u"), F.col("src").alias("n"), F.col("label").alias("c"), F.col("project").alias("c_project"), F.col("ts").alias("c_ts"), F.col("seq").alias("c_seq"), "m", "stretch")
     before = (F.col("c_ts") > F.col("ts") - window) & ((F.col("c_ts") < F.col("ts")) | ((F.col("c_ts") == F.col("ts")) & (F.col("c_seq") < F.col("seq"))))
     here = F.col("c_project") == F.col("project")
     conn = asked.join(into, ["u", "stretch"]).where(before & (here if scope == "intra" else ~here))
     later = Window.partitionBy("id", "n", "c").orderBy(F.desc("c_ts"), F.desc("c_seq"))
     # of the m equal edges that end at place k (from the newest) the weights k, k - 1, ... add up
-    place = F.sum("m").over(later)
-    weighed = conn.withColumn("weight", F.col("m") * place - F.col("m") * (F.col("m") - 1) / 2)
+    weighed = conn.withColumn("place", F.sum("m").over(later)).withColumn("weight", (F.col("m") * F.col("place") - F.col("m") * (F.col("m") - 1) / 2).cast("long"))
+    spans = shared_table(weighed.groupBy("id", "u", "n", "c", "stretch", "c_ts", (F.col("ts") - window + 1).alias("from")).agg(F.sum("weight").alias("weight")), "spans")
+    values = [f"e{i}" for i in range(len(labels))]
     near, far = ("tgt", "src") if direction == "in" else ("src", "tgt")
-    own = reach.select(F.col(near).alias("n"), F.col(far).alias("far"), F.col("label").alias("e"), F.col("ts").alias("e_ts"), F.col("seq").alias("e_seq"), F.col("m").alias("e_m"), "stretch")
-    older = (F.col("e_ts") < F.col("c_ts")) & (F.col("e_ts") > F.col("ts") - window) & (F.col("far") != F.col("u")) & (F.col("e_seq") != F.col("seq"))
-    hits = weighed.join(own, ["n", "stretch"]).where(older)
-    return hits.groupBy("id", "c", "e").agg(F.sum(F.col("weight") * F.col("e_m")).cast("long").alias("degree"))
+    split = [F.sum(F.when(F.col("label") == name, F.col("m"))).alias(v) for v, name in zip(values, labels, strict=True)]
+
+    def summed(keys: list[str], renamed: DataFrame) -> DataFrame:
+        entries = renamed.groupBy(*keys, "ts").agg(*split)
+        times = spans.select(*keys, F.explode(F.array("c_ts", "from")).alias("t")).distinct()
+        return shared_table(_before(entries, times, keys, values), "sums")
+
+    all_ = summed(["n", "stretch"], counted.withColumn("n", F.col(near)))
+    own = summed(["n", "u", "stretch"], counted.withColumn("n", F.col(near)).withColumn("u", F.col(far)))
+
+    def at(sums: DataFrame, keys: list[str], t: str, tag: str) -> DataFrame:
+        return sums.select(*keys, F.col("t").alias(t), *[F.col(v).alias(f"{tag}{v}") for v in values])
+
+    told = spans
+    for tag, sums, keys in (("all", all_, ["n", "stretch"]), ("own", own, ["n", "u", "stretch"])):
+        told = told.join(at(sums, keys, "c_ts", f"{tag}_hi_"), [*keys, "c_ts"]).join(at(sums, keys, "from", f"{tag}_lo_"), [*keys, "from"])
+    degree = lambda v: F.sum(F.col("weight") * (F.col(f"all_hi_{v}") - F.col(f"all_lo_{v}") - F.col(f"own_hi_{v}") + F.col(f"own_lo_{v}"))).cast("long")
+    sums = told.groupBy("id", "c").agg(*[degree(v).alias(v) for v in values])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("e"), F.col(v).alias("degree")) for v, name in zip(values, labels, strict=True)])).alias("x")
+    return sums.select("id", "c", each).select("id", "c", "x.e", "x.degree").where("degree > 0")
 
 
 def min_label_components(edges: DataFrame) -> DataFrame:

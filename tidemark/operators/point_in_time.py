@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAY
+from .common import shared_table, small
 
 #: Stretches that split history where there is no bound.
 UNBOUNDED_STRETCH = 90 * DAY
@@ -60,19 +61,38 @@ def first_seen(rows: DataFrame, keys: list[str], out: str, order: tuple[str, ...
 def greedy_chunks(rows: DataFrame, window: int, ts: str = "ts") -> DataFrame:
     """rows with chunk_id: a chunk begins at the first time more than a window after the last chunk began.
 
-    The chain of chunk starts has one step for each window of the time span; it
-    walks the distinct times once, on the driver in blocks, and joins back by range.
+    Each time's successor, the first time more than a window later, is looked up in
+    its stretch of time or is the least of the next one that has any.  The chain of
+    starts doubles each round, so a chain of many chunks takes few rounds.
     """
-    spark = rows.sparkSession
-    starts: list[int] = []
-    at = rows.agg(F.min(ts)).first()[0]
-    while at is not None:
-        starts.append(at)
-        at = rows.where(F.col(ts) > at + window).agg(F.min(ts)).first()[0]
-    if not starts:
-        return rows.withColumn("chunk_id", F.lit(None).cast("long"))
-    bounds = spark.createDataFrame([(i, s, e) for i, (s, e) in enumerate(zip(starts, [*starts[1:], None], strict=True))], "chunk_id long, _from long, _to long")
-    return rows.join(F.broadcast(bounds), (F.col(ts) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(ts) < F.col("_to")))).drop("_from", "_to")
+    times = shared_table(rows.select(F.col(ts).alias("t")).where("t is not null").distinct(), "times")
+    stretch = F.floor(F.col("x") / window)
+    there = times.select(F.col("t").alias("x"), F.col("t").alias("time"), F.lit(None).cast("long").alias("asks"))
+    asked = times.select((F.col("t") + window).alias("x"), F.lit(None).cast("long").alias("time"), F.col("t").alias("asks"))
+    after = Window.partitionBy("s").orderBy("x").rangeBetween(1, Window.unboundedFollowing)
+    found = there.unionByName(asked).withColumn("s", stretch).withColumn("near", F.min("time").over(after)).where("asks is not null")
+    least = there.groupBy(stretch.alias("s")).agg(F.min("x").alias("first"))
+    # as few rows as the span of time has windows: of those before which a stretch lies, its own or a later first
+    held = found.select("s").distinct().join(least, "s", "full")
+    later = held.withColumn("next", F.min("first").over(Window.orderBy("s").rowsBetween(1, Window.unboundedFollowing))).select("s", "next")
+    jump = shared_table(found.join(small(later), "s").select(F.col("asks").alias("t"), F.coalesce("near", "next").alias("to")).where("to is not null"), "jumps")
+    starts = shared_table(times.agg(F.min("t").alias("t")).where("t is not null"), "starts")
+    count = starts.count()
+    while count:
+        more = starts.join(jump, "t").select(F.col("to").alias("t"))
+        starts = shared_table(starts.union(more).distinct(), "starts")
+        before, count = count, starts.count()
+        if count == before:
+            break
+        jump = shared_table(jump.join(jump.select(F.col("t").alias("to"), F.col("to").alias("far")), "to").select("t", F.col("far").alias("to")), "jumps")
+    order = Window.orderBy("t")
+    bounds = starts.select((F.row_number().over(order) - 1).cast("long").alias("chunk_id"), F.col("t").alias("_from"), F.lead("t").over(order).alias("_to"))
+    held = times.withColumn("x", F.col("t")).withColumn("s", stretch)
+    # a stretch holds one start at most, so its times are of the chunk that begins in it or of the last one before
+    edge = held.select("s").distinct().join(bounds.withColumn("x", F.col("_from")).withColumn("s", stretch).drop("x"), "s", "full")
+    open_ = edge.withColumn("_last", F.max("chunk_id").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)))
+    own = held.join(small(open_), "s").select("t", F.when(F.col("_from") <= F.col("t"), F.col("chunk_id")).otherwise(F.col("_last")).alias("chunk_id"))
+    return rows.join(small(shared_table(own.withColumnRenamed("t", "_t"), "chunks")), F.col(ts) == F.col("_t"), "left").drop("_t")
 
 
 def rate(hits: Column, total: Column) -> Column:

@@ -7,9 +7,11 @@ import math
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cumulative, shared_table, small
+
 
 def gram(rows: DataFrame, columns: list[str], weight: Column | None = None) -> np.ndarray:
     """The matrix of sums of products of columns, in one aggregation."""
@@ -32,8 +34,8 @@ def vif(rows: DataFrame, columns: list[str]) -> DataFrame:
 def average_rank(rows: DataFrame, column: str, out: str) -> DataFrame:
     """rows with ranks of a column, equal values sharing their mean rank; counts of values make the ranks."""
     values = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    parts = values.withColumn("_before", F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)))
-    ranks = parts.select(F.col(column).alias("_v"), (F.coalesce("_before", F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
+    parts = cumulative(values, [column], "_n", out="_before")
+    ranks = small(parts.select(F.col(column).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)))
     return rows.join(ranks, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
@@ -117,7 +119,7 @@ def random_intercepts(rows: DataFrame, columns: list[str], label: str, group: st
     names = [*columns, label]
     total = gram(rows, names)
     n = rows.count()
-    per = rows.groupBy(group).agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in names]).persist()
+    per = shared_table(rows.groupBy(group).agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in names]), "groups")
     p = len(columns)
 
     def at(t: float) -> tuple[float, np.ndarray, float]:
@@ -143,7 +145,6 @@ def random_intercepts(rows: DataFrame, columns: list[str], label: str, group: st
             fb = at(math.exp(b))[0]
     ratio = math.exp((low + high) / 2)
     _, beta, scale = at(ratio)
-    per.unpersist()
     return {**dict(zip(columns, beta.tolist(), strict=True)), "_scale": float(scale), "_group_variance": float(ratio * scale)}
 
 
@@ -162,7 +163,7 @@ def folded(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
 
 def cross_validated(rows: DataFrame, columns: list[str], label: str, key: str, k: int = 3) -> DataFrame:
     """(fold, accuracy, f1) of forests that each leave one fold out."""
-    parts = folded(rows, key, k).persist()
+    parts = shared_table(folded(rows, key, k), "folds")
     out = None
     for i in range(k):
         model = forest(parts.where(F.col("fold") != i), columns, label)

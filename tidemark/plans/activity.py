@@ -43,13 +43,28 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("commenter")).join(acts, "id")
 
 
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges (focal, other) between packages, one for each part.
+
+    A package belongs to the project that its number has modulo PROJECTS, and depends
+    on a package of about half its number, in its own project or one of three others.
+    """
+    p, half = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2)
+    other = half - F.pmod(half - p + F.col("p_size") % 4, F.lit(PROJECTS))
+    return table(spark, sf_dir, "part").select(p.alias("focal"), other.cast("long").alias("other")).where("other >= 1")
+
+
+def project_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges (focal, other) between the projects of packages, those of a project to itself included."""
+    return packages(spark, sf_dir).select((F.col("focal") % PROJECTS).alias("focal"), (F.col("other") % PROJECTS).alias("other")).distinct()
+
+
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edges (focal, other) between projects."""
-    parts = table(spark, sf_dir, "part").where("p_partkey < 60")
-    return parts.select((F.col("p_partkey") % PROJECTS).alias("focal"), (F.col("p_size") % PROJECTS).cast("long").alias("other")).where("focal <> other").distinct()
+    """Distinct edges (focal, other) between different projects."""
+    return project_edges(spark, sf_dir).where("focal <> other")
 
 
-#: The same as common table expressions: act, com, pr, dep.
+#: The same as common table expressions: act, com, pr, pkg (edges of packages), dep_all (of projects), dep.
 SQL = f"""
 lines AS (SELECT l_orderkey, min(l_suppkey) AS integrator, count(*) AS comments FROM lineitem GROUP BY l_orderkey),
 act AS (SELECT o_orderkey AS id, o_orderkey AS seq, CAST(epoch(o_orderdate) AS BIGINT) AS ts, o_orderkey % {PROJECTS} AS project,
@@ -57,7 +72,9 @@ act AS (SELECT o_orderkey AS id, o_orderkey AS seq, CAST(epoch(o_orderdate) AS B
     coalesce(comments, 0) AS comments, integrator FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey),
 com AS (SELECT l_orderkey AS id, l_suppkey AS commenter, seq, ts, project, submitter, merged, is_issue, integrator FROM lineitem JOIN act ON id = l_orderkey),
 pr AS (SELECT * FROM act WHERE NOT is_issue),
-dep AS (SELECT DISTINCT p_partkey % {PROJECTS} AS focal, p_size % {PROJECTS} AS other FROM part WHERE p_partkey < 60 AND p_partkey % {PROJECTS} <> p_size % {PROJECTS})"""
+pkg AS (SELECT focal, other FROM (SELECT p_partkey AS focal, p_partkey // 2 - ((p_partkey // 2 - p_partkey + p_size % 4) % {PROJECTS} + {PROJECTS}) % {PROJECTS} AS other FROM part) WHERE other >= 1),
+dep_all AS (SELECT DISTINCT focal % {PROJECTS} AS focal, other % {PROJECTS} AS other FROM pkg),
+dep AS (SELECT focal, other FROM dep_all WHERE focal <> other)"""
 
 
 def sql(body: str, more: str = "") -> str:

@@ -94,9 +94,9 @@ def duplicate_entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.count("*") - F.countDistinct("l_linenumber")).alias("n_repeated"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, n_orders, n_items FROM (SELECT o_custkey % 500 AS k, count(*) AS n_orders FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT l_partkey % 700 AS k, count(*) AS n_items FROM lineitem GROUP BY 1) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS k, n_orders, n_items FROM (SELECT o_custkey % 500 * 2 AS k, count(*) AS n_orders FROM orders GROUP BY 1) a FULL JOIN (SELECT l_partkey % 700 AS k, count(*) AS n_items FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def merge_same_key_rows(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "orders").where("o_orderkey % 3 = 0").groupBy((F.col("o_custkey") % 500).alias("k")).agg(F.count("*").alias("n_orders"))
+    a = table(spark, d, "orders").groupBy((F.col("o_custkey") % 500 * 2).alias("k")).agg(F.count("*").alias("n_orders"))
     b = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 700).alias("k")).agg(F.count("*").alias("n_items"))
     return a.join(b, "k", "full")
 
@@ -123,12 +123,14 @@ def issues_of_kept_groups(spark: SparkSession, d: str) -> DataFrame:
     return acts.where("is_issue").join(small(kept), "submitter", "left_semi").select("id")
 
 
-_SIDES = "p AS (SELECT project, id % 2000 AS number, seq, comments AS note, submitter FROM pr WHERE id % 2 = 0), i AS (SELECT project, id % 2000 AS number, max(seq) AS seq, max_by(integrator, seq) AS note, max_by(ts, seq) AS ts FROM act WHERE is_issue GROUP BY 1, 2)"
+#: Numbers that several activities of a project share, so that some issues are pull requests and some aren't.
+NUMBERS = 7000
+_SIDES = f"p AS (SELECT project, id % {NUMBERS} AS number, seq, comments AS note, submitter FROM pr), i AS (SELECT project, id % {NUMBERS} AS number, max(seq) AS seq, max_by(integrator, seq) AS note, max_by(ts, seq) AS ts FROM act WHERE is_issue GROUP BY 1, 2)"
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    acts = A.activities(spark, d).withColumn("number", F.col("id") % 2000)
-    prs = acts.where("not is_issue and id % 2 = 0").select("project", "number", "seq", F.col("comments").alias("note"), "submitter")
+    acts = A.activities(spark, d).withColumn("number", F.col("id") % NUMBERS)
+    prs = acts.where("not is_issue").select("project", "number", "seq", F.col("comments").alias("note"), "submitter")
     return prs, acts.where("is_issue").select("project", "number", "seq", F.col("integrator").alias("note"), "ts")
 
 
@@ -138,10 +140,10 @@ def pr_issue_merge(spark: SparkSession, d: str) -> DataFrame:
     return C.merge_pr_issue(prs, issues, ["project", "number"])
 
 
-@query(sql("SELECT id FROM act WHERE is_issue AND NOT EXISTS (SELECT 1 FROM p WHERE p.project = act.project AND p.number = act.id % 2000)", _SIDES))
+@query(sql(f"SELECT id FROM act WHERE is_issue AND NOT EXISTS (SELECT 1 FROM p WHERE p.project = act.project AND p.number = act.id % {NUMBERS})", _SIDES))
 def issues_not_prs(spark: SparkSession, d: str) -> DataFrame:
     prs, _ = _sides(spark, d)
-    return A.activities(spark, d).where("is_issue").withColumn("number", F.col("id") % 2000).join(prs, ["project", "number"], "left_anti").select("id")
+    return A.activities(spark, d).where("is_issue").withColumn("number", F.col("id") % NUMBERS).join(prs, ["project", "number"], "left_anti").select("id")
 
 
 @query(sql("SELECT id, merged, NULL::BIGINT AS closed_by FROM pr WHERE merged UNION ALL SELECT id, merged, s_suppkey FROM pr JOIN supplier ON s_suppkey = id % 150 WHERE NOT merged"))
@@ -156,19 +158,19 @@ def closed_by_to_fetch(spark: SparkSession, d: str) -> DataFrame:
     return A.activities(spark, d).where("not is_issue and not merged and integrator is null").select("id")
 
 
-@query("SELECT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 9")
+@query("SELECT l_partkey AS k FROM lineitem INTERSECT SELECT o_custkey FROM orders")
 def list_intersect(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("k")).intersect(table(spark, d, "customer").where("c_nationkey < 9").select("c_custkey"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).intersect(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT l_partkey AS k FROM lineitem EXCEPT SELECT o_custkey FROM orders")
 def list_except(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer WHERE c_nationkey < 5 UNION SELECT s_suppkey FROM supplier")
+@query("SELECT l_partkey AS k FROM lineitem UNION SELECT o_custkey FROM orders")
 def list_union_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k")).union(table(spark, d, "supplier").select("s_suppkey")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")).union(table(spark, d, "orders").select("o_custkey")).distinct()
 
 
 @query(sql("SELECT CASE WHEN integrator IS NULL THEN 'no integrator' WHEN comments = 0 THEN 'no comments' WHEN submitter IS NULL THEN 'no submitter' ELSE 'valid' END AS reason, count(*) AS n_rows FROM pr GROUP BY 1"))
@@ -202,9 +204,12 @@ def nonempty_array_share(spark: SparkSession, d: str) -> DataFrame:
     return A.activities(spark, d).agg(F.round(F.count_if(F.col("comments") > 0) * 100.0 / F.count("*"), 6).alias("percent"), F.count_if(F.col("integrator").isNull()).alias("n_without"))
 
 
-@query(sql("SELECT id, coalesce(submitter = integrator, false) AS same_user, comments > 0 AS has_comments, round(ts / 60.0, 6) AS minutes FROM pr"))
+@query(sql("SELECT id, coalesce(submitter = integrator, false) AS same_user, comments > 0 AS has_comments, round((closed - ts) / 60.0, 6) AS minutes FROM pr LEFT JOIN ended ON ended.k = id", "ended AS (SELECT l_orderkey AS k, max(CAST(epoch(l_shipdate) AS BIGINT)) AS closed FROM lineitem GROUP BY 1)"))
 def row_controls(spark: SparkSession, d: str) -> DataFrame:
-    return A.activities(spark, d).where("not is_issue").select("id", F.coalesce(F.col("submitter") == F.col("integrator"), F.lit(False)).alias("same_user"), (F.col("comments") > 0).alias("has_comments"), F.round(F.col("ts") / 60.0, 6).alias("minutes"))
+    """Flags of a row, and how many minutes it was open: from its order to its last shipment."""
+    ended = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max(A.seconds(F.col("l_shipdate"))).alias("closed"))
+    rows = A.activities(spark, d).where("not is_issue").join(ended, "id", "left")
+    return rows.select("id", F.coalesce(F.col("submitter") == F.col("integrator"), F.lit(False)).alias("same_user"), (F.col("comments") > 0).alias("has_comments"), F.round((F.col("closed") - F.col("ts")) / 60.0, 6).alias("minutes"))
 
 
 @query("SELECT doc_id, coalesce(text LIKE '%#%', false) AS has_hashtag, contains(coalesce(text, ''), '[') AS has_bracket, round(ln(1 + coalesce(n_chars, 0)), 6) AS ln_chars FROM documents")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import explore as E
 from ..operators import stats as S
-from ..operators.common import small
+from ..operators.common import quantiles, small
 from ..streaming import windows as W
 from . import activity as A
 from . import graphs
@@ -98,7 +96,7 @@ def percentile_boxes(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH q AS (SELECT quantile_cont(l_quantity, 0.98) AS a, quantile_cont(l_extendedprice, 0.98) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem, q WHERE l_quantity > a OR l_extendedprice > b GROUP BY 1, 2")
 def top_percentile_members(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
-    a, b = rows.agg(F.percentile("l_quantity", F.lit(0.98)), F.percentile("l_extendedprice", F.lit(0.98))).first()
+    (a,), (b,) = (quantiles(rows, c, [0.98]) for c in ("l_quantity", "l_extendedprice"))
     return rows.where((F.col("l_quantity") > a) | (F.col("l_extendedprice") > b)).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 
 
@@ -130,7 +128,7 @@ def progress_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT label, round((1 - n * 1.0 / sum(n) OVER ()) / (count(*) OVER () - 1), 9) AS weight FROM (SELECT label, count(*) AS n FROM edges GROUP BY 1)", graphs._EDGES))
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    counts = graphs.collaboration(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    counts = graphs.collaboration(spark, d).groupBy("label").agg(F.sum("m").alias("n"))
     return E.edge_weights(counts).withColumn("weight", F.round("weight", 9))
 
 
@@ -140,14 +138,14 @@ _WEIGHED = f"{graphs._EDGES}, w AS (SELECT label, (1 - n * 1.0 / sum(n) OVER ())
 @query(sql("SELECT tgt AS person, round(sum(weight), 6) AS centrality FROM edges JOIN w USING (label) GROUP BY 1", _WEIGHED))
 def weighted_centrality(spark: SparkSession, d: str) -> DataFrame:
     edges = graphs.collaboration(spark, d)
-    per = edges.groupBy("tgt", "label").agg(F.count("*").alias("n"))
+    per = edges.groupBy("tgt", "label").agg(F.sum("m").alias("n"))
     weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
     return per.join(small(weights), "label").groupBy(F.col("tgt").alias("person")).agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("centrality"))
 
 
 @query(sql("SELECT src, tgt, round(sum(weight), 6) AS strength FROM edges JOIN w USING (label) GROUP BY 1, 2", _WEIGHED))
 def link_strength(spark: SparkSession, d: str) -> DataFrame:
-    per = graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.count("*").alias("n"))
+    per = graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n"))
     weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
     return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("strength"))
 
@@ -281,19 +279,19 @@ def _plain_start(df: DataFrame) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_start(W.drained(W.tumbling(_events(spark, d), "1 day"), f"tumbling_{uuid.uuid4().hex}"))
+    return _plain_start(W.drained(W.tumbling(_events(spark, d), "1 day"), "tumbling", "complete"))
 
 
 @query("SELECT strftime(b + to_hours(CAST(k AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS b FROM events), (VALUES (0), (-1), (-2)) v(k) GROUP BY 1")
 def events_sliding_count(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_start(W.drained(W.sliding(_events(spark, d), "3 hours", "1 hour"), f"sliding_{uuid.uuid4().hex}"))
+    return _plain_start(W.drained(W.sliding(_events(spark, d), "3 hours", "1 hour"), "sliding", "complete"))
 
 
 @query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_start(W.drained(W.sessions(_events(spark, d), "2 hours"), f"sessions_{uuid.uuid4().hex}"))
+    return _plain_start(W.drained(W.sessions(_events(spark, d), "2 hours"), "sessions", "complete"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 259199999999 MICROSECONDS PRECEDING AND CURRENT ROW) - 1 AS n FROM events")
 def events_earlier_counts(spark: SparkSession, d: str) -> DataFrame:
-    return W.drained(W.earlier_counts(_events(spark, d), 3 * 86_400_000_000), f"earlier_{uuid.uuid4().hex}", "append")
+    return W.drained(W.earlier_counts(_events(spark, d), 3 * 86_400_000_000), "earlier")

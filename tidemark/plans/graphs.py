@@ -32,20 +32,24 @@ _EDGES = """edges AS (SELECT integrator AS src, submitter AS tgt, 'pr_integrator
 
 
 def collaboration(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled, timed edges between people: integrators and commenters to submitters, commenters to commenters."""
+    """Labelled, timed edges between people and how many equal ones there are (m): integrators and commenters to submitters, commenters to commenters.
+
+    Comments are counted for each person before people are paired.
+    """
     acts = A.activities(spark, d)
-    led = acts.where("not is_issue and integrator is not null").select(F.col("integrator").alias("src"), F.col("submitter").alias("tgt"), F.lit("pr_integrator_submitter").alias("label"), "project", "ts", "seq")
+    led = acts.where("not is_issue and integrator is not null").select(F.col("integrator").alias("src"), F.col("submitter").alias("tgt"), F.lit("pr_integrator_submitter").alias("label"), "project", "ts", "seq", F.lit(1).cast("long").alias("m"))
     said = A.comments(spark, d)
     kind = F.when(F.col("is_issue"), "issue").otherwise("pr")
-    to_submitter = said.select(F.col("commenter").alias("src"), F.col("submitter").alias("tgt"), F.concat(kind, F.lit("_commenter_submitter")).alias("label"), "project", "ts", "seq")
-    people = said.groupBy("id", "is_issue", "project", "ts", "seq").agg(F.collect_list("commenter").alias("people"))
-    talk = people.withColumn("src", F.explode("people")).select("src", F.explode("people").alias("tgt"), F.concat(kind, F.lit("_commenter_commenter")).alias("label"), "project", "ts", "seq")
+    per = said.groupBy("id", "commenter", "submitter", "is_issue", "project", "ts", "seq").agg(F.count("*").alias("m"))
+    to_submitter = per.select(F.col("commenter").alias("src"), F.col("submitter").alias("tgt"), F.concat(kind, F.lit("_commenter_submitter")).alias("label"), "project", "ts", "seq", "m")
+    other = per.select("id", F.col("commenter").alias("tgt"), F.col("m").alias("_m"))
+    talk = per.join(other, "id").select(F.col("commenter").alias("src"), "tgt", F.concat(kind, F.lit("_commenter_commenter")).alias("label"), "project", "ts", "seq", (F.col("m") * F.col("_m")).alias("m"))
     return led.unionByName(to_submitter).unionByName(talk).where("src <> tgt")
 
 
 @query(sql("SELECT label, count(*) AS n_edges, count(DISTINCT src * 1000 + tgt) AS n_pairs FROM edges GROUP BY 1", _EDGES))
 def edge_counts_by_label(spark: SparkSession, d: str) -> DataFrame:
-    return collaboration(spark, d).groupBy("label").agg(F.count("*").alias("n_edges"), F.countDistinct("src", "tgt").alias("n_pairs"))
+    return collaboration(spark, d).groupBy("label").agg(F.sum("m").alias("n_edges"), F.countDistinct("src", "tgt").alias("n_pairs"))
 
 
 def _second_order_sql(scope: str, direction: str) -> str:
@@ -54,17 +58,19 @@ def _second_order_sql(scope: str, direction: str) -> str:
     return sql(
         f"""SELECT id, c, e, CAST(sum(weight) AS BIGINT) AS degree FROM (
           SELECT conn.*, x.label AS e FROM conn JOIN picked x ON x.{near} = conn.n AND x.{far} <> conn.u AND x.ts < conn.c_ts AND x.ts > conn.ts - {A.WINDOW} AND x.seq <> conn.seq) GROUP BY 1, 2, 3""",
-        f"""{_EDGES}, picked AS (SELECT row_number() OVER (ORDER BY ts, seq, src, tgt, label) AS rn, * FROM edges WHERE label IN ('pr_integrator_submitter', 'pr_commenter_submitter')),
+        f"""{_EDGES}, picked AS (SELECT row_number() OVER (ORDER BY ts, seq, src, tgt, label) AS rn, * FROM edges),
         conn AS (SELECT q.id, q.submitter AS u, q.ts, q.seq, c.src AS n, c.label AS c, c.ts AS c_ts, row_number() OVER (PARTITION BY q.id, c.src, c.label ORDER BY c.ts DESC, c.seq DESC, c.rn DESC) AS weight
           FROM pr q JOIN picked c ON c.tgt = q.submitter AND {here} AND c.ts > q.ts - {A.WINDOW} AND (c.ts < q.ts OR (c.ts = q.ts AND c.seq < q.seq)))""",
     )
 
 
+LABELS = ("pr_integrator_submitter", "pr_commenter_submitter", "pr_commenter_commenter", "issue_commenter_submitter", "issue_commenter_commenter")
+
+
 def _second_order(scope: str, direction: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         queries = A.activities(spark, d).where("not is_issue").select("id", "ts", "seq", F.col("submitter").alias("u"), "project")
-        edges = collaboration(spark, d).where(F.col("label").isin("pr_integrator_submitter", "pr_commenter_submitter"))
-        return G.second_order_degree(queries, edges, A.WINDOW, scope, direction)
+        return G.second_order_degree(queries, collaboration(spark, d), A.WINDOW, scope, direction, LABELS)
 
     return run
 
@@ -80,14 +86,15 @@ def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
     return A.dependencies(spark, d)
 
 
-@query("WITH RECURSIVE " + A.SQL + ", path AS (SELECT focal, other FROM dep UNION SELECT path.focal, dep.other FROM path JOIN dep ON dep.focal = path.other) SELECT focal, other FROM path")
+@query("WITH RECURSIVE " + A.SQL + ", path AS (SELECT focal, other FROM pkg UNION SELECT path.focal, pkg.other FROM path JOIN pkg ON pkg.focal = path.other) SELECT focal, other FROM path")
 def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
-    return G.transitive_closure(A.dependencies(spark, d))
+    """Which packages a package needs, directly or not."""
+    return G.transitive_closure(A.packages(spark, d))
 
 
-@query(sql("SELECT 0 AS level, count(DISTINCT focal) AS projects FROM dep UNION ALL SELECT 1, count(DISTINCT a.focal) FROM dep a JOIN dep b ON a.other = b.focal UNION ALL SELECT 2, count(DISTINCT a.focal) FROM dep a JOIN dep b ON a.other = b.focal JOIN dep c ON b.other = c.focal"))
+@query(sql("SELECT 0 AS level, count(DISTINCT focal) AS projects FROM pkg UNION ALL SELECT 1, count(DISTINCT a.focal) FROM pkg a JOIN pkg b ON a.other = b.focal UNION ALL SELECT 2, count(DISTINCT a.focal) FROM pkg a JOIN pkg b ON a.other = b.focal JOIN pkg c ON b.other = c.focal"))
 def cascade_levels(spark: SparkSession, d: str) -> DataFrame:
-    return G.cascade_levels(A.dependencies(spark, d), 3)
+    return G.cascade_levels(A.packages(spark, d), 3)
 
 
 @query(sql("SELECT count(DISTINCT project) FILTER (WHERE project IN (SELECT focal FROM dep)) AS downstream, count(DISTINCT project) FILTER (WHERE project IN (SELECT other FROM dep)) AS upstream, count(DISTINCT project) FILTER (WHERE project IN (SELECT focal FROM dep UNION SELECT other FROM dep)) AS either FROM act"))
@@ -173,5 +180,4 @@ def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ego_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    edges = collaboration(spark, d).where("label = 'pr_integrator_submitter' and project < 2").select("src", "tgt", "ts")
-    return I.ego_betweenness(edges, radius=1)
+    return I.ego_betweenness(collaboration(spark, d).select("src", "tgt", "ts"), radius=2)

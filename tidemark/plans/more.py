@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import explore as E
 from ..operators import stats as S
-from ..operators.common import small
+from ..operators.common import cumulative, quantiles, shared_table, small
 from ..operators.point_in_time import earlier_sums, first_seen, greedy_chunks
 from ..sources.readers import repository
 from . import activity as A
@@ -61,14 +61,14 @@ def ftc_repair(spark: SparkSession, d: str) -> DataFrame:
     return prs.join(kept, "id", "left").select("id", F.coalesce("first", F.lit(False)).alias("repaired"))
 
 
-@query(sql("SELECT a.id, b.id AS referenced FROM pr a JOIN act b ON b.project = a.project AND b.submitter = a.submitter AND b.id = (a.id * 7) % 15000"))
+@query(sql("SELECT a.id, b.id AS referenced FROM pr a JOIN act b ON b.project = a.project AND b.id = (a.id - 25 * (a.submitter % 9))"))
 def referenced_activities(spark: SparkSession, d: str) -> DataFrame:
-    """Activities that a link names: the key is read back from a link's text."""
+    """Activities of the same project that a link names: the key is read back from a link's text."""
     acts = A.activities(spark, d)
-    link = F.concat_ws("/", F.lit("https://host"), "project", "submitter", F.lit("pull"), (F.col("id") * 7 % 15000).cast("string"))
-    part = lambda i: F.regexp_extract("link", r"https://host/(\d+)/(\d+)/pull/(\d+)", i).cast("long")
-    links = acts.where("not is_issue").select("id", link.alias("link")).select("id", part(1).alias("project"), part(2).alias("submitter"), part(3).alias("referenced"))
-    return links.join(acts.select("project", "submitter", F.col("id").alias("referenced")), ["project", "submitter", "referenced"]).select("id", "referenced")
+    link = F.concat_ws("/", F.lit("https://host"), "project", F.lit("pull"), (F.col("id") - 25 * (F.col("submitter") % 9)).cast("string"))
+    part = lambda i: F.regexp_extract("link", r"https://host/(\d+)/pull/(\d+)", i)
+    links = acts.where("not is_issue").select("id", link.alias("link")).select("id", part(1).try_cast("long").alias("project"), part(2).try_cast("long").alias("referenced"))
+    return links.join(acts.select("project", F.col("id").alias("referenced")), ["project", "referenced"]).select("id", "referenced")
 
 
 @query(sql("SELECT list, count(*) AS n, count(*) FILTER (WHERE has_dep) AS to_core, count(*) FILTER (WHERE has_inverse) AS from_core FROM (SELECT project, CASE WHEN project % 2 = 0 THEN 'even' ELSE 'odd' END AS list, project IN (SELECT focal FROM dep WHERE other < 5) AS has_dep, project IN (SELECT other FROM dep WHERE focal < 5) AS has_inverse FROM (SELECT DISTINCT project FROM act WHERE project >= 5)) GROUP BY 1"))
@@ -81,9 +81,9 @@ def core_dependency_coverage(spark: SparkSession, d: str) -> DataFrame:
     return names.join(out, "project", "left").join(into, "project", "left").groupBy(kind.alias("list")).agg(F.count("*").alias("n"), F.count("o").alias("to_core"), F.count("i").alias("from_core"))
 
 
-@query(sql("SELECT count(DISTINCT focal) AS with_out, count(DISTINCT other) AS with_in, count(*) FILTER (WHERE focal = other) AS own FROM dep WHERE focal IN (SELECT project FROM act) AND other IN (SELECT project FROM act)"))
+@query(sql("SELECT count(DISTINCT focal) AS with_out, count(DISTINCT other) AS with_in, count(*) FILTER (WHERE focal = other) AS own FROM dep_all WHERE focal IN (SELECT project FROM act) AND other IN (SELECT project FROM act)"))
 def count_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return A.dependencies(spark, d).agg(F.countDistinct("focal").alias("with_out"), F.countDistinct("other").alias("with_in"), F.count_if(F.col("focal") == F.col("other")).alias("own"))
+    return A.project_edges(spark, d).agg(F.countDistinct("focal").alias("with_out"), F.countDistinct("other").alias("with_in"), F.count_if(F.col("focal") == F.col("other")).alias("own"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
@@ -111,7 +111,7 @@ def group_flags(spark: SparkSession, d: str) -> DataFrame:
 def quartile_box_sample(spark: SparkSession, d: str) -> DataFrame:
     """At most ten seeded rows of each quartile."""
     rows = table(spark, d, "orders")
-    a, b, c = rows.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    a, b, c = quantiles(rows, "o_totalprice", [0.25, 0.5, 0.75])
     box = F.when(F.col("o_totalprice") <= a, 0).when(F.col("o_totalprice") <= b, 1).when(F.col("o_totalprice") <= c, 2).otherwise(3)
     return E.capped_sample(rows.withColumn("box", box), "box", "o_orderkey", 10, seed=42).groupBy("box").agg(F.count("*").alias("n"))
 
@@ -171,7 +171,7 @@ def rf_ablation(spark: SparkSession, d: str) -> DataFrame:
     """F1 of a forest without each feature group."""
     rows = X._model_rows(spark, d)
     groups = {"size": ["l_quantity", "l_extendedprice"], "terms": ["l_discount", "l_tax"]}
-    parts = S.folded(rows, "row_key", 5).persist()
+    parts = shared_table(S.folded(rows, "row_key", 5), "folds")
     out = None
     for name, dropped in groups.items():
         kept = [c for c in X._FEATURES if c not in dropped]
@@ -226,5 +226,5 @@ def submitter_frequency(spark: SparkSession, d: str) -> DataFrame:
     counts = A.activities(spark, d).where("not is_issue").groupBy("submitter").agg(F.count("*").alias("n"))
     # places from counts of counts, so that only as many rows as there are different counts are ordered
     sizes = counts.groupBy("n").agg(F.count("*").alias("_k"))
-    place = sizes.withColumn("place", F.sum("_k").over(Window.orderBy(F.desc("n"))) - F.col("_k") + 1).select("n", F.col("place").cast("long").alias("place"))
+    place = cumulative(sizes.withColumn("_down", -F.col("n")), ["_down"], "_k", out="place").select("n", (F.col("place") + 1).cast("long").alias("place"))
     return counts.join(small(place), "n").select("submitter", "n", "place")

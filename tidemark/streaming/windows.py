@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +35,44 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 
 
 def earlier_counts(events: DataFrame, window_micros: int) -> DataFrame:
-    """(event_id, n): how many earlier events of the user lie within the window, from state kept for each user.
+    """(event_id, n): how many earlier events of the user lie within the window.
 
-    A batch's rows of a user are put in order of (time, id) first; times older than
-    the window are dropped from the state, so it stays as large as a window.
+    State is kept for each user and stretch of one window; an event goes to its own
+    stretch, where it is counted and answered, and to the next, where it is counted
+    only, so a user with very many events spreads over as many keys as stretches.
+    A batch's rows are put in order of (time, id), and counts come from binary
+    searches in the sorted times.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], np.int64)
         rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        out = []
-        for t in rows.t:
-            held = [x for x in held if x > t - window_micros]
-            out.append(len(held))
-            held.append(t)
-        state.update((held,))
-        yield pd.DataFrame({"event_id": rows.event_id.to_numpy(), "n": out})
-
-    timed = events.select("event_id", "user_id", F.unix_micros(F.to_timestamp("ts")).alias("t"))
-    return timed.groupBy("user_id").applyInPandasWithState(step, "event_id long, n long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The rows of a stream whose input is all there, by a run that ends when it is used up."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", shared_path(stream.sparkSession, name)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+        every = np.sort(np.concatenate([held, rows.t.to_numpy(np.int64)]))
+        t = rows.t.to_numpy(np.int64)
+        place = np.searchsorted(held, t, "right") + np.arange(len(t))  # rows before it in the stream
+        first = np.searchsorted(every, t - window_micros, "right")
+        state.update((every.tolist(),))
+        own = rows.asked.to_numpy(bool)
+        yield pd.DataFrame({"event_id": rows.event_id.to_numpy()[own], "n": (place - first)[own]})
+
+    t = F.unix_micros(F.to_timestamp("ts"))
+    stretch = F.floor(F.col("t") / window_micros)
+    timed = events.select("event_id", "user_id", t.alias("t")).select("event_id", "user_id", "t", F.posexplode(F.array(stretch, stretch + 1)).alias("more", "stretch")).withColumn("asked", F.col("more") == 0)
+    return timed.groupBy("user_id", "stretch").applyInPandasWithState(step, "event_id long, n long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """The rows of a stream whose input is all there, by a run that ends when it is used up.
+
+    They go to Parquet files in the shared folder.  Aggregates run in complete mode,
+    and each batch replaces what the one before wrote.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-progress")
+    out = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
