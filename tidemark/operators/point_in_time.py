@@ -22,24 +22,35 @@ from .common import shared_table, small
 UNBOUNDED_STRETCH = 90 * DAY
 
 
-def earlier_sums(queries: DataFrame, entries: DataFrame, keys: list[str], values: list[str], window: int | None, inclusive: bool = False, row_id: str = "id") -> DataFrame:
+def earlier_sums(queries: DataFrame, entries: DataFrame, keys: list[str], values: list[str], window: int | None, inclusive: bool = False, row_id: str = "id", within: list[str] | None = None) -> DataFrame:
     """queries with the sums of `values` over the earlier entries of the same keys, 0 where there are none.
 
     queries has row_id, ts, seq and the keys; entries has ts, seq, the keys and
-    the values.  Rows with a null key see nothing.
+    the values.  Rows with a null key see nothing.  With further keys in `within`,
+    the sums over entries that have these in common too stand beside them, named
+    <value>_within, from the same shuffle.
     """
     length = window or UNBOUNDED_STRETCH
     stretch = F.floor(F.col("ts") / length)
+    if within and not window:
+        raise ValueError("sums within further keys need a window")
+    outer, keys = keys, [*keys, *(within or [])]
     facts = entries.select(*keys, "ts", "seq", *values).groupBy(*keys, "ts", "seq").agg(*[F.sum(v).alias(v) for v in values])
     reach = F.array(stretch, stretch + 1) if window else F.array(stretch)
     history = facts.withColumn("_stretch", F.explode(reach)).withColumn("_row", F.lit(None).cast(queries.schema[row_id].dataType))
     asked = queries.select(*keys, "ts", "seq", *[F.lit(0).cast(facts.schema[v].dataType).alias(v) for v in values], stretch.alias("_stretch"), F.col(row_id).alias("_row"))
     both = history.unionByName(asked)
-    part = Window.partitionBy(*keys, "_stretch")
     back = -(length if inclusive else length - 1) if window else Window.unboundedPreceding
-    up_to_now = part.orderBy("ts").rangeBetween(back, 0)
-    not_before = Window.partitionBy(*keys, "_stretch", "ts").orderBy("seq").rangeBetween(0, Window.unboundedFollowing)
-    own = [(F.coalesce(F.sum(v).over(up_to_now), F.lit(0)) - F.coalesce(F.sum(v).over(not_before), F.lit(0))).alias(v) for v in values]
+    if within:  # dealt by the outer keys, so that both kinds of sums come from one shuffle
+        both = both.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *outer, "_stretch")
+
+    def sums(of: list[str], tail: str) -> list[Column]:
+        up_to_now = Window.partitionBy(*of, "_stretch").orderBy("ts").rangeBetween(back, 0)
+        not_before = Window.partitionBy(*of, "_stretch", "ts").orderBy("seq").rangeBetween(0, Window.unboundedFollowing)
+        return [(F.coalesce(F.sum(v).over(up_to_now), F.lit(0)) - F.coalesce(F.sum(v).over(not_before), F.lit(0))).alias(v + tail) for v in values]
+
+    own = [*sums(outer, ""), *sums(keys, "_within")] if within else sums(keys, "")
+    values = [*values, *([f"{v}_within" for v in values] if within else [])]
     seen = both.select(*keys, "_stretch", "_row", *own).where(F.col("_row").isNotNull())
     if not window:
         per = facts.groupBy(*keys, stretch.alias("_stretch")).agg(*[F.sum(v).alias(v) for v in values])

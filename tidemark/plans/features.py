@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.common import small
+from ..operators.common import shared_table, small
 from ..operators.point_in_time import earlier_sums, rate
 from . import activity as A
 
@@ -36,9 +37,8 @@ def _pairs(kind: str, issue: bool, inverse: bool) -> Entries:
             rows = A.comments(s, d).where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), F.col("commenter").alias("b"), "project", "ts", "seq")
         else:  # each pair of people that discuss, as often as their comments multiply
             per = A.comments(s, d).where(F.col("is_issue") == issue).groupBy("id", "commenter", "project", "ts", "seq").agg(F.count("*").alias("m"))
-            people = per.groupBy("id", "project", "ts", "seq").agg(F.collect_list(F.struct("commenter", "m")).alias("people"))
-            x = people.select("project", "ts", "seq", "people", F.explode("people").alias("x"))
-            return x.select("project", "ts", "seq", "x", F.explode("people").alias("y")).where("x.commenter <> y.commenter").select(F.col("x.commenter").alias("a"), F.col("y.commenter").alias("b"), "project", "ts", "seq", (F.col("x.m") * F.col("y.m")).alias("n"))
+            other = per.select("id", F.col("commenter").alias("b"), F.col("m").alias("_m"))
+            return per.join(other, "id").where("commenter <> b").select(F.col("commenter").alias("a"), "b", "project", "ts", "seq", (F.col("m") * F.col("_m")).alias("n"))
         if inverse:
             rows = rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "project", "ts", "seq")
         return rows.where("a <> b").withColumn("n", F.lit(1).cast("long"))
@@ -60,38 +60,90 @@ class Feature:
     inclusive: bool = False
 
 
+#: Scopes that need the sums over all projects, and those over the projects that depend on each other.
+_EVERYWHERE = ("anywhere", "ecosystem", "non_dependency")
+_NEAR = ("dependency", "inverse", "non_dependency")
+
+
 def compute(f: Feature, spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, value) for every pull request."""
+    return compute_all([f], spark, sf_dir)
+
+
+def compute_all(specs: list[Feature], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, a column for each feature) for every pull request.
+
+    Features with the same keys and window share their work: their entries become
+    the columns of one table, which is summed once for what lies within the project
+    and everywhere, and once for the projects nearby.
+    """
+    groups: dict[tuple, list[Feature]] = {}
+    for f in specs:
+        groups.setdefault((f.pair, f.window, f.inclusive), []).append(f)
+    parts = [_group(some, spark, sf_dir) for some in groups.values()]
+    return reduce(lambda x, y: x.join(y, "id"), parts).select("id", *[f.name for f in specs])
+
+
+def _group(specs: list[Feature], spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair, window, inclusive = specs[0].pair, specs[0].window, specs[0].inclusive
     acts = A.activities(spark, sf_dir).where("not is_issue")
-    who = [F.col("submitter").alias("a"), *([F.col("integrator").alias("b")] if f.pair else [])]
+    who = [F.col("submitter").alias("a"), *([F.col("integrator").alias("b")] if pair else [])]
     queries = acts.select("id", "ts", "seq", "project", *who)
-    keys = ["a", "b"] if f.pair else ["a"]
-    values = ["n"] if f.pair or f.value == "count" else ["n", "k"]
-    entries = f.entries(spark, sf_dir)
-    sums = lambda q, more: earlier_sums(q, entries, keys + more, values, f.window, f.inclusive)
-    if f.scope == "intra":
-        got = sums(queries, ["project"])
-    elif f.scope == "anywhere":
-        got = sums(queries, [])
-    elif f.scope == "ecosystem":
-        got = _less(sums(queries, []), sums(queries, ["project"]), values)
-    else:
-        edges = A.dependencies(spark, sf_dir)
-        turned = edges.select(F.col("other").alias("focal"), F.col("focal").alias("other"))
-        own = {"dependency": edges, "inverse": turned, "non_dependency": edges.union(turned).distinct()}[f.scope]
-        near = queries.join(small(own.select(F.col("focal").alias("project"), "other")), "project").drop("project").withColumnRenamed("other", "project").withColumn("pid", F.col("id")).withColumn("id", F.struct("pid", "project"))
-        each = sums(near, ["project"]).groupBy(F.col("pid").alias("id")).agg(*[F.sum(v).alias(v) for v in values])
-        inside = queries.join(each, "id", "left").select("id", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
-        got = inside
+    keys = ["a", "b"] if pair else ["a"]
+    sources: dict[str, int] = {}
+    for f in specs:
+        sources.setdefault(f.sql_entries, len(sources))
+    rated = {f.sql_entries for f in specs if f.value == "rate"}
+    tables, values = [], []
+    for source, i in sources.items():
+        rows = next(f for f in specs if f.sql_entries == source).entries(spark, sf_dir)
+        own = [F.col("n").alias(f"n{i}"), *([F.col("k").alias(f"k{i}")] if source in rated else [])]
+        values += [f"n{i}", *([f"k{i}"] if source in rated else [])]
+        tables.append(rows.select(*keys, "project", "ts", "seq", *own))
+    entries = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+    scopes = {f.scope for f in specs}
+    everywhere, near = scopes & set(_EVERYWHERE), scopes & set(_NEAR)
+    if len(specs) > 1:  # several passes read them
+        entries, queries = shared_table(entries, "entries"), shared_table(queries, "queries")
+    got = queries.select("id")
+    if everywhere:
+        got = earlier_sums(queries, entries, keys, values, window, inclusive, within=["project"])
+    elif "intra" in scopes:
+        inside = earlier_sums(queries, entries, [*keys, "project"], values, window, inclusive)
+        got = inside.withColumnsRenamed({v: f"{v}_within" for v in values})
+    if near:
+        got = got.join(_nearby(queries, entries, keys, values, window, inclusive, spark, sf_dir), "id", "left")
+    return got.select("id", *[_value(f, sources[f.sql_entries]).alias(f.name) for f in specs])
+
+
+def _nearby(queries: DataFrame, entries: DataFrame, keys: list[str], values: list[str], window: int | None, inclusive: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, <value>_out, _in, _near): sums over projects that the own one depends on, that depend on it, and over both."""
+    edges = A.dependencies(spark, sf_dir)
+    turned = edges.select(F.col("other").alias("focal"), F.col("focal").alias("other"))
+    both = edges.withColumn("o", F.lit(1)).unionByName(turned.withColumn("i", F.lit(1)), allowMissingColumns=True)
+    beside = both.groupBy(F.col("focal").alias("project"), "other").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    asked = queries.join(small(beside), "project").drop("project").withColumnRenamed("other", "project").withColumn("pid", F.col("id")).withColumn("id", F.struct("pid", "project"))
+    each = earlier_sums(asked, entries, [*keys, "project"], values, window, inclusive)
+    told = [(v, tail, F.lit(True) if flag is None else F.col(flag) == 1) for v in values for tail, flag in (("_out", "o"), ("_in", "i"), ("_near", None))]
+    return each.groupBy(F.col("pid").alias("id")).agg(*[F.sum(F.when(on, F.col(v))).alias(v + tail) for v, tail, on in told])
+
+
+def _value(f: Feature, i: int) -> Column:
+    """A feature from the sums of its source."""
+
+    def count(v: str) -> Column:
+        got = lambda tail: F.coalesce(F.col(v + tail), F.lit(0))
+        if f.scope == "intra":
+            return got("_within")
+        if f.scope == "anywhere":
+            return got("")
+        if f.scope == "ecosystem":
+            return got("") - got("_within")
         if f.scope == "non_dependency":
-            got = _less(_less(sums(queries, []), sums(queries, ["project"]), values), inside, values)
-    value = F.col("n").cast("long") if f.value == "count" else F.round(rate(F.col("k"), F.col("n")), 9)
-    return got.select("id", value.alias(f.name))
-
+            return got("") - got("_within") - got("_near")
+        return got("_out" if f.scope == "dependency" else "_in")
 
-def _less(all_: DataFrame, part: DataFrame, values: list[str]) -> DataFrame:
-    other = part.select("id", *[F.col(v).alias(f"_{v}") for v in values])
-    return all_.join(other, "id").select("id", *[(F.col(v) - F.col(f"_{v}")).alias(v) for v in values])
+    return count(f"n{i}").cast("long") if f.value == "count" else F.round(rate(count(f"k{i}"), count(f"n{i}")), 9)
 
 
 def sql_of(f: Feature) -> str:

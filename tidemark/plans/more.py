@@ -182,19 +182,16 @@ def rf_ablation(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_WIDE = ("intra_pr_count", "intra_success_rate", "eco_pr_count", "intra_pair_integrated")
-
-
 def _wide_sql() -> str:
-    one = {f.name: features.sql_of(f) for f in features.registry() if f.name in _WIDE}
-    return "SELECT * FROM " + " JOIN ".join(f"({s}) t{i}" if not i else f"({s}) t{i} USING (id)" for i, s in enumerate(one[n] for n in _WIDE))
+    each = [(f.name, features.sql_of(f)) for f in features.registry()]
+    names = ", ".join(n for n, _ in each)
+    return f"SELECT id, {names} FROM " + " JOIN ".join(f"({q}) t{i}" + (" USING (id)" if i else "") for i, (_, q) in enumerate(each))
 
 
 @query(_wide_sql())
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """Several features of every pull request side by side."""
-    specs = {f.name: f for f in features.registry()}
-    return reduce(lambda a, b: a.join(b, "id"), [features.compute(specs[n], spark, d) for n in _WIDE])
+    """All features of every pull request side by side, from one pass for each set of keys."""
+    return features.compute_all(features.registry(), spark, d)
 
 
 def _sweep_sql() -> str:
