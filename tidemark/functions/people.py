@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Domains that say nothing about a person.
+#: Domains that say nothing about a person, and the pattern of an address.
 NO_DOMAINS = ["@server.fake", "@server.com", "@example.com", "@email.com"]
 EMAIL = r"[a-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{|}~-]+)*@[a-z0-9-]+(?:\.[a-z0-9-]+)*"
 
@@ -18,6 +18,25 @@ def clean_email(email: Column) -> Column:
     return F.when(e.rlike(rf"^(?!none$).*(?:{EMAIL}|\.\(none\)$)") & ~e.rlike(rf"(?:{silent})$"), e)
 
 
+def author(line: Column) -> Column:
+    """struct(name, email, first_name, last_name, user_name) of `name <address>`.
+
+    The last name begins at the last capital or after the last of + - _ , and dot,
+    whichever comes later; the first name is the whole name, as it was defined.
+    """
+    name = F.trim(F.substring_index(line, "<", 1))
+    email = F.trim(F.regexp_extract(line, "<([^>]*)", 1))
+    last = F.trim(F.regexp_extract(name, r"([\p{Lu}]?[^+\-_,.\p{Lu}]*)$", 1))
+    return F.struct(name.alias("name"), email.alias("email"), name.alias("first_name"), last.alias("last_name"), F.trim(F.substring_index(email, "@", 1)).alias("user_name"))
+
+
+def author_likeness(a: Column, b: Column, halving: bool = True) -> Column:
+    """struct of six likenesses of two authors: their five parts, and a's first name to b's last name."""
+    like = jaro_winkler_udf(halving)
+    same = [like(a[f], b[f]).alias(f) for f in ("name", "email", "first_name", "last_name", "user_name")]
+    return F.struct(*same, like(a["first_name"], b["last_name"]).alias("inverse_first_name"))
+
+
 def _jaro(a: str, b: str, halving: bool) -> float:
     if a == b:
         return 1.0

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small
 
@@ -105,6 +106,46 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
     return verdict
 
 
+def whitelist(kind: T.DataType, kept: dict, value: Column, ignore_empty: bool = False) -> Column:
+    """value with only the whitelisted fields of a nested type, at any depth.
+
+    kept maps field names to True (the whole field) or to such a map for structs and
+    arrays of structs.  With ignore_empty empty arrays are null.
+    """
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda x: whitelist(kind.elementType, kept, x, ignore_empty))
+        return F.when(F.size(inner) > 0, inner) if ignore_empty else inner
+    fields = []
+    for f in kind:
+        if f.name in kept:
+            own = value[f.name]
+            if isinstance(kept[f.name], dict):
+                own = whitelist(f.dataType, kept[f.name], own, ignore_empty)
+            elif ignore_empty and isinstance(f.dataType, T.ArrayType):
+                own = F.when(F.size(own) > 0, own)
+            fields.append(own.alias(f.name))
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
+def people_in(kind: T.DataType, value: Column, name: str = "user_data", of: str = "id") -> Column:
+    """The distinct ids of all people that a nested value names, at any depth, in order."""
+
+    def found(kind: T.DataType, value: Column) -> list[Column]:
+        if isinstance(kind, T.ArrayType):
+            if not isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+                return []
+            return [F.flatten(F.transform(F.coalesce(value, F.array().cast(kind)), lambda x: F.concat(F.array().cast("array<bigint>"), *found(kind.elementType, x))))]
+        out = []
+        for f in kind if isinstance(kind, T.StructType) else []:
+            if f.name == name and isinstance(f.dataType, T.StructType):
+                out.append(F.array(value[f.name][of].cast("bigint")))
+            elif isinstance(f.dataType, (T.StructType, T.ArrayType)):
+                out += found(f.dataType, value[f.name])
+        return out
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array().cast("array<bigint>"), *found(kind, value)))))
+
+
 def fill_forward(rows: DataFrame, part: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """rows with nulls replaced by the last value before, in an order within each part."""
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -123,6 +123,22 @@ def capped_sample(rows: DataFrame, group: str, key: str, cap: int, seed: int = 4
     return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
+def seeded_order(key: Column, seed: int) -> Column:
+    """A text by which rows are shuffled: the same for the same key and seed, on any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
+def seeded_sample(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """`most` rows chosen by a seeded shuffle; each task hands on its own first ones only."""
+    return rows.orderBy(seeded_order(F.col(key), seed), key).limit(most)
+
+
+def shuffled(rows: DataFrame, key: str, out: str, seed: int = 42) -> DataFrame:
+    """rows with new numbers 0, 1, ... in a seeded order."""
+    placed = rows.withColumn("_order", seeded_order(F.col(key), seed)).withColumn("_one", F.lit(1))
+    return cumulative(placed, ["_order", key], "_one", out=out).drop("_order", "_one")
+
+
 def sample_size(population: Column, spread: float, z: float = 1.96, error: float = 0.05) -> Column:
     """Rows that a representative sample needs."""
     top = z * z * spread

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -74,6 +75,34 @@ def fisher_p(tt: int, tf: int, ft: int, ff: int) -> float:
     return min(1.0, sum(q for x in range(max(0, r + c - n), min(r, c) + 1) if (q := p(x)) <= here * (1 + 1e-7)))
 
 
+def chi_square_p(statistic: float, degrees: int) -> float:
+    """Share of a chi-square distribution above a statistic, by the incomplete gamma function."""
+    a, x = degrees / 2, statistic / 2
+    if x <= 0:
+        return 1.0
+    lead = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:  # the series of the lower part
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - total * lead)
+    b = x + 1 - a  # the continued fraction of the upper part
+    c, d = 1e300, 1 / b
+    out = d
+    for i in range(1, 1000):
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b)
+        c = b + step / c
+        out *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return out * lead
+
+
 def confusion(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
     """Counts, accuracy, precision, recall and F1 of yes/no columns."""
     n = rows.agg(F.count_if(truth & guess).alias("tp"), F.count_if(~truth & guess).alias("fp"), F.count_if(truth & ~guess).alias("fn"), F.count_if(~truth & ~guess).alias("tn"))
@@ -92,6 +121,35 @@ def logit(rows: DataFrame, columns: list[str], label: str) -> np.ndarray:
     return np.concatenate([[model.intercept], model.coefficients.toArray()])
 
 
+def coefficients(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(term, estimate, std_error, z, p, odds) of a binomial model, the constant last."""
+    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(_assembled(rows, columns))
+    told = model.summary
+    values = [*model.coefficients.toArray().tolist(), model.intercept]
+    made = [(t, float(v), float(e), float(z), float(p), math.exp(min(v, 700.0))) for t, v, e, z, p in zip([*columns, "const"], values, told.coefficientStandardErrors, told.tValues, told.pValues, strict=True)]
+    return rows.sparkSession.createDataFrame(made, "term string, estimate double, std_error double, z double, p double, odds double")
+
+
+def matching(columns: list[str], patterns: list[str], keep: bool = True) -> list[str]:
+    """The columns whose names some pattern matches from their beginning; without keep the others."""
+    return [c for c in columns if any(re.match(p, c) for p in patterns) == keep]
+
+
+def correlation_clusters(pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Columns grouped pair by pair: a pair joins every group that has one of its two, else it begins one.
+
+    Groups that a later pair connects stay apart, and both get the pair.
+    """
+    groups: list[list[str]] = []
+    for a, b in pairs:
+        hit = [g for g in groups if a in g or b in g]
+        for g in hit:
+            g += [x for x in (a, b) if x not in g]
+        if not hit:
+            groups.append([a, b])
+    return groups
+
+
 def influence(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     """rows with cooks_distance and residual_z of a logit, and outlier: beyond 4/n and 3."""
     beta = logit(rows, columns, label)
