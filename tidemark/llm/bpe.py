@@ -29,6 +29,8 @@ from .common import append_columns, sha256_text, table
 
 #: Distinct pre-tokens that a task remembers; beyond, it forgets all and begins anew.
 REMEMBERED = 1_000_000
+#: The same for the characters in them.
+REMEMBERED_CHARS = 16 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -181,6 +183,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.entry: dict[str, int] = {}
+        self.held = 0
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
         for token, i in self.v.special.items():
@@ -206,7 +209,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts end to end, and how many each has."""
-        if len(self.entry) > REMEMBERED:
+        if len(self.entry) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self._forget()
         entry, fresh, picks = self.entry, [], []
         for t in texts:
@@ -222,6 +225,7 @@ class Encoder:
             picks.append(np.array(got, np.int64))
         if fresh:
             flat, starts = PairIndex(self.v, fresh).apply()
+            self.held += sum(map(len, fresh))
             self.starts = np.concatenate([self.starts, starts[1:] + len(self.flat)])
             self.flat = np.concatenate([self.flat, flat])
         joined = np.concatenate(picks) if picks else np.zeros(0, np.int64)
