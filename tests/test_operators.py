@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.people import jaro_winkler
-from tidemark.operators import cleaning, explore, graph, identity, stats
+from tidemark.functions.people import author, jaro_winkler
+from tidemark.operators import cleaning, common, explore, graph, identity, registry, stats
 from tidemark.operators.point_in_time import earlier_sums, first_seen, greedy_chunks, rate
 
 
@@ -119,3 +119,116 @@ def test_names(spark):
     assert rows == {1: "ann@mail.org", 2: None, 3: None, 4: "host.(none)", 5: None}
     links = identity.arbitrated(identity.clue_pairs(identity.normalised(mails)))
     assert [(r.a, r.b) for r in links.collect()] == [(1, 5)]
+
+
+def test_dependency_map_by_hand(spark):
+    packages = spark.createDataFrame([("1", "2"), ("1", "1"), ("1", "2"), ("3", "")], "focal string, other string")
+    repositories = spark.createDataFrame([("A/x", "2"), ("unknown", "2"), ("a/x", "")], "repo string, other string")
+    projects = spark.createDataFrame([("7", "a/X", 0), ("1", "a/x", 1)], "id string, repo string, place int")
+    assert {tuple(r) for r in registry.dependency_map(packages, repositories, projects).collect()} == {("1", "2"), ("3", "")}
+    assert [r.repo for r in registry.unresolved(repositories, projects).collect()] == ["unknown"]
+
+
+def test_inclusion_by_hand(spark):
+    stamp = "timestamp '2019-01-01'"
+    prs = spark.sql(f"select * from values ('a/x','GitHub','closed',{stamp},{stamp}), ('a/x','GitHub','open',{stamp},{stamp}), ('b/y','GitLab','merged',{stamp},timestamp '2021-01-01'), ('b/y','GitLab','closed',{stamp},{stamp}), ('c/z','other','closed',{stamp},{stamp}) as t(repo, host, state, created_at, updated_at)")
+    closed = registry.closed_counts(prs, "2020-01-12 00:00:00")
+    assert {r.repo: r.closed for r in closed.collect()} == {"a/x": 1, "b/y": 1, "c/z": 0}
+    rows = spark.createDataFrame([("1", "a/x"), ("2", "a/x"), ("3", "c/z"), ("4", ""), ("5", "none")], "id string, repo string")
+    loud = spark.createDataFrame([("1", "m1", 4), ("1", "m1", 7), ("2", "m1", 9), ("3", "m1", 99)], "id string, month string, downloads int")
+    got = {r.id: (r.enough_prs, r.enough_downloads, r.included) for r in registry.included(rows, closed, loud, 1, 10).collect()}
+    assert got == {"1": (True, True, True), "2": (True, False, False), "3": (False, True, False), "5": (False, False, False)}
+
+
+def test_tables_that_are_kept(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert registry.kept_table(spark, str(tmp_path / "t"), make).count() == 3
+    assert registry.kept_table(spark, str(tmp_path / "t"), make).count() == 3
+    assert made == [1]
+
+
+def test_p_values():
+    for x, k, p in ((3.841458820694124, 1, 0.05), (11.070497693516351, 5, 0.05), (0.0, 3, 1.0), (1.0, 2, np.exp(-0.5)), (60.0, 4, 2.9015e-12)):
+        assert stats.chi_square_p(x, k) == pytest.approx(p, rel=1e-4)
+
+
+def test_coefficients_agree_with_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] - 0.7 * x[:, 1] + rng.logistic(size=400) > 0).astype(float)
+    a, beta = np.c_[x, np.ones(400)], np.zeros(3)
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-a @ beta))
+        inverse = np.linalg.inv(a.T @ (a * (mu * (1 - mu))[:, None]))
+        beta = beta + inverse @ (a.T @ (y - mu))
+    got = stats.coefficients(spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "u double, v double, y double"), ["u", "v"], "y").collect()
+    assert [r.term for r in got] == ["u", "v", "const"]
+    assert np.allclose([r.estimate for r in got], beta, atol=1e-4)
+    assert np.allclose([r.std_error for r in got], np.sqrt(np.diag(inverse)), atol=1e-4)
+    assert np.allclose([r.odds for r in got], np.exp(beta), atol=1e-3)
+
+
+def test_columns_and_clusters_of_columns():
+    names = ["eco_pr", "intra_pr", "pr_eco"]
+    assert stats.matching(names, ["eco"]) == ["eco_pr"]
+    assert stats.matching(names, ["eco", ".*_pr$"], keep=False) == ["pr_eco"]
+    assert stats.correlation_clusters([("a", "b"), ("c", "d"), ("b", "c"), ("e", "f")]) == [["a", "b", "c"], ["c", "d", "b"], ["e", "f"]]
+
+
+def test_quantiles_and_medians(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), float(rng.randrange(40))) for _ in range(500)] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    cuts = [0.0, 0.1, 0.5, 0.98, 1.0]
+    values = [v for _, v in rows if v is not None]
+    assert np.allclose(common.quantiles(df, "v", cuts), np.quantile(values, cuts))
+    assert common.quantiles(df.limit(0), "v", cuts) is None
+    got = {r.g: r.m for r in common.grouped_medians(df, "g", "v", "m").collect()}
+    assert got == {g: float(np.median([v for h, v in rows if h == g and v is not None])) for g in range(3)}
+
+
+def test_authors(spark):
+    lines = ["John Hopkins <j.hopkins@hospitals.com>", "J.H. Hopkins <hopkins@jh.hospitals.com>", "plain <p@q>", "a-b_c <x@y>"]
+    got = [r.a for r in spark.createDataFrame([(x,) for x in lines], "l string").select(author(F.col("l")).alias("a")).collect()]
+    assert [(a.last_name, a.user_name) for a in got] == [("Hopkins", "j.hopkins"), ("Hopkins", "hopkins"), ("plain", "p"), ("c", "x")]
+    # halving at every character: ((1 / 2 + 1) / 2) / 2 = 0.375 out of place, so (2 + 5.625 / 6) / 3, and 0.3 of the rest for three equal first characters
+    assert jaro_winkler("martha", "marhta", True) == pytest.approx(0.97916667 + 0.3 * 0.02083333, abs=1e-6)
+
+
+def test_accounts_merge_by_cluster(spark):
+    accounts = spark.createDataFrame([(1, "a@x"), (2, "a@x"), (3, "b@x"), (4, "c@x"), (5, "c@x"), (6, "d@x"), (7, "e@x"), (8, "f@x")], "uid long, email string")
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 6), (8, 6)], "uid long, cluster long")
+    labels = spark.createDataFrame([(1, 2, "EMAIL"), (2, 3, "COMP_EMAIL_PREFIX"), (4, 5, "EMAIL"), (6, 7, "FULL_NAME"), (7, 8, "FULL_NAME")], "a long, b long, rule string")
+    got = {(r.uid, r.representative) for r in identity.merged_accounts(accounts, members, labels).collect()}
+    assert got == {(2, 1), (5, 4), (7, 6), (8, 6)}  # the first is split by address, the others are valid as they are
+    assert identity.member_pairs(members.where("cluster = 6")).count() == 3
+
+
+def test_second_order_by_brute_force(spark):
+    rng = random.Random(12)
+    labels, window = ("c", "e"), 20
+    edges = [(rng.randrange(5), rng.randrange(5), rng.choice(labels), t, i, rng.randrange(2), rng.randrange(1, 3)) for i, t in enumerate(sorted(rng.randrange(90) for _ in range(120)))]
+    queries = [(1000 + i, rng.randrange(90), 500 + i, rng.randrange(5), rng.randrange(2)) for i in range(25)]
+    df = spark.createDataFrame(edges, "src long, tgt long, label string, ts long, seq long, project long, m long")
+    asked = spark.createDataFrame(queries, "id long, ts long, seq long, u long, project long")
+    for scope in ("intra", "ecosystem"):
+        for direction in ("in", "out"):
+            want: dict = {}
+            for q, ts, seq, u, project in queries:
+                near: dict = {}
+                for s, t, c, at, n, p, m in edges:
+                    if t == u and s != t and (p == project) == (scope == "intra") and at > ts - window and (at, n) < (ts, seq):
+                        near.setdefault((s, c), []).extend([(at, n)] * m)
+                for (n, c), conn in near.items():
+                    for i, (at, _) in enumerate(sorted(conn)):
+                        for s, t, e, when, _, _, m in edges:
+                            end, far = (t, s) if direction == "in" else (s, t)
+                            if s != t and end == n and far != u and ts - window < when < at:
+                                want[q, c, e] = want.get((q, c, e), 0) + (len(conn) - i) * m
+            got = {(r.id, r.c, r.e): r.degree for r in graph.second_order_degree(asked, df, window, scope, direction, labels).collect()}
+            assert got == want

@@ -1,31 +1,7 @@
-"""Settings of a run, in one frozen object."""
+"""Settings that several operators share."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 DAY = 86_400
-
-
-@dataclass(frozen=True)
-class EngineConfig:
-    """window: length of the look-back in seconds (None: all history).
-
-    inclusive: whether an entry exactly one window old still counts.
-    The faithful flags keep known oddities of the original feature definitions;
-    off, the documented meaning is computed.
-    """
-
-    window: int | None = 90 * DAY
-    inclusive: bool = False
-    faithful_integrator_key: bool = True
-    faithful_bot_vote: bool = True
-    faithful_link_strength: bool = True
-    faithful_jaro: bool = True
-    case_sensitive_names: bool = False
-    max_activity: int = 2
-    #: Rows up to which a side is broadcast; larger ones are joined by shuffle.
-    broadcast_rows: int = 200_000
-
-
-DEFAULT = EngineConfig()
+#: Rows up to which a side is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
+from ..config import BROADCAST_ROWS
 
 
-def small(df: DataFrame, most: int = DEFAULT.broadcast_rows) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows, else as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
