@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near duplicates, personal data, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir), where docs is all that the stage before
-kept, and returns rows; all but the last return the columns of documents.
+kept, and returns rows; all but the last return the columns of documents.  Null
+texts count as empty, and further columns of documents are kept as they are.  Rows of
+one doc_id are taken for one document: they stay, go or are repeated alike.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, minhash, mixing, pii, quality
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import fresh, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that link by five-word shingles at 80 percent, that with the least id stays."""
     classes = minhash.near_duplicates(docs, width=5, percent=80)
-    return docs.join(classes.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(classes.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts gives way to its kind in brackets."""
-    masked = pii.mask(pii.find(docs, spans="_spans"), spans="_spans")
+    (spans,) = fresh(docs.columns, "spans")
+    masked = pii.mask(pii.find(docs, spans=spans), spans=spans)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -36,8 +39,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     sized = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "sized")
     targets = stored(mixing.fill_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), [3, 1, 2], 1.5, mixing.MOST_COPIES), "targets")
     mixed = mixing.mix(sized.withColumn("sources", F.array("source")), targets)
-    copies = mixed.where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, times, copy = fresh(docs.columns, "key", "times", "copy")
+    copies = mixed.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias(times)).where(F.col(times) > 0)
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
