@@ -106,7 +106,16 @@ def day_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT id, chunk_id FROM act JOIN (SELECT s, lead(s) OVER (ORDER BY s) AS e, row_number() OVER (ORDER BY s) - 1 AS chunk_id FROM chain) ON ts >= s AND (e IS NULL OR ts < e)", "RECURSIVE_").replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE_", ", chain AS (SELECT min(ts) AS s FROM act UNION ALL SELECT (SELECT min(ts) FROM act WHERE ts > chain.s + 7776000) FROM chain WHERE (SELECT min(ts) FROM act WHERE ts > chain.s + 7776000) IS NOT NULL)"))
+#: The chain of chunk starts, as SQL, and each activity's chunk.
+_CHAIN = "chain AS (SELECT min(ts) AS s FROM act UNION ALL SELECT (SELECT min(ts) FROM act WHERE ts > chain.s + 7776000) FROM chain WHERE (SELECT min(ts) FROM act WHERE ts > chain.s + 7776000) IS NOT NULL)"
+CHUNKED = f"{_CHAIN}, chunked AS (SELECT act.*, chunk_id FROM act JOIN (SELECT s, lead(s) OVER (ORDER BY s) AS e, row_number() OVER (ORDER BY s) - 1 AS chunk_id FROM chain) ON ts >= s AND (e IS NULL OR ts < e))"
+
+
+def recursive(body: str, more: str) -> str:
+    return sql(body, more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive("SELECT id, chunk_id FROM chunked", CHUNKED))
 def greedy_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return greedy_chunks(A.activities(spark, d).select("id", "ts"), A.WINDOW).select("id", "chunk_id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explore as E
 from ..operators import stats as S
-from ..operators.common import quantiles, small
+from ..operators.common import quantiles, shared_table, small
 from ..streaming import windows as W
 from . import activity as A
 from . import graphs
@@ -128,7 +128,7 @@ def progress_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT label, round((1 - n * 1.0 / sum(n) OVER ()) / (count(*) OVER () - 1), 9) AS weight FROM (SELECT label, count(*) AS n FROM edges GROUP BY 1)", graphs._EDGES))
 def edge_weights(spark: SparkSession, d: str) -> DataFrame:
-    counts = graphs.collaboration(spark, d).groupBy("label").agg(F.sum("m").alias("n"))
+    counts = graphs.received(spark, d).groupBy("label").agg(F.sum("n").alias("n"))
     return E.edge_weights(counts).withColumn("weight", F.round("weight", 9))
 
 
@@ -137,15 +137,14 @@ _WEIGHED = f"{graphs._EDGES}, w AS (SELECT label, (1 - n * 1.0 / sum(n) OVER ())
 
 @query(sql("SELECT tgt AS person, round(sum(weight), 6) AS centrality FROM edges JOIN w USING (label) GROUP BY 1", _WEIGHED))
 def weighted_centrality(spark: SparkSession, d: str) -> DataFrame:
-    edges = graphs.collaboration(spark, d)
-    per = edges.groupBy("tgt", "label").agg(F.sum("m").alias("n"))
+    per = shared_table(graphs.received(spark, d), "received")
     weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
     return per.join(small(weights), "label").groupBy(F.col("tgt").alias("person")).agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("centrality"))
 
 
 @query(sql("SELECT src, tgt, round(sum(weight), 6) AS strength FROM edges JOIN w USING (label) GROUP BY 1, 2", _WEIGHED))
 def link_strength(spark: SparkSession, d: str) -> DataFrame:
-    per = graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n"))
+    per = shared_table(graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n")), "links")
     weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
     return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("strength"))
 

@@ -47,6 +47,22 @@ def collaboration(spark: SparkSession, d: str) -> DataFrame:
     return led.unionByName(to_submitter).unionByName(talk).where("src <> tgt")
 
 
+def received(spark: SparkSession, d: str) -> DataFrame:
+    """(tgt, label, n): how many edges of collaboration() enter each person.
+
+    Of an activity with M comments, m of them a person's, m * (M - m) pairs of
+    comments lead to that person, so no pairs are made.
+    """
+    acts = A.activities(spark, d)
+    led = acts.where("not is_issue and integrator <> submitter").groupBy(F.col("submitter").alias("tgt")).agg(F.count("*").alias("n")).withColumn("label", F.lit("pr_integrator_submitter"))
+    per = A.comments(spark, d).groupBy("id", "commenter", "submitter", "is_issue").agg(F.count("*").alias("m"))
+    kind = F.when(F.col("is_issue"), "issue").otherwise("pr")
+    rows = per.join(per.groupBy("id").agg(F.sum("m").alias("all")), "id").withColumn("kind", kind)
+    talk = rows.groupBy(F.col("commenter").alias("tgt"), F.concat("kind", F.lit("_commenter_commenter")).alias("label")).agg(F.sum(F.col("m") * (F.col("all") - F.col("m"))).alias("n"))
+    said = rows.where("commenter <> submitter").groupBy(F.col("submitter").alias("tgt"), F.concat("kind", F.lit("_commenter_submitter")).alias("label")).agg(F.sum("m").alias("n"))
+    return led.unionByName(talk).unionByName(said).where("n > 0")
+
+
 @query(sql("SELECT label, count(*) AS n_edges, count(DISTINCT src * 1000 + tgt) AS n_pairs FROM edges GROUP BY 1", _EDGES))
 def edge_counts_by_label(spark: SparkSession, d: str) -> DataFrame:
     return collaboration(spark, d).groupBy("label").agg(F.sum("m").alias("n_edges"), F.countDistinct("src", "tgt").alias("n_pairs"))

@@ -16,6 +16,7 @@ from . import activity as A
 from . import explore as X
 from . import features
 from .activity import sql, table
+from .cleaning import CHUNKED, recursive
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -46,7 +47,7 @@ for _key, _name in (("integrator", "integrator_experience"), ("merged", "integra
     ORACLE_SQL[_name] = sql(f"SELECT q.id, count(e.id) AS experience FROM pr q LEFT JOIN pr e ON e.project = q.project AND e.{_key} = q.{_key} AND e.ts > q.ts - {A.WINDOW} AND (e.ts < q.ts OR (e.ts = q.ts AND e.seq < q.seq)) WHERE q.{_key} IS NOT NULL GROUP BY q.id")
 
 
-@query()
+@query(recursive("SELECT id, chunk_id, row_number() OVER (PARTITION BY chunk_id, project, submitter ORDER BY ts, seq) = 1 AS first_time FROM chunked WHERE NOT is_issue", CHUNKED))
 def first_time_in_chunk(spark: SparkSession, d: str) -> DataFrame:
     """First-time contributors as seen within greedy chunks only."""
     chunked = greedy_chunks(A.activities(spark, d), A.WINDOW).where("not is_issue")
