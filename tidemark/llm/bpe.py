@@ -31,6 +31,8 @@ from .common import append_columns, sha256_text, table
 REMEMBERED = 1_000_000
 #: The same for the characters in them.
 REMEMBERED_CHARS = 16 << 20
+#: Bytes of text that are encoded and ids that are decoded at once; a batch of new pre-tokens takes some forty times its bytes.
+TEXT_BYTES, IDS = 1 << 20, 250_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -252,7 +254,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
         return work
 
-    return append_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    return append_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, most=TEXT_BYTES)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -270,7 +272,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
             sizes = pc.fill_null(pc.list_value_length(whole.column(ids)), 0).to_numpy(zero_copy_only=False).tolist()
             while begin < len(sizes):
                 end, held = begin, 0
-                while end < len(sizes) and (end == begin or held + sizes[end] <= 1_000_000):
+                while end < len(sizes) and (end == begin or held + sizes[end] <= IDS):
                     held += sizes[end]
                     end += 1
                 part = whole.slice(begin, end - begin)
