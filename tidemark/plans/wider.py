@@ -15,7 +15,7 @@ from ..operators import identity as I
 from ..operators import registry as R
 from ..operators import stats as S
 from ..operators.common import cumulative, quantiles, shared_path, shared_table, small
-from ..operators.point_in_time import first_seen
+from ..operators.point_in_time import first_seen, greedy_chunks
 from ..sources import readers, writers
 from . import activity as A
 from . import cleaning, explore, graphs
@@ -317,7 +317,7 @@ def json_array_scan(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "arrays")
     k = F.col("o_orderkey")
     record = F.to_json(F.struct(k.alias("id")))
-    groups = table(spark, d, "orders").groupBy((k % 5).alias("r"), (F.floor(k / 1000) % 50).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    groups = table(spark, d, "orders").groupBy((k % 5).alias("r"), F.floor(k / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
     groups.select("value", F.concat(F.lit("own"), F.col("r").cast("string"), F.lit("--repo")).alias("from")).write.partitionBy("from").option("lineSep", "\n").text(path)
     # each line is an array of its own
     lines = spark.read.text(path).select(F.from_json("value", "array<struct<id:bigint>>").alias("rows"), "_metadata.file_path")
@@ -369,6 +369,25 @@ def chronological_files(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("o_orderkey", F.col("place").cast("long").alias("place"))
 
 
+@query(cleaning.recursive("SELECT chunk_id, count(*) AS n, min(id) AS least, max(id) AS most FROM chunked GROUP BY 1", cleaning.CHUNKED))
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    """Activities written to a folder for each chunk of time, one chunk of them written anew, and read back as one table."""
+    path = shared_path(spark, "chunks")
+    chunks = greedy_chunks(A.activities(spark, d).select("id", "ts"), A.WINDOW).select("id", "chunk_id")
+    writers.chunks(chunks, path, "chunk_id")
+    writers.chunks(chunks.where("chunk_id = 1"), path, "chunk_id")
+    return spark.read.parquet(path).groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"))
+
+
+@query(sql("SELECT src, tgt, round(sum(weight), 6) AS strength FROM (SELECT src, tgt, CASE WHEN label LIKE '%commenter_commenter' THEN weight * weight ELSE weight END AS weight FROM edges JOIN w USING (label)) GROUP BY 1, 2", explore._WEIGHED))
+def link_strength_faithful(spark: SparkSession, d: str) -> DataFrame:
+    """Link strengths as they were once computed: discussions are weighted twice."""
+    per = shared_table(graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n")), "links")
+    weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
+    twice = F.when(F.endswith("label", F.lit("commenter_commenter")), F.col("weight") * F.col("weight")).otherwise(F.col("weight"))
+    return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * twice), 6).alias("strength"))
+
+
 @query("SELECT o_orderkey, o_custkey % 100 AS submitter_id, 'y' AS submitter_login FROM orders")
 def feature_csv(spark: SparkSession, d: str) -> DataFrame:
     """A table with a struct written as a flat CSV and read back."""

@@ -28,6 +28,11 @@ def chronological(df: DataFrame, path: str, time: str, *ties: str) -> None:
     df.where(F.col(time).isNotNull()).repartitionByRange(time).sortWithinPartitions(time, *ties).write.mode("overwrite").parquet(path)
 
 
+def chunks(df: DataFrame, path: str, column: str) -> None:
+    """Parquet in one folder for each chunk; only the chunks that df holds are replaced, so a broken run goes on where it ended."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
 def split_by(df: DataFrame, path: str, column: str, kept: list[str] | None = None, unknown: str = "unknown") -> None:
     """Parquet in one folder for each value of a column; null is `unknown`, values outside `kept` are dropped."""
     named = df.withColumn(column, F.coalesce(F.col(column), F.lit(unknown)))
