@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 #: The white space and the words of the operators that count or shingle words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one slice of a batch holds at most (one row may exceed it).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
