@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +143,23 @@ def append_columns(df: DataFrame, column: str, fields: list[T.StructField], make
     return df.mapInArrow(run, schema)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """rows with the place of each, from 0, among those of its group in an order.
+
+    Rows are dealt into ranges of (by, order) and numbered within a range; the
+    numbers of rows in the ranges before are added, so no task needs a whole group.
+    Rows alike in all of these are dealt by chance.  Groups are not null.
+    """
+    part, salt, before = fresh([*rows.columns, out], "part", "salt", "before")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.withColumn(salt, F.rand(7)).repartitionByRange(parts, *by, *order, salt).withColumn(part, F.spark_partition_id())
+    dealt = stored(ranges, "ranges")
+    ahead = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(part, *by).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(ahead), F.lit(0)))
+    inside = dealt.withColumn(out, F.row_number().over(Window.partitionBy(part, *by).orderBy(*order, salt)) - 1)
+    return inside.join(counts, [part, *by]).select(*rows.columns, (F.col(out) + F.col(before)).alias(out))
+
+
 def checked_broadcast(small: DataFrame, most_rows: int) -> DataFrame:
     """small with a broadcast hint if it has at most most_rows rows, else as it is (a shuffled join)."""
     return F.broadcast(small) if small.limit(most_rows + 1).count() <= most_rows else small
