@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats
+from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats, sharding, variants
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -22,4 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": bpe.op8_bpe,
     "op9_chat": chat.op9_chat,
     "op10_repeats": repeats.op10_repeats,
+    "op11_variants": variants.op11_variants,
+    "op12_sharding": sharding.op12_sharding,
 }
