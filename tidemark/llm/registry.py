@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats, sharding, variants
+from . import bpe, chat, language, media, minhash, mixing, order_minhash, pii, quality, repeats, sharding, treaps, variants
 from .oracles import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": repeats.op10_repeats,
     "op11_variants": variants.op11_variants,
     "op12_sharding": sharding.op12_sharding,
+    "op13_search": treaps.op13_search,
 }
