@@ -57,4 +57,89 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM whole
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7, "op9_chat": OP9}
+OP11 = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), counted AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY doc_id, run
+), hashed AS MATERIALIZED (
+  SELECT run, k, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ((instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) AS h
+  FROM counted
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5
+), less AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.head || a.tail = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.head || a.tail = b.word)
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), follow AS (
+  SELECT word, word AS here, 0 AS step FROM forms
+  UNION ALL SELECT follow.word, form, step + 1 FROM follow JOIN forms ON follow.here = forms.word WHERE form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(here, step) AS root FROM follow GROUP BY word
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+OP12 = r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, sha256('{"g":"' || sha256(coalesce(text, '')) || '"}') AS key, hex(encode(coalesce(text, ''))) AS x FROM documents
+), groups AS MATERIALIZED (
+  SELECT key, CAST(sum(size) AS BIGINT) AS total, row_number() OVER (ORDER BY sum(size) DESC, key) AS i FROM docs GROUP BY key
+), heap AS (
+  SELECT CAST(0 AS BIGINT) AS i, list_transform(range(40), lambda s: CAST(0 AS BIGINT)) AS loads, CAST(0 AS INT) AS shard
+  UNION ALL
+  SELECT groups.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + total ELSE x END), CAST(list_position(loads, list_min(loads)) - 1 AS INT)
+  FROM heap JOIN groups ON groups.i = heap.i + 1
+), shares AS (
+  SELECT total, shard, sum(count(*)) OVER (PARTITION BY total ORDER BY shard) AS upto, count(*) AS n FROM heap JOIN groups USING (i) GROUP BY total, shard
+), places AS (
+  SELECT key, total, row_number() OVER (PARTITION BY total ORDER BY key) AS place FROM groups
+), homes AS (
+  SELECT key, shard FROM places JOIN shares ON places.total = shares.total AND place <= upto AND place > upto - n
+)
+SELECT doc_id, size, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ((instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) AS text_crc32,
+  'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id, key) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM docs JOIN homes USING (key)
+"""
+
+OP13 = r"""
+WITH said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), posted AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS tf FROM said GROUP BY doc_id, term
+), lengths AS MATERIALIZED (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM posted GROUP BY doc_id
+), whole AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), norms AS (
+  SELECT doc_id, 10 + (90 * n * docs) // words AS m FROM lengths, whole
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM posted, whole GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN posted USING (term) JOIN norms USING (doc_id)
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_minhash": OP7, "op9_chat": OP9, "op11_variants": OP11, "op12_sharding": OP12, "op13_search": OP13}
