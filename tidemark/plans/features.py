@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import shared_table, small
+from ..operators.incremental import carry_on, last_window, merged_sums, with_past
 from ..operators.point_in_time import earlier_sums, rate
 from . import activity as A
 
@@ -70,21 +71,30 @@ def compute(f: Feature, spark: SparkSession, sf_dir: str) -> DataFrame:
     return compute_all([f], spark, sf_dir)
 
 
-def compute_all(specs: list[Feature], spark: SparkSession, sf_dir: str) -> DataFrame:
+def compute_all(specs: list[Feature], spark: SparkSession, sf_dir: str, state: str | None = None, next_state: str | None = None) -> DataFrame:
     """(id, a column for each feature) for every pull request.
 
     Features with the same keys and window share their work: their entries become
     the columns of one table, which is summed once for what lies within the project
     and everywhere, and once for the projects nearby.
+
+    A log that arrives in chunks, each later in the stream than the one before, needs
+    no history: `next_state` names a folder to which a run writes what later chunks may ask
+    of it, and `state` the folder that the run over the chunk before has written.  A state
+    holds the entries of the last window and, for features without a window, sums by key.
+    A run that breaks is repeated from the state before it; its own folder is written anew.
+    A chunk that begins before the end of the state's log is refused.
     """
     groups: dict[tuple, list[Feature]] = {}
     for f in specs:
         groups.setdefault((f.pair, f.window, f.inclusive), []).append(f)
-    parts = [_group(some, spark, sf_dir) for some in groups.values()]
+    if state or next_state:
+        carry_on(spark, A.activities(spark, sf_dir), state, next_state)
+    parts = [_group(some, spark, sf_dir, state, next_state) for some in groups.values()]
     return reduce(lambda x, y: x.join(y, "id"), parts).select("id", *[f.name for f in specs])
 
 
-def _group(specs: list[Feature], spark: SparkSession, sf_dir: str) -> DataFrame:
+def _group(specs: list[Feature], spark: SparkSession, sf_dir: str, state: str | None, next_state: str | None) -> DataFrame:
     pair, window, inclusive = specs[0].pair, specs[0].window, specs[0].inclusive
     acts = A.activities(spark, sf_dir).where("not is_issue")
     who = [F.col("submitter").alias("a"), *([F.col("integrator").alias("b")] if pair else [])]
@@ -103,13 +113,22 @@ def _group(specs: list[Feature], spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
     scopes = {f.scope for f in specs}
     everywhere, near = scopes & set(_EVERYWHERE), scopes & set(_NEAR)
-    if len(specs) > 1:  # several passes read them
+    name = f"{'pairs' if pair else 'people'}-{window}-{'from' if inclusive else 'after'}"
+    if state and window:
+        entries = entries.unionByName(spark.read.parquet(f"{state}/{name}"))
+    if len(specs) > 1 or next_state:  # several passes read them
         entries, queries = shared_table(entries, "entries"), shared_table(queries, "queries")
+    past = spark.read.parquet(f"{state}/{name}") if state and not window else None
+    if next_state:
+        kept = last_window(entries, window, inclusive, spark.read.parquet(f"{next_state}/end")) if window else merged_sums(entries, past, [*keys, "project"], values)
+        kept.write.mode("overwrite").parquet(f"{next_state}/{name}")
     got = queries.select("id")
     if everywhere:
         got = earlier_sums(queries, entries, keys, values, window, inclusive, within=["project"])
     elif "intra" in scopes:
         inside = earlier_sums(queries, entries, [*keys, "project"], values, window, inclusive)
+        if past is not None:
+            inside = with_past(inside, past, [*keys, "project"], values)
         got = inside.withColumnsRenamed({v: f"{v}_within" for v in values})
     if near:
         got = got.join(_nearby(queries, entries, keys, values, window, inclusive, spark, sf_dir), "id", "left")

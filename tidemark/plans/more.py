@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explore as E
 from ..operators import stats as S
-from ..operators.common import cumulative, quantiles, shared_table, small
+from ..operators.common import cumulative, quantiles, shared_path, shared_table, small
 from ..operators.point_in_time import earlier_sums, first_seen, greedy_chunks
 from ..sources.readers import repository
 from . import activity as A
@@ -195,6 +195,31 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return features.compute_all(features.registry(), spark, d)
 
 
+def halves(spark: SparkSession, d: str) -> list[str]:
+    """Two folders with the first and the last half of the stream, each with its own lines and all packages."""
+    orders = table(spark, d, "orders")
+    (middle,) = quantiles(orders.select(A.seconds(F.col("o_orderdate")).alias("t")), "t", [0.5]) or [0.0]
+    first = A.seconds(F.col("o_orderdate")) <= middle
+    out = []
+    for mine in (first, ~first):
+        folder = shared_path(spark, "half")
+        some = orders.where(mine)
+        some.write.parquet(f"{folder}/orders.parquet")
+        table(spark, d, "lineitem").join(some.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").write.parquet(f"{folder}/lineitem.parquet")
+        table(spark, d, "part").write.parquet(f"{folder}/part.parquet")
+        out.append(folder)
+    return out
+
+
+@query(_wide_sql())
+def feature_table_by_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All features of a log that arrives in two chunks: the second run reads its own chunk and the state that the first left."""
+    early, late = halves(spark, d)
+    state = shared_path(spark, "state")
+    first = features.compute_all(features.registry(), spark, early, next_state=f"{state}/1")
+    return first.unionByName(features.compute_all(features.registry(), spark, late, state=f"{state}/1", next_state=f"{state}/2"))
+
+
 def _sweep_sql() -> str:
     from dataclasses import replace
 
