@@ -289,8 +289,3 @@ def events_sliding_count(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _plain_start(W.drained(W.sessions(_events(spark, d), "2 hours"), "sessions", "complete"))
-
-
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 259199999999 MICROSECONDS PRECEDING AND CURRENT ROW) - 1 AS n FROM events")
-def events_earlier_counts(spark: SparkSession, d: str) -> DataFrame:
-    return W.drained(W.earlier_counts(_events(spark, d), 3 * 86_400_000_000), "earlier")

@@ -1,16 +1,15 @@
-"""Streaming twins: windowed counts with watermarks, and point-in-time counts with keyed state."""
+"""Streaming twins: windowed counts with watermarks; streams from files and to files."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.common import shared_path
+from .stateful import ROCKSDB
 
 
 def source(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet") -> DataFrame:
@@ -18,6 +17,34 @@ def source(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.par
     return spark.readStream.schema(like.schema).option("pathGlobFilter", glob).parquet(folder)
 
 
+def arriving(rows: DataFrame, time: str, slices: int, closing: DataFrame) -> tuple[DataFrame, str]:
+    """A stream of rows in `slices` batches by time, a fifth of each a batch late, and one that ends all watermarks; and how late rows are.
+
+    A row comes no later than two slices of the whole span of time.
+    """
+    spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "arriving")
+    at = F.unix_micros(time)
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    step = max(1, -(-((last or 0) - (first or 0) + 1) // slices))
+    own = F.floor((at - F.lit(first or 0)) / step)
+    batch: Column = own + (F.pmod(F.xxhash64(*rows.columns), F.lit(5)) == 0).cast("int")
+    for i in range(slices + 1):
+        rows.where(batch == i).coalesce(1).write.mode("append").parquet(folder)
+    closing.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), f"{2 * step} microseconds"
+
+
+@contextmanager
+def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def tumbling(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
     """(start, event_type, n, total) for each stretch of time; with `late`, rows later than that are dropped."""
     seen = events.withWatermark("ts", late) if late else events
@@ -34,38 +61,11 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return seen.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def earlier_counts(events: DataFrame, window_micros: int) -> DataFrame:
-    """(event_id, n): how many earlier events of the user lie within the window.
-
-    State is kept for each user and stretch of one window; an event goes to its own
-    stretch, where it is counted and answered, and to the next, where it is counted
-    only, so a user with very many events spreads over as many keys as stretches.
-    A batch's rows are put in order of (time, id), and counts come from binary
-    searches in the sorted times.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0] if state.exists else [], np.int64)
-        rows = pd.concat(list(parts)).sort_values(["t", "event_id"])
-        every = np.sort(np.concatenate([held, rows.t.to_numpy(np.int64)]))
-        t = rows.t.to_numpy(np.int64)
-        place = np.searchsorted(held, t, "right") + np.arange(len(t))  # rows before it in the stream
-        first = np.searchsorted(every, t - window_micros, "right")
-        state.update((every.tolist(),))
-        own = rows.asked.to_numpy(bool)
-        yield pd.DataFrame({"event_id": rows.event_id.to_numpy()[own], "n": (place - first)[own]})
-
-    t = F.unix_micros(F.to_timestamp("ts"))
-    stretch = F.floor(F.col("t") / window_micros)
-    timed = events.select("event_id", "user_id", t.alias("t")).select("event_id", "user_id", "t", F.posexplode(F.array(stretch, stretch + 1)).alias("more", "stretch")).withColumn("asked", F.col("more") == 0)
-    return timed.groupBy("user_id", "stretch").applyInPandasWithState(step, "event_id long, n long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", told: list | None = None) -> DataFrame:
     """The rows of a stream whose input is all there, by a run that ends when it is used up.
 
     They go to Parquet files in the shared folder.  Aggregates run in complete mode,
-    and each batch replaces what the one before wrote.
+    and each batch replaces what the one before wrote.  The progress of the batches is added to `told`.
     """
     spark = stream.sparkSession
     path, checkpoint = shared_path(spark, name), shared_path(spark, f"{name}-progress")
@@ -74,5 +74,9 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
         out = out.format("parquet").option("path", path)
     else:
         out = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
-    out.start().awaitTermination()
+    with _state_in_rocksdb(spark):
+        run = out.start()
+        run.awaitTermination()
+    if told is not None:
+        told += run.recentProgress
     return spark.read.schema(stream.schema).parquet(path)
