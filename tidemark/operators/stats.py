@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import BROADCAST_ROWS
 from .common import cumulative, shared_table, small
 
 
@@ -32,22 +35,91 @@ def vif(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame(list(zip(columns, values.tolist(), strict=True)), "column string, vif double")
 
 
-def average_rank(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """rows with ranks of a column, equal values sharing their mean rank; counts of values make the ranks."""
-    values = rows.groupBy(column).agg(F.count("*").alias("_n"))
-    parts = cumulative(values, [column], "_n", out="_before")
-    ranks = small(parts.select(F.col(column).alias("_v"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out)))
-    return rows.join(ranks, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
+def placed_values(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v, n, before): how often each value of each column occurs, and how many values of its column are less.
+
+    All columns are melted and counted together, and their counts ordered together: few counts by one
+    window for each column, more by ranges of (column, value).  Null is the least value.
+    """
+    values = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("column", "v"))
+    counts = shared_table(values.groupBy("column", "v").agg(F.count("*").alias("n")), "counts")
+    if counts.count() <= BROADCAST_ROWS:
+        less = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(less), F.lit(0)))
+    else:
+        placed = cumulative(counts, ["v"], "n", ["column"])
+    return shared_table(placed, "placed")
+
+
+def summaries(rows: DataFrame, columns: list[str], cuts: dict[str, float] | None = None) -> DataFrame:
+    """(column, n, mean, std, least, <cuts>, most) of each column, nulls left out; quantiles are exact, between neighbours.
+
+    All of it comes from the counts of values, so rows are read once for all columns.
+    """
+    cuts = cuts or {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    placed = placed_values(rows, columns)
+    known = placed.where("v is not null")
+    missing = placed.where("v is null").select("column", F.col("n").alias("_nulls"))
+    total = known.groupBy("column").agg(F.sum("n").alias("_all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    each = known.join(F.broadcast(total.join(missing, "column", "left")), "column").withColumn("_at", F.col("before") - F.coalesce("_nulls", F.lit(0)))
+    holds = lambda p: (p >= F.col("_at")) & (p < F.col("_at") + F.col("n"))
+    at = {name: (F.col("_all") - 1) * cut for name, cut in cuts.items()}
+    ends = [F.max(F.when(holds(end(p)), F.col("v"))).alias(f"{name}_{side}") for name, p in at.items() for side, end in (("lo", F.floor), ("hi", F.ceil))]
+    got = each.groupBy("column").agg(
+        F.max("_all").alias("n"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("v") - F.col("mean")) ** 2), F.max("_all") - 1)).alias("std"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+        *ends,
+    )
+    share = {name: (F.col("n") - 1) * cut - F.floor((F.col("n") - 1) * cut) for name, cut in cuts.items()}
+    between = [(F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * share[q]).alias(q) for q in cuts]
+    name = F.get(F.array(*[F.lit(c) for c in columns]), "column")
+    return got.select(name.alias("column"), "n", "mean", "std", "least", *between, "most")
+
+
+def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ranks of all columns, row by row and in columns of the same names; equal values share their mean rank.
+
+    The counts of all columns' values give the ranks in one join; a row's ranks meet again by
+    its number, where they have been added up before they are shuffled.
+    """
+    placed = placed_values(rows, columns)
+    ranks = placed.select(F.col("column").alias("_c"), F.col("v").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *columns)  # before rows are exploded
+    each = numbered.select("_row", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("column", "v"))
+    told = each.join(small(ranks), (F.col("column") == F.col("_c")) & F.col("v").eqNullSafe(F.col("_v")))
+    return told.groupBy("_row").agg(*[F.sum(F.when(F.col("column") == i, F.col("_rank"))).alias(c) for i, c in enumerate(columns)]).drop("_row")
+
+
+def moments(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """The matrix of sums of products of a leading one and the columns; each task adds up its own, so k * k sums are shuffled."""
+    k = len(columns) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *(np.nan_to_num(c.cast("double").to_numpy(zero_copy_only=False)) for c in batch.columns)])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], names=["i", "s"])
+
+    sums = rows.select(*columns).mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    out = np.zeros(k * k)
+    for i, s in sums.collect():
+        out[i] = s
+    return out.reshape(k, k)
 
 
 def spearman(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) for each pair of columns."""
-    ranked = rows.select(*columns)
-    for c in columns:
-        ranked = average_rank(ranked, c, f"_r_{c}")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    got = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"r{n}") for n, (a, b) in enumerate(pairs)])
-    return got.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{n}").alias("rho")) for n, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """(a, b, rho) for each pair of columns, null where one of them never varies."""
+    ranked = average_ranks(rows, columns)
+    n = F.lit(rows.count() / 2)  # ranks about their middle, so that sums of squares keep their digits
+    m = moments(ranked.select(*[(F.col(c) - n).alias(c) for c in columns]), columns)
+    spread = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / max(m[0, 0], 1)
+    sd = np.sqrt(np.clip(np.diag(spread), 0, None))
+    made = [(a, b, float(spread[i, j] / (sd[i] * sd[j])) if sd[i] > 1e-9 and sd[j] > 1e-9 else None) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return rows.sparkSession.createDataFrame(made, "a string, b string, rho double")
 
 
 def chi_square(observed: DataFrame, count: str = "n") -> DataFrame:

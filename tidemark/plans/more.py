@@ -195,6 +195,23 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return features.compute_all(features.registry(), spark, d)
 
 
+_NAMES = [f.name for f in features.registry()]
+
+
+@query(f"WITH wide AS ({_wide_sql()}), long AS (UNPIVOT (SELECT id, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _NAMES)} FROM wide) ON {', '.join(_NAMES)} INTO NAME feature VALUE v), r AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS place FROM long), vary AS (SELECT * FROM r WHERE feature IN (SELECT feature FROM r GROUP BY 1 HAVING min(place) < max(place))) SELECT a.feature AS a, b.feature AS b, round(corr(a.place, b.place), 6) AS rho FROM vary a JOIN vary b ON a.id = b.id AND a.feature < b.feature GROUP BY 1, 2")
+def feature_spearman(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlations of all features, each pair once by name; features that never vary are left out."""
+    got = S.spearman(shared_table(feature_table(spark, d), "features"), _NAMES).where("rho is not null")
+    return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("rho", 6).alias("rho"))
+
+
+@query(f"WITH wide AS ({_wide_sql()}), long AS (UNPIVOT (SELECT id, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _NAMES)} FROM wide) ON {', '.join(_NAMES)} INTO NAME feature VALUE v) SELECT feature AS column, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS least, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(quantile_cont(v, 0.9), 6) AS p90, max(v) AS most FROM long GROUP BY 1")
+def feature_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, means, spreads and quantiles of all features at once."""
+    got = S.summaries(shared_table(feature_table(spark, d), "features"), _NAMES, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9})
+    return got.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q1", "median", "q3", "p90")})
+
+
 def halves(spark: SparkSession, d: str) -> list[str]:
     """Two folders with the first and the last half of the stream, each with its own lines and all packages."""
     orders = table(spark, d, "orders")
