@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BROADCAST_ROWS
 from .common import cumulative, shared_table, small
@@ -139,12 +141,36 @@ def contingency(rows: DataFrame, a: Column, b: Column, corrected: bool = True) -
 
 
 def fisher_p(tt: int, tf: int, ft: int, ff: int) -> float:
-    """Two-sided p of Fisher's exact test."""
+    """Two-sided p of Fisher's exact test.
+
+    Probabilities relative to that of the mode follow from each other by ratios,
+    outward on both sides until they are negligible beside the observed one, so the work grows with the
+    spread of the distribution, the root of the counts, and not with the counts.  A p under
+    e^-700 is 0.
+    """
     r, c, n = tt + tf, tt + ft, tt + tf + ft + ff
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = lambda x: math.exp(choose(c, x) + choose(n - c, r - x) - choose(n, r))
-    here = p(tt)
-    return min(1.0, sum(q for x in range(max(0, r + c - n), min(r, c) + 1) if (q := p(x)) <= here * (1 + 1e-7)))
+    least, most = max(0, r + c - n), min(r, c)
+    mode = min(max((r + 1) * (c + 1) // (n + 2), least), most)
+
+    def outward(step: int, far: int, floor: float | None) -> np.ndarray:
+        """Log ratios to the mode, from the value beside it to one of less than `floor`, or than that of the value `far` away."""
+        logs, size = np.empty(0), 1 << 12
+        while (left := (most - mode if step > 0 else mode - least) - len(logs)) > 0:
+            x = mode + step * (len(logs) + np.arange(min(size, left), dtype=np.float64))
+            up, down = (r - x) * (c - x) / ((x + 1) * (n - r - c + x + 1)), x * (n - r - c + x) / ((r - x + 1) * (c - x + 1))
+            logs = np.concatenate([logs, (logs[-1] if len(logs) else 0.0) + np.cumsum(np.log(up if step > 0 else down))])
+            least_of = floor if floor is not None else (logs[far - 1] if far else 0.0) if len(logs) >= far else -math.inf
+            if logs[-1] < max(least_of - 45, -745):
+                break
+            size *= 2
+        return logs
+
+    far, side = abs(tt - mode), 1 if tt >= mode else -1
+    own = outward(side, far, None)
+    observed = 0.0 if not far else float(own[far - 1]) if far <= len(own) else -math.inf
+    logs = np.concatenate([[0.0], own, outward(-side, 0, observed)])
+    weights = np.exp(logs)
+    return float(min(1.0, weights[logs <= observed + 1e-7].sum() / weights.sum()))
 
 
 def chi_square_p(statistic: float, degrees: int) -> float:
@@ -183,19 +209,19 @@ def confusion(rows: DataFrame, truth: Column, guess: Column) -> DataFrame:
     return n.select("tp", "fp", "fn", "tn", ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
+def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="skip").transform(rows)
 
 
 def logit(rows: DataFrame, columns: list[str], label: str) -> np.ndarray:
     """Coefficients of a binomial model, the constant first."""
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(_assembled(rows, columns))
+    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(assembled(rows, columns))
     return np.concatenate([[model.intercept], model.coefficients.toArray()])
 
 
 def coefficients(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(term, estimate, std_error, z, p, odds) of a binomial model, the constant last."""
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(_assembled(rows, columns))
+    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(assembled(rows, columns))
     told = model.summary
     values = [*model.coefficients.toArray().tolist(), model.intercept]
     made = [(t, float(v), float(e), float(z), float(p), math.exp(min(v, 700.0))) for t, v, e, z, p in zip([*columns, "const"], values, told.coefficientStandardErrors, told.tValues, told.pValues, strict=True)]
@@ -230,41 +256,79 @@ def influence(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     eta = sum((float(b) * F.col(c) for b, c in zip(beta, names, strict=True)), F.lit(0.0))
     fit = fit.withColumn("_mu", 1 / (1 + F.exp(-eta)))
     w = F.col("_mu") * (1 - F.col("_mu"))
-    inverse = np.linalg.pinv(gram(fit, names, w))
-    lever = sum((float(inverse[i, j]) * F.col(a) * F.col(b) for i, a in enumerate(names) for j, b in enumerate(names)), F.lit(0.0)) * w
-    fit = fit.withColumn("_h", lever).withColumn("_r", (F.col(label) - F.col("_mu")) / F.sqrt(w))
+    inverse = np.linalg.pinv(moments(fit.select(*[(F.sqrt(w) * F.col(c)).alias(c) for c in names]), names)[1:, 1:])
+    kept = fit.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).cast("double").to_numpy(zero_copy_only=False) for c in names])
+            mu = batch.column("_mu").to_numpy(zero_copy_only=False)
+            lever = np.einsum("ij,jk,ik->i", x, inverse, x) * mu * (1 - mu)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lever, from_pandas=True)], names=[*kept, "_h"])
+
+    schema = T.StructType([*fit.schema, T.StructField("_h", T.DoubleType())])
+    fit = fit.mapInArrow(run, schema).withColumn("_r", F.coalesce(F.try_divide(F.col(label) - F.col("_mu"), F.sqrt(w)), F.lit(0.0)))
     mean, sd, n = fit.agg(F.avg("_r"), F.stddev_pop("_r"), F.count("*")).first()
-    cook = F.col("_r") ** 2 / len(names) * F.col("_h") / (1 - F.col("_h")) ** 2
-    z = (F.col("_r") - mean) / (sd or 1.0)
-    return fit.withColumn("cooks_distance", cook).withColumn("residual_z", z).withColumn("outlier", (cook > 4 / n) & (F.abs(z) > 3)).drop("_one", "_mu", "_h", "_r")
+    cook = F.coalesce(F.try_divide(F.col("_r") ** 2 / len(names) * F.col("_h"), (1 - F.col("_h")) ** 2), F.lit(0.0))
+    z = (F.col("_r") - F.lit(mean)) / F.lit(sd or 1.0)
+    return fit.withColumn("cooks_distance", cook).withColumn("residual_z", z).withColumn("outlier", (cook > 4 / max(n, 1)) & (F.abs(z) > 3)).drop("_one", "_mu", "_h", "_r")
 
 
-def random_intercepts(rows: DataFrame, columns: list[str], label: str, group: str) -> dict[str, float]:
+@dataclass(frozen=True)
+class MixedModel:
+    """Estimates and their standard errors, the variance of rows and that between groups."""
+
+    terms: list[str]
+    estimates: np.ndarray
+    errors: np.ndarray
+    scale: float
+    group_variance: float
+    rows: int
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(term, estimate, std_error, z), the two variances last."""
+        told = [(t, float(e), float(s), float(e / s) if s else None) for t, e, s in zip(self.terms, self.estimates, self.errors, strict=True)]
+        told += [("_scale", self.scale, None, None), ("_group_variance", self.group_variance, None, None)]
+        return spark.createDataFrame(told, "term string, estimate double, std_error double, z double")
+
+
+def random_intercepts(rows: DataFrame, columns: list[str], label: str, group: str, steps: int = 40) -> MixedModel:
     """Linear mixed model with an intercept for each group, no constant, by restricted likelihood.
 
-    With one variance ratio t, sums of products over all rows and the sums of each
-    group decide; the groups' part is re-aggregated in Spark for each t tried, so no
-    group's rows and no table of groups come to the driver.
+    All that a variance ratio needs are the sums of products over all rows and, for the groups of each size, the
+    sum of the outer products of their sums.  One aggregation by group and one by size give both;
+    ratios are then tried on the driver, over the distinct sizes, of which there are at most
+    sqrt(2 * rows).
     """
-    names = [*columns, label]
-    total = gram(rows, names)
-    n = rows.count()
-    per = shared_table(rows.groupBy(group).agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in names]), "groups")
-    p = len(columns)
-
-    def at(t: float) -> tuple[float, np.ndarray, float]:
-        shrink = F.lit(t) / (1 + t * F.col("_n"))
-        m = total - gram(per, names, shrink)
-        logdet = per.agg(F.sum(F.log(1 + t * F.col("_n")))).first()[0] or 0.0
+    names, p = [*columns, label], len(columns)
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    value = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]
+    per = rows.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in value]).alias("s"), F.array(*[F.sum(value[i] * value[j]) for i, j in pairs]).alias("m"))
+    sizes = per.groupBy("n").agg(F.count("*").alias("k"), F.array(*[F.sum(F.col("m")[x]) for x in range(len(pairs))]).alias("m"), F.array(*[F.sum(F.col("s")[i] * F.col("s")[j]) for i, j in pairs]).alias("o")).collect()
+    size, groups = np.array([r["n"] for r in sizes], float), np.array([r["k"] for r in sizes], float)
+
+    def square(flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((*flat.shape[:-1], p + 1, p + 1))
+        for x, (i, j) in enumerate(pairs):
+            out[..., i, j] = out[..., j, i] = flat[..., x]
+        return out
+
+    total, outer = square(np.array([r["m"] for r in sizes]).sum(0)), square(np.array([r["o"] for r in sizes]))
+    n = int((size * groups).sum())
+
+    def at(t: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+        m = total - np.tensordot(t / (1 + t * size), outer, 1)
         xx, xy, yy = m[:p, :p], m[:p, p], m[p, p]
-        beta = np.linalg.solve(xx, xy)
+        inverse = np.linalg.pinv(xx)
+        beta = inverse @ xy
         rss = max(yy - beta @ xy, 1e-12)
-        return (n - p) * math.log(rss / (n - p)) + logdet + np.linalg.slogdet(xx)[1], beta, rss / (n - p)
+        signs = np.linalg.slogdet(xx)[1]
+        return (n - p) * math.log(rss / (n - p)) + float(groups @ np.log(1 + t * size)) + signs, beta, rss / (n - p), inverse
 
     low, high, golden = -8.0, 6.0, (math.sqrt(5) - 1) / 2
     a, b = high - golden * (high - low), low + golden * (high - low)
     fa, fb = at(math.exp(a))[0], at(math.exp(b))[0]
-    for _ in range(16):
+    for _ in range(steps):
         if fa < fb:
             high, b, fb = b, a, fa
             a = high - golden * (high - low)
@@ -274,40 +338,5 @@ def random_intercepts(rows: DataFrame, columns: list[str], label: str, group: st
             b = low + golden * (high - low)
             fb = at(math.exp(b))[0]
     ratio = math.exp((low + high) / 2)
-    _, beta, scale = at(ratio)
-    return {**dict(zip(columns, beta.tolist(), strict=True)), "_scale": float(scale), "_group_variance": float(ratio * scale)}
-
-
-def forest(rows: DataFrame, columns: list[str], label: str, trees: int = 20, depth: int = 8, seed: int = 42):
-    """A fitted regression forest over all columns."""
-    return RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed).fit(_assembled(rows, columns))
-
-
-def importances(model, columns: list[str], spark) -> DataFrame:
-    return spark.createDataFrame(list(zip(columns, model.featureImportances.toArray().tolist(), strict=True)), "column string, importance double").orderBy(F.desc("importance"), "column")
-
-
-def folded(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)))
-
-
-def cross_validated(rows: DataFrame, columns: list[str], label: str, key: str, k: int = 3) -> DataFrame:
-    """(fold, accuracy, f1) of forests that each leave one fold out."""
-    parts = shared_table(folded(rows, key, k), "folds")
-    out = None
-    for i in range(k):
-        model = forest(parts.where(F.col("fold") != i), columns, label)
-        told = model.transform(_assembled(parts.where(F.col("fold") == i), columns))
-        one = confusion(told, F.col(label) >= 0.5, F.col("prediction") >= 0.5).select(F.lit(i).alias("fold"), "accuracy", "f1")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def partial_dependence(model, rows: DataFrame, columns: list[str], column: str, points: int = 5) -> DataFrame:
-    """(value, mean_prediction) over a grid of percentiles 1 to 99 of one column."""
-    at = [0.01 + 0.98 * i / (points - 1) for i in range(points)]
-    grid = sorted(set(rows.agg(F.percentile_approx(column, at)).first()[0] or []))
-    spread = rows.withColumn("_v", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn(column, F.col("_v"))
-    return model.transform(_assembled(spread, columns)).groupBy(F.col("_v").alias("value")).agg(F.avg("prediction").alias("mean_prediction"))
-
-
+    _, beta, scale, inverse = at(ratio)
+    return MixedModel(list(columns), beta, np.sqrt(np.clip(scale * np.diag(inverse), 0, None)), float(scale), float(ratio * scale), n)

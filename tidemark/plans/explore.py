@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import explore as E
+from ..operators import forests as R
 from ..operators import stats as S
 from ..operators.common import quantiles, shared_table, small
 from ..streaming import windows as W
@@ -226,9 +227,26 @@ def _model_rows(spark: SparkSession, d: str) -> DataFrame:
     return E.min_max(lines, _FEATURES).withColumn("label", (F.col("l_returnflag") == "R").cast("double")).withColumn("row_key", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
-@query()
+def _determinant(rows: tuple[int, ...], columns: tuple[int, ...]) -> str:
+    """A determinant of sums of products g<i><j>, as SQL, by its first row."""
+    if not rows:
+        return "1.0"
+    first, rest = rows[0], rows[1:]
+    terms = [f"{'-' if k % 2 else '+'} g{min(first, j)}{max(first, j)} * ({_determinant(rest, columns[:k] + columns[k + 1 :])})" for k, j in enumerate(columns)]
+    return " ".join(terms).removeprefix("+ ")
+
+
+def _vif_sql() -> str:
+    scaled = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS x{i}" for i, c in enumerate(_FEATURES))
+    sums = ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i in range(4) for j in range(i, 4))
+    every = (0, 1, 2, 3)
+    minors = [(tuple(x for x in every if x != i), i) for i in every]
+    return f"WITH x AS (SELECT {scaled} FROM lineitem), g AS (SELECT {sums} FROM x) " + " UNION ALL ".join(f"SELECT '{_FEATURES[i]}' AS column, round(g{i}{i} * ({_determinant(m, m)}) / ({_determinant(every, every)}), 6) AS vif FROM g" for m, i in minors)
+
+
+@query(_vif_sql())
 def vif(spark: SparkSession, d: str) -> DataFrame:
-    return S.vif(_model_rows(spark, d), _FEATURES)
+    return S.vif(_model_rows(spark, d), _FEATURES).withColumn("vif", F.round("vif", 6))
 
 
 @query()
@@ -238,24 +256,24 @@ def glm_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mixed_model(spark: SparkSession, d: str) -> DataFrame:
-    got = S.random_intercepts(_model_rows(spark, d).withColumn("project", F.col("l_orderkey") % 25), _FEATURES, "label", "project")
-    return spark.createDataFrame(list(got.items()), "term string, value double")
+    return S.random_intercepts(_model_rows(spark, d).withColumn("project", F.col("l_orderkey") % 25), _FEATURES, "label", "project").table(spark)
 
 
 @query()
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
-    return S.importances(S.forest(_model_rows(spark, d), _FEATURES, "label", trees=10, depth=5), _FEATURES, spark)
+    return R.importances(R.forest(_model_rows(spark, d), _FEATURES, "label"), _FEATURES, spark)
 
 
 @query()
 def rf_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return S.cross_validated(_model_rows(spark, d), _FEATURES, "label", "row_key")
+    return R.cross_validated(_model_rows(spark, d), _FEATURES, "label", "row_key")
 
 
 @query()
 def rf_partial_dependence(spark: SparkSession, d: str) -> DataFrame:
-    rows = _model_rows(spark, d)
-    return S.partial_dependence(S.forest(rows, _FEATURES, "label", trees=5, depth=4), rows, _FEATURES, "l_quantity")
+    """Partial dependence on all columns, from the 1st to the 99th percentile."""
+    rows = shared_table(_model_rows(spark, d), "models")
+    return R.partial_dependence(R.forest(rows, _FEATURES, "label"), rows, _FEATURES)
 
 
 @query(sql(f"SELECT 'smoothed' AS kind, round((tt + 1) * (ff + 1) / ((tf + 1) * (ft + 1)), 6) AS odds_ratio FROM t", _TABLE))

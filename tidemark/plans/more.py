@@ -167,22 +167,6 @@ def probability_guess(spark: SparkSession, d: str) -> DataFrame:
     return S.confusion(prs, F.col("merged"), draw < share)
 
 
-@query()
-def rf_ablation(spark: SparkSession, d: str) -> DataFrame:
-    """F1 of a forest without each feature group."""
-    rows = X._model_rows(spark, d)
-    groups = {"size": ["l_quantity", "l_extendedprice"], "terms": ["l_discount", "l_tax"]}
-    parts = shared_table(S.folded(rows, "row_key", 5), "folds")
-    out = None
-    for name, dropped in groups.items():
-        kept = [c for c in X._FEATURES if c not in dropped]
-        model = S.forest(parts.where("fold > 0"), kept, "label", trees=5, depth=4)
-        told = model.transform(S._assembled(parts.where("fold = 0"), kept))
-        one = S.confusion(told, F.col("label") >= 0.5, F.col("prediction") >= 0.5).select(F.lit(name).alias("without"), "accuracy", "f1")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def _wide_sql() -> str:
     each = [(f.name, features.sql_of(f)) for f in features.registry()]
     names = ", ".join(n for n, _ in each)

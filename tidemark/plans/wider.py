@@ -405,32 +405,7 @@ def glm_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.option("header", True).schema("term string, estimate double, std_error double, z double, p double, odds double").csv(path)
 
 
-#: Columns that each model leaves out, by patterns.
-MODELS = {"all": [], "without size": ["l_quan", "l_ext"], "without terms": ["l_dis", "l_tax"]}
-
-
-@query()
-def model_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficient tables of several models over all rows, first lines and later lines of an order."""
-    rows = shared_table(explore._model_rows(spark, d), "models")
-    out = []
-    for subset, where in (("all", "true"), ("first", "l_linenumber = 1"), ("later", "l_linenumber > 1")):
-        some = rows.where(where)
-        out += [S.coefficients(some, S.matching(explore._FEATURES, p, keep=False), "label").select(F.lit(name).alias("model"), F.lit(subset).alias("subset"), "*") for name, p in MODELS.items()]
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
-@query()
-def contributor_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """The coefficient table without the rows of the most prolific suppliers, beside that of all rows."""
-    rows = shared_table(explore._model_rows(spark, d), "models")
-    counts = rows.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    (top,) = quantiles(counts, "n", [0.98]) or [0.0]
-    less = rows.join(small(counts.where(F.col("n") > top).select("l_suppkey")), "l_suppkey", "left_anti")
-    return reduce(lambda a, b: a.unionByName(b), [S.coefficients(some, explore._FEATURES, "label").select(F.lit(name).alias("rows"), "*") for name, some in (("all", rows), ("without the most prolific", less))])
-
-
-@query()
+@query(sql("SELECT 'equal counts' AS test, round(1 - (SELECT sum(exp(-s / 2 + (k / 2 + i) * ln(s / 2) - lgamma(k / 2 + i + 1))) FROM range(4000) t(i)), 9) AS p FROM chi UNION ALL SELECT 'contingency', round(1 - (SELECT sum(exp(-y / 2 + (0.5 + i) * ln(y / 2) - lgamma(1.5 + i))) FROM range(4000) t(i)), 9) FROM yates UNION ALL SELECT 'fisher', round(least(1.0, (SELECT sum(exp(lp)) FROM each WHERE lp <= (SELECT lp FROM each, t WHERE x = tt) + 1e-7)), 9)", explore._TABLE + ", chi AS (SELECT sum((n - m) * (n - m) / m) AS s, count(*) - 1.0 AS k FROM (SELECT n, avg(n) OVER () AS m FROM (SELECT project, count(*) AS n FROM pr GROUP BY 1))), yates AS (SELECT (tt + tf + ft + ff) * power(greatest(abs(tt * ff - tf * ft) - (tt + tf + ft + ff) / 2, 0), 2) / ((tt + tf) * (ft + ff) * (tt + ft) * (tf + ff)) AS y FROM t), each AS (SELECT x, lgamma(c + 1) - lgamma(x + 1) - lgamma(c - x + 1) + lgamma(n - c + 1) - lgamma(r - x + 1) - lgamma(n - c - r + x + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1) AS lp FROM (SELECT tt + tf AS r, tt + ft AS c, tt + tf + ft + ff AS n, unnest(range(CAST(greatest(0, tt + tf + tt + ft - (tt + tf + ft + ff)) AS BIGINT), CAST(least(tt + tf, tt + ft) AS BIGINT) + 1)) AS x FROM t))"))
 def p_values(spark: SparkSession, d: str) -> DataFrame:
     """p of the chi-square tests and of Fisher's exact test on one table of counts."""
     prs = A.activities(spark, d).where("not is_issue")
@@ -439,7 +414,7 @@ def p_values(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("merged"), F.col("comments") > 3
     n = prs.agg(F.count_if(a & b), F.count_if(a & ~b), F.count_if(~a & b), F.count_if(~a & ~b)).first()
     made = [("equal counts", S.chi_square_p(counts["statistic"], counts["degrees"])), ("contingency", S.chi_square_p(table2["statistic"], 1)), ("fisher", S.fisher_p(*n))]
-    return spark.createDataFrame([(k, float(p)) for k, p in made], "test string, p double")
+    return spark.createDataFrame([(k, round(float(p), 9)) for k, p in made], "test string, p double")
 
 
 @query()
@@ -449,10 +424,3 @@ def correlated_columns(spark: SparkSession, d: str) -> DataFrame:
     strong = S.spearman(lines, ["l_quantity", "l_extendedprice", "price_again", "l_tax"]).where(F.abs("rho") >= 0.5)
     groups = S.correlation_clusters([(r["a"], r["b"]) for r in strong.orderBy("a", "b").collect()])
     return spark.createDataFrame([(i, c) for i, g in enumerate(groups) for c in g], "cluster long, column string")
-
-
-@query()
-def cross_validation_spread(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and spread of F1 over folds."""
-    folds = S.cross_validated(explore._model_rows(spark, d), explore._FEATURES, "label", "row_key")
-    return folds.agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("spread_f1"))
