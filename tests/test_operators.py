@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.people import author, jaro_winkler
+from tidemark.functions.people import author
 from tidemark.operators import cleaning, common, explore, graph, identity, registry, stats
 from tidemark.operators.point_in_time import earlier_sums, first_seen, greedy_chunks, rate
 
@@ -111,8 +111,6 @@ def test_empty_tables(spark):
 
 
 def test_names(spark):
-    assert jaro_winkler("martha", "marhta", False) == pytest.approx(0.9611, abs=1e-4)
-    assert jaro_winkler("", "a") == 0.0
     mails = spark.createDataFrame([(1, "a", "A B", " Ann@Mail.org "), (2, "b", "b", "none"), (3, "c", "c", "x@example.com"), (4, "d", "d", "host.(none)"), (5, "e", "A B", None)], "uid long, login string, name string, email string")
     rows = {r.uid: r.email for r in identity.normalised(mails).collect()}
     assert rows == {1: "ann@mail.org", 2: None, 3: None, 4: "host.(none)", 5: None}

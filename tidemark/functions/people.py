@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,51 +33,70 @@ def author(line: Column) -> Column:
 
 def author_likeness(a: Column, b: Column, halving: bool = True) -> Column:
     """struct of six likenesses of two authors: their five parts, and a's first name to b's last name."""
-    like = jaro_winkler_udf(halving)
+    like = lambda x, y: jaro_winkler(x, y, halving)
     same = [like(a[f], b[f]).alias(f) for f in ("name", "email", "first_name", "last_name", "user_name")]
     return F.struct(*same, like(a["first_name"], b["last_name"]).alias("inverse_first_name"))
 
 
-def _jaro(a: str, b: str, halving: bool) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    taken, left = [False] * len(b), []
-    for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if not taken[j] and b[j] == c), None)
-        left.append(j is not None)
-        if j is not None:
-            taken[j] = True
-    right = (c for c, t in zip(b, taken, strict=True) if t)
-    n = sum(left)
-    if not n:
-        return 0.0
-    apart = 0.0
-    for c, hit in zip(a, left, strict=True):
-        if hit:
-            apart += c != next(right)
-        if halving:  # the faithful variant halves at every character
-            apart /= 2
-    apart = apart if halving else apart // 2
-    return (n / len(a) + n / len(b) + (n - apart) / n) / 3
-
-
-def jaro_winkler(a: str, b: str, halving: bool = True) -> float:
-    """Jaro likeness, raised above 0.7 by up to four equal first characters."""
-    d = _jaro(a, b, halving)
-    if d > 0.7:
-        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        d += 0.1 * min(4, same) * (1 - d)
-    return d
-
-
-def jaro_winkler_udf(halving: bool = True):
-    """An Arrow function of two text columns; null if either is null."""
-
-    @F.pandas_udf("double")
-    def like(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else jaro_winkler(x, y, halving) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return like
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is evaluated once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _matched(a: Column, b: Column, reach: Column) -> Column:
+    """For each character of a the place of the first equal one of b within reach that no earlier character has, or -1."""
+
+    def step(taken: Column, i: Column) -> Column:
+        near = F.slice(b, F.greatest(i - reach, F.lit(0)) + 1, F.greatest(i + reach - F.greatest(i - reach, F.lit(0)) + 1, F.lit(0)))
+        begin = F.greatest(i - reach, F.lit(0))
+        free = F.filter(F.transform(near, lambda c, j: F.when((c == F.get(a, i)) & ~F.array_contains(taken, begin + j), begin + j)), lambda j: j.isNotNull())
+        return F.concat(taken, F.array(F.coalesce(F.get(free, F.lit(0)), F.lit(-1))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.array().cast("array<int>"), step)
+
+
+def _apart(a: Column, b: Column, at: Column, halving: bool) -> Column:
+    """Half the matched characters that differ from the matched one of b in the same order; if halving, halved at every character of a."""
+    right = F.transform(F.array_sort(F.filter(at, lambda j: j >= 0)), lambda j: F.get(b, j))
+    if not halving:
+        left = F.filter(F.zip_with(a, at, lambda c, j: F.when(j >= 0, c)), lambda c: c.isNotNull())
+        differ = F.size(F.filter(F.zip_with(left, right, lambda x, y: x != y), lambda d: d))
+        return F.floor(differ / 2).cast("double")
+
+    def both(places: Column) -> Column:
+        begin = F.struct(F.lit(0.0).alias("apart"), F.lit(0).alias("k"))
+
+        def step(was: Column, x: Column) -> Column:
+            hit = x["j"] >= 0
+            more = F.when(hit & (x["c"] != F.get(places, was["k"])), 1.0).otherwise(0.0)
+            return F.struct(((was["apart"] + more) / 2).alias("apart"), (was["k"] + hit.cast("int")).alias("k"))
+
+        return F.aggregate(F.arrays_zip(a.alias("c"), at.alias("j")), begin, step)["apart"]
+
+    return _let(right, both)
+
+
+def jaro_winkler(a: Column, b: Column, halving: bool = True) -> Column:
+    """Jaro likeness of two texts, raised above 0.7 by up to four equal first characters; null if either is null.
+
+    Characters are matched in arrays, so no row leaves the JVM.  With halving the
+    count of swapped characters is halved at every character, as it was defined; without, once.
+    """
+
+    def likeness(x: Column, y: Column) -> Column:
+        reach = F.floor(F.greatest(F.size(x), F.size(y)) / 2).cast("int") - 1
+
+        def told(at: Column) -> Column:
+            n = F.size(F.filter(at, lambda j: j >= 0)).cast("double")
+            jaro = (n / F.size(x) + n / F.size(y) + (n - _apart(x, y, at, halving)) / n) / 3
+            return F.when(n == 0, 0.0).otherwise(jaro)
+
+        return _let(_matched(x, y, reach), told)
+
+    def raised(d: Column) -> Column:
+        same = lambda k: F.substring(a, 1, k) == F.substring(b, 1, k)
+        alike = sum(((F.least(F.length(a), F.length(b)) >= k) & same(k)).cast("int") for k in range(1, 5))
+        return F.when(d > 0.7, d + 0.1 * alike * (1 - d)).otherwise(d)
+
+    d = F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_let(F.split(a, ""), lambda x: _let(F.split(b, ""), lambda y: likeness(x, y))))
+    return F.when(a.isNotNull() & b.isNotNull(), _let(d, raised))

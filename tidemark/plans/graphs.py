@@ -155,18 +155,27 @@ def dependency_references(spark: SparkSession, d: str) -> DataFrame:
 
 _ALIAS = """alias AS (SELECT c_custkey AS uid, CASE WHEN c_custkey % 3 = 0 THEN 'dev' || (c_custkey % 350) ELSE 'user' || c_custkey END AS login, CASE WHEN c_custkey % 4 = 0 THEN 'Ann Lee' || (c_custkey % 450) ELSE 'dev' || (c_custkey % 600) END AS name,
   CASE WHEN c_custkey % 5 = 0 THEN 'dev' || (c_custkey % 350) WHEN c_custkey % 5 = 1 THEN 'a.b' || (c_custkey % 480) ELSE 'solo' || c_custkey END AS prefix, 'd' || (c_custkey % 700) || '.org' AS domain FROM customer)"""
-_CLUES = f"""{_ALIAS}, al AS (SELECT *, prefix || '@' || domain AS email, prefix LIKE '%.%' OR prefix LIKE '%\\_%' ESCAPE '\\' AS comp FROM alias),
- keys AS (SELECT DISTINCT * FROM (SELECT 'EMAIL' AS kind, email AS key, uid FROM al UNION ALL SELECT CASE WHEN comp THEN 'COMP_EMAIL_PREFIX' ELSE 'SIMPLE_EMAIL_PREFIX' END, prefix, uid FROM al UNION ALL SELECT 'DOMAIN', domain, uid FROM al
-   UNION ALL SELECT CASE WHEN name LIKE '% %' THEN 'FULL_NAME' ELSE 'SIMPLE_NAME' END, name, uid FROM al)),
- sized AS (SELECT *, count(*) OVER (PARTITION BY kind, key) AS n, min(uid) OVER (PARTITION BY kind, key) AS lo FROM keys),
- within AS (SELECT x.kind, x.uid AS a, y.uid AS b FROM sized x JOIN sized y ON x.kind = y.kind AND x.key = y.key AND x.uid < y.uid WHERE x.n > 1 AND ((x.kind = 'EMAIL' AND x.uid = x.lo) OR (x.kind <> 'EMAIL' AND x.n < 6 AND (x.kind NOT LIKE '%PREFIX' OR length(x.key) >= 3)))),
- px AS (SELECT key, uid, n FROM sized WHERE kind = 'SIMPLE_EMAIL_PREFIX'), lg AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT login AS key, uid FROM al)), nm AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT name AS key, uid FROM al)),
- crossed AS (SELECT 'PREFIX_LOGIN' AS kind, lg.uid AS a, px.uid AS b FROM px JOIN lg USING (key) WHERE px.n < 6 AND lg.uid < px.uid
-   UNION SELECT 'PREFIX_NAME', nm.uid, px.uid FROM px JOIN nm USING (key) WHERE px.n < 6 AND nm.n < 6 AND nm.uid < px.uid
-   UNION SELECT 'LOGIN_NAME', nm.uid, lg.uid FROM lg JOIN nm USING (key) WHERE nm.n < 6 AND nm.uid < lg.uid),
+
+
+def clues_sql(source: str, most: int, least_prefix: int, all_mail: bool) -> str:
+    """clues (kind, a, b) over the accounts of `source` (uid, login, name, prefix, domain, g), whose keys count within each g."""
+    mail = "x.kind = 'EMAIL'" if all_mail else "(x.kind = 'EMAIL' AND x.uid = x.lo)"
+    return f"""{source}, al AS (SELECT *, prefix || '@' || domain AS email, prefix LIKE '%.%' OR prefix LIKE '%\\_%' ESCAPE '\\' AS comp FROM alias),
+ keys AS (SELECT DISTINCT * FROM (SELECT 'EMAIL' AS kind, g, email AS key, uid FROM al UNION ALL SELECT CASE WHEN comp THEN 'COMP_EMAIL_PREFIX' ELSE 'SIMPLE_EMAIL_PREFIX' END, g, prefix, uid FROM al UNION ALL SELECT 'DOMAIN', g, domain, uid FROM al
+   UNION ALL SELECT CASE WHEN name LIKE '% %' THEN 'FULL_NAME' ELSE 'SIMPLE_NAME' END, g, name, uid FROM al)),
+ sized AS (SELECT *, count(*) OVER (PARTITION BY kind, g, key) AS n, min(uid) OVER (PARTITION BY kind, g, key) AS lo FROM keys),
+ within AS (SELECT x.kind, x.uid AS a, y.uid AS b FROM sized x JOIN sized y ON x.kind = y.kind AND x.g = y.g AND x.key = y.key AND x.uid < y.uid WHERE x.n > 1 AND ({mail} OR (x.kind <> 'EMAIL' AND x.n < {most} AND (x.kind NOT LIKE '%PREFIX' OR length(x.key) >= {least_prefix})))),
+ px AS (SELECT g, key, uid, n FROM sized WHERE kind = 'SIMPLE_EMAIL_PREFIX'), lg AS (SELECT *, count(*) OVER (PARTITION BY g, key) AS n FROM (SELECT DISTINCT g, login AS key, uid FROM al)), nm AS (SELECT *, count(*) OVER (PARTITION BY g, key) AS n FROM (SELECT DISTINCT g, name AS key, uid FROM al)),
+ crossed AS (SELECT 'PREFIX_LOGIN' AS kind, lg.uid AS a, px.uid AS b FROM px JOIN lg USING (g, key) WHERE px.n < {most} AND lg.uid < px.uid
+   UNION SELECT 'PREFIX_NAME', nm.uid, px.uid FROM px JOIN nm USING (g, key) WHERE px.n < {most} AND nm.n < {most} AND nm.uid < px.uid
+   UNION SELECT 'LOGIN_NAME', nm.uid, lg.uid FROM lg JOIN nm USING (g, key) WHERE nm.n < {most} AND nm.uid < lg.uid),
  clues AS (SELECT kind, a, b FROM within UNION SELECT kind, a, b FROM crossed c WHERE NOT EXISTS (SELECT 1 FROM within w WHERE w.kind = 'SIMPLE_EMAIL_PREFIX' AND w.a = c.a AND w.b = c.b))"""
 
 
+_ALL = _ALIAS.replace("FROM customer)", ", '' AS g FROM customer)")
+_CLUES = clues_sql(_ALL, 6, 3, all_mail=False)
+
+
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     text = lambda p, n: F.concat(F.lit(p), (k % n if n else k).cast("string"))
@@ -191,7 +200,7 @@ def alias_clusters(spark: SparkSession, d: str) -> DataFrame:
 def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("x"), "s_name")
     t = s.select((F.col("x") - 1).alias("x"), F.col("x").alias("y"), F.col("s_name").alias("other"))
-    return s.join(t, "x").select("x", "y", F.round(P.jaro_winkler_udf(False)("s_name", "other"), 6).alias("likeness"))
+    return s.join(t, "x").select("x", "y", F.round(P.jaro_winkler(F.col("s_name"), F.col("other"), False), 6).alias("likeness"))
 
 
 @query()

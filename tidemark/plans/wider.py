@@ -141,7 +141,8 @@ def gravatar_users(spark: SparkSession, d: str) -> DataFrame:
     return users.agg(F.countDistinct(F.when(F.col("gravatar_id") != "", F.col("c_custkey"))).alias("with_picture"), F.countDistinct("c_custkey").alias("people"))
 
 
-_LINKS = f"""{graphs._CLUES}, told AS (SELECT a, b, list(DISTINCT kind) AS ks FROM clues GROUP BY 1, 2),
+def _links_sql(clues: str) -> str:
+    return f"""{clues}, told AS (SELECT a, b, list(DISTINCT kind) AS ks FROM clues GROUP BY 1, 2),
  labels AS (SELECT a, b, 'EMAIL' AS rule FROM told WHERE list_contains(ks, 'EMAIL') UNION ALL SELECT a, b, unnest(ks) FROM told WHERE NOT list_contains(ks, 'EMAIL') AND len(ks) >= 2
    UNION ALL SELECT a, b, CASE WHEN list_contains(ks, 'FULL_NAME') THEN 'FULL_NAME' ELSE 'COMP_EMAIL_PREFIX' END FROM told WHERE len(ks) = 1 AND (list_contains(ks, 'FULL_NAME') OR list_contains(ks, 'COMP_EMAIL_PREFIX'))),
  links AS (SELECT DISTINCT a, b FROM labels),
@@ -149,37 +150,54 @@ _LINKS = f"""{graphs._CLUES}, told AS (SELECT a, b, list(DISTINCT kind) AS ks FR
  members AS (SELECT n AS uid, min(m) AS cluster FROM reach GROUP BY 1)"""
 
 
+_MERGED = """, held AS (SELECT m.uid, cluster, email FROM members m JOIN al ON al.uid = m.uid), rules AS (SELECT cluster, count(*) FILTER (WHERE rule = 'EMAIL') AS mail, count(*) FILTER (WHERE rule = 'FULL_NAME') AS full_, string_agg(DISTINCT rule, ',' ORDER BY rule) AS kinds FROM labels JOIN members ON uid = a GROUP BY 1),
+ sizes AS (SELECT cluster, count(*) AS n, min(uid) AS least_uid, count(DISTINCT email) AS mails FROM held GROUP BY 1),
+ verdicts AS (SELECT cluster, least_uid, mail, mail >= n - 1 OR mails = 1 OR full_ >= n - 1 OR kinds IN ('EMAIL,FULL_NAME', 'EMAIL,FULL_NAME,SIMPLE_NAME', 'EMAIL,SIMPLE_NAME') AS valid FROM sizes JOIN rules USING (cluster)),
+ gone AS (SELECT uid, representative FROM (SELECT uid, least_uid AS representative FROM held JOIN verdicts USING (cluster) WHERE valid UNION ALL SELECT uid, min(uid) OVER (PARTITION BY cluster, email) FROM held JOIN verdicts USING (cluster) WHERE NOT valid AND mail > 0) WHERE uid <> representative)"""
+#: With all pairs of accounts of one address, as the clusters' rules count them.
+_LINKS = _links_sql(graphs.clues_sql(graphs._ALL, 6, 3, all_mail=True))
+
+
 def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     accounts = I.normalised(graphs._aliases(spark, d))
-    labels = shared_table(I.link_labels(I.clue_pairs(accounts, most=6, prefix_length=3)), "labels")
+    labels = shared_table(I.link_labels(I.clue_pairs(accounts, most=6, prefix_length=3), accounts), "labels")
     members = G.min_label_components(labels.select("a", "b").distinct()).select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
     return accounts, members, labels
 
 
-@query("WITH RECURSIVE " + _LINKS + """, held AS (SELECT m.uid, cluster, email FROM members m JOIN al ON al.uid = m.uid), rules AS (SELECT cluster, count(*) FILTER (WHERE rule = 'EMAIL') AS mail, count(*) FILTER (WHERE rule = 'FULL_NAME') AS full_, string_agg(DISTINCT rule, ',' ORDER BY rule) AS kinds FROM labels JOIN members ON uid = a GROUP BY 1),
- sizes AS (SELECT cluster, count(*) AS n, min(uid) AS least_uid, count(DISTINCT email) AS mails FROM held GROUP BY 1),
- verdicts AS (SELECT cluster, least_uid, mail, mail >= n - 1 OR mails = 1 OR full_ >= n - 1 OR kinds IN ('EMAIL,FULL_NAME', 'EMAIL,FULL_NAME,SIMPLE_NAME', 'EMAIL,SIMPLE_NAME') AS valid FROM sizes JOIN rules USING (cluster))
- SELECT uid, representative FROM (SELECT uid, least_uid AS representative FROM held JOIN verdicts USING (cluster) WHERE valid UNION ALL SELECT uid, min(uid) OVER (PARTITION BY cluster, email) FROM held JOIN verdicts USING (cluster) WHERE NOT valid AND mail > 0) WHERE uid <> representative""")
+@query("WITH RECURSIVE " + _LINKS + _MERGED + " SELECT uid, representative FROM gone")
 def alias_merged(spark: SparkSession, d: str) -> DataFrame:
     return I.merged_accounts(*_clustered(spark, d))
 
 
+@query("WITH RECURSIVE " + _LINKS + " SELECT cluster, uid, count(*) OVER (PARTITION BY cluster) - 1 AS others FROM members")
+def alias_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of each cluster, with the number of pairs that each is in; member_pairs() makes them where they are asked for."""
+    members = _clustered(spark, d)[1]
+    sizes = members.groupBy("cluster").agg((F.count("*") - 1).alias("others"))
+    return members.join(sizes, "cluster").select("cluster", "uid", "others")
+
+
 @query("WITH RECURSIVE " + _LINKS + " SELECT x.uid AS a, y.uid AS b, x.cluster FROM members x JOIN members y ON x.cluster = y.cluster AND x.uid < y.uid")
 def alias_member_pairs(spark: SparkSession, d: str) -> DataFrame:
     return I.member_pairs(_clustered(spark, d)[1])
 
 
-@query("WITH who AS (SELECT DISTINCT o_orderkey % 25 AS project, c_custkey AS uid, 'p' || (c_custkey % 60) || '@d' || (c_custkey % 20) || '.org' AS email FROM orders JOIN customer ON c_custkey = o_custkey) SELECT DISTINCT w.project, least_uid AS a, w.uid AS b FROM who w JOIN (SELECT project, email, min(uid) AS least_uid FROM who GROUP BY 1, 2) m ON m.project = w.project AND m.email = w.email WHERE w.uid > least_uid")
+_BY_PROJECT = graphs._ALIAS.replace("alias AS (", "people AS (") + ", alias AS (SELECT DISTINCT (o_orderkey % 25) || ':' || lpad(p.uid::VARCHAR, 12, '0') AS uid, login, name, prefix, domain, (o_orderkey % 25)::VARCHAR AS g FROM orders JOIN people p ON p.uid = o_custkey)"
+
+
+@query("WITH RECURSIVE " + _links_sql(graphs.clues_sql(_BY_PROJECT, 3, 4, all_mail=True)) + _MERGED + " SELECT CAST(split_part(uid, ':', 1) AS BIGINT) AS project, CAST(split_part(uid, ':', 2) AS BIGINT) AS uid, CAST(split_part(representative, ':', 2) AS BIGINT) AS representative FROM gone")
 def alias_by_project(spark: SparkSession, d: str) -> DataFrame:
-    """Equal addresses within each project: one run for all projects, with the project in every key."""
-    people = table(spark, d, "customer")
-    k = F.col("c_custkey")
-    email = F.concat(F.lit("p"), (k % 60).cast("string"), F.lit("@d"), (k % 20).cast("string"), F.lit(".org"))
-    who = table(spark, d, "orders").join(people, F.col("o_custkey") == k).select((F.col("o_orderkey") % 25).alias("project"), k.alias("uid"), email.alias("email")).distinct()
-    split = who.select("project", F.concat_ws(":", "project", F.lpad(F.col("uid").cast("string"), 12, "0")).alias("uid"), F.lit(None).cast("string").alias("login"), F.lit("").alias("name"), "email", F.substring_index("email", "@", 1).alias("prefix"), F.lit(None).cast("string").alias("domain"))
-    mail = I.clue_pairs(split, by="project").where("kind = 'EMAIL'")
-    of = lambda c: F.substring_index(c, ":", -1).cast("long")
-    return mail.select(F.substring_index("a", ":", 1).cast("long").alias("project"), of("a").alias("a"), of("b").alias("b"))
+    """The accounts that give way to another within each project: all clues, clusters and verdicts, one run for all projects."""
+    people = graphs._aliases(spark, d)
+    project = (F.col("o_orderkey") % 25).cast("string")
+    who = table(spark, d, "orders").select(project.alias("project"), F.col("o_custkey").alias("uid")).distinct().join(people, "uid").where("email is not null and name is not null")
+    accounts = I.normalised(who.withColumn("uid", F.concat_ws(":", "project", F.lpad(F.col("uid").cast("string"), 12, "0"))), by="project")
+    labels = shared_table(I.link_labels(I.clue_pairs(accounts, by="project"), accounts), "labels")
+    members = G.min_label_components(labels.select("a", "b").distinct()).select(F.col("node").alias("uid"), F.col("component").alias("cluster"))
+    gone = I.merged_accounts(accounts, members, labels)
+    of = lambda c: F.substring_index(c, ":", -1).cast("long").alias(c)
+    return gone.select(F.substring_index("uid", ":", 1).cast("long").alias("project"), of("uid"), of("representative"))
 
 
 @query(r"WITH au AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Ann-' ELSE 'bob' END || ' Lee' || (c_custkey % 17) AS name, 'u.' || (c_custkey % 40) || '@m' || (c_custkey % 5) || '.org' AS email FROM customer), p AS (SELECT *, trim(regexp_extract(name, '([\p{Lu}]?[^+\-_,.\p{Lu}]*)$', 1)) AS last_name, split_part(email, '@', 1) AS user_name FROM au) SELECT a.k, round(jaro_winkler_similarity(a.name, b.name), 6) AS name, round(jaro_winkler_similarity(a.email, b.email), 6) AS email, round(jaro_winkler_similarity(a.name, b.name), 6) AS first_name, round(jaro_winkler_similarity(a.last_name, b.last_name), 6) AS last_name, round(jaro_winkler_similarity(a.user_name, b.user_name), 6) AS user_name, round(jaro_winkler_similarity(a.name, b.last_name), 6) AS inverse_first_name FROM p a JOIN p b ON b.k = a.k + 1")
