@@ -41,4 +41,31 @@ def test_writers(spark, tmp_path):
     writers.chronological(df, str(tmp_path / "time"), "t", "id")
     assert spark.read.parquet(str(tmp_path / "time")).count() == 20
     writers.csv(df, str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "t", "platform", "s_x", "l"]
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "t", "platform", "s_x", "l_0"]
+    with pytest.raises(ValueError, match="longer"):
+        writers.csv(df, str(tmp_path / "csv"), {"l": 0})
+
+
+def test_places_come_from_files(spark, tmp_path):
+    df = spark.range(200).select("id", (F.col("id") % 50).alias("t"))
+    path = str(tmp_path / "ordered")
+    writers.chronological(df, path, "t", "id")
+    rows = readers.placed(spark, path, "t").orderBy("__place").collect()
+    assert [r["__place"] for r in rows] == list(range(200)) and [(r.t, r.id) for r in rows] == sorted((i % 50, i) for i in range(200))
+    df.repartition(3).write.parquet(str(tmp_path / "mixed"))
+    with pytest.raises(ValueError, match="in order"):
+        readers.placed(spark, str(tmp_path / "mixed"), "t")
+
+
+def test_damaged_records_and_files(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"id": 1}, {"id": "x"}, 7, null, {"id": 2, "title": "t"}]')
+    (folder / "b.json").write_text('[{"id": 3}')
+    (folder / "c.json").write_text("[]")
+    good, rejects = readers.quarantined_arrays(spark, str(folder), "id bigint, title string, __source_path string")
+    assert sorted((r.id, r["__source_path"][-6:]) for r in good.collect()) == [(1, "a.json"), (2, "a.json")]
+    assert sorted((r.file[-6:], r.what, -1 if r.place is None else r.place) for r in rejects.collect()) == [("a.json", "record", 1), ("a.json", "record", 2), ("a.json", "record", 3), ("b.json", "file", -1)]
+    (tmp_path / "lines").write_text('{"id": 1}\n\n{bad\n{"id": 2}\n')
+    good, rejects = readers.quarantined_lines(spark, str(tmp_path / "lines"), "id bigint")
+    assert sorted(r.id for r in good.collect()) == [1, 2] and [r.text for r in rejects.collect()] == ["{bad"]

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BROADCAST_ROWS
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df with a broadcast hint if it has at most `most` rows, else as it is (a shuffled join).
+
+    What isn't stored yet is written to the shared folder, and its rows are counted while
+    they are written, so what stands behind df runs once.
+    """
+    side = df if hasattr(df, "observed_rows") else shared_table(df, "side")
+    return F.broadcast(side) if side.observed_rows <= most else side
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; beside the warehouse only where that is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -26,11 +33,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def observed_write(df: DataFrame, write: Callable[[DataFrame], None], **metrics: Column) -> dict[str, Any]:
+    """What `metrics` come to over the rows of df while write() writes them: no second pass."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[c.alias(name) for name, c in metrics.items()]))
+    return seen.get
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
+    """df written to the shared folder and read back, which cuts its lineage; `observed_rows` tells how many rows were written."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    told = observed_write(df, lambda rows: rows.write.parquet(path))
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.observed_rows = told["_rows"]
+    return back
 
 
 def cumulative(counts: DataFrame, order: list[str], n: str, by: list[str] | None = None, out: str = "before") -> DataFrame:

@@ -45,7 +45,7 @@ def placed_values(rows: DataFrame, columns: list[str]) -> DataFrame:
     """
     values = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("column", "v"))
     counts = shared_table(values.groupBy("column", "v").agg(F.count("*").alias("n")), "counts")
-    if counts.count() <= BROADCAST_ROWS:
+    if counts.observed_rows <= BROADCAST_ROWS:
         less = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         placed = counts.withColumn("before", F.coalesce(F.sum("n").over(less), F.lit(0)))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
-from ..operators.common import small
+from ..operators.common import observed_write, shared_path, small
 from ..operators.point_in_time import first_seen, greedy_chunks
 from . import activity as A
 from .activity import sql, table
@@ -65,6 +65,19 @@ def filter_chain_rejections(spark: SparkSession, d: str) -> DataFrame:
     return chained.groupBy(F.coalesce("rejected_by", F.lit("kept")).alias("verdict")).agg(F.count("*").alias("n_rows"))
 
 
+@query(f"WITH {_RAW} SELECT CASE WHEN NOT p THEN 'p' WHEN NOT c THEN 'c' WHEN NOT u THEN 'u' WHEN NOT a THEN 'a' WHEN NOT d THEN 'd' WHEN NOT g THEN 'g' WHEN NOT b THEN 'b' WHEN NOT n THEN 'n' ELSE 'kept' END AS verdict, count(*) AS n_rows FROM raw GROUP BY 1")
+def filter_chain_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts, taken while the rows that are kept are written: no pass of their own."""
+    chained = C.filter_chain(_raw(spark, d), "pcuadgbn", C.row_filters("2000-01-12 00:00:00"))
+    path = shared_path(spark, "kept")
+    verdict = F.coalesce("rejected_by", F.lit("kept"))
+    seen = observed_write(chained, lambda rows: rows.where("rejected_by is null").write.parquet(path), **{v: F.count_if(verdict == v) for v in (*"pcuadgbn", "kept")})
+    kept = spark.read.parquet(path).count()
+    if kept != seen["kept"]:
+        raise RuntimeError(f"{kept} rows were written and {seen['kept']} observed")
+    return spark.createDataFrame([(v, n) for v, n in seen.items() if n and not v.startswith("_")], "verdict string, n_rows long")
+
+
 @query(f"WITH {_RAW} SELECT id FROM raw WHERE p AND c AND u AND a AND d AND g AND b AND n")
 def filter_chain_kept(spark: SparkSession, d: str) -> DataFrame:
     return C.filter_chain(_raw(spark, d), "pcuadgbn", C.row_filters("2000-01-12 00:00:00")).where("rejected_by is null").select("id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import people as P
@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import registry as R
 from ..operators import stats as S
-from ..operators.common import cumulative, quantiles, shared_path, shared_table, small
+from ..operators.common import quantiles, shared_path, shared_table, small
 from ..operators.point_in_time import first_seen, greedy_chunks
 from ..sources import readers, writers
 from . import activity as A
@@ -325,22 +325,50 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
 def json_lines_scan(spark: SparkSession, d: str) -> DataFrame:
     """Nested activities written as JSON lines, compressed, and read back with a schema."""
     path = shared_path(spark, "lines")
-    _written(spark, d).write.option("compression", "gzip").json(path)
+    writers.json_lines(_written(spark, d), path, "gzip")
     return readers.json_lines(spark, path, _LINES).select("id", "state", F.col("user_data.id").alias("submitter"), F.coalesce(F.size("comments_data"), F.lit(0)).cast("long").alias("n_comments"))
 
 
+def _array_files(spark: SparkSession, d: str, record: Column, text: Column | None = None) -> str:
+    """Orders as files of one array each, a folder for each repository and thousand of keys."""
+    path = shared_path(spark, "arrays")
+    k = F.col("o_orderkey")
+    groups = table(spark, d, "orders").groupBy((k % 5).alias("r"), F.floor(k / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), record.alias("t")))), lambda x: x["t"]), ","), F.lit("]")).alias("value"))
+    named = groups.select(F.col("value") if text is None else text.alias("value"), F.concat(F.lit("own"), F.col("r").cast("string"), F.lit("--repo")).alias("from"), "file")
+    named.repartition("from", "file").write.partitionBy("from", "file").text(path)
+    return path
+
+
+def _repository(path: Column) -> Column:
+    return readers.repository(F.concat(F.regexp_extract(path, "from=([^/]+)", 1), F.lit(".json")))
+
+
 @query("SELECT 'own' || (o_orderkey % 5) || '/repo' AS repo, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1")
 def json_array_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Arrays of records, an own folder of files for each repository; where a record came from tells its repository."""
-    path = shared_path(spark, "arrays")
+    """Files of arrays of records, a folder of files for each repository; where a record came from tells its repository."""
+    path = _array_files(spark, d, F.to_json(F.struct(F.col("o_orderkey").alias("id"))))
+    rows = readers.json_arrays(spark, path, "id bigint, __source_path string", nested=True, glob="*.txt")
+    return rows.groupBy(_repository(F.col("__source_path")).alias("repo")).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+_CUT = "o_orderkey % 5 = 2 AND (o_orderkey // 1000) % 3 = 1"
+
+
+@query(
+    f"SELECT 'good' AS what, 'own' || (o_orderkey % 5) || '/repo' AS repo, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders WHERE NOT ({_CUT}) AND o_orderkey % 97 <> 0 GROUP BY 2 "
+    f"UNION ALL SELECT 'record', 'own' || (o_orderkey % 5) || '/repo', count(*), sum(place)::BIGINT FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 5, o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS place FROM orders) WHERE NOT ({_CUT}) AND o_orderkey % 97 = 0 GROUP BY 2 "
+    f"UNION ALL SELECT 'file', 'own2/repo', count(DISTINCT o_orderkey // 1000), NULL FROM orders WHERE {_CUT} HAVING count(*) > 0"
+)
+def json_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays with planted damage, records of a wrong type and files cut short: what is good, and what goes where."""
     k = F.col("o_orderkey")
-    record = F.to_json(F.struct(k.alias("id")))
-    groups = table(spark, d, "orders").groupBy((k % 5).alias("r"), F.floor(k / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
-    groups.select("value", F.concat(F.lit("own"), F.col("r").cast("string"), F.lit("--repo")).alias("from")).write.partitionBy("from").option("lineSep", "\n").text(path)
-    # each line is an array of its own
-    lines = spark.read.text(path).select(F.from_json("value", "array<struct<id:bigint>>").alias("rows"), "_metadata.file_path")
-    folder = F.regexp_extract("file_path", "from=([^/]+)", 1)
-    return lines.select(readers.repository(F.concat(folder, F.lit(".json"))).alias("repo"), F.explode("rows.id").alias("id")).groupBy("repo").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+    record = F.when(k % 97 == 0, F.lit('{"id": "x"}')).otherwise(F.to_json(F.struct(k.alias("id"))))
+    cut = F.when((F.col("r") == 2) & (F.col("file") % 3 == 1), F.expr("substring(value, 1, length(value) - 3)")).otherwise(F.col("value"))
+    path = _array_files(spark, d, record, cut)
+    good, rejects = readers.quarantined_arrays(spark, path, "id bigint, __source_path string", nested=True, glob="*.txt")
+    kept = good.groupBy(_repository(F.col("__source_path")).alias("repo")).agg(F.count("*").alias("n"), F.sum("id").alias("total")).select(F.lit("good").alias("what"), "*")
+    gone = rejects.groupBy("what", _repository(F.col("file")).alias("repo")).agg(F.count("*").alias("n"), F.sum("place").alias("total"))
+    return kept.unionByName(gone)
 
 
 @query(f"WITH {_REG} SELECT id, repo, fork, name || ', \"' || host || '\"' AS quoted FROM reg")
@@ -380,11 +408,10 @@ def split_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
 def chronological_files(spark: SparkSession, d: str) -> DataFrame:
-    """Rows written in order of time; a row's place is that of its file and within it."""
+    """Rows written in order of time; a row's place is its number in its file after all rows of the files before."""
     path = shared_path(spark, "ordered")
     writers.chronological(table(spark, d, "orders").select("o_orderkey", F.to_timestamp("o_orderdate").alias("at")), path, "at", "o_orderkey")
-    placed = cumulative(spark.read.parquet(path).withColumn("one", F.lit(1)), ["at", "o_orderkey"], "one", out="place")
-    return placed.select("o_orderkey", F.col("place").cast("long").alias("place"))
+    return readers.placed(spark, path, "at").select("o_orderkey", F.col("__place").alias("place"))
 
 
 @query(cleaning.recursive("SELECT chunk_id, count(*) AS n, min(id) AS least, max(id) AS most FROM chunked GROUP BY 1", cleaning.CHUNKED))
@@ -406,13 +433,25 @@ def link_strength_faithful(spark: SparkSession, d: str) -> DataFrame:
     return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * twice), 6).alias("strength"))
 
 
-@query("SELECT o_orderkey, o_custkey % 100 AS submitter_id, 'y' AS submitter_login FROM orders")
+@query("SELECT o_orderkey, o_custkey % 100 AS submitter_id, 'y' AS submitter_login, o_orderkey AS sizes_0, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS sizes_1 FROM orders")
 def feature_csv(spark: SparkSession, d: str) -> DataFrame:
-    """A table with a struct written as a flat CSV and read back."""
+    """A table with a struct and a list written as a flat CSV and read back."""
     path = shared_path(spark, "csv")
-    rows = _nested(spark, d).select(F.col("id").alias("o_orderkey"), F.col("activity.user_data").alias("submitter"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    listed = table(spark, d, "orders").select(k.alias("o_orderkey"), F.when(c % 2 == 0, F.array(k, c)).otherwise(F.array(k)).alias("sizes"))
+    rows = _nested(spark, d).select(F.col("id").alias("o_orderkey"), F.col("activity.user_data").alias("submitter")).join(listed, "o_orderkey")
     writers.csv(rows, path)
-    return spark.read.option("header", True).schema("o_orderkey long, submitter_id long, submitter_login string").csv(path)
+    return spark.read.option("header", True).schema("o_orderkey long, submitter_id long, submitter_login string, sizes_0 long, sizes_1 long").csv(path)
+
+
+@query(sql("SELECT project, count(*) AS n, min(submitter) AS least, max(submitter) AS most, sum(submitter)::BIGINT AS total FROM (SELECT DISTINCT project, submitter FROM pr WHERE merged) GROUP BY 1"))
+def project_user_files(spark: SparkSession, d: str) -> DataFrame:
+    """The people of each project written to a folder for each, and read back by the list of projects."""
+    path = shared_path(spark, "people")
+    people = A.activities(spark, d).where("not is_issue and merged").select("project", "submitter").distinct()
+    listed = writers.user_files(people, path, "project")
+    back = spark.read.schema("project long, submitter long, _group long").json(path)
+    return back.join(listed, "project").groupBy("project").agg(F.max("n").alias("n"), F.min("submitter").alias("least"), F.max("submitter").alias("most"), F.sum("submitter").alias("total"))
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.common import shared_table
 from .schema import ACTIVITY
 
 
@@ -17,10 +19,66 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str = ACTIVIT
     return _sourced(spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path))
 
 
-def json_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY, strict: bool = True, nested: bool = False) -> DataFrame:
-    """Files that hold one array of records each, in a folder or with nested also below it."""
+def json_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY, strict: bool = True, nested: bool = False, glob: str = "*.json") -> DataFrame:
+    """Files that hold one array of records each, in a folder or with nested also below it; a bad file ends the read, or without strict is left out."""
     reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    return _sourced(reader.option("recursiveFileLookup", nested).option("pathGlobFilter", "*.json").json(path))
+    return _sourced(reader.option("recursiveFileLookup", nested).option("pathGlobFilter", glob).json(path))
+
+
+#: The column that holds what could not be read as a record.
+DAMAGED = "_damaged"
+
+
+def _parsed(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of (file, place, text): records by the schema, and the texts that are none."""
+    kind = f"{schema}, {DAMAGED} string"
+    read = texts.withColumn("r", F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED}))
+    bad = F.col(f"r.{DAMAGED}").isNotNull() | F.col("r").isNull()
+    named = T._parse_datatype_string(schema).fieldNames()
+    source = F.coalesce("r.__source_path", "file") if "__source_path" in named else None
+    good = read.where(~bad).select(*[source.alias(n) if n == "__source_path" else F.col(f"r.`{n}`") for n in named])
+    return good, read.where(bad).select("file", "place", F.when(F.col("text").isNotNull(), "record").otherwise("file").alias("what"), "text")
+
+
+def quarantined_lines(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of files with one record a line: damaged lines go to a table (file, place, what, text).
+
+    A file's lines carry no numbers, so `place` is null and the text tells which line it was; blank lines are none.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("place"), F.col("value").alias("text")).where(F.trim("text") != "")
+    return _parsed(lines, schema)
+
+
+def quarantined_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY, nested: bool = False, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of files that hold one array of records each.
+
+    A record that doesn't fit the schema goes to the rejects with its file and its place in the array; its
+    neighbours stay.  A file that isn't an array goes there as a whole, without place and
+    text.  Each file is read as one row, as it is where the array is parsed at once.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", nested).option("pathGlobFilter", glob).text(path)
+    split = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("texts"))
+    told = split.select("file", F.col("texts").isNull().alias("broken"), F.posexplode_outer("texts").alias("place", "text"))
+    return _parsed(told.where("broken or place is not null").select("file", "place", F.when(~F.col("broken"), F.coalesce("text", F.lit("null"))).alias("text")), schema)
+
+
+def placed(spark: SparkSession, path: str, time: str, schema: str | None = None) -> DataFrame:
+    """The rows of Parquet files in order of time, with the file's `__file` and each row's `__place` in the whole.
+
+    Places come from the files alone: a row's number in its file and the numbers of rows in the files before
+    it, by name.  Files whose times overlap weren't written in order and are refused.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read
+    rows = reader.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    spans = rows.groupBy("__file").agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last"))
+    by_name = Window.orderBy("__file")  # as few rows as there are files
+    before = by_name.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"), (F.col("first") < F.max("last").over(before)).alias("overlaps"))
+    offsets = shared_table(offsets, "offsets")
+    if not offsets.where("overlaps").isEmpty():
+        raise ValueError(f"the files of {path} aren't in order of {time}")
+    joined = rows.join(F.broadcast(offsets.select(F.col("__file").alias("_f"), "__ahead")), F.col("__file") == F.col("_f"))
+    return joined.withColumn("__place", F.col("__ahead") + F.col("__row")).drop("_f", "__ahead", "__row")
 
 
 def registry_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
