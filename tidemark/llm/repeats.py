@@ -21,7 +21,7 @@ plain shuffles and Spark can split an anchor that a third of all segments have.
 
 Every symbol that a repeated window covers is marked; windows are judged on the
 input.  Null texts are empty; texts under `length` symbols lose nothing.  Rows of
-one key are told apart by their texts; equal rows are copies of each other.
+one key are told apart by 128 bits of their texts; equal rows are copies of each other.
 """
 
 from __future__ import annotations
@@ -266,8 +266,9 @@ def _counted(fetched: DataFrame, length: int, words: bool, across: bool) -> Data
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, text): k tells rows of one key apart by their texts, and a null key is one like others."""
-    return docs.select(F.struct(F.col(key).alias("key"), F.hash(text).alias("mark")).alias("k"), F.col(text).alias("text"))
+    """(k, text): k tells rows of one key apart by 128 bits of their texts and their lengths, and a null key is one like others."""
+    mark = F.struct(F.octet_length(text).alias("n"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit("mark"), text).alias("y"))
+    return docs.select(F.struct(F.col(key).alias("key"), mark.alias("mark")).alias("k"), F.col(text).alias("text"))
 
 
 def _found(marked: DataFrame, length: int, gram: int, words: bool, across: bool) -> DataFrame:
