@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(key, n_shingles, component_id) of each document.
 
     Documents link if 100 * intersection >= percent * union of their sets of
-    distinct `width`-word shingles; component_id is the least key reachable.  A
+    distinct `width`-word shingles; component_id is the least key reachable, and keys
+    are of any type that can be ordered.  A
     document of fewer words has its sequence as its one shingle; null, empty and
     blank texts have no shingle and stay alone.  percent is 80 or more, as the bands
     would lose links below.
@@ -181,7 +182,7 @@ def _links(met: DataFrame, docs: DataFrame, key: str, text: str, width: int, per
     ids = checked_broadcast(degree.select(F.col("id").alias(key)), BROADCAST_IDS)
     sets = stored(_sets(docs.join(ids, key, "left_semi"), key, text, width), "sets")
     ranked = met.join(degree, "id")
-    leads = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("l")).select("bucket", (-F.col("l.minus")).alias("leader")), "leads")
+    leads = stored(ranked.groupBy("bucket").agg(F.max_by("id", F.struct("degree", F.xxhash64("id"))).alias("leader")), "leads")
     led = stored(met.join(leads, "bucket"), "led")
     first = led.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
     told = stored(_verified(first, sets), "verified")
