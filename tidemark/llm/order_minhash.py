@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, let, sha256_text, table
 
@@ -128,7 +129,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], also: dict[str, Col
 
     also names further columns, as expressions of docs, that are added to each row
     once and can be among the carried ones.  Rows are dealt into ranges of the key
-    by its approximate percentiles.  Each range gets a copy of the first row of the
+    by its approximate percentiles, or, where it is no number, as Spark cuts ranges.  Each range gets a copy of the first row of the
     next one and looks up its own neighbours, so only keys of ranges are broadcast.
     Null keys come last; rows of one key follow each other by a hash of what they
     carry.  Columns of docs named like the new ones are replaced.
@@ -138,7 +139,11 @@ def with_next(docs: DataFrame, key: str, columns: list[str], also: dict[str, Col
     docs = docs.drop(*[c for c in [*also, *made] if c != key])
     kept = [*docs.columns, *also]
     range_, copy, tie, next_, first, goes = fresh([*kept, *made], "range", "copy", "tie", "next", "first", "goes")
-    cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    if isinstance(docs.schema[key].dataType, T.NumericType):
+        cuts = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    else:  # the least keys of Spark's own ranges
+        ranges = docs.select(key).where(F.col(key).isNotNull()).repartitionByRange(parts, key)
+        cuts = [r[0] for r in ranges.groupBy(F.spark_partition_id()).agg(F.min(key).alias("least")).select("least").collect()]
     cuts = sorted(set(cuts))
     # ranges count upwards while the key goes down
     rank = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(_above(cuts, F.col(key)) if cuts else F.lit(0))
