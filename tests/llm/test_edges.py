@@ -100,3 +100,51 @@ def test_pipeline_keeps_null_keys(spark, frame):
     masked = corpus_pipeline.pii_stage(spark, frame, "").where("doc_id = 4").collect()
     assert {r.text for r in masked} >= {"a text of the same key, mail [EMAIL]"}
     assert all(r.n_chars == len(r.text) for r in masked)
+
+
+def test_keys_of_any_type(spark):
+    """String, date and struct keys where an order of keys is all that is needed."""
+    words = "one two three four five six seven eight nine ten "
+    rows = [("b", words * 3 + "eleven"), ("a", words * 3 + "twelve"), ("c", "quite another text of several words that stands alone"), (None, None), ("d", words * 3 + "thirteen")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    for key in (F.col("doc_id"), F.struct("doc_id"), F.to_date(F.concat(F.lit("2024-01-"), F.lpad((F.ascii("doc_id") - 90).cast("string"), 2, "0")))):
+        typed = frame.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), key))
+        names = {r.text: r.doc_id for r in typed.collect()}
+        classes = {r.doc_id: r.component_id for r in minhash.near_duplicates(typed, width=2).collect()}
+        same = [names[words * 3 + x] for x in ("eleven", "twelve", "thirteen")]
+        assert {classes[k] for k in same} == {names[words * 3 + "twelve"]}
+        assert classes[names[rows[2][1]]] == names[rows[2][1]]
+        if typed.schema["doc_id"].dataType.typeName() != "struct":
+            after = {r.text: r.next_text for r in order_minhash.with_next(typed, "doc_id", ["text"], parts=3).collect()}
+            down = [t for _, t in sorted(rows[:3] + rows[4:], reverse=True)] + [None]
+            assert [after[t] for t in down] == [*down[1:], down[0]]
+
+
+def test_null_keys_with_equal_hashes(spark):
+    """Two texts of one 32-bit hash and no key: each keeps its own bytes."""
+    passage = "".join(f"{i:03}-" for i in range(113))[:450]
+    first = spark.range(200_000).select(F.concat(F.lit(passage), F.lpad(F.md5(F.col("id").cast("string")), 41, "x")).alias("t"))
+    second = spark.range(200_000).select(F.concat(F.repeat(F.sha2((-F.col("id")).cast("string"), 256), 1), F.lit(" stands alone "), F.sha2(F.col("id").cast("string"), 512)).alias("u"))
+    pair = first.withColumn("h", F.hash("t")).join(second.withColumn("h", F.hash("u")), "h").first()
+    assert pair is not None
+    frame = spark.createDataFrame([(None, pair.t), (None, pair.u), (5, "." + passage + "!")], "doc_id long, text string")
+    got = {r.n_bytes: r for r in repeats.remove(frame).collect()}
+    assert sum(s.b - s.a for s in got[491].removed) == 450 and bytes(got[491].kept).decode() == pair.t[450:]
+    assert not got[len(pair.u)].removed and bytes(got[len(pair.u)].kept).decode() == pair.u
+    assert bytes(got[452].kept) == b".!"
+
+
+def test_nothing_and_very_long_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert order_minhash.with_next(none, "doc_id", ["text"]).count() == 0
+    path = bpe.default_path()
+    assert bpe.decode(bpe.encode(none, path), path).count() == 0
+    assert repeats.remove(none).count() == 0
+    long = "word " * 400_000
+    sized = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string").withColumn("size", mixing.word_count(F.col("text"))).withColumn("sources", F.array(F.lit("s")))
+    sums = sized.groupBy(F.lit("s").alias("source")).agg(F.sum("size").alias("source_size"))
+    taken = {r.doc_id: r.taken for r in mixing.mix(sized, mixing.fill_targets(sums, [3, 1, 2], 1.5, 2)).collect()}
+    assert abs(sum(taken.values()) - 1.5 * 400_002) <= 2
+    turns = spark.createDataFrame([(None, 0, "user", long), (None, 0, "user", long), (7, None, "assistant", None), (7, None, "assistant", "<|im_end|>")], "conv_id long, turn long, role string, text string")
+    back = chat.parse(chat.render(chat.canonical(turns)).select("conv_id", "formatted"))
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back.collect()} == {None: [("user", long)] * 2, 7: [("assistant", ""), ("assistant", "<|im_end|>")]}
