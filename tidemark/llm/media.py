@@ -1,12 +1,13 @@
 """Copies among images by local descriptors (operator 4).
 
-Corners are found at two scales (Harris response, local maxima).  The patch about
-a corner is turned by the direction of its centre of brightness and described by
-120 comparisons of pixels, so brightness and contrast don't matter and neither
-does turning.  Three tables hold 40 bits of each descriptor; corners that agree
-in a table and differ in MOST_APART of all bits at most are matched.  A match votes for the shift, turn and
-scale that carries one image onto the other; images with VOTES votes for one
-and the same are linked, and linked images form groups.
+An image is looked at in sizes that shrink by STEP.  In each, the strongest corner (Harris response, local maximum)
+of every cell of GRID pixels is kept, so corners grow with the area.  The patch about a corner is turned by the direction
+of its centre of brightness, to 5 degrees, and described by 120 comparisons of pixels, so brightness, contrast and turning
+matter little.  Five tables hold 24 bits of each descriptor; corners that agree in a table and differ in
+MOST_APART of all bits at most are matched.  A match gives a shift, turn and scale, and votes for the cells of
+these about it, neighbours included; the matches of a cell with enough votes are fitted by one similarity, and fitted
+again without those that lie off it.  A similarity of VOTES places is then held against all corners: images are
+linked if SHARE of the corners that it carries into the other image find a like corner there, and linked images form groups.
 
 Images of equal pixels are one class from the start, and so are images of equal
 corners.  All other pairs of a bucket are matched: images are dealt into blocks, an
@@ -32,15 +33,22 @@ from pyspark.sql import types as T
 from .common import append_columns, stored, table
 from .components import components
 
-CORNERS = (16, 8)  # at full and at half scale
-RADIUS = 7
-TESTS, TABLES = 120, 3
-TURNS = 36
+#: The factor between one size of an image and the next, and how many sizes are looked at.
+STEP, LEVELS = 1.2, 8
+#: Side of the cells that keep one corner each.
+GRID = 10
+RADIUS = 8
+TESTS, TABLES = 120, 5
+TURNS = 72
 VOTES = 5
 #: Bits of the 120 in which matched corners differ at most.
-MOST_APART = 30
-#: Cells of shift, in pixels of the full scale.
-CELL = 4
+MOST_APART = 28
+#: Cells of turn (in turns) and of shift (pixels at least, and as a part of an image's longer side).
+TURN_CELL, CELL, PART = 3, 8, 6
+#: Pixels that a fitted place may lie off, and in which places count as one.
+OFF, SAME = 3.0, 4
+#: Of the corners that a similarity carries into the other image, how many must find a like one there.
+SHARE = 0.25
 #: Images of a block, and matches that a task holds at once (one image may exceed them).
 BLOCK = 8192
 MATCHES = 1 << 21
@@ -48,9 +56,13 @@ MATCHES = 1 << 21
 
 @lru_cache(maxsize=1)
 def _tests() -> np.ndarray:
-    """For each turn the offsets [tests, 4] (y, x, y, x) of the compared pixels."""
+    """For each turn the offsets [tests, 4] (y, x, y, x) of the compared pixels.
+
+    Pixels are compared across the direction that a patch is turned by: along it, one side is brighter by definition.
+    """
     rng = np.random.default_rng(7)
-    base = np.clip(rng.normal(0, RADIUS / 2.5, (TESTS, 4)), -RADIUS + 1, RADIUS - 1)
+    along, across = rng.uniform(1 - RADIUS, RADIUS - 1, TESTS), rng.normal(0, RADIUS / 2, (2, TESTS))
+    base = np.clip(np.stack([across[0], along, across[1], along + rng.normal(0, 1, TESTS)], 1), 1 - RADIUS, RADIUS - 1)
     out = np.empty((TURNS, TESTS, 4), np.int64)
     for k in range(TURNS):
         c, s = np.cos(2 * np.pi * k / TURNS), np.sin(2 * np.pi * k / TURNS)
@@ -100,8 +112,8 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return a
 
 
-def _corners(images: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, y, x) of the strongest corners of images of one size [n, h, w]."""
+def _corners(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, y, x) of the strongest corner in each cell of images of one size [n, h, w]."""
     n, h, w = images.shape
     if min(h, w) < 2 * RADIUS + 3:
         return tuple(np.zeros((3, 0), np.int64))
@@ -116,14 +128,24 @@ def _corners(images: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.
             if sy or sx:
                 other = r[:, RADIUS + sy : h - RADIUS + sy, RADIUS + sx : w - RADIUS + sx]
                 peak &= (inner > other) if (sy, sx) > (0, 0) else (inner >= other)
-    flat = np.where(peak, inner, -1).reshape(n, -1)
-    k = min(most, flat.shape[1])
-    best = np.argsort(-flat, axis=1, kind="stable")[:, :k]
-    image = np.repeat(np.arange(n), k)
-    place = best.ravel()
-    good = flat[image, place] > 0
-    image, place = image[good], place[good]
-    return image, place // inner.shape[2] + RADIUS, place % inner.shape[2] + RADIUS
+    image, y, x = np.nonzero(peak)
+    cells = -(-inner.shape[2] // GRID)
+    cell = (image * (-(-inner.shape[1] // GRID)) + y // GRID) * cells + x // GRID
+    order = np.lexsort((x, y, -inner[image, y, x], cell))
+    best = order[np.r_[True, cell[order][1:] != cell[order][:-1]]] if len(order) else order
+    return image[best], y[best] + RADIUS, x[best] + RADIUS
+
+
+def _shrunk(images: np.ndarray) -> np.ndarray:
+    """Images [n, h, w] in the next smaller size, between neighbouring pixels."""
+    out = images
+    for axis in (1, 2):
+        n = images.shape[axis]
+        at = np.clip((np.arange(int(n / STEP)) + 0.5) * STEP - 0.5, 0, n - 1)
+        low = at.astype(np.int64)
+        share = (at - low).reshape((-1, 1) if axis == 1 else (-1,))
+        out = np.take(out, low, axis) * (1 - share) + np.take(out, np.minimum(low + 1, n - 1), axis) * share
+    return out
 
 
 def _describe(images: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,36 +164,41 @@ def _describe(images: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarra
     return turn, (bits << np.arange(TESTS // TABLES)).sum(axis=2).astype(np.int64)
 
 
+#: Beside its keys a corner has its place (twice the distance from the centre, in pixels of the whole image), size, turn and the image's sides.
+PLACE = ("y", "x", "level", "turn", "height", "width")
+
+
 def describe(pixels: list[np.ndarray | None]) -> list[list[dict]]:
-    """The described corners of each image: y, x, scale, turn and the keys of the tables."""
+    """The described corners of each image: what PLACE names, and the keys of the tables."""
     out: list[list[dict]] = [[] for _ in pixels]
     by_size: dict[tuple, list[int]] = {}
     for i, p in enumerate(pixels):
         if p is not None:
             by_size.setdefault(p.shape, []).append(i)
     for (h, w), ids in by_size.items():
-        step = max(1, (1 << 21) // (h * w))
+        step = max(1, (1 << 20) // (h * w))
         for lo in range(0, len(ids), step):
             some = ids[lo : lo + step]
-            level = np.stack([pixels[i] for i in some])
-            for scale, most in enumerate(CORNERS):
-                if scale:
-                    h2, w2 = level.shape[1] // 2, level.shape[2] // 2
-                    level = (level[:, : 2 * h2, : 2 * w2].reshape(len(some), h2, 2, w2, 2).sum(axis=(2, 4), dtype=np.uint16) // 4).astype(np.uint8)
-                image, y, x = _corners(level, most)
-                if len(image):
-                    turn, keys = _describe(level, image, y, x)
-                    for j, yy, xx, tt, kk in zip(image.tolist(), y.tolist(), x.tolist(), turn.tolist(), keys.tolist(), strict=True):
-                        out[some[j]].append({"y": yy << scale, "x": xx << scale, "scale": scale, "turn": tt, "keys": kk})
+            size = np.stack([pixels[i] for i in some]).astype(np.float32)
+            for level in range(LEVELS):
+                if level:
+                    size = _shrunk(size)
+                image, y, x = _corners(size)
+                if not len(image):
+                    break
+                turn, keys = _describe(np.rint(size).astype(np.int32), image, y, x)
+                yy, xx = (np.rint(2 * ((v + 0.5) * STEP**level) - side).astype(np.int64) for v, side in ((y, h), (x, w)))
+                for j, a, b, t, k in zip(image.tolist(), yy.tolist(), xx.tolist(), turn.tolist(), keys.tolist(), strict=True):
+                    out[some[j]].append({"y": a, "x": b, "level": level, "turn": t, "height": h, "width": w, "keys": k})
     return out
 
 
-_CORNER = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "x", "scale", "turn")] + [T.StructField("keys", T.ArrayType(T.LongType()))]))
+_CORNER = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in PLACE] + [T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def corners(images: DataFrame, image: str = "image", out: str = "corners") -> DataFrame:
     """images with the described corners of a column of binary PGM data."""
-    kind = pa.list_(pa.struct([*[(c, pa.int32()) for c in ("y", "x", "scale", "turn")], ("keys", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([*[(c, pa.int32()) for c in PLACE], ("keys", pa.list_(pa.int64()))]))
 
     def make():
         return lambda batch: [pa.array(describe([decode_pgm(b) for b in batch.column(image).to_pylist()]), kind)]
@@ -213,27 +240,96 @@ def _matches(ours: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[slice, np.n
         at = to
 
 
-def _votes(a: np.ndarray, b: np.ndarray, pair: np.ndarray, votes: int) -> np.ndarray:
-    """The pairs with enough votes for one transform; a and b are the (y, x, scale, turn) of their matched corners."""
-    turn = (b[:, 3] - a[:, 3]) % TURNS
-    angle, size = turn * (2 * np.pi / TURNS), 2.0 ** (b[:, 2] - a[:, 2])
-    dx = np.floor((b[:, 1] - size * (np.cos(angle) * a[:, 1] - np.sin(angle) * a[:, 0])) / CELL + 0.5)
-    dy = np.floor((b[:, 0] - size * (np.sin(angle) * a[:, 1] + np.cos(angle) * a[:, 0])) / CELL + 0.5)
-    vote = np.stack([pair, turn, b[:, 2] - a[:, 2], dx.astype(np.int64), dy.astype(np.int64), a[:, 0], a[:, 1]])
-    vote = vote[:, np.lexsort(vote[::-1])]
-    vote = vote[:, np.r_[True, (vote[:, 1:] != vote[:, :-1]).any(axis=0)]]
-    begins = np.flatnonzero(np.r_[True, (vote[:5, 1:] != vote[:5, :-1]).any(axis=0)])
-    return np.unique(vote[0, begins[np.diff(np.r_[begins, vote.shape[1]]) >= votes]])
+def _distinct(group: np.ndarray, place: np.ndarray, groups: int) -> np.ndarray:
+    """How many different places (complex) each group has."""
+    told = np.unique(np.stack([group, np.rint(place.real / SAME).astype(np.int64), np.rint(place.imag / SAME).astype(np.int64)]), axis=1)
+    return np.bincount(told[0], minlength=groups)
+
+
+def _votes(a: np.ndarray, b: np.ndarray, pair: np.ndarray, votes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, factor, shift): the similarities z * factor + shift that carry enough places of a pair's first image to its second; a and b are the PLACE of their matched corners."""
+    here, there = ((p[:, 1] + 1j * p[:, 0]) / 2 for p in (a, b))
+    turn, level = (b[:, 3] - a[:, 3]) % TURNS, b[:, 2] - a[:, 2]
+    shift = there - STEP**level * np.exp(2j * np.pi * turn / TURNS) * here
+    cell = np.maximum(CELL, b[:, 4:6].max(1) / PART)
+    bins = TURNS // TURN_CELL
+    near = [np.floor(v)[None] + np.array([[0], [1]]) for v in (turn / TURN_CELL, level / 2, shift.real / cell, shift.imag / cell)]
+    near[0] %= bins
+    cast = np.array([[pair, *(near[k][(i >> k) & 1] for k in range(4))] for i in range(16)]).transpose(1, 0, 2).reshape(5, -1).astype(np.int64)
+    match = np.tile(np.arange(len(pair)), 16)
+    order = np.lexsort(cast[::-1])
+    cast, match = cast[:, order], match[order]
+    group = np.cumsum(np.r_[True, (cast[:, 1:] != cast[:, :-1]).any(axis=0)]) - 1
+    # the fullest cells of a pair first: a pair that is found needs no others
+    kept = np.bincount(group)[group] >= votes
+    group, match = np.unique(group[kept], return_inverse=True)[1], match[kept]
+    if not len(match):
+        return np.zeros(0, np.int64), np.zeros(0, complex), np.zeros(0, complex)
+    groups = int(group.max()) + 1
+    inside = np.ones(len(match), bool)
+    p, q = here[match], there[match]
+    total = lambda v: np.bincount(group[inside], v[inside].real, groups) + 1j * np.bincount(group[inside], v[inside].imag, groups)
+    for limit in (None, 2.0, 1.0):
+        n = np.maximum(np.bincount(group[inside], minlength=groups), 1)
+        mp, mq = total(p) / n, total(q) / n
+        dp, dq = p - mp[group], q - mq[group]
+        spread = np.bincount(group[inside], (abs(dp) ** 2)[inside], groups)
+        scale = total(np.conj(dp) * dq) / np.maximum(spread, 1e-9)
+        off = abs(dq - scale[group] * dp)
+        wide = np.maximum(OFF, OFF * abs(scale))[group]
+        if limit is None:
+            # half of a cell's matches at least are taken to agree: the nearer half stays
+            order = np.lexsort((off, group))
+            rank = np.empty(len(off), np.int64)
+            rank[order] = np.arange(len(off)) - np.searchsorted(group[order], group[order])
+            inside = (rank < np.maximum(votes, (np.bincount(group, minlength=groups)[group] + 1) // 2)) | (off <= wide)
+        else:
+            inside = off <= limit * wide
+    size = abs(scale)
+    good = (_distinct(group[inside], p[inside], groups) >= votes) & (_distinct(group[inside], q[inside], groups) >= votes) & (size > 0.15) & (size < 7)
+    first = np.zeros(groups, np.int64)
+    first[group] = pair[match]
+    move = mq - scale * mp
+    # neighbouring cells find the same similarity
+    told = np.stack([first, np.rint(np.log(np.maximum(size, 1e-9)) * 30), np.rint(np.angle(scale) * 30), np.rint(move.real / SAME), np.rint(move.imag / SAME)])[:, good]
+    one = np.flatnonzero(good)[np.unique(told, axis=1, return_index=True)[1]]
+    return first[one], scale[one], move[one]
+
+
+def _supported(a: np.ndarray, b: np.ndarray, factor: complex, shift: complex) -> bool:
+    """Whether a similarity carries enough of the corners of a image that lie in the other to like ones there.
+
+    Rows are (image, keys of the tables, PLACE).  All corners are asked, not only those that met in a table, so
+    images that merely share a few alike corners in like places are told from copies.
+    """
+    p, q = ((r[:, 2 + TABLES] + 1j * r[:, 1 + TABLES]) / 2 for r in (a, b))
+    at = p * factor + shift
+    height, width = b[0, -2:] / 2 - RADIUS
+    steps = np.log(abs(factor)) / np.log(STEP)
+    size = a[:, 2 + TABLES + 1] + steps
+    inside = (abs(at.imag) <= height) & (abs(at.real) <= width) & (size > -0.5) & (size < LEVELS - 0.5)
+    if inside.sum() < VOTES:
+        return False
+    at, a, p = at[inside], a[inside], p[inside]
+    level = b[:, 2 + TABLES + 1] - a[:, 2 + TABLES + 1, None] - steps
+    near = (abs(at[:, None] - q) <= OFF * np.maximum(1, STEP ** b[:, 2 + TABLES + 1])) & (abs(level) <= 1)
+    i, j = np.nonzero(near)
+    apart = sum(np.bitwise_count(a[i, 1 + t] ^ b[j, 1 + t]).astype(np.int64) for t in range(TABLES))
+    held = np.zeros(len(a), bool)
+    held[i[apart <= MOST_APART]] = True
+    one = np.zeros(len(a), np.int64)
+    return bool(_distinct(one[held], p[held], 1)[0] >= VOTES and held.sum() >= SHARE * len(a)) if held.any() else False
 
 
 def linked(ours: np.ndarray, theirs: np.ndarray, votes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The linked images (a, b), a < b, between two sets of corners, or within one if both are the same array.
 
-    Rows are (image, keys of the tables, y, x, scale, turn), ours in the order of images; images are numbers.
+    Rows are (image, keys of the tables, PLACE), both in the order of images; images are numbers.
     """
     same = ours is theirs
     names, other = np.unique(theirs[:, 0], return_inverse=True)
     own, mine = np.unique(ours[:, 0], return_inverse=True)
+    starts, others = (np.r_[np.flatnonzero(np.r_[True, r[1:, 0] != r[:-1, 0]]), len(r)] for r in (ours, theirs))
     for rows, i, j in _matches(ours[:, : 1 + TABLES], theirs[:, : 1 + TABLES]):
         if same:
             once = ours[i, 0] < theirs[j, 0]
@@ -245,9 +341,18 @@ def linked(ours: np.ndarray, theirs: np.ndarray, votes: int) -> Iterator[tuple[n
         if len(pair):
             low = (ours[i, 0] < theirs[j, 0])[:, None]
             p, q = ours[i, 1 + TABLES :], theirs[j, 1 + TABLES :]
-            found = _votes(np.where(low, p, q), np.where(low, q, p), pair, votes)
-            x, y = own[first + found // len(names)], names[found % len(names)]
-            yield np.minimum(x, y), np.maximum(x, y)
+            found, factor, shift = _votes(np.where(low, p, q), np.where(low, q, p), pair, votes)
+            good: set[tuple[int, int]] = set()
+            for n, f, m in zip(found.tolist(), factor.tolist(), shift.tolist(), strict=True):
+                x, y = first + n // len(names), n % len(names)
+                ends = (int(own[x]), int(names[y]))
+                pieces = (ours[starts[x] : starts[x + 1]], theirs[others[y] : others[y + 1]])
+                if ends[0] > ends[1]:
+                    ends, pieces = ends[::-1], pieces[::-1]
+                if ends not in good and _supported(*pieces, f, m):
+                    good.add(ends)
+            told = np.array(sorted(good), np.int64).reshape(-1, 2)
+            yield told[:, 0], told[:, 1]
 
 
 def _links(own: DataFrame, votes: int, block: int) -> DataFrame:
@@ -271,7 +376,7 @@ def _links(own: DataFrame, votes: int, block: int) -> DataFrame:
         lists = part.column("corners").combine_chunks()
         each, many = lists.flatten(), lists.value_lengths().to_numpy()
         keys = each.field("keys").flatten().to_numpy().reshape(-1, TABLES)
-        rows = np.column_stack([np.repeat(image.to_numpy(zero_copy_only=False), many), keys, *[each.field(c).to_numpy() for c in ("y", "x", "scale", "turn")]]).astype(np.int64)
+        rows = np.column_stack([np.repeat(image.to_numpy(zero_copy_only=False), many), keys, *[each.field(c).to_numpy() for c in PLACE]]).astype(np.int64)
         side, lo, hi = np.repeat(part.column("block").to_numpy(), many), part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
         rows, side = rows[(order := np.argsort(rows[:, 0], kind="stable"))], side[order]
         ours = rows if lo == hi else rows[side == lo]
