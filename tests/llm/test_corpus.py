@@ -405,23 +405,111 @@ def test_media_turns_and_edges(spark):
 
 
 def brute_links(pictures):
-    """The links of all pairs of images, by votes over every pair of corners that agree in a table."""
-    described, links = media.describe(pictures), set()
+    """The links of all pairs of images, from every pair of corners that agree in a table."""
+    links = set()
+    rows = [np.array([[i, *c["keys"], *[c[n] for n in media.PLACE]] for c in d], np.int64).reshape(-1, 1 + media.TABLES + len(media.PLACE)) for i, d in enumerate(media.describe(pictures))]
+    keys = slice(1, 1 + media.TABLES)
     for b in range(len(pictures)):
         for a in range(b):
-            votes = collections.defaultdict(set)
-            for p in described[a]:
-                for q in described[b]:
-                    if any(x == y for x, y in zip(p["keys"], q["keys"], strict=True)):
-                        turn, size = (q["turn"] - p["turn"]) % media.TURNS, 2.0 ** (q["scale"] - p["scale"])
-                        c, s = np.cos(turn * 2 * np.pi / media.TURNS), np.sin(turn * 2 * np.pi / media.TURNS)
-                        dx, dy = q["x"] - size * (c * p["x"] - s * p["y"]), q["y"] - size * (s * p["x"] + c * p["y"])
-                        votes[turn, size, np.floor(dx / media.CELL + 0.5), np.floor(dy / media.CELL + 0.5)].add((p["y"], p["x"]))
-            if any(len(v) >= media.VOTES for v in votes.values()):
-                links.add((a, b))
+            met = [(i, j) for i, p in enumerate(rows[a]) for j, q in enumerate(rows[b]) if (p[keys] == q[keys]).any() and sum(int(x ^ y).bit_count() for x, y in zip(p[keys], q[keys], strict=True)) <= media.MOST_APART]
+            if len(met) >= media.VOTES:
+                i, j = np.array(met).T
+                _, factors, shifts = media._votes(rows[a][i, 1 + media.TABLES :], rows[b][j, 1 + media.TABLES :], np.zeros(len(met), np.int64), media.VOTES)
+                if any(media._supported(rows[a], rows[b], f, m) for f, m in zip(factors, shifts, strict=True)):
+                    links.add((a, b))
     return links
 
 
+def test_media_corners_and_descriptors_by_hand():
+    """The strongest local maximum of each cell, and the comparisons about it, pixel by pixel."""
+    rng = np.random.default_rng(3)
+    picture = rng.integers(0, 256, (40, 52)).astype(np.uint8)
+    f, r, g = picture.astype(np.float32), media.RADIUS, media.GRID
+    dy, dx = np.gradient(f)
+    add = lambda v, y, x: v[y - 1 : y + 2, x - 1 : x + 2].sum()
+    response = {}
+    for y in range(r - 1, 41 - r):
+        for x in range(r - 1, 53 - r):
+            xx, yy, xy = add(dx * dx, y, x), add(dy * dy, y, x), add(dx * dy, y, x)
+            response[y, x] = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    best = {}
+    for (y, x), v in response.items():
+        if r <= y < 40 - r and r <= x < 52 - r and v > 1 and all(v > response[y + i, x + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j):
+            cell = ((y - r) // g, (x - r) // g)
+            best[cell] = max(best.get(cell, (-1.0, 0, 0)), (v, y, x))
+    _, ys, xs = media._corners(picture[None].astype(np.float32))
+    assert sorted(zip(ys.tolist(), xs.tolist())) == sorted((y, x) for _, y, x in best.values())
+    turn, keys = media._describe(picture[None].astype(np.int32), np.zeros(len(ys), np.int64), ys, xs)
+    for y, x, t, k in zip(ys, xs, turn, keys):
+        disc = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i * i + j * j <= r * r]
+        angle = np.arctan2(sum(int(picture[y + i, x + j]) * i for i, j in disc), sum(int(picture[y + i, x + j]) * j for i, j in disc))
+        assert t == round(angle / (2 * np.pi) * media.TURNS) % media.TURNS
+        padded = np.pad(picture.astype(int), 2, mode="edge")
+        smooth = lambda i, j: padded[y + i + 1 : y + i + 4, x + j + 1 : x + j + 4].sum()  # noqa: E731, B023
+        bits = [smooth(a, b) < smooth(c, d) for a, b, c, d in media._tests()[t]]
+        each = media.TESTS // media.TABLES
+        assert k.tolist() == [sum(int(v) << n for n, v in enumerate(bits[i * each : (i + 1) * each])) for i in range(media.TABLES)]
+
+
+def sampled(p, yy, xx):
+    y, x = np.clip(yy, 0, p.shape[0] - 1), np.clip(xx, 0, p.shape[1] - 1)
+    a, b = np.floor(y).astype(int), np.floor(x).astype(int)
+    c, d, u, v = np.minimum(a + 1, p.shape[0] - 1), np.minimum(b + 1, p.shape[1] - 1), y - a, x - b
+    return p[a, b] * (1 - u) * (1 - v) + p[a, d] * (1 - u) * v + p[c, b] * u * (1 - v) + p[c, d] * u * v
+
+
+def resized(p, f):
+    h, w, third = int(p.shape[0] * f), int(p.shape[1] * f), (-1 / 3, 0, 1 / 3)
+    grid = lambda dy, dx: np.meshgrid((np.arange(h) + 0.5 + dy) / f - 0.5, (np.arange(w) + 0.5 + dx) / f - 0.5, indexing="ij")
+    return sum(sampled(p, *grid(dy, dx)) for dy in third for dx in third) / 9
+
+
+def turned(p, degrees):
+    a, m, k = np.deg2rad(degrees), (p.shape[0] - 1) / 2, (p.shape[1] - 1) / 2
+    yy, xx = np.meshgrid(np.arange(p.shape[0]) - m, np.arange(p.shape[1]) - k, indexing="ij")
+    return sampled(p, np.cos(a) * yy + np.sin(a) * xx + m, np.cos(a) * xx - np.sin(a) * yy + k)
+
+
+def painted(p):
+    q = p.copy()
+    q[40:80, 40:80] = 60
+    return q
+
+
+EDITS = {
+    "contrast": lambda p: p * 0.7 + 30,
+    "painted": painted,
+    "half size": lambda p: resized(p, 0.5),
+    "size 0.7": lambda p: resized(p, 0.7),
+    "size 0.85": lambda p: resized(p, 0.85),
+    "quarter turn": lambda p: np.rot90(p).copy(),
+    "turn by 5": lambda p: turned(p, 5),
+    "turn by 15": lambda p: turned(p, 15),
+    "turn by 40": lambda p: turned(p, 40),
+    "crop to 0.7": lambda p: p[16:128, 16:128],
+    "crop to half": lambda p: p[26:106, 26:106],
+    "noise": lambda p: p + np.random.default_rng(1).normal(0, 8, p.shape),
+}
+
+
+def test_media_recall_on_edits():
+    """Each edit of a picture is linked to it, and no other pictures are."""
+    plain = []
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        p = np.full((160, 160), 128.0)
+        for _ in range(60):
+            (y, x), (h, w) = rng.integers(0, 160, 2), rng.integers(4, 53, 2)
+            p[y : y + h, x : x + w] = rng.integers(0, 256)
+        plain.append(p)
+    every = [np.clip(np.rint(f(p)), 0, 255).astype(np.uint8) for f in (lambda p: p, *EDITS.values()) for p in plain]
+    rows = np.array([[i, *c["keys"], *[c[n] for n in media.PLACE]] for i, d in enumerate(media.describe(every)) for c in d], np.int64)
+    links = {pair for a, b in media.linked(rows, rows, media.VOTES) for pair in zip(a.tolist(), b.tolist())}
+    assert all(a % 10 == b % 10 for a, b in links)
+    for k, name in enumerate(EDITS):
+        assert sum((i, 10 * (k + 1) + i) in links for i in range(10)) >= 9, name
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_media_links_of_all_pairs(spark, block):
     plain = [media.decode_pgm(r.image).copy() for r in media.drawn(spark.range(28), "id").orderBy("id").collect()]
