@@ -39,14 +39,6 @@ def cascade_levels(edges: DataFrame, levels: int) -> DataFrame:
     return spark.createDataFrame(out, "level long, projects long")
 
 
-def _before(entries: DataFrame, times: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """times (keys, t) with the sums of `values` over the entries of the same keys with a smaller ts."""
-    zero = [F.lit(0).cast("long").alias(v) for v in values]
-    both = entries.select(*keys, F.col("ts").alias("t"), *values, F.lit(False).alias("_ask")).unionByName(times.select(*keys, "t", *zero, F.lit(True).alias("_ask")))
-    past = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    return both.select(*keys, "t", "_ask", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(v) for v in values]).where("_ask").drop("_ask")
-
-
 def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope: str, direction: str, labels: tuple[str, ...]) -> DataFrame:
     """(id, c, e, degree): second-order degree of each query's person by pairs of edge labels.
 
@@ -59,7 +51,7 @@ def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope
     (intra) or outside (ecosystem).
 
     The older edges are counted, not listed: running sums over a neighbour's edges,
-    less those between the neighbour and u, are looked up at both ends of each span.
+    less those between the neighbour and u, are asked for at both ends of each span and added up with its weight.
     Edges are cut into stretches of a window, so a neighbour's history spreads over
     partitions.
     """
@@ -78,22 +70,18 @@ def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope
     near, far = ("tgt", "src") if direction == "in" else ("src", "tgt")
     split = [F.sum(F.when(F.col("label") == name, F.col("m"))).alias(v) for v, name in zip(values, labels, strict=True)]
 
-    def summed(keys: list[str], renamed: DataFrame) -> DataFrame:
-        entries = renamed.groupBy(*keys, "ts").agg(*split)
-        times = spans.select(*keys, F.explode(F.array("c_ts", "from")).alias("t")).distinct()
-        return shared_table(_before(entries, times, keys, values), "sums")
-
-    all_ = summed(["n", "stretch"], counted.withColumn("n", F.col(near)))
-    own = summed(["n", "u", "stretch"], counted.withColumn("n", F.col(near)).withColumn("u", F.col(far)))
-
-    def at(sums: DataFrame, keys: list[str], t: str, tag: str) -> DataFrame:
-        return sums.select(*keys, F.col("t").alias(t), *[F.col(v).alias(f"{tag}{v}") for v in values])
-
-    told = spans
-    for tag, sums, keys in (("all", all_, ["n", "stretch"]), ("own", own, ["n", "u", "stretch"])):
-        told = told.join(at(sums, keys, "c_ts", f"{tag}_hi_"), [*keys, "c_ts"]).join(at(sums, keys, "from", f"{tag}_lo_"), [*keys, "from"])
-    degree = lambda v: F.sum(F.col("weight") * (F.col(f"all_hi_{v}") - F.col(f"all_lo_{v}") - F.col(f"own_hi_{v}") + F.col(f"own_lo_{v}"))).cast("long")
-    sums = told.groupBy("id", "c").agg(*[degree(v).alias(v) for v in values])
+    # entries by neighbour and person, and by neighbour (no person); each span asks four times, twice with its weight and twice against it
+    own = counted.select(F.col(near).alias("n"), F.col(far).alias("u"), "stretch", "ts", "label", "m").groupBy("n", "u", "stretch", "ts").agg(*split)
+    own = shared_table(own, "entries")
+    every = own.groupBy("n", "stretch", "ts").agg(*[F.sum(v).alias(v) for v in values]).withColumn("u", F.lit(None).cast(own.schema["u"].dataType))
+    ask = lambda u, t, sign: F.struct(u.alias("u"), F.col(t).alias("ts"), (sign * F.col("weight")).alias("w"))
+    nobody = F.lit(None).cast(own.schema["u"].dataType)
+    times = F.explode(F.array(ask(nobody, "c_ts", 1), ask(nobody, "from", -1), ask(F.col("u"), "c_ts", -1), ask(F.col("u"), "from", 1))).alias("x")
+    times = spans.select("id", "c", "n", "stretch", times).groupBy("id", "c", "n", "stretch", "x.u", "x.ts").agg(F.sum("x.w").alias("w"))
+    both = own.unionByName(every).unionByName(times, allowMissingColumns=True)
+    past = Window.partitionBy("n", "u", "stretch").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.select("id", "c", "w", *[F.coalesce(F.sum(v).over(past), F.lit(0)).alias(v) for v in values]).where("w is not null")
+    sums = seen.groupBy("id", "c").agg(*[F.sum(F.col("w") * F.col(v)).cast("long").alias(v) for v in values])
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("e"), F.col(v).alias("degree")) for v, name in zip(values, labels, strict=True)])).alias("x")
     return sums.select("id", "c", each).select("id", "c", "x.e", "x.degree").where("degree > 0")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import shared_table, small
 from ..operators.incremental import carry_on, last_window, merged_sums, with_past
-from ..operators.point_in_time import earlier_sums, rate
+from ..operators.point_in_time import UNBOUNDED_STRETCH, earlier_sums, rate
 from . import activity as A
 
 #: What a feature counts: rows (a, project, ts, seq, n, k), or with b for pairs of people.
@@ -141,7 +141,13 @@ def _nearby(queries: DataFrame, entries: DataFrame, keys: list[str], values: lis
     turned = edges.select(F.col("other").alias("focal"), F.col("focal").alias("other"))
     both = edges.withColumn("o", F.lit(1)).unionByName(turned.withColumn("i", F.lit(1)), allowMissingColumns=True)
     beside = both.groupBy(F.col("focal").alias("project"), "other").agg(F.max("o").alias("o"), F.max("i").alias("i"))
-    asked = queries.join(small(beside), "project").drop("project").withColumnRenamed("other", "project").withColumn("pid", F.col("id")).withColumn("id", F.struct("pid", "project"))
+    # from the person's side: only projects in which it has entries in a query's stretch or the one before can add anything
+    stretch = F.floor(F.col("ts") / (window or UNBOUNDED_STRETCH))
+    active = entries.select(*keys, F.col("project").alias("other"), F.explode(F.array(stretch, stretch + 1)).alias("_stretch")).distinct()
+    there = queries.select(*keys, "project", stretch.alias("_stretch")).distinct()
+    pairs = shared_table(active.join(small(beside), "other").join(there, [*keys, "project", "_stretch"], "left_semi"), "nearby")
+    near = queries.withColumn("_stretch", stretch).join(pairs, [*keys, "project", "_stretch"]).drop("project", "_stretch")
+    asked = near.withColumnRenamed("other", "project").withColumn("pid", F.col("id")).withColumn("id", F.struct("pid", "project"))
     each = earlier_sums(asked, entries, [*keys, "project"], values, window, inclusive)
     told = [(v, tail, F.lit(True) if flag is None else F.col(flag) == 1) for v in values for tail, flag in (("_out", "o"), ("_in", "i"), ("_near", None))]
     return each.groupBy(F.col("pid").alias("id")).agg(*[F.sum(F.when(on, F.col(v))).alias(v + tail) for v, tail, on in told])
