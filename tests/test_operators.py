@@ -229,3 +229,17 @@ def test_second_order_by_brute_force(spark):
                                 want[q, c, e] = want.get((q, c, e), 0) + (len(conn) - i) * m
             got = {(r.id, r.c, r.e): r.degree for r in graph.second_order_degree(asked, df, window, scope, direction, labels).collect()}
             assert got == want
+
+
+def test_neighbours_and_fills_of_a_group_over_all_ranges(spark):
+    rng = random.Random(9)
+    rows = [(("x" if i % 5 else rng.choice(["y", None])), i // 2, i, i if rng.random() < 0.1 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, t long, id long, v long").repartition(3)
+    filled = {r.id: r.v for r in common.fill_forward(df, ["g"], ["t", "id"], ["v"]).collect()}
+    beside = {r.id: (r.p, r.n) for r in common.neighbours(df, ["g"], ["t", "id"], "id", "p", "n").collect()}
+    for g in ("x", "y", None):
+        mine, last = [r for r in rows if r[0] == g], None
+        for k, (_, _, i, v) in enumerate(mine):
+            last = v if v is not None else last
+            assert filled[i] == last
+            assert beside[i] == (mine[k - 1][2] if k else None, mine[k + 1][2] if k + 1 < len(mine) else None)

@@ -68,6 +68,44 @@ def cumulative(counts: DataFrame, order: list[str], n: str, by: list[str] | None
     return joined.select(*counts.columns, (F.col("_in") + F.col("_range")).alias(out))
 
 
+def _ranges(rows: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, Window, Window]:
+    """rows dealt into ranges (_part) of (by, order), stored; windows over the rows of a group in a range, and over the ranges of a group."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared_table(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    return dealt, Window.partitionBy("_part", *by).orderBy(*order), Window.partitionBy(*by).orderBy("_part")
+
+
+def _with_range(rows: DataFrame, told: DataFrame, by: list[str]) -> DataFrame:
+    """rows of _ranges() with the columns that `told` has of their group and range; groups may be null."""
+    key = lambda: F.struct("_part", *by)
+    named = told.select(key().alias("_range_of"), *[c for c in told.columns if c not in ("_part", *by)])
+    return rows.withColumn("_range", key()).join(small(named), F.col("_range") == F.col("_range_of"), "left").drop("_range", "_range_of")
+
+
+def fill_forward(rows: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """rows with nulls replaced by the last value before, in an order within groups.
+
+    A group of any size is dealt into ranges; each takes over the last values of the ranges before.
+    """
+    dealt, inside, between = _ranges(rows, by, order)
+    now, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), between.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    ends = dealt.groupBy(*by, "_part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
+    carried = ends.select(*by, "_part", *[F.last(c, ignorenulls=True).over(ahead).alias(f"_before_{c}") for c in columns])
+    filled = dealt.withColumns({c: F.last(c, ignorenulls=True).over(now) for c in columns})
+    return _with_range(filled, carried, by).withColumns({c: F.coalesce(c, f"_before_{c}") for c in columns}).select(*rows.columns)
+
+
+def neighbours(rows: DataFrame, by: list[str], order: list[str], column: str, previous: str, following: str) -> DataFrame:
+    """rows with the values of a column, never null, in the rows before and after, in an order within groups of any size."""
+    dealt, inside, between = _ranges(rows, by, order)
+    at = F.struct(*order)
+    ends = dealt.groupBy(*by, "_part").agg(F.min_by(column, at).alias("_first"), F.max_by(column, at).alias("_last"))
+    edges = ends.select(*by, "_part", F.lag("_last").over(between).alias("_ahead"), F.lead("_first").over(between).alias("_behind"))
+    own = dealt.withColumns({previous: F.lag(column).over(inside), following: F.lead(column).over(inside)})
+    return _with_range(own, edges, by).withColumns({previous: F.coalesce(previous, "_ahead"), following: F.coalesce(following, "_behind")}).select(*rows.columns, previous, following)
+
+
 def quantiles(rows: DataFrame, column: str, cuts: list[float]) -> list[float] | None:
     """Exact quantiles of a column, interpolated between neighbours; None without values."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))

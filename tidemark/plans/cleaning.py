@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
-from ..operators.common import observed_write, shared_path, small
+from ..operators.common import cumulative, fill_forward, neighbours, observed_write, shared_path, small
 from ..operators.point_in_time import first_seen, greedy_chunks
 from . import activity as A
 from .activity import sql, table
@@ -85,15 +85,11 @@ def filter_chain_kept(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT id, ts, dataset_idx, CASE dataset_idx WHEN 0 THEN 'issues' ELSE 'pull-requests' END AS data_type, row_number() OVER (ORDER BY ts, dataset_idx, seq) AS place FROM (SELECT *, CASE WHEN is_issue THEN 0 ELSE 1 END AS dataset_idx FROM act)"))
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
-    """The merged stream; places come from day totals and the order within a day, not from one global sort."""
+    """The merged stream; places come from ranges of its order, not from one global sort."""
     acts = A.activities(spark, d)
     both = C.ordered_union([acts.where("is_issue"), acts.where("not is_issue")], ["issues", "pull-requests"])
-    from pyspark.sql import Window
-
-    days = both.groupBy("ts").agg(F.count("*").alias("_n"))
-    before = days.withColumn("_before", F.sum("_n").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))).select("ts", F.coalesce("_before", F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("ts").orderBy("dataset_idx", "seq")) + F.col("_before")
-    return both.join(small(before), "ts").select("id", "ts", "dataset_idx", "data_type", place.cast("long").alias("place"))
+    placed = cumulative(both.withColumn("_one", F.lit(1)), ["ts", "dataset_idx", "seq"], "_one", out="place")
+    return placed.select("id", "ts", "dataset_idx", "data_type", (F.col("place") + 1).cast("long").alias("place"))
 
 
 @query("SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2")
@@ -269,12 +265,9 @@ def json_field(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, last_value(e IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS e FROM events)")
 def forward_fill(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("filled"))
-    return C.fill_forward(rows, ["user_id"], ["event_id"], ["filled"]).select("event_id", "filled")
+    return fill_forward(rows, ["user_id"], ["event_id"], ["filled"]).select("event_id", "filled")
 
 
 @query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events")
 def neighbour_pairs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("prev"), F.lead("event_id").over(w).alias("next"))
+    return neighbours(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], "event_id", "prev", "next").select("event_id", "prev", "next")
