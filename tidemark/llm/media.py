@@ -3,7 +3,7 @@
 An image is looked at in sizes that shrink by STEP.  In each, the strongest corner (Harris response, local maximum)
 of every cell of GRID pixels is kept, so corners grow with the area.  The patch about a corner is turned by the direction
 of its centre of brightness, to 5 degrees, and described by 120 comparisons of pixels, so brightness, contrast and turning
-matter little.  Five tables hold 24 bits of each descriptor; corners that agree in a table and differ in
+matter little.  Three tables hold 40 bits of each descriptor; corners that agree in a table and differ in
 MOST_APART of all bits at most are matched.  A match gives a shift, turn and scale, and votes for the cells of
 these about it, neighbours included; the matches of a cell with enough votes are fitted by one similarity, and fitted
 again without those that lie off it.  A similarity of VOTES places is then held against all corners: images are
@@ -34,11 +34,11 @@ from .common import append_columns, stored, table
 from .components import components
 
 #: The factor between one size of an image and the next, and how many sizes are looked at.
-STEP, LEVELS = 1.2, 8
+STEP, LEVELS = 2**0.25, 8
 #: Side of the cells that keep one corner each.
 GRID = 10
 RADIUS = 8
-TESTS, TABLES = 120, 5
+TESTS, TABLES = 120, 3
 TURNS = 72
 VOTES = 5
 #: Bits of the 120 in which matched corners differ at most.
