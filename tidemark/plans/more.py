@@ -13,7 +13,6 @@ from ..operators.common import cumulative, quantiles, shared_path, shared_table,
 from ..operators.point_in_time import earlier_sums, first_seen, greedy_chunks
 from ..sources.readers import repository
 from . import activity as A
-from . import explore as X
 from . import features
 from .activity import sql, table
 from .cleaning import CHUNKED, recursive
