@@ -50,7 +50,7 @@ OFF, SAME = 3.0, 4
 #: Of the corners that a similarity carries into the other image, how many must find a like one there.
 SHARE = 0.25
 #: Images of a block, and matches that a task holds at once (one image may exceed them).
-BLOCK = 8192
+BLOCK = 16384
 MATCHES = 1 << 21
 
 
