@@ -51,7 +51,7 @@ OFF, SAME = 3.0, 4
 SHARE = 0.25
 #: Images of a block, and matches that a task holds at once (one image may exceed them).
 BLOCK = 16384
-MATCHES = 1 << 21
+MATCHES = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -168,9 +168,9 @@ def _describe(images: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarra
 PLACE = ("y", "x", "level", "turn", "height", "width")
 
 
-def describe(pixels: list[np.ndarray | None]) -> list[list[dict]]:
-    """The described corners of each image: what PLACE names, and the keys of the tables."""
-    out: list[list[dict]] = [[] for _ in pixels]
+def described(pixels: list[np.ndarray | None]) -> list[np.ndarray]:
+    """The corners of each image as rows: what PLACE names, then the keys of the tables."""
+    out = [np.zeros((0, len(PLACE) + TABLES), np.int64)] * len(pixels)
     by_size: dict[tuple, list[int]] = {}
     for i, p in enumerate(pixels):
         if p is not None:
@@ -180,6 +180,7 @@ def describe(pixels: list[np.ndarray | None]) -> list[list[dict]]:
         for lo in range(0, len(ids), step):
             some = ids[lo : lo + step]
             size = np.stack([pixels[i] for i in some]).astype(np.float32)
+            owners, found = [], []
             for level in range(LEVELS):
                 if level:
                     size = _shrunk(size)
@@ -188,22 +189,42 @@ def describe(pixels: list[np.ndarray | None]) -> list[list[dict]]:
                     break
                 turn, keys = _describe(np.rint(size).astype(np.int32), image, y, x)
                 yy, xx = (np.rint(2 * ((v + 0.5) * STEP**level) - side).astype(np.int64) for v, side in ((y, h), (x, w)))
-                for j, a, b, t, k in zip(image.tolist(), yy.tolist(), xx.tolist(), turn.tolist(), keys.tolist(), strict=True):
-                    out[some[j]].append({"y": a, "x": b, "level": level, "turn": t, "height": h, "width": w, "keys": k})
+                same = [np.full(len(image), v) for v in (level, h, w)]
+                owners.append(image)
+                found.append(np.column_stack([yy, xx, same[0], turn, same[1], same[2], keys]))
+            if found:
+                image = np.concatenate(owners)
+                rows = np.concatenate(found)[np.argsort(image, kind="stable")]
+                ends = np.cumsum(np.bincount(image, minlength=len(some)))
+                for i, own in zip(some, np.split(rows, ends[:-1]), strict=True):
+                    out[i] = own
     return out
 
 
-_CORNER = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in PLACE] + [T.StructField("keys", T.ArrayType(T.LongType()))]))
+def describe(pixels: list[np.ndarray | None]) -> list[list[dict]]:
+    """The corners of each image by name: what PLACE names, and `keys`."""
+    n = len(PLACE)
+    return [[dict(zip(PLACE, r[:n], strict=True)) | {"keys": r[n:]} for r in rows.tolist()] for rows in described(pixels)]
 
 
-def corners(images: DataFrame, image: str = "image", out: str = "corners") -> DataFrame:
-    """images with the described corners of a column of binary PGM data."""
-    kind = pa.list_(pa.struct([*[(c, pa.int32()) for c in PLACE], ("keys", pa.list_(pa.int64()))]))
+def corners(images: DataFrame, image: str = "image") -> DataFrame:
+    """images with the corners of a column of binary PGM data: n_corners, n_places (different ones), keys and place.
 
-    def make():
-        return lambda batch: [pa.array(describe([decode_pgm(b) for b in batch.column(image).to_pylist()]), kind)]
+    keys has TABLES entries for each corner; place holds, as 32-bit integers, first all values of the first name of
+    PLACE, then those of the next, so that the image's sides, the same for all corners, take no room once compressed.
+    """
+    n = len(PLACE)
+    fields = [("n_corners", T.LongType()), ("n_places", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("place", T.BinaryType())]
+
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = described([decode_pgm(b) for b in batch.column(image).to_pylist()])
+        keys = np.concatenate([r[:, n:].ravel() for r in rows])
+        ends = np.cumsum([0] + [TABLES * len(r) for r in rows]).astype(np.int32)
+        places = [len(np.unique(r[:, :2], axis=0)) for r in rows]
+        packed = [np.ascontiguousarray(r[:, :n].T, np.int32).tobytes() for r in rows]
+        return [pa.array([len(r) for r in rows], pa.int64()), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(packed, pa.binary())]
 
-    return append_columns(images, image, [T.StructField(out, _CORNER)], make)
+    return append_columns(images, image, [T.StructField(*f) for f in fields], lambda: work)
 
 
 def _matches(ours: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -356,15 +377,15 @@ def linked(ours: np.ndarray, theirs: np.ndarray, votes: int) -> Iterator[tuple[n
 
 
 def _links(own: DataFrame, votes: int, block: int) -> DataFrame:
-    """(a, b): the images of own (id, corners) with enough votes for one transform, a < b."""
+    """(a, b): the images of own (id, keys, place) with enough votes for one transform, a < b."""
     blocks = max(1, -(-own.count() // block))
-    placed = own.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "corners")
-    point = placed.select("id", "block", F.explode("corners").alias("c")).select("id", "block", F.posexplode("c.keys").alias("table", "bucket"))
-    held = point.groupBy("table", "bucket").agg(F.collect_set("block").alias("others"), F.min("id").alias("_first"), F.max("id").alias("_last"))
-    shared = stored(held.where("_first <> _last").select("table", "bucket", "others"), "buckets")
-    met = point.join(shared, ["table", "bucket"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    sent = placed.join(met, "id").select("id", "block", "corners", F.explode("others").alias("other"))
-    dealt = sent.select("id", "block", "corners", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    placed = own.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "keys", "place")
+    point = placed.select("id", "block", F.posexplode("keys").alias("at", "key")).select("id", "block", (F.col("key") * TABLES + F.col("at") % TABLES).alias("bucket"))
+    held = point.groupBy("bucket").agg(F.collect_set("block").alias("others"), F.min("id").alias("_first"), F.max("id").alias("_last"))
+    shared = stored(held.where("_first <> _last").select("bucket", "others"), "buckets")
+    met = point.join(shared, "bucket").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    sent = placed.join(met, "id").select("id", "block", "keys", "place", F.explode("others").alias("other"))
+    dealt = sent.select("id", "block", "keys", "place", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     of = own.schema["id"].dataType
     numbers = isinstance(of, T.LongType)
 
@@ -373,14 +394,27 @@ def _links(own: DataFrame, votes: int, block: int) -> DataFrame:
         if not numbers:  # any other key that can be ordered is numbered for the task
             labels = image.unique().sort()
             image = pc.index_in(image, labels)
-        lists = part.column("corners").combine_chunks()
-        each, many = lists.flatten(), lists.value_lengths().to_numpy()
-        keys = each.field("keys").flatten().to_numpy().reshape(-1, TABLES)
-        rows = np.column_stack([np.repeat(image.to_numpy(zero_copy_only=False), many), keys, *[each.field(c).to_numpy() for c in PLACE]]).astype(np.int64)
-        side, lo, hi = np.repeat(part.column("block").to_numpy(), many), part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
-        rows, side = rows[(order := np.argsort(rows[:, 0], kind="stable"))], side[order]
-        ours = rows if lo == hi else rows[side == lo]
-        theirs = ours if lo == hi else rows[side == hi]
+        ids, side = image.to_numpy(zero_copy_only=False).astype(np.int64), part.column("block").to_numpy()
+        lists, places = part.column("keys").combine_chunks(), part.column("place")
+        keys, many = lists.flatten().to_numpy().reshape(-1, TABLES), lists.value_lengths().to_numpy().astype(np.int64) // TABLES
+        begins = np.cumsum(many) - many
+
+        def rows(block: int) -> np.ndarray:
+            """The corners of a block's images, in the order of these."""
+            which = np.flatnonzero(side == block)
+            which = which[np.argsort(ids[which], kind="stable")]
+            ends = np.cumsum(many[which])
+            made = np.empty((int(many[which].sum()), 1 + TABLES + len(PLACE)), np.int64)
+            for i, end in zip(which.tolist(), ends.tolist(), strict=True):
+                own = slice(end - int(many[i]), end)
+                made[own, 0] = ids[i]
+                made[own, 1 : 1 + TABLES] = keys[begins[i] : begins[i] + many[i]]
+                made[own, 1 + TABLES :] = np.frombuffer(places[i].as_buffer(), np.int32).reshape(len(PLACE), -1).T
+            return made
+
+        lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        ours = rows(lo)
+        theirs = ours if lo == hi else rows(hi)
         out = [(a, b) for a, b in linked(ours, theirs, votes) if len(a)] if len(ours) and len(theirs) else []
         ends = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
         made = [pa.array(e) if numbers else labels.take(pa.array(e)) for e in ends]
@@ -396,13 +430,14 @@ def find_copies(images: DataFrame, key: str = "image_id", image: str = "image",
     the one of the least key is compared with others and stands for all of them.
     """
     pixels = images.select(F.col(key).alias("id"), F.col(image).alias("image"), F.sha2(image, 256).alias("_sha"))
-    hashed = stored(corners(pixels, "image").drop("image"), "pixels")  # each image is read and decoded once
-    classes = hashed.groupBy("_sha").agg(F.min("id").alias("id"))
-    heads = stored(classes.withColumnRenamed("_sha", "_s"), "heads")
-    own = stored(hashed.join(heads, (hashed["id"] == heads["id"]) & hashed["_sha"].eqNullSafe(heads["_s"]), "left_semi").select("id", "corners").dropDuplicates(["id"]), "corners")
+    hashed = stored(corners(pixels, "image").drop("image").withColumn("_row", F.monotonically_increasing_id()), "pixels")  # each image is read and decoded once
+    heads = stored(hashed.groupBy("_sha").agg(F.min("id").alias("id"), F.min_by("_row", "id").alias("_head")), "heads")
+    classes = heads.select("_sha", "id")
+    first = heads.groupBy("id").agg(F.min("_head").alias("_head"))
+    own = stored(hashed.join(first.select("_head"), hashed["_row"] == F.col("_head"), "left_semi").select("id", "n_corners", "n_places", "keys", "place"), "corners")
     # Equal corners are links to each other if they are enough for the votes.
-    places = F.size(F.array_distinct(F.transform("corners", lambda c: F.struct(c["y"], c["x"]))))
-    alike = own.select("id", "corners", F.when(places >= votes, F.sha2(F.to_json("corners"), 256)).otherwise(F.concat(F.lit("id "), F.col("id").cast("string"))).alias("_alike"))
+    whole = F.sha2(F.concat(F.hex("place"), F.to_json("keys")), 256)
+    alike = own.select("id", F.when(F.col("n_places") >= votes, whole).otherwise(F.concat(F.lit("id "), F.col("id").cast("string"))).alias("_alike"))
     kinds = alike.groupBy("_alike").agg(F.min("id").alias("head"), F.count("*").alias("members"))
     member = stored(alike.select("id", "_alike").join(kinds, "_alike").select("id", "head", "members"), "members")
     links = stored(_links(own.join(member.where("id = head").select("id"), "id", "left_semi"), votes, block), "links")
@@ -410,7 +445,7 @@ def find_copies(images: DataFrame, key: str = "image_id", image: str = "image",
     degree = both.join(member.where("id = head").select(F.col("head").alias("other"), F.col("members").alias("_n")), "other").groupBy("head").agg(F.sum("_n").alias("_links"))
     group = components(links).withColumnRenamed("node", "head")
     told = member.join(degree, "head", "left").join(group, "head", "left").select("id", (F.coalesce("_links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "head").alias("component"))
-    named = classes.join(own.select("id", F.size("corners").cast("long").alias("n_corners")), "id").join(told, "id", "left")
+    named = classes.join(own.select("id", "n_corners"), "id").join(told, "id", "left")
     every = hashed.select("_sha", F.col("id").alias(key)).join(named.withColumnRenamed("_sha", "_s"), F.col("_sha").eqNullSafe(F.col("_s")), "left")
     return every.select(key, "n_corners", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id", key).alias("group_id"))
 
