@@ -14,35 +14,53 @@ from ..operators.incremental import carry_on, last_window, merged_sums, with_pas
 from ..operators.point_in_time import UNBOUNDED_STRETCH, earlier_sums, rate
 from . import activity as A
 
+
+@dataclass(frozen=True)
+class Log:
+    """Activities and comments, and the distinct people (a) and counterparts (b) that pull requests ask about, if only these matter."""
+
+    activities: DataFrame
+    comments: DataFrame
+    people: DataFrame | None = None
+    others: DataFrame | None = None
+
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """The rows of entries whose people are asked about."""
+        rows = rows if self.people is None else rows.join(self.people, "a", "left_semi")
+        return rows if self.others is None or "b" not in rows.columns else rows.join(self.others, "b", "left_semi")
+
+
 #: What a feature counts: rows (a, project, ts, seq, n, k), or with b for pairs of people.
-Entries = Callable[[SparkSession, str], DataFrame]
+Entries = Callable[[Log], DataFrame]
 
 
 def _prs(issue: bool) -> Entries:
-    return lambda s, d: A.activities(s, d).where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), "project", "ts", "seq", F.lit(1).cast("long").alias("n"), F.col("merged").cast("long").alias("k"))
+    return lambda log: log.asked(log.activities.where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), "project", "ts", "seq", F.lit(1).cast("long").alias("n"), F.col("merged").cast("long").alias("k")))
 
 
 def _comments(issue: bool, distinct: bool) -> Entries:
-    def of(s: SparkSession, d: str) -> DataFrame:
-        rows = A.comments(s, d).where(F.col("is_issue") == issue).select(F.col("commenter").alias("a"), "project", "ts", "seq", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("k"))
+    def of(log: Log) -> DataFrame:
+        rows = log.asked(log.comments.where(F.col("is_issue") == issue).select(F.col("commenter").alias("a"), "project", "ts", "seq", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("k")))
         return rows.distinct() if distinct else rows
 
     return of
 
 
 def _pairs(kind: str, issue: bool, inverse: bool) -> Entries:
-    def of(s: SparkSession, d: str) -> DataFrame:
+    def of(log: Log) -> DataFrame:
         if kind == "integrated":
-            rows = A.activities(s, d).where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), F.col("integrator").alias("b"), "project", "ts", "seq")
+            rows = log.activities.where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), F.col("integrator").alias("b"), "project", "ts", "seq")
         elif kind == "commented":
-            rows = A.comments(s, d).where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), F.col("commenter").alias("b"), "project", "ts", "seq")
-        else:  # each pair of people that discuss, as often as their comments multiply
-            per = A.comments(s, d).where(F.col("is_issue") == issue).groupBy("id", "commenter", "project", "ts", "seq").agg(F.count("*").alias("m"))
-            other = per.select("id", F.col("commenter").alias("b"), F.col("m").alias("_m"))
-            return per.join(other, "id").where("commenter <> b").select(F.col("commenter").alias("a"), "b", "project", "ts", "seq", (F.col("m") * F.col("_m")).alias("n"))
+            rows = log.comments.where(F.col("is_issue") == issue).select(F.col("submitter").alias("a"), F.col("commenter").alias("b"), "project", "ts", "seq")
+        else:  # each pair of people that discuss, as often as their comments multiply; who isn't asked about goes before people are paired
+            said = log.comments.where(F.col("is_issue") == issue)
+            count = lambda name: said.select("id", F.col("commenter").alias(name), "project", "ts", "seq")
+            mine = log.asked(count("a")).groupBy("id", "a", "project", "ts", "seq").agg(F.count("*").alias("_mine"))
+            other = Log(log.activities, log.comments, None, log.others).asked(count("b").select("id", "b")).groupBy("id", "b").agg(F.count("*").alias("_m"))
+            return mine.join(other, "id").where("a <> b").select("a", "b", "project", "ts", "seq", (F.col("_mine") * F.col("_m")).alias("n"))
         if inverse:
             rows = rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "project", "ts", "seq")
-        return rows.where("a <> b").withColumn("n", F.lit(1).cast("long"))
+        return log.asked(rows.where("a <> b").withColumn("n", F.lit(1).cast("long")))
 
     return of
 
@@ -88,41 +106,65 @@ def compute_all(specs: list[Feature], spark: SparkSession, sf_dir: str, state: s
     groups: dict[tuple, list[Feature]] = {}
     for f in specs:
         groups.setdefault((f.pair, f.window, f.inclusive), []).append(f)
+    acts, several = A.activities(spark, sf_dir), len(specs) > 1 or bool(next_state)
+    if several:  # many passes read them
+        acts = shared_table(acts, "activities")
+    said = A.comments(spark, sf_dir, acts).select("id", "seq", "ts", "project", "submitter", "commenter", "is_issue")
+    log = Log(acts, shared_table(said, "comments") if several and any("com" in f.sql_entries for f in specs) else said)
     if state or next_state:
-        carry_on(spark, A.activities(spark, sf_dir), state, next_state)
-    parts = [_group(some, spark, sf_dir, state, next_state) for some in groups.values()]
+        carry_on(spark, acts, state, next_state)
+    parts = [_group(some, spark, sf_dir, log, state, next_state) for some in groups.values()]
     return reduce(lambda x, y: x.join(y, "id"), parts).select("id", *[f.name for f in specs])
 
 
-def _group(specs: list[Feature], spark: SparkSession, sf_dir: str, state: str | None, next_state: str | None) -> DataFrame:
+def _group(specs: list[Feature], spark: SparkSession, sf_dir: str, log: Log, state: str | None, next_state: str | None) -> DataFrame:
     pair, window, inclusive = specs[0].pair, specs[0].window, specs[0].inclusive
-    acts = A.activities(spark, sf_dir).where("not is_issue")
     who = [F.col("submitter").alias("a"), *([F.col("integrator").alias("b")] if pair else [])]
-    queries = acts.select("id", "ts", "seq", "project", *who)
+    queries = log.activities.where("not is_issue").select("id", "ts", "seq", "project", *who)
     keys = ["a", "b"] if pair else ["a"]
+    several = len(specs) > 1 or bool(next_state)
+    if several:
+        queries = shared_table(queries, "queries")
     sources: dict[str, int] = {}
     for f in specs:
         sources.setdefault(f.sql_entries, len(sources))
     rated = {f.sql_entries for f in specs if f.value == "rate"}
-    tables, values = [], []
-    for source, i in sources.items():
-        rows = next(f for f in specs if f.sql_entries == source).entries(spark, sf_dir)
-        own = [F.col("n").alias(f"n{i}"), *([F.col("k").alias(f"k{i}")] if source in rated else [])]
-        values += [f"n{i}", *([f"k{i}"] if source in rated else [])]
-        tables.append(rows.select(*keys, "project", "ts", "seq", *own))
-    entries = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+    values = [v for source, i in sources.items() for v in (f"n{i}", *([f"k{i}"] if source in rated else []))]
+
+    def entries_of(some: Log) -> DataFrame:
+        tables = []
+        for source, i in sources.items():
+            own = [F.col("n").alias(f"n{i}"), *([F.col("k").alias(f"k{i}")] if source in rated else [])]
+            tables.append(next(f for f in specs if f.sql_entries == source).entries(some).select(*keys, "project", "ts", "seq", *own))
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
+
     scopes = {f.scope for f in specs}
     everywhere, near = scopes & set(_EVERYWHERE), scopes & set(_NEAR)
     name = f"{'pairs' if pair else 'people'}-{window}-{'from' if inclusive else 'after'}"
-    if state and window:
-        entries = entries.unionByName(spark.read.parquet(f"{state}/{name}"))
-    if len(specs) > 1 or next_state:  # several passes read them
-        entries, queries = shared_table(entries, "entries"), shared_table(queries, "queries")
-    past = spark.read.parquet(f"{state}/{name}") if state and not window else None
-    if next_state:
-        kept = last_window(entries, window, inclusive, spark.read.parquet(f"{next_state}/end")) if window else merged_sums(entries, past, [*keys, "project"], values)
+    old = spark.read.parquet(f"{state}/{name}") if state else None
+    # entries of people that no pull request asks about add to nothing, and are dropped before anything is shuffled by key
+    asked = Log(log.activities, log.comments, *[small(queries.select(k).where(F.col(k).isNotNull()).distinct()) for k in keys])
+    entries = entries_of(asked)
+    if old is not None and window:
+        entries = entries.unionByName(asked.asked(old), allowMissingColumns=True)
+    if pair:  # nor do those of pairs that nobody asks about within a window after them
+        stretch = F.floor(F.col("ts") / (window or UNBOUNDED_STRETCH))
+        times = queries.select(F.col("a").alias("_a"), F.col("b").alias("_b"), *([stretch.alias("_s")] if window else [])).distinct()
+        near_in_time = F.col("_s").between(stretch, stretch + 1) if window else F.lit(True)
+        entries = entries.join(small(times), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & near_in_time, "left_semi")
+    if several:  # several passes read them
+        entries = shared_table(entries, "entries")
+    past = old if not window else None
+    if next_state:  # later chunks may ask about anyone
+        if window:
+            end = spark.read.parquet(f"{next_state}/end")
+            late = lambda rows: rows.where(F.col("ts") >= end.first()["last"]["ts"] - window)
+            every = entries_of(Log(late(log.activities), late(log.comments)))
+            kept = last_window(every if old is None else every.unionByName(old, allowMissingColumns=True), window, inclusive, end)
+        else:
+            kept = merged_sums(entries_of(log), past, [*keys, "project"], values)
         kept.write.mode("overwrite").parquet(f"{next_state}/{name}")
-    got = queries.select("id")
+    got = None
     if everywhere:
         got = earlier_sums(queries, entries, keys, values, window, inclusive, within=["project"])
     elif "intra" in scopes:
@@ -131,7 +173,8 @@ def _group(specs: list[Feature], spark: SparkSession, sf_dir: str, state: str |
             inside = with_past(inside, past, [*keys, "project"], values)
         got = inside.withColumnsRenamed({v: f"{v}_within" for v in values})
     if near:
-        got = got.join(_nearby(queries, entries, keys, values, window, inclusive, spark, sf_dir), "id", "left")
+        beside = _nearby(queries, entries, keys, values, window, inclusive, spark, sf_dir)
+        got = queries.select("id").join(beside, "id", "left") if got is None else got.join(beside, "id", "left")
     return got.select("id", *[_value(f, sources[f.sql_entries]).alias(f.name) for f in specs])
 
 
@@ -147,10 +190,10 @@ def _nearby(queries: DataFrame, entries: DataFrame, keys: list[str], values: lis
     there = queries.select(*keys, "project", stretch.alias("_stretch")).distinct()
     pairs = shared_table(active.join(small(beside), "other").join(there, [*keys, "project", "_stretch"], "left_semi"), "nearby")
     near = queries.withColumn("_stretch", stretch).join(pairs, [*keys, "project", "_stretch"]).drop("project", "_stretch")
-    asked = near.withColumnRenamed("other", "project").withColumn("pid", F.col("id")).withColumn("id", F.struct("pid", "project"))
+    asked = near.withColumnRenamed("other", "project")
     each = earlier_sums(asked, entries, [*keys, "project"], values, window, inclusive)
     told = [(v, tail, F.lit(True) if flag is None else F.col(flag) == 1) for v in values for tail, flag in (("_out", "o"), ("_in", "i"), ("_near", None))]
-    return each.groupBy(F.col("pid").alias("id")).agg(*[F.sum(F.when(on, F.col(v))).alias(v + tail) for v, tail, on in told])
+    return each.groupBy("id").agg(*[F.sum(F.when(on, F.col(v))).alias(v + tail) for v, tail, on in told])
 
 
 def _value(f: Feature, i: int) -> Column:
