@@ -65,6 +65,8 @@ def percentile_boxes(rows: DataFrame, column: str, cuts: list[float]) -> DataFra
 
 def min_max(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with columns scaled to 0..1; a constant column becomes 0."""
+    if not columns:
+        return rows
     ends = rows.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
     scaled = {c: F.coalesce(F.try_divide((F.col(c) - F.col(f"_lo_{c}")).cast("double"), (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")).cast("double")), F.lit(0.0)) for c in columns}
     return rows.crossJoin(F.broadcast(ends)).withColumns(scaled).select(*rows.columns)

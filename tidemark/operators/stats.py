@@ -215,6 +215,9 @@ def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def logit(rows: DataFrame, columns: list[str], label: str) -> np.ndarray:
     """Coefficients of a binomial model, the constant first."""
+    if not columns:  # the constant alone fits the share; a label that never varies has the limit that a share next to it would give
+        share = min(max(rows.agg(F.avg(label)).first()[0] or 0.0, 1e-12), 1 - 1e-12)
+        return np.array([math.log(share / (1 - share))])
     model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=label, maxIter=50).fit(assembled(rows, columns))
     return np.concatenate([[model.intercept], model.coefficients.toArray()])
 

@@ -68,8 +68,12 @@ def pipeline(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(term, estimate, std_error, z, rows, outliers): a model of the label with an intercept for each project.
 
     Columns that never vary go; rows that a logit tells as influential outliers go; what stays is scaled to
-    0..1 and fitted.
+    0..1 and fitted.  Where no column varies only the intercepts are left, and where there are no rows nothing
+    can be estimated: the variances are null then, and rows and outliers 0.
     """
+    if rows.isEmpty():
+        none = [("_scale", None, None, None, 0, 0), ("_group_variance", None, None, None, 0, 0)]
+        return rows.sparkSession.createDataFrame(none, "term string, estimate double, std_error double, z double, rows long, outliers long")
     varied = [r["column"] for r in S.summaries(rows, columns, {"median": 0.5}).where("least < most").collect()]
     kept = [c for c in columns if c in varied]
     marked = shared_table(S.influence(E.min_max(rows, kept), kept, "label"), "influence")
