@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import BROADCAST_ROWS
+from ..config import BROADCAST_ROWS, ROWS_A_TASK
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -23,6 +23,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.observed_rows <= most else side
 
 
+def spread(rows: DataFrame, like: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys over so many tasks that each gets about ROWS_A_TASK of the rows of a stored table `like`; a small table as it is.
+
+    A number that grows with the rows bounds what one task holds, and sides dealt alike are joined without another shuffle.
+    """
+    parts = -(-like.count() // ROWS_A_TASK)
+    return rows.repartition(parts, *keys) if parts > 2 else rows
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir; beside the warehouse only where that is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

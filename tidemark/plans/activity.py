@@ -20,11 +20,9 @@ def seconds(ts) -> F.Column:
     return F.unix_seconds(F.to_timestamp(ts))
 
 
-def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: id, seq, ts, project, submitter, merged, is_issue, comments, integrator."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("integrator"), F.count("*").alias("comments"))
-    orders = table(spark, sf_dir, "orders")
-    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select(
+def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order without what its lines tell: id, seq, ts, project, submitter, merged, is_issue."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").alias("seq"),
         seconds(F.col("o_orderdate")).alias("ts"),
@@ -32,11 +30,16 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % PEOPLE).alias("submitter"),
         (F.col("o_orderstatus") == "F").alias("merged"),
         F.substring("o_orderpriority", 1, 1).isin("1", "2").alias("is_issue"),
-        F.coalesce("comments", F.lit(0)).alias("comments"),
-        "integrator",
     )
 
 
+def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: id, seq, ts, project, submitter, merged, is_issue, comments, integrator."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("integrator"), F.count("*").alias("comments"))
+    acts = opened(spark, sf_dir)
+    return acts.join(lines, acts.id == lines.l_orderkey, "left").select(*acts.columns, F.coalesce("comments", F.lit(0)).alias("comments"), "integrator")
+
+
 def comments(spark: SparkSession, sf_dir: str, acts: DataFrame | None = None) -> DataFrame:
     """One row per order line: the activity it belongs to and its commenter; `acts` may be stored activities."""
     acts = (activities(spark, sf_dir) if acts is None else acts).select("id", "seq", "ts", "project", "submitter", "merged", "is_issue", "integrator")

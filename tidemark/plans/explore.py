@@ -145,8 +145,8 @@ def weighted_centrality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT src, tgt, round(sum(weight), 6) AS strength FROM edges JOIN w USING (label) GROUP BY 1, 2", _WEIGHED))
 def link_strength(spark: SparkSession, d: str) -> DataFrame:
-    per = shared_table(graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n")), "links")
-    weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
+    per, labels = graphs.links(spark, d)
+    weights = E.edge_weights(labels)
     return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("strength"))
 
 

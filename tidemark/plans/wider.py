@@ -427,8 +427,8 @@ def chunk_files(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT src, tgt, round(sum(weight), 6) AS strength FROM (SELECT src, tgt, CASE WHEN label LIKE '%commenter_commenter' THEN weight * weight ELSE weight END AS weight FROM edges JOIN w USING (label)) GROUP BY 1, 2", explore._WEIGHED))
 def link_strength_faithful(spark: SparkSession, d: str) -> DataFrame:
     """Link strengths as they were once computed: discussions are weighted twice."""
-    per = shared_table(graphs.collaboration(spark, d).groupBy("src", "tgt", "label").agg(F.sum("m").alias("n")), "links")
-    weights = E.edge_weights(per.groupBy("label").agg(F.sum("n").alias("n")))
+    per, labels = graphs.links(spark, d)
+    weights = E.edge_weights(labels)
     twice = F.when(F.endswith("label", F.lit("commenter_commenter")), F.col("weight") * F.col("weight")).otherwise(F.col("weight"))
     return per.join(small(weights), "label").groupBy("src", "tgt").agg(F.round(F.sum(F.col("n") * twice), 6).alias("strength"))
 
