@@ -65,3 +65,18 @@ def test_a_large_table_is_dealt_by_its_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "ROWS_A_TASK", 10)
     big = spark.range(100)
     assert common.spread(big, big, "id").rdd.getNumPartitions() == 10 and common.spread(big.limit(5), big.limit(5), "id").columns == ["id"]
+
+
+def test_second_order_stores_no_query_with_each_edge(spark, monkeypatch):
+    from tidemark.operators import graph
+    from tidemark.plans.graphs import LABELS
+
+    edges = spark.range(30).select(F.col("id").alias("ts")).selectExpr("1L src", "0L tgt", f"'{LABELS[1]}' label", "7L project", "ts", "ts seq", "1L m")
+    edges = edges.unionByName(spark.sql(f"select 2L src, 1L tgt, '{LABELS[0]}' label, 7L project, -1L ts, -1L seq, 1L m"))
+    queries = spark.range(300).selectExpr("id", "40L ts", "100 + id seq", "0L u", "7L project")
+    stored, keep = [], graph.shared_table
+    monkeypatch.setattr(graph, "shared_table", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    for scope, some in (("intra", queries), ("ecosystem", queries.withColumn("project", F.lit(8).cast("long")))):
+        got = graph.second_order_degree(some, edges, 1000, scope, "in", LABELS).collect()
+        assert {(r.c, r.e, r.degree) for r in got} == {(LABELS[1], LABELS[0], 30 * 31 // 2)} and len(got) == 300
+    assert max(t.observed_rows for t in stored) < 300 * 30 / 4
