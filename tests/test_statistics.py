@@ -113,6 +113,41 @@ def test_partial_dependence_equals_exploded_rows(spark):
             assert got[c][r["v"]] == pytest.approx(r["m"], abs=1e-9)
 
 
+def test_counted_forest(spark):
+    """Alike rows as counts: as many groups as combinations of bins, predictions and dependence as by the rows, and a forest as good as one over rows."""
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.integers(0, 9, 4000), rng.integers(0, 400, 4000) / 10.0]
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 20)).astype(float)
+    names = ["a", "b"]
+    df = table_of(spark, x, names, y=y, k=np.arange(4000))
+    edges = forests.bin_edges(df, names)
+    assert edges[0] == list(range(1, 9)) and len(edges[1]) == 31
+    groups = forests.counted(df, names, "y", edges)
+    assert groups.count() <= 9 * 32 * 2 and groups.agg(F.sum("n")).first()[0] == 4000
+    model = forests.counted_forest(groups, names, "y", edges, trees=4, depth=5)
+    assert model.weights.sum() == pytest.approx(1)
+    again = forests.counted_forest(groups.repartition(3), names, "y", edges, trees=4, depth=5)
+    assert [t["value"].tolist() for t in model.trees] == [t["value"].tolist() for t in again.trees]
+
+    def by_rows(at):
+        def one(tree, row, node=0):
+            while tree["feature"][node] >= 0:
+                node = tree["left"][node] if row[tree["feature"][node]] <= tree["threshold"][node] else tree["right"][node]
+            return tree["value"][node]
+
+        return np.mean([np.mean([one(t, row) for t in model.unbinned()]) for row in at])
+
+    told = forests.counted_predictions(model, groups, names)
+    assert told.agg(F.sum(F.col("n") * F.col("prediction")) / F.sum("n")).first()[0] == pytest.approx(by_rows(x), abs=1e-9)
+    got = {(r["column"], r["value"]): r["mean_prediction"] for r in forests.counted_partial_dependence(model, groups, df, names, points=10).collect()}
+    assert len(got) == 19
+    for (c, v), mean in list(got.items())[::5]:
+        fixed = x.copy()
+        fixed[:, names.index(c)] = v
+        assert mean == pytest.approx(by_rows(fixed), abs=1e-9)
+    assert forests.counted_cross_validated(df, names, "y", "k", k=2, trees=3).agg(F.min("f1")).first()[0] > 0.9
+
+
 def test_folds_of_several_lists(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 2))

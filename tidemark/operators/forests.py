@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ROWS_A_TASK
 from .common import shared_path, shared_table
 from .stats import assembled, confusion, placed_values, summaries
 
@@ -19,6 +23,8 @@ TREES, FOLDS, GRID = 100, 5, 100
 DEPTH = 8
 #: Forests that are fitted at a time.
 AT_ONCE = 4
+#: Trees of a counted forest that are fitted at a time, and bins of a column (as many as Spark's forests have).
+TREES_AT_ONCE, BINS = 12, 32
 
 
 def forest(rows: DataFrame, columns: list[str], label: str, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> RandomForestRegressionModel:
@@ -72,8 +78,135 @@ def nodes(model: RandomForestRegressionModel, spark: SparkSession) -> list[dict[
     return out
 
 
-def _walk(tree: dict[str, np.ndarray], x: np.ndarray, covers: np.ndarray) -> None:
-    """Adds to covers[feature, leaf] the rows that come to a leaf if that feature may have any value.
+@dataclass
+class CountedForest:
+    """Trees over numbers of bins (`trees`, as nodes() tells them), the lower edges of all bins but the first, and importances."""
+
+    trees: list[dict[str, np.ndarray]]
+    edges: list[list[float]]
+    weights: np.ndarray
+
+    def unbinned(self) -> list[dict[str, np.ndarray]]:
+        """The trees with thresholds between values: a bin up to k has the values below the edge of the next."""
+        below = [np.nextafter(np.array([*e, np.inf]), -np.inf) for e in self.edges]
+        return [t | {"threshold": np.array([below[f][int(x)] if f >= 0 else x for f, x in zip(t["feature"], t["threshold"], strict=True)])} for t in self.trees]
+
+
+def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[list[float]]:
+    """Per column the least value of each bin but the first: a bin for each value, or bins of equal shares of the rows if there are more values."""
+    known = placed_values(rows, columns).where("v is not null and not isnan(v)")
+    total = known.groupBy("column").agg(F.sum("n").alias("_all"), F.count("*").alias("_values"), F.min("before").alias("_nulls"))
+    share = F.floor((F.col("before") - F.col("_nulls")) * bins / F.col("_all")).cast("double")
+    cut = known.join(F.broadcast(total), "column").groupBy("column", F.when(F.col("_values") <= bins, F.col("v")).otherwise(share).alias("bin")).agg(F.min("v").alias("v"))
+    out: list[list[float]] = [[] for _ in columns]
+    for r in cut.collect():  # at most columns * bins
+        out[r["column"]].append(r["v"])
+    return [sorted(e)[1:] for e in out]
+
+
+def counted(rows: DataFrame, columns: list[str], label: str, edges: list[list[float]], *more: str) -> DataFrame:
+    """(columns as numbers of bins, label, more, n): how many rows are alike to a tree.  Rows with a null are left out, as in assembled()."""
+    binned = [f"_bin_{c}" for c in columns]
+    splits = [[-np.inf, *(e or [np.finfo(float).max]), np.inf] for e in edges]
+    told = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=binned, handleInvalid="skip").transform(rows)
+    return shared_table(told.groupBy(*[F.col(b).alias(c) for b, c in zip(binned, columns, strict=True)], label, *more).agg(F.count("*").alias("n")), "counted")
+
+
+def _drawn(groups: DataFrame, columns: list[str], label: str, trees: int, seed: int) -> DataFrame:
+    """groups with w0, w1, ...: how many rows of a group the bootstrap of each tree has.
+
+    A bootstrap takes each row a Poisson(1) number of times, so Poisson(n) times n rows. The group seeds its draws: reruns agree.
+    """
+    names = [*columns, label]
+    seeded = groups.select(*[F.col(c).cast("double").alias(c) for c in names], F.col("n").cast("long").alias("n"), F.xxhash64(F.lit(seed), *names).alias("_seed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, n, seeds = batch.columns
+            drawn = [np.random.default_rng(s & (1 << 64) - 1).poisson(k, trees) for s, k in zip(seeds.to_pylist(), n.to_pylist(), strict=True)]
+            w = np.array(drawn, np.float64).reshape(-1, trees)
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(w[:, t]) for t in range(trees)]], names=[*names, *[f"w{t}" for t in range(trees)]])
+
+    return shared_table(seeded.mapInArrow(run, ", ".join(f"`{c}` double" for c in [*names, *[f"w{t}" for t in range(trees)]])), "drawn")
+
+
+def _told(model: DecisionTreeRegressionModel) -> dict[str, np.ndarray]:
+    """A tree as arrays by node in order of depth first, from its text: a node, its left side, `Else`, its right side."""
+    feature, threshold, left, right, value, open_nodes = [], [], [], [], [], []
+    for line in model.toDebugString.splitlines():
+        line = line.strip()
+        if line.startswith("Else"):
+            right[open_nodes.pop()] = len(feature)
+        elif got := re.match(r"If \(feature (\d+) <= (.+)\)|Predict: (.+)", line):
+            if got[3] is None:
+                open_nodes.append(len(feature))
+            inner = got[3] is None
+            left.append(len(feature) + 1 if inner else -1)
+            right.append(-1)
+            feature.append(int(got[1]) if inner else -1)
+            threshold.append(float(got[2]) if inner else 0.0)
+            value.append(0.0 if inner else float(got[3]))
+    return {k: np.array(v) for k, v in (("feature", feature), ("threshold", threshold), ("left", left), ("right", right), ("value", value))}
+
+
+def counted_forest(groups: DataFrame, columns: list[str], label: str, edges: list[list[float]], trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> CountedForest:
+    """A forest over counts of alike rows: its work grows with the combinations of bins, of which there is a bound, and not with the rows.
+
+    It is for few columns; of many there are as many combinations as rows, and forest() has less to do.
+    """
+    drawn = _drawn(groups, columns, label, trees, seed)
+    x = assembled(drawn.coalesce(-(-drawn.observed_rows // ROWS_A_TASK) or 1), columns)
+
+    def one(t: int) -> DecisionTreeRegressionModel:
+        own = x.select("_x", label, f"w{t}").where(F.col(f"w{t}") > 0)
+        return DecisionTreeRegressor(featuresCol="_x", labelCol=label, weightCol=f"w{t}", maxDepth=depth, maxBins=BINS, seed=seed + t).fit(own)
+
+    with ThreadPoolExecutor(TREES_AT_ONCE) as pool:
+        made = list(pool.map(one, range(trees)))
+    weights = sum(m.featureImportances.toArray() for m in made)
+    return CountedForest([_told(m) for m in made], edges, weights / max(weights.sum(), 1e-300))
+
+
+def counted_importances(model: CountedForest, columns: list[str], spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(zip(columns, model.weights.tolist(), strict=True)), "column string, importance double").orderBy(F.desc("importance"), "column")
+
+
+def counted_predictions(model: CountedForest, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """groups with their prediction."""
+    trees, names = model.trees, groups.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, every = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]), np.arange(batch.num_rows)
+            total = np.zeros(batch.num_rows)
+            for tree in trees:
+                at = np.zeros(batch.num_rows, np.int64)
+                while (inner := tree["feature"][at] >= 0).any():
+                    goes_left = x[every, tree["feature"][at]] <= tree["threshold"][at]
+                    at = np.where(inner, np.where(goes_left, tree["left"][at], tree["right"][at]), at)
+                total += tree["value"][at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / len(trees))], names=[*names, "prediction"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema)
+    return groups.mapInArrow(run, f"{kinds}, prediction double")
+
+
+def counted_cross_validated(rows: DataFrame, columns: list[str], label: str, key: str, k: int = FOLDS, trees: int = TREES) -> DataFrame:
+    """cross_validated() with counted forests: rows are read for the bins and for the counts, and no more."""
+    edges = bin_edges(rows, columns)
+    parts = counted(folded(rows, key, k), columns, label, edges, "fold")
+
+    def one(i: int) -> tuple:
+        seen = parts.where(F.col("fold") != i).groupBy(*columns, label).agg(F.sum("n").alias("n"))
+        told = counted_predictions(counted_forest(seen, columns, label, edges, trees, seed=42 + i), parts.where(F.col("fold") == i), columns)
+        got = confusion(told, F.col(label) >= 0.5, F.col("prediction") >= 0.5, "n").first()
+        return (i, got["accuracy"], got["precision"], got["recall"], got["f1"])
+
+    return rows.sparkSession.createDataFrame([one(i) for i in range(k)], "fold int, accuracy double, precision double, recall double, f1 double")
+
+
+def _walk(tree: dict[str, np.ndarray], x: np.ndarray, n: np.ndarray, covers: np.ndarray) -> None:
+    """Adds to covers[feature, leaf] the rows (n of each kind) that come to a leaf if that feature may have any value.
 
     A row goes its own way; at a split it also goes the other way, from where on the split's
     feature is the one that is free, if none was.
@@ -86,8 +219,8 @@ def _walk(tree: dict[str, np.ndarray], x: np.ndarray, covers: np.ndarray) -> Non
             continue
         feature = tree["feature"][node]
         if feature < 0:
-            whole = int((free == free_all).sum())
-            covers[:, node] += np.bincount(free[free != free_all], minlength=len(covers)) + whole
+            turned = free != free_all
+            covers[:, node] += np.bincount(free[turned], n[rows[turned]], len(covers)).astype(np.int64) + n[rows[~turned]].sum()
             continue
         goes_left = x[rows, feature] <= tree["threshold"][node]
         for child, own in ((tree["left"][node], goes_left), (tree["right"][node], ~goes_left)):
@@ -119,40 +252,55 @@ def grids(rows: DataFrame, columns: list[str], points: int = GRID) -> dict[str,
     return {c: np.array(sorted(known[i])) if i in known else np.linspace(*ends[c], points) for i, c in enumerate(columns) if c in ends}
 
 
-def partial_dependence(model: RandomForestRegressionModel, rows: DataFrame, columns: list[str], points: int = GRID) -> DataFrame:
-    """(column, value, mean_prediction): the mean prediction if a column had a value in all rows, for all columns.
-
-    Rows are read once and never copied: each row passes through each tree once, with one feature free
-    at a time, and adds to the covers of the leaves that it can reach; the mean at a value is the
-    sum of the leaves there, weighted by their covers.
-    """
-    spark, trees, k = rows.sparkSession, nodes(model, rows.sparkSession), len(columns)
-    starts = np.concatenate([[0], np.cumsum([len(t["feature"]) for t in trees])])
+def _covers(trees: list[dict[str, np.ndarray]], rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """covers[feature, leaf] of all trees' nodes one after another; rows may be counts (n) of equal rows."""
+    starts, k = np.concatenate([[0], np.cumsum([len(t["feature"]) for t in trees])]), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         covers = np.zeros((k, starts[-1]), np.int64)
         for batch in batches:
-            x = np.column_stack([c.cast("double").to_numpy(zero_copy_only=False) for c in batch.columns])
-            x = x[~np.isnan(x).any(1)]
+            *own, n = (c.cast("double").to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack(own)
+            whole = ~np.isnan(x).any(1)
             for tree, begin, end in zip(trees, starts, starts[1:], strict=False):
-                _walk(tree, x, covers[:, begin:end])
+                _walk(tree, x[whole], n[whole].astype(np.int64), covers[:, begin:end])
         at = np.flatnonzero(covers)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(covers.ravel()[at])], names=["i", "n"])
 
-    some = rows.select(*columns)
-    got = some.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    n = F.col("n") if "n" in rows.columns and "n" not in columns else F.lit(1)
+    got = rows.select(*columns, n.cast("long").alias("_n")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     covers = np.zeros(k * int(starts[-1]))
     for i, n in got.collect():  # as many as leaves and columns
         covers[i] = n
-    covers = covers.reshape(k, -1)
-    bounds = [_ranges(t, k) for t in trees]
+    return covers.reshape(k, -1)
+
+
+def _means(trees: list[dict[str, np.ndarray]], covers: np.ndarray, at: dict[str, np.ndarray], columns: list[str], spark: SparkSession) -> DataFrame:
+    bounds = [_ranges(t, len(columns)) for t in trees]
     low, high = (np.concatenate([b[x] for b in bounds], 1) for x in (0, 1))
     value, leaf = np.concatenate([t["value"] for t in trees]), np.concatenate([t["feature"] for t in trees]) < 0
     made = []
-    for c, grid in grids(rows, columns, points).items():
+    for c, grid in at.items():
         i = columns.index(c)
         weight = np.where(leaf, covers[i] * value, 0.0)
         for v in grid.tolist():
             inside = (v > low[i]) & (v <= high[i]) & leaf
             made.append((c, float(v), float(weight[inside].sum() / max(covers[i][inside].sum(), 1))))
     return spark.createDataFrame(made, "column string, value double, mean_prediction double")
+
+
+def partial_dependence(model: RandomForestRegressionModel, rows: DataFrame, columns: list[str], points: int = GRID) -> DataFrame:
+    """(column, value, mean_prediction): the mean prediction if a column had a value in all rows, for all columns.
+
+    Rows are read once and never copied: each row passes through each tree once, with one feature free
+    at a time, and adds to the covers of the leaves that it can reach; the mean at a value is the
+    sum of the leaves there, weighted by their covers.
+    """
+    trees = nodes(model, rows.sparkSession)
+    some = rows.select(*columns)
+    return _means(trees, _covers(trees, some, columns), grids(rows, columns, points), columns, rows.sparkSession)
+
+
+def counted_partial_dependence(model: CountedForest, groups: DataFrame, rows: DataFrame, columns: list[str], points: int = GRID) -> DataFrame:
+    """partial_dependence() of a counted forest: counts of alike rows pass through its trees, and rows are read for the values only."""
+    return _means(model.unbinned(), _covers(model.trees, groups, columns), grids(rows, columns, points), columns, rows.sparkSession)

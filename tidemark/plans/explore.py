@@ -261,19 +261,23 @@ def mixed_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rf_importance(spark: SparkSession, d: str) -> DataFrame:
-    return R.importances(R.forest(_model_rows(spark, d), _FEATURES, "label"), _FEATURES, spark)
+    rows = _model_rows(spark, d)
+    edges = R.bin_edges(rows, _FEATURES)
+    return R.counted_importances(R.counted_forest(R.counted(rows, _FEATURES, "label", edges), _FEATURES, "label", edges), _FEATURES, spark)
 
 
 @query()
 def rf_cross_validation(spark: SparkSession, d: str) -> DataFrame:
-    return R.cross_validated(_model_rows(spark, d), _FEATURES, "label", "row_key")
+    return R.counted_cross_validated(_model_rows(spark, d), _FEATURES, "label", "row_key")
 
 
 @query()
 def rf_partial_dependence(spark: SparkSession, d: str) -> DataFrame:
     """Partial dependence on all columns, from the 1st to the 99th percentile."""
-    rows = shared_table(_model_rows(spark, d), "models")
-    return R.partial_dependence(R.forest(rows, _FEATURES, "label"), rows, _FEATURES)
+    rows = _model_rows(spark, d)
+    edges = R.bin_edges(rows, _FEATURES)
+    groups = R.counted(rows, _FEATURES, "label", edges)
+    return R.counted_partial_dependence(R.counted_forest(groups, _FEATURES, "label", edges), groups, rows, _FEATURES)
 
 
 @query(sql(f"SELECT 'smoothed' AS kind, round((tt + 1) * (ff + 1) / ((tf + 1) * (ft + 1)), 6) AS odds_ratio FROM t", _TABLE))
