@@ -1,7 +1,10 @@
 """Likeness of names and merged accounts against plain versions."""
 
+import heapq
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,46 @@ def test_an_address_counts_for_all_its_pairs(spark):
 def test_other_clues_between_accounts_of_one_address_do_not_count(spark):
     rows = [(1, "x1", "Ann Lee", "a.b@mail.org"), (2, "x2", "Cid Orr", "a.b@mail.org"), (3, "x3", "Cid Orr", "a.b@mail.org"), (4, "x4", "Dan Poe", "a.c@far.org"), (5, "x5", "Dan Poe", "z.c@near.org"), (6, "x6", "Eve", "a.b@third.org")]
     assert merged(spark, rows) == {2: 1, 3: 1, 5: 4}
+
+
+def _by_heap(edges, node):
+    """The definition, one neighbourhood at a time."""
+    out = {}
+    for s, t, at in edges:
+        out.setdefault(s, []).append((at, t))
+    people, passed = sorted({x for e in edges for x in e[:2]}), 0
+    for source in people:
+        done, heap = {}, [(0, source, (source,))]
+        while heap:
+            _, here, path = heapq.heappop(heap)
+            if here in done:
+                continue
+            done[here] = path
+            for when, there in out.get(here, []):
+                if there not in done:
+                    heapq.heappush(heap, (when, there, (*path, there)))
+        passed += sum(node in p for p in done.values())
+    return passed / len(people) ** 2
+
+
+def test_ego_betweenness_of_a_crowd(spark, monkeypatch):
+    """Equal to the definition with many equal times, alike and different neighbourhoods in several parts; a crowd of 300 that all know each other shares its trees."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(identity, "SOURCES_A_TASK", 4)
+    few = {(int(s), int(t)): int(at) for s, t, at in zip(rng.integers(0, 12, 50), rng.integers(0, 12, 50), rng.integers(1, 6, 50), strict=True) if s != t}
+    few |= {(s + 100, t + 100): at for (s, t), at in list(few.items())[:12]} | {(11, 100): 3}
+    rows = [(*k, at) for k, at in few.items()]
+    for radius in (1, 2):
+        near = {n: {n} for r in rows for n in r[:2]}
+        for _ in range(radius):
+            near = {n: m | {b if a in m else a for a, b, _ in rows if a in m or b in m} for n, m in near.items()}
+        got = {r["node"]: r["share"] for r in identity.ego_betweenness(spark.createDataFrame(rows, "src long, tgt long, ts long"), radius).collect()}
+        assert got.keys() == near.keys()
+        for n, m in near.items():
+            assert got[n] == pytest.approx(_by_heap([e for e in rows if e[0] in m and e[1] in m], n)), n
+    monkeypatch.setattr(identity, "SOURCES_A_TASK", 32)
+    k = 300
+    s, t = (F.col("id") / k).cast("long"), F.col("id") % k
+    began = time.perf_counter()
+    assert identity.ego_betweenness(spark.range(k * k).select(s.alias("src"), t.alias("tgt"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("ts")).where("src <> tgt")).count() == k
+    assert time.perf_counter() - began < 90
