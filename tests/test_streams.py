@@ -102,3 +102,19 @@ def test_joined_streams_drop_state(spark):
     got = sorted((r.o_orderkey, r.l_linenumber or 0) for r in W.drained(both, "both", told=told).where("o_orderkey >= 0").collect())
     assert got == sorted((i, n) for i in range(50) for n in ((1, 2, 3) if i % 3 else (0,)))
     assert max(state_rows(told)) < 150 and state_rows(told)[-1] < 10
+
+
+def test_flags_of_many_people_and_several_files(spark, monkeypatch):
+    """More people than are looked up one by one, a slice in several files, and no call of state for each row."""
+    rng = random.Random(7)
+    rows = [(i, START + dt.timedelta(minutes=rng.randrange(600)), "p", rng.randrange(2500), rng.randrange(2500), rng.random() < 0.6) for i in range(3000)]
+    monkeypatch.setattr(W, "ROWS_A_TASK", 250)
+    last = spark.createDataFrame([(-1, START + dt.timedelta(days=99), "p", -1, -1, False)], EVENTS)
+    stream, late = W.arriving(spark.createDataFrame(rows, EVENTS), "ts", 4, last)
+    for minutes in (None, 90):
+        told = []
+        got = {(r.event_id, r.flag): r.value for r in W.drained(stateful.contributor_flags(stream, late, minutes and minutes * MINUTE), "flags", told=told).where("event_id >= 0").collect()}
+        assert got == flags_by_hand(rows, minutes) and dropped(told) == 0
+        assert len([p for p in told if p["numInputRows"]]) <= 7  # a batch takes as many files as a slice has
+        waiting = max(state_rows(told)[:2])
+        assert waiting < 3000  # packed: not a row of state for each that waits

@@ -7,7 +7,7 @@ watermark has passed them already are dropped before they reach any state, as in
 counts, and Spark tells their number (numRowsDroppedByWatermark).  Rows after the
 last watermark are answered when a later row moves it.
 
-Keys are dealt into buckets, so that a group has many rows for each call; state must be kept in RocksDB.
+The waiting rows of a batch are packed into one row of state.  Keys are dealt into buckets, so that a group has many rows for each call; state must be kept in RocksDB.
 """
 
 from __future__ import annotations
@@ -33,28 +33,28 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = [c.split()[0] for c in self.waiting.split(", ")]
-        self.wait = handle.getListState("waiting", self.waiting)
+        self.kinds = {n: np.dtype({"long": "int64", "boolean": "bool"}[k]) for n, k in (c.split() for c in self.waiting.split(", "))}
+        self.wait = handle.getListState("waiting", packed_schema(self.kinds))
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat([r[self.names] for r in rows])
-        self.wait.appendList([tuple(x) for x in got.itertuples(index=False)])
+        got = pd.concat([r[list(self.kinds)] for r in rows])
+        self.wait.appendValue(packed(got, self.kinds))
         self.handle.registerTimer(int(got.t.max()) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = expiredTimerInfo.getExpiryTimeInMs()
-        rows = pd.DataFrame(list(self.wait.get()), columns=self.names)
+        rows = unpacked(self.wait.get(), self.kinds)
         due = rows.t < until * 1000
         rest = rows[~due]
-        if len(rest):
-            self.wait.put([tuple(x) for x in rest.itertuples(index=False)])
-        else:
-            self.wait.clear()
         if due.any():
+            if len(rest):
+                self.wait.put([packed(rest, self.kinds)])
+            else:
+                self.wait.clear()
             out = self.answer(rows[due].sort_values(["t", "event_id"], ignore_index=True))
             if len(out):
                 yield out
@@ -67,6 +67,24 @@ class InOrder(StatefulProcessor):
         """Drops what rows after `until` (milliseconds) can't ask for."""
 
 
+def packed_schema(kinds: dict[str, np.dtype]) -> str:
+    return ", ".join(f"{n} binary" for n in kinds)
+
+
+def packed(rows: pd.DataFrame, kinds: dict[str, np.dtype]) -> tuple[bytes, ...]:
+    """The columns of some rows as one row of state: a call for all of them instead of one for each."""
+    return tuple(rows[n].to_numpy(k).tobytes() for n, k in kinds.items())
+
+
+def unpacked(held: Iterator[tuple[bytes, ...]], kinds: dict[str, np.dtype]) -> pd.DataFrame:
+    every = list(held)
+    return pd.DataFrame({n: np.concatenate([np.empty(0, k), *[np.frombuffer(x[i], k) for x in every]]) for i, (n, k) in enumerate(kinds.items())})
+
+
+#: A time before all times, and people from which on all state of a key is read at once.
+NEVER, MANY = -(1 << 62), 64
+
+
 class _Contributors(InOrder):
     """Of each person of a project: since when it is known there, and when it was last seen."""
 
@@ -79,31 +97,46 @@ class _Contributors(InOrder):
         super().init(handle)
         self.people = handle.getMapState("people", "person long", "seen long, known long")
 
+    def held(self, who: np.ndarray) -> np.ndarray:
+        """(seen, known) of people, in two rows."""
+        if len(who) > MANY:
+            told = {p[0]: tuple(was) for p, was in self.people.iterator()} if self.people.exists() else {}
+        else:
+            told = {p: tuple(self.people.getValue((p,))) for p in who.tolist() if self.people.containsKey((p,))}
+        return np.array([told.get(p, (NEVER, NEVER)) for p in who.tolist()], np.int64).T
+
     def answer(self, rows: pd.DataFrame) -> pd.DataFrame:
-        never, held, out = -(1 << 62), {}, []
-        for t, event, person, other, is_comment, merged in rows.itertuples(index=False):
-            if person not in held:
-                held[person] = list(self.people.getValue((int(person),)) or (never, never)) if self.people.containsKey((int(person),)) else [never, never]
-            was = held[person]
-            since = never + 1 if self.window is None else t - self.window + 1
-            if is_comment:
-                out.append((event, "external", bool(person != other and was[1] < since)))
-            else:
-                out.append((event, "first_time", bool(was[0] < since)))
-                was[0] = t
-                was[1] = t if merged else was[1]
-        for person, was in held.items():
-            if was[0] > never:
-                self.people.updateValue((int(person),), tuple(map(int, was)))
-        return pd.DataFrame(out, columns=["event_id", "flag", "value"])
+        who, code = np.unique(rows.person.to_numpy(np.int64), return_inverse=True)
+        rows = rows.iloc[np.argsort(code, kind="stable")]  # by person, in order
+        code, t, own = np.sort(code), rows.t.to_numpy(np.int64), ~rows.is_comment.to_numpy(bool)
+        first, last = np.searchsorted(code, np.arange(len(who))), np.searchsorted(code, np.arange(len(who)), "right") - 1
+        was = self.held(who)
+
+        def latest(mask: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The time of the latest row of the mask before each row, and of the last of each person."""
+            at = np.maximum.accumulate(np.where(mask, np.arange(len(t)), -1))
+            before = np.concatenate([[-1], at[:-1]])
+            return np.where(before >= first[code], t[before], begin[code]), np.where(at[last] >= first, t[at[last]], begin)
+
+        (seen, seen_now), (known, known_now) = latest(own, was[0]), latest(own & rows.merged.to_numpy(bool), was[1])
+        since = NEVER + 1 if self.window is None else t - self.window + 1
+        value = np.where(own, seen < since, (rows.person != rows.other).to_numpy(bool) & (known < since))
+        now = np.array([seen_now, known_now])
+        # without a window only whether there is a time matters, so a person is written at most twice
+        changed = ((now > NEVER) & (was == NEVER) if self.window is None else now != was).any(0)
+        for p, a, b in zip(who[changed].tolist(), seen_now[changed].tolist(), known_now[changed].tolist(), strict=True):
+            self.people.updateValue((p,), (a, b))
+        return pd.DataFrame({"event_id": rows.event_id.to_numpy(), "flag": np.where(own, "first_time", "external"), "value": value})
 
     def forget(self, key, until: int) -> None:
         if self.window is None:
             return
-        gone = [p for p, was in self.people.iterator() if was[0] <= until * 1000 - self.window]
-        for person in gone:
-            self.people.removeKey(person)
-        latest = max((was[0] for _, was in self.people.iterator()), default=None)
+        seen = [(p, was[0]) for p, was in self.people.iterator()]
+        over = until * 1000 - self.window
+        for person, at in seen:
+            if at <= over:
+                self.people.removeKey(person)
+        latest = max((at for _, at in seen if at > over), default=None)
         if latest is not None and not any(True for _ in self.handle.listTimers()):
             self.handle.registerTimer((latest + self.window) // 1000 + 1)
 
@@ -130,25 +163,28 @@ class _EarlierCounts(InOrder):
     """The times of a stretch and of the one before, by person, until the stretch is over."""
 
     waiting = "t long, event_id long, person long, asked boolean"
+    HELD = {"person": np.dtype("int64"), "t": np.dtype("int64")}
 
     def __init__(self, window: int) -> None:
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.held = handle.getListState("held", "person long, t long")
+        self.held = handle.getListState("held", packed_schema(self.HELD))
 
     def answer(self, rows: pd.DataFrame) -> pd.DataFrame:
-        held = pd.DataFrame(list(self.held.get()), columns=["person", "t"], dtype="int64")
-        before = {p: np.sort(g.to_numpy()) for p, g in held.groupby("person").t}
-        out = []
-        for person, mine in rows.groupby("person", sort=False):
-            old, t = before.get(person, np.empty(0, np.int64)), mine.t.to_numpy(np.int64)
-            every = np.concatenate([old, t])
-            n = len(old) + np.arange(len(t)) - np.searchsorted(every, t - self.window, "right")
-            out.append(pd.DataFrame({"event_id": mine.event_id, "n": n})[mine.asked.to_numpy(bool)])
-        self.held.appendList([(int(p), int(t)) for p, t in zip(rows.person, rows.t, strict=True)])
-        return pd.concat(out)
+        # held times of a person come before those of rows, and each are in order
+        every = pd.concat([unpacked(self.held.get(), self.HELD).assign(new=False), rows.assign(new=True)], ignore_index=True)
+        who, code = np.unique(every.person.to_numpy(np.int64), return_inverse=True)
+        every = every.iloc[np.lexsort((every.new, code))]
+        code, t = np.sort(code), every.t.to_numpy(np.int64)
+        # earlier by the window: times of all people on one line, each person's after all of those before
+        low = int(t.min())
+        line = (t - low) + code * (int(t.max()) - low + self.window + 1)
+        n = np.arange(len(t)) - np.searchsorted(line, line - self.window, "right")
+        told = every.new.to_numpy(bool) & (every.asked == True).to_numpy(bool)  # noqa: E712
+        self.held.appendValue(packed(rows, self.HELD))
+        return pd.DataFrame({"event_id": every.event_id.to_numpy()[told].astype(np.int64), "n": n[told]})
 
     def forget(self, key, until: int) -> None:
         over = (int(key[1]) + 1) * self.window // 1000 + 1

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ROWS_A_TASK
 from ..operators.common import shared_path
 from .stateful import ROCKSDB
 
@@ -20,18 +21,20 @@ def source(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.par
 def arriving(rows: DataFrame, time: str, slices: int, closing: DataFrame) -> tuple[DataFrame, str]:
     """A stream of rows in `slices` batches by time, a fifth of each a batch late, and one that ends all watermarks; and how late rows are.
 
-    A row comes no later than two slices of the whole span of time.
+    A row comes no later than two slices of the whole span of time.  A slice is written by as many tasks as it has
+    rows for, and a batch takes as many files; where a slice has fewer, a batch also takes files of the next, which makes no row later.
     """
     spark, folder = rows.sparkSession, shared_path(rows.sparkSession, "arriving")
     at = F.unix_micros(time)
-    first, last = rows.agg(F.min(at), F.max(at)).first()
+    first, last, n = rows.agg(F.min(at), F.max(at), F.count("*")).first()
+    files = max(1, -(-n // (slices * ROWS_A_TASK)))
     step = max(1, -(-((last or 0) - (first or 0) + 1) // slices))
     own = F.floor((at - F.lit(first or 0)) / step)
     batch: Column = own + (F.pmod(F.xxhash64(*rows.columns), F.lit(5)) == 0).cast("int")
     for i in range(slices + 1):
-        rows.where(batch == i).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(batch == i).coalesce(files).write.mode("append").parquet(folder)
     closing.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), f"{2 * step} microseconds"
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder), f"{2 * step} microseconds"
 
 
 @contextmanager
