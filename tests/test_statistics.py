@@ -113,6 +113,23 @@ def test_partial_dependence_equals_exploded_rows(spark):
             assert got[c][r["v"]] == pytest.approx(r["m"], abs=1e-9)
 
 
+def test_ranks_of_many_and_few_values(spark, monkeypatch):
+    """Columns of many values are joined row by row, and those of few values exploded only if there are many such columns; ranks equal those by counting, nulls and ties included."""
+    rng = np.random.default_rng(9)
+    x = np.c_[rng.integers(0, 5, 600), rng.integers(0, 200, 600), rng.normal(size=600)]
+    df = table_of(spark, x, ["few", "some", "many"]).withColumn("some", F.when(F.col("some") > 20, F.col("some")))
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(common, "ROWS_A_TASK", 100)
+    v = np.where(np.isin(np.arange(3), [1]) & (x <= 20), -1.0, x)
+    want = np.column_stack([(v[:, [j]] > v[:, j]).sum(1) + ((v[:, [j]] == v[:, j]).sum(1) + 1) / 2 for j in range(3)])
+    for at_hand, exploded in ((0, 1), (8, 0)):
+        monkeypatch.setattr(stats, "AT_HAND", at_hand)
+        ranked = stats.average_ranks(df, ["few", "some", "many"])
+        assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, want.tolist()))
+        assert ranked._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == exploded
+
+
 def test_counted_forest(spark):
     """Alike rows as counts: as many groups as combinations of bins, predictions and dependence as by the rows, and a forest as good as one over rows."""
     rng = np.random.default_rng(8)

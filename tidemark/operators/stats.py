@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import BROADCAST_ROWS
-from .common import cumulative, shared_table, small
+from .common import cumulative, shared_table, small, spread
 
 
 def gram(rows: DataFrame, columns: list[str], weight: Column | None = None) -> np.ndarray:
@@ -81,18 +81,42 @@ def summaries(rows: DataFrame, columns: list[str], cuts: dict[str, float] | None
     return got.select(name.alias("column"), "n", "mean", "std", "least", *between, "most")
 
 
+#: Columns that are ranked by a broadcast each.
+AT_HAND = 8
+
+
 def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The ranks of all columns, row by row and in columns of the same names; equal values share their mean rank.
 
-    The counts of all columns' values give the ranks in one join; a row's ranks meet again by
-    its number, where they have been added up before they are shuffled.
+    Columns whose values are together few get their ranks by broadcasts: some columns one by one, and where these are more than
+    AT_HAND all from one, after which a row's ranks meet again by its number, where they have been added up before they are shuffled.  A column of many values is joined by its value, with the row as it is,
+    dealt over tasks by the number of rows; so a value that many rows have is only shuffled if its column has many others.
     """
     placed = placed_values(rows, columns)
     ranks = placed.select(F.col("column").alias("_c"), F.col("v").alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_rank"))
-    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *columns)  # before rows are exploded
-    each = numbered.select("_row", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("column", "v"))
-    told = each.join(small(ranks), (F.col("column") == F.col("_c")) & F.col("v").eqNullSafe(F.col("_v")))
-    return told.groupBy("_row").agg(*[F.sum(F.when(F.col("column") == i, F.col("_rank"))).alias(c) for i, c in enumerate(columns)]).drop("_row")
+    sizes = {r["_c"]: r["k"] for r in ranks.groupBy("_c").agg(F.count("*").alias("k")).collect()}
+    few, room = [], BROADCAST_ROWS
+    for i in sorted(sizes, key=sizes.get):
+        room -= sizes[i]
+        few += [i] if room >= 0 else []
+    many = [c for i, c in enumerate(columns) if i not in few]
+    out = rows.select(*columns)
+    for c in many:
+        of = ranks.where(F.col("_c") == columns.index(c)).select("_v", "_rank")
+        value = out.withColumn("_value", F.col(c).cast("double"))
+        out = spread(value, rows, "_value").join(of, F.col("_value").eqNullSafe(F.col("_v"))).withColumn(c, F.col("_rank")).drop("_value", "_v", "_rank")
+    if len(few) <= AT_HAND:
+        for c in (columns[i] for i in few):
+            of = F.broadcast(ranks.where(F.col("_c") == columns.index(c)).select("_v", "_rank"))
+            out = out.join(of, F.col(c).cast("double").eqNullSafe(F.col("_v"))).withColumn(c, F.col("_rank")).drop("_v", "_rank")
+        return out
+    numbered = out.select(F.monotonically_increasing_id().alias("_row"), *columns)  # before rows are exploded
+    names = [columns[i] for i in few]
+    each = numbered.select("_row", *many, F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("_at", "v"))
+    own = F.get(F.array(*[F.lit(i) for i in few]), "_at")
+    told = each.withColumn("column", own).join(F.broadcast(ranks.where(F.col("_c").isin(few))), (F.col("column") == F.col("_c")) & F.col("v").eqNullSafe(F.col("_v")))
+    ranked = told.groupBy("_row").agg(*[F.first(c).alias(c) if c in many else F.sum(F.when(F.col("column") == columns.index(c), F.col("_rank"))).alias(c) for c in columns])
+    return ranked.drop("_row")
 
 
 def moments(rows: DataFrame, columns: list[str]) -> np.ndarray:
