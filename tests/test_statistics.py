@@ -165,6 +165,56 @@ def test_counted_forest(spark):
     assert forests.counted_cross_validated(df, names, "y", "k", k=2, trees=3).agg(F.min("f1")).first()[0] > 0.9
 
 
+def test_forests_that_grow_together(spark, monkeypatch):
+    """Trees of several lists of columns are those that each list grows alone, whatever the blocks of rows, and splits are the best by all rows."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 12, (900, 3)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 1] > 3)).astype(float)
+    names = ["a", "b", "c"]
+    df = table_of(spark, x, names, y=y, k=np.arange(900))
+    edges = forests.bin_edges(df, names)
+    parts = common.shared_table(forests.binned(forests.folded(df, "k", 2).withColumn("_seed", F.xxhash64(F.lit(1), "k")), names, edges, "y", "fold", "_seed"), "folds")
+    lists = [np.array(own) for own in ([0, 1, 2], [1, 2], [0, 2])]
+    stems = forests.grown(parts, names, "y", lists, 2, 3, depth=4)
+    alike = lambda a, b: all(np.allclose(a[c], b[c]) for c in a)
+    for i, own in enumerate(lists):
+        alone = forests.grown(parts, names, "y", [own], 2, 3, depth=4)
+        assert all(alike(forests._tree_of(*s, i), forests._tree_of(*t, 0)) for s, t in zip(stems, alone, strict=True))
+    monkeypatch.setattr(forests, "ROWS_A_TASK", 200)
+    monkeypatch.setattr(forests, "NODES_A_ROW", 3)
+    dealt = parts.repartition(5)
+    dealt.observed_rows = 900
+    blocks = forests.grown(dealt, names, "y", lists, 2, 3, depth=4)
+    assert all(alike(forests._tree_of(*s, i), forests._tree_of(*t, i)) for s, t in zip(stems, blocks, strict=True) for i in range(3))
+    # a tree by hand: the rows of the other fold, as often as they are drawn
+    seen = parts.where("fold <> 1").toPandas()
+    w = forests._draws(seen["_seed"].to_numpy(), 3)
+    assert w.mean() == pytest.approx(1, abs=0.15) and w.min() == 0
+    rows = np.repeat(np.arange(len(seen)), w.astype(int))
+
+    def grow(rows, own, left):
+        bins, labels = seen[names].to_numpy()[rows], seen["y"].to_numpy()[rows]
+        best = (0.0, None)
+        for f in own:
+            for b in range(11):
+                low = bins[:, f] <= b
+                if left and low.any() and not low.all():
+                    gain = len(rows) * labels.var() - low.sum() * labels[low].var() - (~low).sum() * labels[~low].var()
+                    best = max(best, (gain, (f, b)), key=lambda g: g[0] - (1e-9 if g[1] else 0))
+        if best[1] is None or best[0] < 1e-6:
+            return dict.fromkeys(rows.tolist(), labels.mean())
+        low = bins[:, best[1][0]] <= best[1][1]
+        return grow(rows[low], own, left - 1) | grow(rows[~low], own, left - 1)
+
+    for i, own in enumerate(lists):
+        want, tree = grow(rows, own, 4), forests._tree_of(*stems[3], i)
+        for r, v in want.items():
+            at = 0
+            while tree["feature"][at] >= 0:
+                at = tree["left"][at] if seen[names].to_numpy()[r, tree["feature"][at]] <= tree["threshold"][at] else tree["right"][at]
+            assert tree["value"][at] == pytest.approx(v)
+
+
 def test_folds_of_several_lists(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 2))

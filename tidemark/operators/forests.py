@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -25,6 +26,8 @@ DEPTH = 8
 AT_ONCE = 4
 #: Trees of a counted forest that are fitted at a time, and bins of a column (as many as Spark's forests have).
 TREES_AT_ONCE, BINS = 12, 32
+#: Trees that grow in one task, and nodes whose sums are shuffled in one row, where forests grow together.
+TREES_A_TASK, NODES_A_ROW = 10, 16
 
 
 def forest(rows: DataFrame, columns: list[str], label: str, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> RandomForestRegressionModel:
@@ -40,27 +43,6 @@ def folded(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(k)))
 
 
-def cross_validated(rows: DataFrame, columns: list[str] | dict[str, list[str]], label: str, key: str, k: int = FOLDS, trees: int = TREES) -> DataFrame:
-    """(fold, accuracy, precision, recall, f1) of forests that each leave one fold out; with several lists of columns also (columns), the name of the list.
-
-    A few forests are fitted side by side, as the levels of one don't fill a cluster.
-    """
-    parts = shared_table(folded(rows, key, k), "folds")
-    named = columns if isinstance(columns, dict) else {"all": columns}
-
-    def one(task: tuple[str, int]) -> tuple:
-        name, i = task
-        model = forest(parts.where(F.col("fold") != i), named[name], label, trees)
-        told = model.transform(assembled(parts.where(F.col("fold") == i), named[name]))
-        got = confusion(told, F.col(label) >= 0.5, F.col("prediction") >= 0.5).first()
-        return (name, i, got["accuracy"], got["precision"], got["recall"], got["f1"])
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        made = list(pool.map(one, [(name, i) for name in named for i in range(k)]))
-    out = rows.sparkSession.createDataFrame(made, "columns string, fold int, accuracy double, precision double, recall double, f1 double")
-    return out if isinstance(columns, dict) else out.drop("columns")
-
-
 def nodes(model: RandomForestRegressionModel, spark: SparkSession) -> list[dict[str, np.ndarray]]:
     """Each tree as arrays by node: feature (-1 at a leaf), threshold, left, right, value.
 
@@ -104,12 +86,17 @@ def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[lis
     return [sorted(e)[1:] for e in out]
 
 
-def counted(rows: DataFrame, columns: list[str], label: str, edges: list[list[float]], *more: str) -> DataFrame:
-    """(columns as numbers of bins, label, more, n): how many rows are alike to a tree.  Rows with a null are left out, as in assembled()."""
-    binned = [f"_bin_{c}" for c in columns]
+def binned(rows: DataFrame, columns: list[str], edges: list[list[float]], *more: str) -> DataFrame:
+    """(columns as numbers of bins, more).  Rows with a null are left out, as in assembled()."""
+    bins = [f"_bin_{c}" for c in columns]
     splits = [[-np.inf, *(e or [np.finfo(float).max]), np.inf] for e in edges]
-    told = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=binned, handleInvalid="skip").transform(rows)
-    return shared_table(told.groupBy(*[F.col(b).alias(c) for b, c in zip(binned, columns, strict=True)], label, *more).agg(F.count("*").alias("n")), "counted")
+    told = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=bins, handleInvalid="skip").transform(rows)
+    return told.select(*[F.col(b).alias(c) for b, c in zip(bins, columns, strict=True)], *more)
+
+
+def counted(rows: DataFrame, columns: list[str], label: str, edges: list[list[float]], *more: str) -> DataFrame:
+    """(columns as numbers of bins, label, more, n): how many rows are alike to a tree."""
+    return shared_table(binned(rows, columns, edges, label, *more).groupBy(*columns, label, *more).agg(F.count("*").alias("n")), "counted")
 
 
 def _drawn(groups: DataFrame, columns: list[str], label: str, trees: int, seed: int) -> DataFrame:
@@ -173,7 +160,11 @@ def counted_importances(model: CountedForest, columns: list[str], spark: SparkSe
 
 def counted_predictions(model: CountedForest, groups: DataFrame, columns: list[str]) -> DataFrame:
     """groups with their prediction."""
-    trees, names = model.trees, groups.columns
+    return _predicted(model.trees, groups, columns)
+
+
+def _predicted(trees: list[dict[str, np.ndarray]], groups: DataFrame, columns: list[str]) -> DataFrame:
+    names = groups.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +182,179 @@ def counted_predictions(model: CountedForest, groups: DataFrame, columns: list[s
     return groups.mapInArrow(run, f"{kinds}, prediction double")
 
 
+def _packed(parts: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Binned rows (columns, label, fold, _seed) as arrays of many rows each; bins go column by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *x, y, fold, seed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            made = [np.array(x, np.uint8).tobytes(), y.astype(np.float64).tobytes(), fold.astype(np.int64).tobytes(), seed.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([m], pa.binary()) for m in made], names=["x", "y", "fold", "seed"])
+
+    return shared_table(parts.select(*columns, label, "fold", "_seed").mapInArrow(run, "x binary, y binary, fold binary, seed binary"), "packed")
+
+
+def _draws(seed: np.ndarray, stem: int) -> np.ndarray:
+    """How many times a bootstrap takes each row, Poisson(1), from the row's seed and the tree's number: reruns and other partitions agree."""
+    z = seed.view(np.uint64) + np.uint64((stem + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    at_most = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])
+    return np.searchsorted(at_most, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+#: The splits of a level: the node that is split, where, for which lists of columns (as bits), and the means of both sides.
+_SPLITS = ("node", "feature", "bin", "lists", "left", "right")
+
+
+def _reached(levels: list[dict[str, np.ndarray]], x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node of the last level): a row goes on by each split of its node; split j leads to nodes 2 * j and 2 * j + 1."""
+    node = np.zeros(len(rows), np.int64)
+    for level in levels:
+        first = np.searchsorted(level["node"], node)
+        times = np.searchsorted(level["node"], node, side="right") - first
+        split = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        rows = np.repeat(rows, times)
+        node = 2 * split + (x[level["feature"][split], rows] > level["bin"][split])
+    return rows, node
+
+
+def _totals(x: np.ndarray, rows: np.ndarray, node: np.ndarray, w: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Sums of weights and of weighted labels by column, node and bin."""
+    out, at, weights = np.empty((2, len(x), n, BINS)), node * BINS, (w[rows], (w * y)[rows])
+    for f, own in enumerate(x):
+        where = at + own[rows]
+        for i in (0, 1):
+            out[i, f] = np.bincount(where, weights[i], n * BINS).reshape(n, BINS)
+    return out
+
+
+def _best(totals: np.ndarray, lists: np.ndarray, named: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """The splits that lessen the squared error most, for each list of columns that comes to a node; lists with the same split share it."""
+    (w, s), (below_w, below_s) = totals.sum(3)[:, 0], totals.cumsum(3)
+    with np.errstate(all="ignore"):
+        whole = (s**2 / w)[:, None]
+        gain = below_s**2 / below_w + (s[:, None] - below_s) ** 2 / (w[:, None] - below_w) - whole
+        gain[(below_w <= 0) | (below_w >= w[:, None]) | ~(gain > 1e-12 * whole)] = -np.inf
+    at, gain, every = gain.argmax(2), gain.max(2), np.arange(len(lists))
+    found = [np.empty((0, 2), np.int64)]
+    for i, own in enumerate(named):
+        if len(own):
+            f = own[gain[own].argmax(0)]
+            n = np.flatnonzero((lists >> i & 1 > 0) & (gain[f, every] > -np.inf))
+            found.append(np.column_stack([(n * len(at) + f[n]) * BINS + at[f[n], n], np.full(len(n), 1 << i)]))
+    keys, back = np.unique(np.concatenate(found)[:, 0], return_inverse=True)
+    shared = np.zeros(len(keys), np.int64)
+    np.bitwise_or.at(shared, back, np.concatenate(found)[:, 1])
+    node, f, b = keys // BINS // len(at), keys // BINS % len(at), keys % BINS
+    left_w, left_s = below_w[f, node, b], below_s[f, node, b]
+    return dict(zip(_SPLITS, (node, f, b, shared, left_s / left_w, (s[node] - left_s) / (w[node] - left_w)), strict=True))
+
+
+def grown(parts: DataFrame, columns: list[str], label: str, named: list[np.ndarray], folds: int, trees: int, depth: int = DEPTH) -> list[tuple[float, list[dict[str, np.ndarray]]]]:
+    """(mean, levels of splits) of `trees` trees for each fold left out, over binned rows (columns, label, fold, _seed).
+
+    A tree is that of all lists of columns (`named`, places in columns) at once: lists have the same draws, so they share each node
+    up to where their best splits differ.  A level is a job: tasks of some trees and a block of rows each sum up labels by node,
+    column and bin; sums of several blocks are added by a shuffle.  Trees come to the driver, as many nodes as they have.
+    """
+    spark, blocks = parts.sparkSession, -(-parts.observed_rows // ROWS_A_TASK) or 1
+    packed = _packed(parts, columns, label).coalesce(blocks)
+    means, levels = [0.0] * (folds * trees), [[] for _ in range(folds * trees)]
+    everyone = np.array([(1 << len(named)) - 1])
+    came = lambda stem: np.repeat(levels[stem][-1]["lists"], 2) if levels[stem] else everyone
+
+    def told(stem: int, first: int, totals: np.ndarray) -> pa.RecordBatch:
+        best = _best(totals, came(stem)[first : first + totals.shape[2]], named)
+        w, s = totals[:, 0, 0].sum(1)
+        return pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "mean": [float(s / max(w, 1))], **{c: [v] for c, v in best.items()}}, kinds)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in batch.to_pylist()]
+        if not got:
+            return
+        x = np.hstack([np.frombuffer(r["x"], np.uint8).reshape(len(columns), -1) for r in got])
+        y, fold, seed = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("y", np.float64), ("fold", np.int64), ("seed", np.int64)))
+        for stem in growing[got[0]["id"] * TREES_A_TASK :][:TREES_A_TASK]:
+            w, n = np.where(fold == stem // trees, 0.0, _draws(seed, stem)), len(came(stem))
+            totals = _totals(x, *_reached(levels[stem], x, np.flatnonzero(w)), w, y, n)
+            if blocks == 1:
+                yield told(stem, 0, totals)
+            else:
+                for first in range(0, n, NODES_A_ROW):
+                    yield pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "totals": [totals[:, :, first : first + NODES_A_ROW].tobytes()]}, sums)
+
+    def merged(table: pa.Table) -> pa.Table:
+        totals = sum(np.frombuffer(t, np.float64) for t in table["totals"].to_pylist())
+        return pa.Table.from_batches([told(table["stem"][0].as_py(), table["first"][0].as_py(), totals.reshape(2, len(columns), -1, BINS))])
+
+    key = [("stem", pa.int64()), ("first", pa.int64())]
+    sums = pa.schema([*key, ("totals", pa.binary())])
+    kinds = pa.schema([*key, ("mean", pa.float64()), *[(c, pa.list_(pa.float64() if c in ("left", "right") else pa.int64())) for c in _SPLITS]])
+    told_kinds = "stem long, first long, mean double, " + ", ".join(f"{c} array<{'double' if c in ('left', 'right') else 'long'}>" for c in _SPLITS)
+    growing = list(range(folds * trees))
+    for _ in range(depth):
+        tasks = -(-len(growing) // TREES_A_TASK)
+        dealt = spark.range(0, tasks, 1, tasks).crossJoin(packed.hint("shuffle_replicate_nl"))
+        made = dealt.mapInArrow(summed, told_kinds) if blocks == 1 else dealt.mapInArrow(summed, "stem long, first long, totals binary").groupBy("stem", "first").applyInArrow(merged, told_kinds)
+        got, next_splits = made.toArrow().sort_by([("stem", "ascending"), ("first", "ascending")]).combine_chunks(), {}
+        for i, (stem, first) in enumerate(zip(got["stem"].to_pylist(), got["first"].to_pylist(), strict=True)):
+            level = {c: got[c][i].values.to_numpy() for c in _SPLITS}
+            next_splits.setdefault(stem, []).append(level | {"node": level["node"] + first})
+            if not levels[stem] and first == 0:
+                means[stem] = got["mean"][i].as_py()
+        growing = []
+        for stem, some in next_splits.items():
+            if any(len(level["node"]) for level in some):
+                growing.append(stem)
+                levels[stem].append({c: np.concatenate([level[c] for level in some]) for c in _SPLITS})
+        if not growing:
+            break
+    return list(zip(means, levels, strict=True))
+
+
+def _tree_of(mean: float, levels: list[dict[str, np.ndarray]], which: int) -> dict[str, np.ndarray]:
+    """The tree of one list of columns, as arrays by node."""
+    mine = [np.flatnonzero(level["lists"] >> which & 1) for level in levels]
+    size = 1 + 2 * sum(map(len, mine))
+    out = {"feature": np.full(size, -1), "threshold": np.zeros(size), "left": np.full(size, -1), "right": np.full(size, -1), "value": np.full(size, mean)}
+    number, free = np.zeros(1, np.int64), 1
+    for level, own in zip(levels, mine, strict=True):
+        at, left = number[level["node"][own]], free + 2 * np.arange(len(own))
+        for c, v in (("feature", level["feature"][own]), ("threshold", level["bin"][own]), ("left", left), ("right", left + 1)):
+            out[c][at] = v
+        out["value"][left], out["value"][left + 1] = level["left"][own], level["right"][own]
+        number = np.full(2 * len(level["node"]), -1)
+        number[2 * own], number[2 * own + 1] = left, left + 1
+        free += 2 * len(own)
+    return out
+
+
+def cross_validated(rows: DataFrame, columns: list[str] | dict[str, list[str]], label: str, key: str, k: int = FOLDS, trees: int = TREES, seed: int = 42) -> DataFrame:
+    """(fold, accuracy, precision, recall, f1) of forests that each leave one fold out; with several lists of columns also (columns), the name of the list.
+
+    All forests grow together, so rows are read once a level and not once for each forest and level.
+    """
+    named = columns if isinstance(columns, dict) else {"all": columns}
+    if len(named) > 62:
+        raise ValueError(f"{len(named)} lists of columns are too many to share trees; 62 at most")
+    every = list(dict.fromkeys(c for some in named.values() for c in some))
+    edges = bin_edges(rows, every)
+    parts = shared_table(binned(folded(rows, key, k).withColumn("_seed", F.xxhash64(F.lit(seed), key)), every, edges, label, "fold", "_seed"), "folds")
+    stems = grown(parts, every, label, [np.array([every.index(c) for c in some], np.int64) for some in named.values()], k, trees)
+
+    def one(task: tuple[int, int]) -> tuple:
+        which, i = task
+        told = _predicted([_tree_of(*stem, which) for stem in stems[i * trees :][:trees]], parts.where(F.col("fold") == i), every)
+        got = confusion(told, F.col(label) >= 0.5, F.col("prediction") >= 0.5).first()
+        return (list(named)[which], i, got["accuracy"], got["precision"], got["recall"], got["f1"])
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        made = list(pool.map(one, [(which, i) for which in range(len(named)) for i in range(k)]))
+    out = rows.sparkSession.createDataFrame(made, "columns string, fold int, accuracy double, precision double, recall double, f1 double")
+    return out if isinstance(columns, dict) else out.drop("columns")
+
+
 def counted_cross_validated(rows: DataFrame, columns: list[str], label: str, key: str, k: int = FOLDS, trees: int = TREES) -> DataFrame:
     """cross_validated() with counted forests: rows are read for the bins and for the counts, and no more."""
     edges = bin_edges(rows, columns)
