@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import wider
 from tidemark.sources import readers, writers
 
 
@@ -57,6 +58,23 @@ def test_places_come_from_files(spark, tmp_path):
         readers.placed(spark, str(tmp_path / "mixed"), "t")
 
 
+def test_quarantine_lists_and_reads_files_once(spark):
+    """A file for each repository and thousand of keys, in a folder for each repository and in none of its own, and one read for what is good and what is not."""
+    got = wider.json_quarantine(spark, "/root/testdata/sf0.01")
+    files = got.inputFiles()
+    keys = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select(F.col("o_orderkey") % 5, F.floor(F.col("o_orderkey") / 1000))
+    assert len(files) == keys.distinct().count() and {f.split("/")[-2] for f in files} == {f"from=own{r}--repo" for r in range(5)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_told_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1}, {"id": "x"}, null, {"id": 2, "__source_path": "other"}]')
+    (tmp_path / "b.json").write_text('[{"id": 3}')
+    told = readers.told_arrays(spark, str(tmp_path), "id bigint, __source_path string")
+    got = told.where("what = 'good'").select("record.*", "place").union(told.where("what <> 'good'").select(F.lit(None), "what", "place")).collect()
+    assert sorted((r[0] or 0, r[1][-6:], -1 if r[2] is None else r[2]) for r in got) == [(0, "file", -1), (0, "record", 1), (0, "record", 2), (1, "a.json", 0), (2, "other", 3)]
+
+
 def test_damaged_records_and_files(spark, tmp_path):
     folder = tmp_path / "raw"
     folder.mkdir()

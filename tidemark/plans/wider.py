@@ -330,12 +330,15 @@ def json_lines_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _array_files(spark: SparkSession, d: str, record: Column, text: Column | None = None) -> str:
-    """Orders as files of one array each, a folder for each repository and thousand of keys."""
+    """Orders as files of one array each, for each repository and thousand of keys, in a folder for each repository.
+
+    A row is a file: folders of their own would each be made, listed and moved. Tasks move their files into the new folder themselves.
+    """
     path = shared_path(spark, "arrays")
     k = F.col("o_orderkey")
     groups = table(spark, d, "orders").groupBy((k % 5).alias("r"), F.floor(k / 1000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), record.alias("t")))), lambda x: x["t"]), ","), F.lit("]")).alias("value"))
-    named = groups.select(F.col("value") if text is None else text.alias("value"), F.concat(F.lit("own"), F.col("r").cast("string"), F.lit("--repo")).alias("from"), "file")
-    named.repartition("from", "file").write.partitionBy("from", "file").text(path)
+    named = groups.select(F.col("value") if text is None else text.alias("value"), F.concat(F.lit("own"), F.col("r").cast("string"), F.lit("--repo")).alias("from"))
+    named.write.partitionBy("from").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
     return path
 
 
@@ -365,10 +368,10 @@ def json_quarantine(spark: SparkSession, d: str) -> DataFrame:
     record = F.when(k % 97 == 0, F.lit('{"id": "x"}')).otherwise(F.to_json(F.struct(k.alias("id"))))
     cut = F.when((F.col("r") == 2) & (F.col("file") % 3 == 1), F.expr("substring(value, 1, length(value) - 3)")).otherwise(F.col("value"))
     path = _array_files(spark, d, record, cut)
-    good, rejects = readers.quarantined_arrays(spark, path, "id bigint, __source_path string", nested=True, glob="*.txt")
-    kept = good.groupBy(_repository(F.col("__source_path")).alias("repo")).agg(F.count("*").alias("n"), F.sum("id").alias("total")).select(F.lit("good").alias("what"), "*")
-    gone = rejects.groupBy("what", _repository(F.col("file")).alias("repo")).agg(F.count("*").alias("n"), F.sum("place").alias("total"))
-    return kept.unionByName(gone)
+    told = readers.told_arrays(spark, path, "id bigint, __source_path string", nested=True, glob="*.txt")
+    good = F.col("what") == "good"
+    repo = _repository(F.when(good, F.col("record.__source_path")).otherwise(F.col("file")))
+    return told.groupBy("what", repo.alias("repo")).agg(F.count("*").alias("n"), F.sum(F.when(good, F.col("record.id")).otherwise(F.col("place"))).alias("total"))
 
 
 @query(f"WITH {_REG} SELECT id, repo, fork, name || ', \"' || host || '\"' AS quoted FROM reg")

@@ -29,15 +29,19 @@ def json_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVI
 DAMAGED = "_damaged"
 
 
-def _parsed(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of (file, place, text): records by the schema, and the texts that are none."""
+def _told(texts: DataFrame, schema: str) -> DataFrame:
+    """(file, place, text) with `what` (good, record or file) and, where it is good, the `record` by the schema."""
     kind = f"{schema}, {DAMAGED} string"
     read = texts.withColumn("r", F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED}))
     bad = F.col(f"r.{DAMAGED}").isNotNull() | F.col("r").isNull()
     named = T._parse_datatype_string(schema).fieldNames()
-    source = F.coalesce("r.__source_path", "file") if "__source_path" in named else None
-    good = read.where(~bad).select(*[source.alias(n) if n == "__source_path" else F.col(f"r.`{n}`") for n in named])
-    return good, read.where(bad).select("file", "place", F.when(F.col("text").isNotNull(), "record").otherwise("file").alias("what"), "text")
+    record = F.struct(*[F.coalesce("r.__source_path", "file").alias(n) if n == "__source_path" else F.col(f"r.`{n}`").alias(n) for n in named])
+    return read.select("file", "place", "text", F.when(~bad, "good").when(F.col("text").isNotNull(), "record").otherwise("file").alias("what"), record.alias("record"))
+
+
+def _parsed(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of _told(): records by the schema, and the texts that are none."""
+    return told.where("what = 'good'").select("record.*"), told.where("what <> 'good'").select("file", "place", "what", "text")
 
 
 def quarantined_lines(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +50,19 @@ def quarantined_lines(spark: SparkSession, path: str | list[str], schema: str =
     A file's lines carry no numbers, so `place` is null and the text tells which line it was; blank lines are none.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("place"), F.col("value").alias("text")).where(F.trim("text") != "")
-    return _parsed(lines, schema)
+    return _parsed(_told(lines, schema))
+
+
+def told_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY, nested: bool = False, glob: str = "*.json") -> DataFrame:
+    """(file, place, text, what, record) of files that hold one array of records each: both tables of quarantined_arrays() in one read.
+
+    `what` is good, record (one that doesn't fit the schema) or file (one that isn't an array, without place and text).
+    Each file is read as one row, as it is where the array is parsed at once.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", nested).option("pathGlobFilter", glob).text(path)
+    split = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("texts"))
+    told = split.select("file", F.col("texts").isNull().alias("broken"), F.posexplode_outer("texts").alias("place", "text"))
+    return _told(told.where("broken or place is not null").select("file", "place", F.when(~F.col("broken"), F.coalesce("text", F.lit("null"))).alias("text")), schema)
 
 
 def quarantined_arrays(spark: SparkSession, path: str | list[str], schema: str = ACTIVITY, nested: bool = False, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
@@ -54,12 +70,9 @@ def quarantined_arrays(spark: SparkSession, path: str | list[str], schema: str =
 
     A record that doesn't fit the schema goes to the rejects with its file and its place in the array; its
     neighbours stay.  A file that isn't an array goes there as a whole, without place and
-    text.  Each file is read as one row, as it is where the array is parsed at once.
+    text.  Each of the two reads the files; told_arrays() reads them once.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", nested).option("pathGlobFilter", glob).text(path)
-    split = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<string>").alias("texts"))
-    told = split.select("file", F.col("texts").isNull().alias("broken"), F.posexplode_outer("texts").alias("place", "text"))
-    return _parsed(told.where("broken or place is not null").select("file", "place", F.when(~F.col("broken"), F.coalesce("text", F.lit("null"))).alias("text")), schema)
+    return _parsed(told_arrays(spark, path, schema, nested, glob))
 
 
 def placed(spark: SparkSession, path: str, time: str, schema: str | None = None) -> DataFrame:
