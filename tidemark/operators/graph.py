@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_table, small
-from .point_in_time import earlier_sums
+from .degrees import degrees
 
 
 def transitive_closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -53,59 +53,19 @@ def second_order_degree(queries: DataFrame, edges: DataFrame, window: int, scope
 
     What a person's degree is made of changes by events only, whoever asks.  Of two edges n -> u of a label, or one
     with itself, the older must come after an edge x of n: they add to the degree from when the newer comes until x
-    leaves the window.  So triples of two edges and an x become an entry at the time of the newer edge and the same one against it
-    at the end of x, added up by person, label and time, and a query asks the sum of all earlier entries.
-    Outside of a project counts what counts anywhere less what touches the project.  x are taken from all edges of n at
-    its time, and those between n and u against them.
+    leaves the window.  How many x there are follows from sums of n up to a time, and what ends is added up by
+    person, label, project and time where n's edges are, before anything goes to the person; see degrees().
+    Outside of a project counts what counts anywhere less what touches the project.
     """
-    stretch = F.floor(F.col("ts") / window)
     counted = shared_table(edges.where("src <> tgt").groupBy("src", "tgt", "label", "project", "ts", "seq").agg(F.sum("m").alias("m")), "edges")
-    asked = queries.where("u is not null")
-    into = counted.where("project is not null").join(small(asked.select(F.col("u").alias("tgt")).distinct()), "tgt", "left_semi")
-    newer = into.select(F.col("tgt").alias("u"), F.col("src").alias("n"), F.col("label").alias("c"), F.col("project").alias("p"), "ts", "seq", "m", stretch.alias("stretch"))
-    older = newer.select("u", "n", "c", F.col("p").alias("_p"), F.col("ts").alias("_ts"), F.col("seq").alias("_seq"), F.col("m").alias("_m"), F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"))
-    place, other = F.struct("ts", "seq", "p"), F.struct("_ts", "_seq", "_p")
-    two = newer.join(older, ["u", "n", "c", "stretch"]).where((F.col("_ts") > F.col("ts") - window) & (other <= place))
-    if scope == "intra":
-        two = two.where("p = _p")
-    # of m equal edges each meets itself and those before it
-    weight = F.when(other == place, F.expr("m * (m + 1) div 2")).otherwise(F.col("m") * F.col("_m"))
-    two = shared_table(two.select("u", "n", "c", "p", "_p", "ts", "seq", "_ts", "stretch", weight.alias("w")), "two")
-
-    values = [f"e{i}" for i in range(len(labels))]
-    near, far = ("tgt", "src") if direction == "in" else ("src", "tgt")
-    split = [F.sum(F.when(F.col("label") == name, F.col("m"))).alias(v) for v, name in zip(values, labels, strict=True)]
-    own = counted.join(small(into.select(F.col("src").alias(near)).distinct()), near, "left_semi").groupBy(F.col(near).alias("n"), F.col(far).alias("f"), F.col("ts").alias("x_ts")).agg(*split)
-    own = shared_table(own, "entries")
-    reach = F.explode(F.array(F.floor(F.col("x_ts") / window), F.floor(F.col("x_ts") / window) + 1)).alias("stretch")
-    every = own.groupBy("n", "x_ts").agg(*[F.sum(v).alias(v) for v in values]).select("n", "x_ts", reach, *values)
-    theirs = own.select("n", F.col("f").alias("u"), "x_ts", reach, *[(-F.col(v)).alias(v) for v in values])
-    alive = (F.col("x_ts") > F.col("ts") - window) & (F.col("x_ts") < F.col("_ts"))
-    first = F.lit(-(2**63)).cast(counted.schema["seq"].dataType)  # before whatever else happens at that time
-    event = lambda ts, seq, sign: F.struct(ts.alias("ts"), seq.alias("seq"), F.lit(sign).alias("sign"))
-    both = F.explode(F.array(event(F.col("ts"), F.col("seq"), 1), event(F.col("x_ts") + window, first, -1))).alias("x")
-
-    def entries(xs: DataFrame, on: list[str]) -> DataFrame:
-        told = two.join(xs, on).where(alive).select("u", "c", "p", "_p", both, *[(F.col("w") * F.col(v)).alias(v) for v in values])
-        return told.groupBy("u", "c", "p", "_p", "x.ts", "x.seq").agg(*[F.sum(F.col("x.sign") * F.col(v)).alias(v) for v in values])
-
-    made = entries(every, ["n", "stretch"]).unionByName(entries(theirs, ["n", "u", "stretch"]))
-    named = F.explode(F.array(*[F.lit(c) for c in labels])).alias("c")
-    if scope == "intra":
-        made, asked = made.withColumn("project", F.col("p")), asked.select("id", "ts", "seq", "u", "project", named, F.lit(1).alias("sign"))
-        keys = ["u", "c", "project"]
-    else:
-        nowhere = F.lit(None).cast(counted.schema["project"].dataType)
-        made = made.withColumn("project", F.explode(F.array_distinct(F.array(nowhere, F.col("p"), F.col("_p")))))
-        ask = F.explode(F.array(F.struct(nowhere.alias("project"), F.lit(1).alias("sign")), F.struct(F.col("project"), F.lit(-1).alias("sign")))).alias("x")
-        key = F.coalesce(F.col("project").cast("string"), F.lit(""))
-        asked = asked.where("project is not null").select("id", "ts", "seq", "u", named, ask).select("id", "ts", "seq", "u", "c", "x.*").withColumn("key", key)
-        made = made.withColumn("key", key)
-        keys = ["u", "c", "key"]
-    sums = earlier_sums(asked, made.select(*keys, "ts", "seq", *values), keys, values, None)
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("e"), (F.col("sign") * F.col(v)).alias("degree")) for v, name in zip(values, labels, strict=True)])).alias("x")
-    told = sums.select("id", "c", each).select("id", "c", "x.e", "x.degree").where("degree <> 0")
-    return (told if scope == "intra" else told.groupBy("id", "c", "e").agg(F.sum("degree").cast("long").alias("degree"))).where("degree > 0")
+    people = small(queries.where("u is not null").select(F.col("u").alias("_u")).distinct().withColumn("asked", F.lit(True)))
+    numbered = counted.where(F.col("label").isin(*labels)).withColumn("label", F.array_position(F.lit(list(labels)), F.col("label")) - 1).join(people, F.col("tgt") == F.col("_u"), "left")
+    zero = F.lit(0).cast("long")
+    into = F.when(F.col("asked") & F.col("project").isNotNull(), F.col("m")).otherwise(zero)
+    fact = lambda n, u, into, m: F.struct(n.alias("n"), u.alias("u"), F.coalesce("project", zero).alias("p"), "ts", "seq", "label", into.alias("into"), m.alias("own"), m.alias("every"))
+    src, tgt = F.col("src"), F.col("tgt")
+    both = F.array(fact(src, tgt, into, zero), fact(tgt, src, zero, F.col("m"))) if direction == "in" else F.array(fact(src, tgt, into, F.col("m")))
+    return degrees(queries, numbered.select(F.inline(both)), window, scope, labels, counted.observed_rows)
 
 
 def min_label_components(edges: DataFrame) -> DataFrame:
