@@ -215,6 +215,42 @@ def test_forests_that_grow_together(spark, monkeypatch):
             assert tree["value"][at] == pytest.approx(v)
 
 
+def test_trees_of_rows_at_hand_and_in_blocks(spark, monkeypatch):
+    """A tree that a task grows whole, whose larger sides are what the smaller ones leave, is the one of blocks level by level; labels of 0 and 1 or others."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, k, 600) for k in (2, 3, 30, 7, 5)]).astype(float)
+    names = ["a", "b", "c", "d", "e"]
+    for y in (((x[:, 2] > 11) ^ (x[:, 1] > 1)).astype(float), x[:, 2] / 7 + x[:, 3]):
+        df = table_of(spark, x, names, y=y, k=np.arange(600))
+        parts = common.shared_table(forests.binned(forests.folded(df, "k", 2).withColumn("_seed", F.xxhash64(F.lit(1), "k")), names, forests.bin_edges(df, names), "y", "fold", "_seed"), "folds")
+        lists = [np.array([0, 1, 2, 3, 4]), np.array([1, 3])]
+        at_hand = forests.grown(parts, names, "y", lists, 2, 2, depth=4)
+        monkeypatch.setattr(forests, "ROWS_AT_ONCE", 250)
+        dealt = parts.repartition(3)
+        dealt.observed_rows = 600
+        blocks = forests.grown(dealt, names, "y", lists, 2, 2, depth=4)
+        monkeypatch.undo()
+        for (m, own), (n, other) in zip(at_hand, blocks, strict=True):
+            assert m == pytest.approx(n) and len(own) == len(other) == 4
+            assert all(np.allclose(a[c], b[c]) for a, b in zip(own, other, strict=True) for c in a)
+
+
+def test_sums_of_columns_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.array([rng.integers(0, k, 500) for k in (2, 3, 30, 7)], np.uint8)
+    rows, w = np.repeat(np.arange(500), 2), rng.integers(0, 4, 500).astype(float)
+    node = rng.integers(0, 5, 1000)
+    for y in (rng.integers(0, 2, 500).astype(float), rng.normal(size=500)):
+        want = np.zeros((2, 4, 5, forests.BINS))
+        for f in range(4):
+            np.add.at(want, (0, f, node, x[f][rows]), w[rows])
+            np.add.at(want, (1, f, node, x[f][rows]), (w * y)[rows])
+        for cells in (1, 40, 1 << 15):
+            monkeypatch.setattr(forests, "CELLS", cells)
+            monkeypatch.setattr(forests, "DRAWN", 300)
+            assert np.allclose(forests._totals(x.T.copy(), rows, node, w, y, 5, [2, 3, 30, 7]), want)
+
+
 def test_folds_of_several_lists(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 2))

@@ -28,6 +28,8 @@ AT_ONCE = 4
 TREES_AT_ONCE, BINS = 12, 32
 #: Trees that grow in one task, and nodes whose sums are shuffled in one row, where forests grow together.
 TREES_A_TASK, NODES_A_ROW = 10, 16
+#: Rows (of a byte for each column) that a task holds; drawn rows and cells of sums that are handled at a time.
+ROWS_AT_ONCE, DRAWN, CELLS = 6_000_000, 1 << 15, 1 << 13
 
 
 def forest(rows: DataFrame, columns: list[str], label: str, trees: int = TREES, depth: int = DEPTH, seed: int = 42) -> RandomForestRegressionModel:
@@ -183,12 +185,12 @@ def _predicted(trees: list[dict[str, np.ndarray]], groups: DataFrame, columns: l
 
 
 def _packed(parts: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Binned rows (columns, label, fold, _seed) as arrays of many rows each; bins go column by column."""
+    """Binned rows (columns, label, fold, _seed) as arrays of many rows each; bins go row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             *x, y, fold, seed = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            made = [np.array(x, np.uint8).tobytes(), y.astype(np.float64).tobytes(), fold.astype(np.int64).tobytes(), seed.tobytes()]
+            made = [np.array(x, np.uint8).T.tobytes(), y.astype(np.float64).tobytes(), fold.astype(np.int64).tobytes(), seed.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.binary()) for m in made], names=["x", "y", "fold", "seed"])
 
     return shared_table(parts.select(*columns, label, "fold", "_seed").mapInArrow(run, "x binary, y binary, fold binary, seed binary"), "packed")
@@ -215,17 +217,45 @@ def _reached(levels: list[dict[str, np.ndarray]], x: np.ndarray, rows: np.ndarra
         times = np.searchsorted(level["node"], node, side="right") - first
         split = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
         rows = np.repeat(rows, times)
-        node = 2 * split + (x[level["feature"][split], rows] > level["bin"][split])
+        node = 2 * split + (x[rows, level["feature"][split]] > level["bin"][split])
     return rows, node
 
 
-def _totals(x: np.ndarray, rows: np.ndarray, node: np.ndarray, w: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    """Sums of weights and of weighted labels by column, node and bin."""
-    out, at, weights = np.empty((2, len(x), n, BINS)), node * BINS, (w[rows], (w * y)[rows])
-    for f, own in enumerate(x):
-        where = at + own[rows]
-        for i in (0, 1):
-            out[i, f] = np.bincount(where, weights[i], n * BINS).reshape(n, BINS)
+def _totals(x: np.ndarray, rows: np.ndarray, node: np.ndarray, w: np.ndarray, y: np.ndarray, n: int, sizes: list[int]) -> np.ndarray:
+    """Sums of weights and of weighted labels by column, node and bin; `sizes` are the numbers of bins.
+
+    Columns of few bins are added up together, by all their bins at once, and told apart afterwards. Where labels are 0 or 1, both sums are
+    parts of one number: weights are whole, so they stay exact.
+    """
+    whole = bool(((y == 0) | (y == 1)).all()) and w.sum() < 1 << 26
+    weights = [w * (1 << 26) + w * y] if whole else [w, w * y]
+    groups, product = [], CELLS
+    for f in sorted(range(x.shape[1]), key=lambda f: sizes[f]):
+        if groups and n * product * sizes[f] <= CELLS:
+            groups[-1].append(f)
+            product *= sizes[f]
+        else:
+            groups.append([f])
+            product = sizes[f]
+    shapes = [(n, *(sizes[f] for f in own)) for own in groups]
+    sums = [[np.zeros(math.prod(shape)) for shape in shapes] for _ in weights]
+    for begin in range(0, len(rows), DRAWN):
+        some, at = rows[begin : begin + DRAWN], node[begin : begin + DRAWN]
+        drawn, bins = [v[some] for v in weights], x[some]  # a row's bins lie together
+        for g, own in enumerate(groups):
+            where = at
+            for f in own:
+                where = where * sizes[f] + bins[:, f]
+            for i, v in enumerate(drawn):
+                sums[i][g] += np.bincount(where, v, len(sums[i][g]))
+    out = np.zeros((2, x.shape[1], n, BINS))
+    for i, of in enumerate(sums):
+        for own, shape, flat in zip(groups, shapes, of, strict=True):
+            for k, f in enumerate(own):
+                out[i, f, :, : sizes[f]] = flat.reshape(shape).sum(tuple(a for a in range(1, len(shape)) if a != k + 1))
+    if whole:
+        out[1] = out[0] % (1 << 26)
+        out[0] = np.floor(out[0] / (1 << 26))
     return out
 
 
@@ -251,18 +281,96 @@ def _best(totals: np.ndarray, lists: np.ndarray, named: list[np.ndarray]) -> dic
     return dict(zip(_SPLITS, (node, f, b, shared, left_s / left_w, (s[node] - left_s) / (w[node] - left_w)), strict=True))
 
 
+def _held(batches: Iterator[pa.RecordBatch], columns: int, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(id, bins, labels, folds, seeds) of all packed rows, `most` at most."""
+    x, y, fold, seed = np.empty((most, columns), np.uint8), np.empty(most), np.empty(most, np.uint8), np.empty(most, np.int64)
+    end, number = 0, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in ("id", "x", "y", "fold", "seed")}
+            number, begin, end = r["id"], end, end + len(r["y"]) // 8
+            x[begin:end] = np.frombuffer(r["x"], np.uint8).reshape(-1, columns)
+            y[begin:end], fold[begin:end], seed[begin:end] = (np.frombuffer(r[c], t) for c, t in (("y", np.float64), ("fold", np.int64), ("seed", np.int64)))
+    return None if number is None else (number, x[:end], y[:end], fold[:end], seed[:end])
+
+
+def _grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, named: list[np.ndarray], depth: int, sizes: list[int]) -> tuple[float, list[dict[str, np.ndarray]]]:
+    """(mean, levels of splits) of one tree: of the two sides of a split the smaller one is added up, the other is the rest of the node."""
+    parts, lists = [np.flatnonzero(w)], np.array([(1 << len(named)) - 1])
+    exact = bool(((y == 0) | (y == 1)).all())
+
+    def added(some: list[np.ndarray]) -> np.ndarray:
+        return _totals(x, np.concatenate(some), np.repeat(np.arange(len(some)), [len(r) for r in some]), w, y, len(some), sizes)
+
+    totals = added(parts)
+    all_w, all_s = totals[:, 0, 0].sum(1)
+    levels: list[dict[str, np.ndarray]] = []
+    for level in range(depth):
+        best = _best(totals, lists, named)
+        if not len(best["node"]):
+            break
+        levels.append(best)
+        if level == depth - 1:
+            break
+        sides = []
+        for node, f, b in zip(best["node"], best["feature"], best["bin"], strict=True):
+            right = x[parts[node], f] > b
+            sides += [parts[node][~right], parts[node][right]]
+        lists = np.repeat(best["lists"], 2)
+        if exact:
+            lesser = np.array([2 * j + (len(sides[2 * j]) > len(sides[2 * j + 1])) for j in range(len(best["node"]))])
+            own = added([sides[i] for i in lesser])
+            whole, totals = totals[:, :, best["node"]], np.empty((2, x.shape[1], len(sides), BINS))
+            totals[:, :, lesser], totals[:, :, lesser ^ 1] = own, whole - own
+        else:
+            totals = added(sides)
+        parts = sides
+    return float(all_s / max(all_w, 1)), levels
+
+
 def grown(parts: DataFrame, columns: list[str], label: str, named: list[np.ndarray], folds: int, trees: int, depth: int = DEPTH) -> list[tuple[float, list[dict[str, np.ndarray]]]]:
     """(mean, levels of splits) of `trees` trees for each fold left out, over binned rows (columns, label, fold, _seed).
 
     A tree is that of all lists of columns (`named`, places in columns) at once: lists have the same draws, so they share each node
-    up to where their best splits differ.  A level is a job: tasks of some trees and a block of rows each sum up labels by node,
-    column and bin; sums of several blocks are added by a shuffle.  Trees come to the driver, as many nodes as they have.
+    up to where their best splits differ.  A task grows some trees over all rows, if these are ROWS_AT_ONCE at most.  Of more, a level is
+    a job: tasks of some trees and a block of rows each sum up labels by node, column and bin, and sums of several blocks are added by a
+    shuffle.  Trees come to the driver, as many nodes as they have.
     """
-    spark, blocks = parts.sparkSession, -(-parts.observed_rows // ROWS_A_TASK) or 1
-    packed = _packed(parts, columns, label).coalesce(blocks)
+    spark, blocks = parts.sparkSession, -(-parts.observed_rows // ROWS_AT_ONCE) or 1
+    packed, most, every = _packed(parts, columns, label), parts.observed_rows, (1 << len(named)) - 1
+    key = [("stem", pa.int64()), ("first", pa.int64())]
+    kinds = pa.schema([*key, ("mean", pa.float64()), *[(c, pa.list_(pa.float64() if c in ("left", "right") else pa.int64())) for c in _SPLITS]])
+    told_kinds = "stem long, first long, mean double, " + ", ".join(f"{c} array<{'double' if c in ('left', 'right') else 'long'}>" for c in _SPLITS)
+
+    def dealt(tasks: int, rows: DataFrame) -> DataFrame:
+        return spark.range(0, tasks, 1, tasks).crossJoin(rows.hint("shuffle_replicate_nl"))
+
+    def sizes_of(x: np.ndarray) -> list[int]:
+        return (x.max(0).astype(int) + 1).tolist() if len(x) else [1] * len(columns)
+
+    if blocks == 1:
+
+        def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if (held := _held(batches, len(columns), most)) is None:
+                return
+            number, x, y, fold, seed = held
+            sizes = sizes_of(x)
+            for stem in range(number * TREES_A_TASK, min((number + 1) * TREES_A_TASK, folds * trees)):
+                mean, levels = _grown(x, y, np.where(fold == stem // trees, 0.0, _draws(seed, stem)), named, depth, sizes)
+                for first, level in enumerate(levels or [{c: np.empty(0, np.int64) for c in _SPLITS}]):
+                    yield pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "mean": [mean], **{c: [v] for c, v in level.items()}}, kinds)
+
+        means, levels = [0.0] * (folds * trees), [[] for _ in range(folds * trees)]
+        got = dealt(-(-folds * trees // TREES_A_TASK), packed.coalesce(1)).mapInArrow(planted, told_kinds).toArrow().sort_by([("stem", "ascending"), ("first", "ascending")]).combine_chunks()
+        for i, (stem, mean) in enumerate(zip(got["stem"].to_pylist(), got["mean"].to_pylist(), strict=True)):
+            means[stem], level = mean, {c: got[c][i].values.to_numpy() for c in _SPLITS}
+            if len(level["node"]):
+                levels[stem].append(level)
+        return list(zip(means, levels, strict=True))
+
+    packed = packed.coalesce(blocks)
     means, levels = [0.0] * (folds * trees), [[] for _ in range(folds * trees)]
-    everyone = np.array([(1 << len(named)) - 1])
-    came = lambda stem: np.repeat(levels[stem][-1]["lists"], 2) if levels[stem] else everyone
+    came = lambda stem: np.repeat(levels[stem][-1]["lists"], 2) if levels[stem] else np.array([every])
 
     def told(stem: int, first: int, totals: np.ndarray) -> pa.RecordBatch:
         best = _best(totals, came(stem)[first : first + totals.shape[2]], named)
@@ -270,33 +378,24 @@ def grown(parts: DataFrame, columns: list[str], label: str, named: list[np.ndarr
         return pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "mean": [float(s / max(w, 1))], **{c: [v] for c, v in best.items()}}, kinds)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in batch.to_pylist()]
-        if not got:
+        if (held := _held(batches, len(columns), most)) is None:
             return
-        x = np.hstack([np.frombuffer(r["x"], np.uint8).reshape(len(columns), -1) for r in got])
-        y, fold, seed = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("y", np.float64), ("fold", np.int64), ("seed", np.int64)))
-        for stem in growing[got[0]["id"] * TREES_A_TASK :][:TREES_A_TASK]:
+        number, x, y, fold, seed = held
+        sizes = sizes_of(x)
+        for stem in growing[number * TREES_A_TASK :][:TREES_A_TASK]:
             w, n = np.where(fold == stem // trees, 0.0, _draws(seed, stem)), len(came(stem))
-            totals = _totals(x, *_reached(levels[stem], x, np.flatnonzero(w)), w, y, n)
-            if blocks == 1:
-                yield told(stem, 0, totals)
-            else:
-                for first in range(0, n, NODES_A_ROW):
-                    yield pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "totals": [totals[:, :, first : first + NODES_A_ROW].tobytes()]}, sums)
+            totals = _totals(x, *_reached(levels[stem], x, np.flatnonzero(w)), w, y, n, sizes)
+            for first in range(0, n, NODES_A_ROW):
+                yield pa.RecordBatch.from_pydict({"stem": [stem], "first": [first], "totals": [totals[:, :, first : first + NODES_A_ROW].tobytes()]}, sums)
 
     def merged(table: pa.Table) -> pa.Table:
         totals = sum(np.frombuffer(t, np.float64) for t in table["totals"].to_pylist())
         return pa.Table.from_batches([told(table["stem"][0].as_py(), table["first"][0].as_py(), totals.reshape(2, len(columns), -1, BINS))])
 
-    key = [("stem", pa.int64()), ("first", pa.int64())]
     sums = pa.schema([*key, ("totals", pa.binary())])
-    kinds = pa.schema([*key, ("mean", pa.float64()), *[(c, pa.list_(pa.float64() if c in ("left", "right") else pa.int64())) for c in _SPLITS]])
-    told_kinds = "stem long, first long, mean double, " + ", ".join(f"{c} array<{'double' if c in ('left', 'right') else 'long'}>" for c in _SPLITS)
     growing = list(range(folds * trees))
     for _ in range(depth):
-        tasks = -(-len(growing) // TREES_A_TASK)
-        dealt = spark.range(0, tasks, 1, tasks).crossJoin(packed.hint("shuffle_replicate_nl"))
-        made = dealt.mapInArrow(summed, told_kinds) if blocks == 1 else dealt.mapInArrow(summed, "stem long, first long, totals binary").groupBy("stem", "first").applyInArrow(merged, told_kinds)
+        made = dealt(-(-len(growing) // TREES_A_TASK), packed).mapInArrow(summed, "stem long, first long, totals binary").groupBy("stem", "first").applyInArrow(merged, told_kinds)
         got, next_splits = made.toArrow().sort_by([("stem", "ascending"), ("first", "ascending")]).combine_chunks(), {}
         for i, (stem, first) in enumerate(zip(got["stem"].to_pylist(), got["first"].to_pylist(), strict=True)):
             level = {c: got[c][i].values.to_numpy() for c in _SPLITS}
