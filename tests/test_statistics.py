@@ -130,6 +130,24 @@ def test_ranks_of_many_and_few_values(spark, monkeypatch):
         assert ranked._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == exploded
 
 
+def test_rows_are_not_shuffled_for_ranks_at_hand(spark, monkeypatch):
+    """Ranks of values at hand need no exchange; columns of more values travel with codes of the others; nulls, NaN, zeros of both signs and ties included."""
+    rng = np.random.default_rng(10)
+    x = np.c_[rng.integers(0, 5, 700), rng.integers(0, 300, 700), rng.normal(size=700), rng.integers(-1, 2, 700) * 0.0, rng.integers(0, 3, 700)]
+    x[:40, 4] = np.nan
+    names = ["few", "some", "many", "zero", "odd"]
+    df = table_of(spark, x, names).withColumn("some", F.when(F.col("some") > 20, F.col("some"))).withColumn("few", F.col("few").cast("int"))
+    v = x.copy()
+    v[x[:, 1] <= 20, 1], v[:40, 4] = -1.0, np.inf
+    want = np.column_stack([(v[:, [j]] > v[:, j]).sum(1) + ((v[:, [j]] == v[:, j]).sum(1) + 1) / 2 for j in range(5)]) - 350
+    for room, joins in ((10_000, 0), (400, 1), (5, 3), (0, 5)):
+        monkeypatch.setattr(stats, "VALUES_AT_HAND", room)
+        ranked = stats._centred_ranks(df, names)
+        assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, want.tolist()))
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == joins and "posexplode" not in plan and "Aggregate" not in plan
+
+
 def test_counted_forest(spark):
     """Alike rows as counts: as many groups as combinations of bins, predictions and dependence as by the rows, and a forest as good as one over rows."""
     rng = np.random.default_rng(8)
