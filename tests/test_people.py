@@ -117,3 +117,22 @@ def test_ego_betweenness_of_a_crowd(spark, monkeypatch):
     began = time.perf_counter()
     assert identity.ego_betweenness(spark.range(k * k).select(s.alias("src"), t.alias("tgt"), F.pmod(F.xxhash64("id"), F.lit(500)).alias("ts")).where("src <> tgt")).count() == k
     assert time.perf_counter() - began < 90
+
+
+def test_neighbourhoods_are_found_without_pairs(spark, monkeypatch):
+    """Bits of several tasks give the neighbourhoods of joins for each radius; a crowd's edges are stored once, whatever the tasks that read them."""
+    rng = np.random.default_rng(7)
+    rows = [(int(s), int(t), int(at)) for s, t, at in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(1, 9, 150), strict=True) if s != t]
+    df = spark.createDataFrame(rows, "src long, tgt long, ts long")
+    monkeypatch.setattr(identity, "SOURCES_A_TASK", 8)
+    stored, keep = [], identity.shared_table
+    monkeypatch.setattr(identity, "shared_table", lambda df, label: stored.append(label) or keep(df, label))
+    for radius in (2, 3):
+        got = []
+        for people, nodes in ((0, 1024), (1000, 16)):
+            monkeypatch.setattr(identity, "BROADCAST_ROWS", people)
+            monkeypatch.setattr(identity, "NODES_A_TASK", nodes)
+            stored.clear()
+            got.append({r["node"]: r["share"] for r in identity.ego_betweenness(df, radius).collect()})
+            assert ("near" in stored) == (people == 0) and ("around" in stored) == (people > 0)
+        assert got[0] == got[1]
