@@ -59,6 +59,17 @@ def test_models_without_rows_or_varying_columns(spark):
     assert [(r.term, r.estimate, r.rows, r.outliers) for r in none] == [("_scale", None, 0, 0), ("_group_variance", None, 0, 0)]
 
 
+def test_a_model_stores_what_it_is_fitted_from(spark, monkeypatch):
+    from tidemark.plans import models
+
+    rows = spark.range(60).selectExpr("id", "id % 4 project", "id % 7 / 6.0 x", "1.0D fixed", "rand(1) other", "cast(id % 3 = 0 as double) label")
+    stored, keep = [], models.shared_table
+    monkeypatch.setattr(models, "shared_table", lambda df, label: stored.append(keep(df, label)) or stored[-1])
+    got = {r.term: r for r in models.pipeline(rows, ["x", "fixed"]).collect()}
+    assert set(got) == {"x", "_scale", "_group_variance"} and got["x"].rows == 60
+    assert all("other" not in t.columns and "id" not in t.columns for t in stored) and len(stored) == 1
+
+
 def test_a_large_table_is_dealt_by_its_rows(spark, monkeypatch):
     from tidemark.operators import common
 

@@ -71,6 +71,7 @@ def pipeline(rows: DataFrame, columns: list[str]) -> DataFrame:
     0..1 and fitted.  Where no column varies only the intercepts are left, and where there are no rows nothing
     can be estimated: the variances are null then, and rows and outliers 0.
     """
+    rows = rows.select(*columns, "label", "project")  # nothing else is read, passed to Python tasks or stored
     if rows.isEmpty():
         none = [("_scale", None, None, None, 0, 0), ("_group_variance", None, None, None, 0, 0)]
         return rows.sparkSession.createDataFrame(none, "term string, estimate double, std_error double, z double, rows long, outliers long")
